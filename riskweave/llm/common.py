@@ -51,8 +51,8 @@ def id_of(docs: DataFrame) -> Column:
     return docs["doc_id"].cast("long").alias("doc_id")
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rid, doc_id, text`` with a ``rid`` that no two rows share.
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """``rid, doc_id, text`` with a ``rid`` that no two rows share, and whether rows had to be numbered.
 
     ``doc_id`` serves where it is unique and not null (a count over that one
     column decides). Else rows get numbers, kept stable by a written table.
@@ -61,8 +61,8 @@ def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     rows = docs.select(id_of(docs), text_of(docs))
     if not repeated:
-        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    return scratch.write(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "keyed")
+        return rows.select(F.col("doc_id").alias("rid"), "doc_id", "text"), False
+    return scratch.write(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "keyed"), True
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
