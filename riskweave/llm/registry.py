@@ -52,6 +52,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op3_token_counts": op3_token_counts,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dup": op5_near_dup,
     "op7_toxicity": op7_toxicity,
     "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
