@@ -18,6 +18,12 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained_items
+
+    return contained_items(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("rid")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -46,6 +52,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import document_files, licence_scan
+
+    return licence_scan(document_files(_docs(spark, sf_dir))).withColumnRenamed("file_id", "doc_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -60,15 +72,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_near_dup": op5_near_dup,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+#: Words and shingles as operator 2 has them; {share} is exact in whole numbers.
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM documents
+), b AS (
+  SELECT item_id, [w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF w <> ''] AS w FROM benchmark
+), i AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS width, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM b WHERE len(w) > 0)
+), n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+widths AS (SELECT DISTINCT width FROM i),
+g AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[p : p + width - 1], ' ') AS s
+  FROM (SELECT doc_id, width, w, unnest(range(1, len(w) - width + 2)) AS p FROM d, widths WHERE len(w) >= width)
+), f AS (SELECT doc_id, item_id, count(*) AS n_found FROM g JOIN i USING (width, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles::INTEGER AS n_shingles, n_found::INTEGER AS n_found, n_found::DOUBLE / n_shingles AS containment
+FROM f JOIN n USING (item_id) WHERE 5 * n_found >= 4 * n_shingles
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": _OP2,
     "op1_top_k": """
 WITH vectors AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
