@@ -72,3 +72,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "_rid") -> DataFrame:
+    """``docs`` with a column ``name`` that no two rows share; like ``keyed``, but with all columns kept."""
+    repeated = docs.select(id_of(docs)).groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not repeated:
+        return docs.withColumn(name, docs["doc_id"].cast("long"))
+    return scratch.write(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame, name: str = "_rid") -> DataFrame:
+    """``rows`` whose ``name`` isn't in ``gone`` (one column); broadcast only if counted small."""
+    return rows.join(F.broadcast(gone) if small(gone) else gone.hint("merge"), name, "left_anti")

@@ -164,10 +164,10 @@ def quality(docs: DataFrame, labels: DataFrame, of_each: int = 4_000, threshold:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def score_column(rows: DataFrame, model: Machine | float) -> DataFrame:
-    """All columns of ``rows`` and ``score`` of its column ``text``."""
+def score_column(rows: DataFrame, model: Machine | float, name: str = "score") -> DataFrame:
+    """All columns of ``rows`` and, as ``name``, the score of its column ``text``."""
     if isinstance(model, float):
-        return rows.withColumn("score", F.lit(model))
+        return rows.withColumn(name, F.lit(model))
     shared = rows.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v, model.edges))
     at = rows.columns.index("text")
 
@@ -176,9 +176,9 @@ def score_column(rows: DataFrame, model: Machine | float) -> DataFrame:
         machine, make = Machine(bias, w, v), Features(edges)
         for batch in batches:
             out = [machine.score(*make.row((t or "").encode())) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*rows.schema.fields]).add("score", DoubleType())
+    schema = StructType([*rows.schema.fields]).add(name, DoubleType())
     return rows.mapInArrow(run, schema)
