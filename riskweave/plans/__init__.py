@@ -1,4 +1,4 @@
 """Registered queries, each with the SQL it is checked against."""
 
-from . import features  # noqa: F401
+from . import evaluation, features, relations, statistics  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES  # noqa: F401

@@ -19,7 +19,11 @@ def micros(ts: str) -> Column:
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return txn_of(table(spark, sf_dir, "events"))
+
+
+def txn_of(e: DataFrame) -> DataFrame:
+    """Transactions from rows of ``events``, of a table or a stream."""
     client = F.when(F.col("event_type").isin("signup", "purchase"), "neobank").when(F.col("event_type").isin("click", "view"), "cryptoex").otherwise("finbridge")
     k = F.get_json_object("props", "$.k").cast("long")
     fraud = (F.col("event_id") % 37 == 0).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,20 +18,21 @@ VELOCITY = "event_id long, identity long, ts_us long, count_1h long, count_24h l
 
 
 def _velocity(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: an identity's rows of 7 days as parallel lists. New rows are taken in time order."""
-    old = state.get if state.exists else ([], [], [])
-    ts, amount, client = (list(x) for x in old)
+    """State: an identity's rows of 7 days as parallel lists in time order. New rows are taken in time order."""
+    ts, amount, client = (list(x) for x in (state.get if state.exists else ([], [], [])))
     new = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
-    out = []
-    for r in new.itertuples():
-        ts.append(int(r.ts_us)), amount.append(float(r.amount_usd)), client.append(r.client_id)
-        within = lambda width: [i for i, t in enumerate(ts) if r.ts_us - width <= t <= r.ts_us]  # noqa: B023, E731
-        hour, day, week = within(HOUR), within(24 * HOUR), within(WEEK - 1)
-        prior = [i for i in within(WEEK) if ts[i] < r.ts_us]
-        other = [i for i in hour if ts[i] < r.ts_us and client[i] != r.client_id]
-        out.append((r.event_id, key[0], r.ts_us, len(hour), len(day), len(week), round(sum(amount[i] for i in day), 2), len({client[i] for i in prior}), len(other)))
-    keep = [i for i, t in enumerate(ts) if t >= ts[-1] - WEEK]
-    state.update(([ts[i] for i in keep], [amount[i] for i in keep], [client[i] for i in keep]))
+    out, rows, at = [], list(new.itertuples()), 0
+    for r in rows:
+        while at < len(rows) and rows[at].ts_us <= r.ts_us:  # rows at the same time are peers
+            place = bisect_right(ts, int(rows[at].ts_us))
+            ts.insert(place, int(rows[at].ts_us)), amount.insert(place, float(rows[at].amount_usd)), client.insert(place, rows[at].client_id)
+            at += 1
+        end, before = bisect_right(ts, r.ts_us), bisect_left(ts, r.ts_us)
+        hour, day, week, prior = (bisect_left(ts, r.ts_us - w) for w in (HOUR, 24 * HOUR, WEEK - 1, WEEK))
+        other = sum(c != r.client_id for c in client[hour:before])
+        out.append((r.event_id, key[0], r.ts_us, end - hour, end - day, end - week, round(sum(amount[day:end]), 2), len(set(client[prior:before])), other))
+    keep = bisect_left(ts, ts[-1] - WEEK)
+    state.update((ts[keep:], amount[keep:], client[keep:]))
     yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in VELOCITY.split(",")])
 
 
