@@ -90,7 +90,7 @@ def step_drift(steps: DataFrame) -> DataFrame:
     of = lambda p: F.avg(F.when(F.col("period") == p, F.col("average_precision")))
     g = steps.agg(of("early").alias("e"), of("late").alias("l"), F.min_by("step", F.struct(-F.col("average_precision"), "step")).alias("best_step"), F.min_by("step", F.struct("average_precision", "step")).alias("worst_step"))
     d = F.col("e") - F.col("l")
-    return g.select(F.round("e", 6).alias("early"), F.round("l", 6).alias("late"), "best_step", "worst_step", F.when(d > 0.05, "strong").when(d > 0.02, "mild").otherwise("none").alias("drift"))
+    return g.select(F.round("e", 4).alias("early"), F.round("l", 4).alias("late"), "best_step", "worst_step", F.when(d > 0.05, "strong").when(d > 0.02, "mild").otherwise("none").alias("drift"))
 
 
 def flag_summary(df: DataFrame, score: str) -> DataFrame:

@@ -143,7 +143,7 @@ def m15(spark, d):
 
 
 @query("m15_step_drift", f"""WITH {_STEPS}, m AS (SELECT avg(average_precision) FILTER (period = 'early') AS e, avg(average_precision) FILTER (period = 'late') AS l FROM steps)
-SELECT round(e, 6) AS early, round(l, 6) AS late, (SELECT step FROM steps ORDER BY average_precision DESC, step LIMIT 1) AS best_step, (SELECT step FROM steps ORDER BY average_precision, step LIMIT 1) AS worst_step, CASE WHEN e - l > 0.05 THEN 'strong' WHEN e - l > 0.02 THEN 'mild' ELSE 'none' END AS drift FROM m""")
+SELECT round(e, 4) AS early, round(l, 4) AS late, (SELECT step FROM steps ORDER BY average_precision DESC, step LIMIT 1) AS best_step, (SELECT step FROM steps ORDER BY average_precision, step LIMIT 1) AS worst_step, CASE WHEN e - l > 0.05 THEN 'strong' WHEN e - l > 0.02 THEN 'mild' ELSE 'none' END AS drift FROM m""")
 def m15d(spark, d):
     return E.step_drift(_steps(spark, d))
 
