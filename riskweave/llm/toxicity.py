@@ -78,7 +78,7 @@ class Dictionaries:
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
 
-        # Greedy matching of three bytes and more; tables large enough to reach the whole dictionary.
+        # Lazy matching of three bytes and more; tables large enough to reach the whole dictionary.
         how = z.ZstdCompressionParameters(
             min_match=3, strategy=z.STRATEGY_LAZY, window_log=17, chain_log=17, hash_log=17, search_log=4, target_length=32,
             write_content_size=False, write_dict_id=False, write_checksum=False,
