@@ -10,9 +10,11 @@ confirmed on the full sets.
 Skew: equal sets are one class from the start, with one signature. Within a
 bucket nothing is paired all with all: members are compared with one leader,
 links merge components, and only members that are still in different components
-are compared further, with new leaders while many remain and in pairs at the
-end. So a group of near copies costs about a comparison a member and band, and
-no link between different components is left out.
+are compared further, with new leaders while many remain and block by block at
+the end. Before that, shingles that no other open set holds are counted: a set with
+too many of its own can't reach the similarity with any other, whatever their
+number, and is settled without comparisons. So a group of near copies costs
+about a comparison a member and band, and no link is left out.
 
 Defined cases: null, empty or blank texts have an empty set, are linked with
 nothing and kept; fewer than k words make one shingle of the whole sequence;
@@ -40,7 +42,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 2048
 #: Pairs still open, per class, up to which they are compared one by one; beyond, leaders go on.
 OPEN_PAIRS = 8
-LEADER_ROUNDS = 6
+LEADER_ROUNDS = 2
+#: Members of a block, and code columns counted at once: bounds of a task's memory.
+BLOCK, COLUMNS = 192, 8192
 
 
 def word_hash(word: bytes) -> int:
@@ -180,27 +184,33 @@ def _links(rows: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percen
     n_classes = max(1, sets.count())
 
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    tested = links = comp = None
-    turn = 0
-    while True:
-        state = members.withColumn("comp", F.col("rep")) if comp is None else members.hint("merge").join(comp, F.col("id") == F.col("rep"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        if comp is not None:  # only buckets with several components go on
-            several = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-            state = scratch.write(state.hint("merge").join(several, "bucket"), f"state-{turn}")
+    # An intersection is at most what either set shares with any other open set: s and t.
+    reach = F.expr(f"least(s, t) * {100 + percent} >= {percent} * (n + m)")
+    tested = links = state = None
+    comp = members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct()
+    turn, last = 0, False
+    while not last:
+        if turn == 0:
+            state = members.withColumns({"comp": F.col("rep"), "s": F.col("n")})
+        else:
+            state = members.hint("merge").join(comp, F.col("id") == F.col("rep"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+            state = scratch.write(_several(state), f"state-{turn}")
+            if turn == 1:
+                shared_counts = scratch.write(_shared_counts(state, sets), "shared")
+            state = _several(_within_reach(state, shared_counts.select("rep", "s"), percent))
+            state = scratch.write(state, f"open-{turn}")
             sizes = state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-            row = sizes.groupBy("bucket").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).agg(F.sum("open")).first()
-            left = row[0] or 0
+            left = sizes.groupBy("bucket").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).agg(F.sum("open")).first()[0]
             if not left:
                 break
-        last = comp is not None and (left <= OPEN_PAIRS * n_classes or turn >= LEADER_ROUNDS)
+            last = left <= OPEN_PAIRS * n_classes or turn >= LEADER_ROUNDS
         if last:
-            other = state.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = state.withColumnRenamed("rep", "a").hint("merge").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & near)
+            pairs = _block_pairs(state, shared_counts.select("rep", "codes"), percent, scratch)
         else:
-            # A leader by another hash in every round, so that it is another member.
-            lead = state.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"))).alias("l"))
-            pairs = state.hint("merge").join(lead, "bucket").select("rep", "n", "comp", F.col("l.lead").alias("lead"), F.col("l.m").alias("m"), F.col("l.other").alias("other"))
-            pairs = pairs.where((F.col("rep") != F.col("lead")) & (F.col("comp") != F.col("other")) & near)
+            # The leader is the member with the fewest shingles of its own; among equals another one in every round.
+            first = F.struct((F.col("n") - F.col("s")).alias("own"), F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("s").alias("t"))
+            lead = state.groupBy("bucket").agg(F.min(first).alias("l")).select("bucket", "l.lead", "l.m", "l.other", "l.t")
+            pairs = state.hint("merge").join(lead, "bucket").where((F.col("rep") != F.col("lead")) & (F.col("comp") != F.col("other")) & near & reach)
             pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
         pairs = pairs.select("a", "b").distinct()
         if tested is not None:
@@ -209,14 +219,93 @@ def _links(rows: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percen
         found = scratch.write(_confirm(pairs, sets, percent), f"links-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        if not links.limit(1).count():
-            if last or turn >= LEADER_ROUNDS:
-                return None
-            comp = members.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).distinct()
-        else:
+        if found.limit(1).count():
             comp = components(links, scratch, f"comp-{turn}")
-        if last:
-            break
         turn += 1
     scratch.drop("sets")
-    return comp
+    return comp if links is not None and links.limit(1).count() else None
+
+
+def _block_pairs(state: DataFrame, codes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: open members of a bucket, of different components, that can be linked by the codes they share.
+
+    A bucket's members are dealt to blocks of about ``BLOCK``; a row is a pair
+    of blocks, and a task counts common codes of one such pair at a time by
+    matrix products, so neither a bucket nor its pairs become rows. Codes that
+    collide make a count too large, never too small.
+    """
+    many = state.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = state.hint("merge").join(many, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).hint("merge").join(codes, "rep")
+    block = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "comp", "n", "codes")).alias("docs"))
+    block = scratch.write(block, "blocks")
+    other = block.select("bucket", F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
+    both = block.hint("merge").join(other, "bucket").where("block <= block_b").select("docs", "docs_b")
+
+    def parts(cell) -> tuple[np.ndarray, ...]:
+        rep, comp, n = (cell.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        lists = cell.field(3)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        return rep, comp, n, flat, np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ra, ca, na, fa, ia), (rb, cb, nb, fb, ib) = (parts(batch.column(c)[i].values) for c in (0, 1))
+                if len(np.unique(np.concatenate([ca, cb]))) < 2:
+                    continue
+                common = np.intersect1d(fa, fb)
+                pa_, pb = np.searchsorted(common, fa), np.searchsorted(common, fb)
+                in_a = (pa_ < len(common)) & (common[np.minimum(pa_, len(common) - 1)] == fa) if len(common) else np.zeros(len(fa), bool)
+                in_b = (pb < len(common)) & (common[np.minimum(pb, len(common) - 1)] == fb) if len(common) else np.zeros(len(fb), bool)
+                counts = np.zeros((len(ra), len(rb)), np.float32)
+                for at in range(0, len(common), COLUMNS):
+                    here_a, here_b = in_a & (pa_ >= at) & (pa_ < at + COLUMNS), in_b & (pb >= at) & (pb < at + COLUMNS)
+                    ma, mb = np.zeros((len(ra), COLUMNS), np.float32), np.zeros((len(rb), COLUMNS), np.float32)
+                    ma[ia[here_a], pa_[here_a] - at] = 1
+                    mb[ib[here_b], pb[here_b] - at] = 1
+                    counts += ma @ mb.T
+                spare = np.float32(1 + len(fa) * 1e-7)  # two codes of one set that collide count once above
+                can = ((counts + spare) * (100 + percent) >= percent * (na[:, None] + nb[None, :])) & (ca[:, None] != cb[None, :]) & (ra[:, None] != rb[None, :])
+                x, y = np.nonzero(can)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[x], rb[y]), pa.int64()), pa.array(np.maximum(ra[x], rb[y]), pa.int64())], names=["a", "b"])
+
+    spark = state.sparkSession
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16")  # rows are large: two blocks of sets
+    try:
+        return scratch.write(both.mapInArrow(run, "a long, b long"), "reachable")
+    finally:
+        spark.conf.set(size, before)
+
+
+def _several(state: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    several = state.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+    return state.hint("merge").join(several, "bucket")
+
+
+def _shared_counts(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, s, codes``: how many shingles of each open set occur in another open set, and 31 bits of each. Only these can be in an intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                piece = batch.slice(i, 1000)
+                values = [np.frombuffer(c.as_buffer(), np.int64) for c in piece.column(1)]
+                rid = np.repeat(np.array(piece.column(0).to_pylist(), np.int64), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(values))], names=["rep", "h"])
+
+    open_ = state.select(F.col("rep").alias("rid")).distinct()
+    some = sets.join(F.broadcast(open_) if small(open_) else open_.hint("merge"), "rid", "left_semi")
+    shingles = some.select("rid", "s").mapInArrow(run, "rep long, h long")
+    twice = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    code = F.pmod("h", F.lit(1 << 31)).cast("int")
+    return shingles.hint("merge").join(twice, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("s"), F.collect_list(code).alias("codes"))
+
+
+def _within_reach(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Rows whose shared shingles suffice for a link with the smallest set of the bucket; without loss of links."""
+    least = state.groupBy("bucket").agg(F.min("n").alias("least"))
+    both = state.hint("merge").join(counts, "rep").hint("merge").join(least, "bucket")
+    return both.where(F.expr(f"s * {100 + percent} >= {percent} * (n + greatest(least, ceil(n * {percent} / 100)))")).drop("least")
