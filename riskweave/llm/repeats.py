@@ -113,7 +113,8 @@ def repeated_runs(rows: DataFrame, symbols: Symbols, window: int, gram: int, scr
     Counts are combined before each shuffle and the joins may split hot keys.
     """
     table = scratch.write(run_table(rows, symbols, window, gram), "runs")
-    again = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written apart: a join with an aggregate in its own stage could not split a hot key's rows.
+    again = scratch.write(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "again")
     shared = scratch.write(table.hint("merge").join(again, "key"), "shared")
     scratch.drop("runs")
     contents = shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "count")).alias("one"))
@@ -121,6 +122,7 @@ def repeated_runs(rows: DataFrame, symbols: Symbols, window: int, gram: int, scr
     twice = contents.where("n > 1").select("key", "content")
     whole = shared.hint("merge").join(twice, ["key", "content"]).select("rid", "start", "count")
     several = contents.groupBy("key").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).where("c0 <> c1").select("key")
+    several = scratch.write(several, "several")
     mixed = contents.hint("merge").join(several, "key").select("key", "content", "rid", "start", "count", F.least("n", F.lit(2)).cast("int").alias("times"))
     return whole, mixed
 
