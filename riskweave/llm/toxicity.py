@@ -35,7 +35,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 32_768, 4_096
 N_FEATURES = 8
 
 
-def toxic_words(sample: DataFrame, share: float = 0.01, times: float = 25.0, most: int = 600) -> list[str]:
+def toxic_words(sample: DataFrame, share: float = 0.02, times: float = 25.0, most: int = 600) -> list[str]:
     """Words whose stem (4 to 6 letters, or all) is ``times`` as frequent in toxic documents, strongest first.
 
     Near copies would make any rare word look toxic, so documents count once
@@ -56,7 +56,7 @@ def toxic_words(sample: DataFrame, share: float = 0.01, times: float = 25.0, mos
         F.countDistinct(F.when(F.col("y") == 1, F.col("copy"))).alias("bad"), F.countDistinct(F.when(F.col("y") == 0, F.col("copy"))).alias("good")
     )
     rate = (F.col("bad") / total[1]) / ((F.col("good") + 0.5) / total[0])
-    strong = seen.where((F.col("bad") >= max(3, share * total[1])) & (rate > times)).select("stem")
+    strong = seen.where((F.col("bad") >= max(5, share * total[1])) & (rate > times)).select("stem")
     strong = strong.orderBy("stem").limit(5_000)  # far more than there are; bounds what is broadcast
     hit = grams_to_words(one).join(F.broadcast(strong), "stem", "left_semi")
     found = hit.where("y = 1").groupBy("word").agg(F.countDistinct("copy").alias("n"))
