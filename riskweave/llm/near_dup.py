@@ -205,19 +205,19 @@ def _links(rows: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percen
                 break
             last = left <= OPEN_PAIRS * n_classes or turn >= LEADER_ROUNDS
         if last:
-            pairs = _block_pairs(state, shared_counts.select("rep", "codes"), percent, scratch)
+            found = _block_links(state, shared_counts.select("rep", "codes"), percent, scratch)
         else:
             # The leader is the member with the fewest shingles of its own; among equals another one in every round.
             first = F.struct((F.col("n") - F.col("s")).alias("own"), F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("s").alias("t"))
             lead = state.groupBy("bucket").agg(F.min(first).alias("l")).select("bucket", "l.lead", "l.m", "l.other", "l.t")
             pairs = state.hint("merge").join(lead, "bucket").where((F.col("rep") != F.col("lead")) & (F.col("comp") != F.col("other")) & near & reach)
             pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.hint("merge").join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{turn}")
-        found = scratch.write(_confirm(pairs, sets, percent), f"links-{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            pairs = pairs.distinct()
+            if tested is not None:
+                pairs = pairs.hint("merge").join(tested, ["a", "b"], "left_anti")
+            pairs = scratch.write(pairs, f"pairs-{turn}")
+            found = scratch.write(_confirm(pairs, sets, percent), f"links-{turn}")
+            tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             comp = components(links, scratch, f"comp-{turn}")
@@ -226,13 +226,15 @@ def _links(rows: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percen
     return comp if links is not None and links.limit(1).count() else None
 
 
-def _block_pairs(state: DataFrame, codes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``a, b``: open members of a bucket, of different components, that can be linked by the codes they share.
+def _block_links(state: DataFrame, codes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: links of open members of a bucket between different components.
 
     A bucket's members are dealt to blocks of about ``BLOCK``; a row is a pair
-    of blocks, and a task counts common codes of one such pair at a time by
-    matrix products, so neither a bucket nor its pairs become rows. Codes that
-    collide make a count too large, never too small.
+    of blocks, and a task counts common shingles of one such pair at a time by
+    matrix products, so neither a bucket nor its pairs become rows. What two
+    sets share is among their shared shingles, so the counts are those of the
+    full sets. Of a member's links with one component of the other block the
+    first is enough for the components.
     """
     many = state.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = state.hint("merge").join(many, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).hint("merge").join(codes, "rep")
@@ -257,16 +259,17 @@ def _block_pairs(state: DataFrame, codes: DataFrame, percent: int, scratch: Scra
                 pa_, pb = np.searchsorted(common, fa), np.searchsorted(common, fb)
                 in_a = (pa_ < len(common)) & (common[np.minimum(pa_, len(common) - 1)] == fa) if len(common) else np.zeros(len(fa), bool)
                 in_b = (pb < len(common)) & (common[np.minimum(pb, len(common) - 1)] == fb) if len(common) else np.zeros(len(fb), bool)
-                counts = np.zeros((len(ra), len(rb)), np.float32)
+                counts = np.zeros((len(ra), len(rb)), np.float64)
                 for at in range(0, len(common), COLUMNS):
                     here_a, here_b = in_a & (pa_ >= at) & (pa_ < at + COLUMNS), in_b & (pb >= at) & (pb < at + COLUMNS)
                     ma, mb = np.zeros((len(ra), COLUMNS), np.float32), np.zeros((len(rb), COLUMNS), np.float32)
                     ma[ia[here_a], pa_[here_a] - at] = 1
                     mb[ib[here_b], pb[here_b] - at] = 1
                     counts += ma @ mb.T
-                spare = np.float32(1 + len(fa) * 1e-7)  # two codes of one set that collide count once above
-                can = ((counts + spare) * (100 + percent) >= percent * (na[:, None] + nb[None, :])) & (ca[:, None] != cb[None, :]) & (ra[:, None] != rb[None, :])
+                can = (counts * (100 + percent) >= percent * (na[:, None] + nb[None, :])) & (ca[:, None] != cb[None, :])
                 x, y = np.nonzero(can)
+                _, first = np.unique(np.stack([x, np.unique(cb, return_inverse=True)[1][y]]), axis=1, return_index=True)
+                x, y = x[first], y[first]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[x], rb[y]), pa.int64()), pa.array(np.maximum(ra[x], rb[y]), pa.int64())], names=["a", "b"])
 
     spark = state.sparkSession
@@ -274,7 +277,7 @@ def _block_pairs(state: DataFrame, codes: DataFrame, percent: int, scratch: Scra
     before = spark.conf.get(size)
     spark.conf.set(size, "16")  # rows are large: two blocks of sets
     try:
-        return scratch.write(both.mapInArrow(run, "a long, b long"), "reachable")
+        return scratch.write(both.mapInArrow(run, "a long, b long"), "block-links")
     finally:
         spark.conf.set(size, before)
 
@@ -286,7 +289,7 @@ def _several(state: DataFrame) -> DataFrame:
 
 
 def _shared_counts(state: DataFrame, sets: DataFrame) -> DataFrame:
-    """``rep, s, codes``: how many shingles of each open set occur in another open set, and 31 bits of each. Only these can be in an intersection."""
+    """``rep, s, codes``: how many shingles of each open set occur in another open set, and which. Only these can be in an intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +303,7 @@ def _shared_counts(state: DataFrame, sets: DataFrame) -> DataFrame:
     some = sets.join(F.broadcast(open_) if small(open_) else open_.hint("merge"), "rid", "left_semi")
     shingles = some.select("rid", "s").mapInArrow(run, "rep long, h long")
     twice = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    code = F.pmod("h", F.lit(1 << 31)).cast("int")
-    return shingles.hint("merge").join(twice, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("s"), F.collect_list(code).alias("codes"))
+    return shingles.hint("merge").join(twice, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("s"), F.collect_list("h").alias("codes"))
 
 
 def _within_reach(state: DataFrame, counts: DataFrame, percent: int) -> DataFrame:

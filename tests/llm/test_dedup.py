@@ -68,6 +68,17 @@ def test_near_duplicates(spark, k):
     assert got == {i: (len(sets[i]), top[i], top[i] == i) for i in range(len(rows))}
 
 
+def test_near_duplicates_by_blocks(spark, monkeypatch):
+    """The block comparison alone after one round of leaders, with several small blocks in a bucket."""
+    from riskweave.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    monkeypatch.setattr(near_dup, "OPEN_PAIRS", 10**9)
+    rows = corpus()[:60]
+    _, top = linked(rows, 2, 80)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), 2, 80).collect()} == dict(enumerate(top))
+
+
 def test_near_duplicates_odd_ids(spark):
     rows = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (3, "z y x"), (None, None)]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"], r["first"]) for r in near_duplicates(frame(spark, rows), 2).collect()), key=str)
