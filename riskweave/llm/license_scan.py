@@ -1,13 +1,18 @@
 """Operator 8: licence scan by sparse TF-IDF cosine, with inheritance along paths.
 
-Every line of every file (headers and licence files alike) is compared with
-short licence notices: cosine of TF-IDF vectors, term weights from counts over
-all files. A line can only reach the threshold if it holds one of the heaviest
-terms of a notice (those without which the rest of the notice's weight stays
-below it), so the other lines are left aside without loss. A file that is
-headed by a notice is a licence file of its directory; files without a notice
-of their own inherit from the nearest ancestor directory that has one, found
-by joining their ancestor paths. DataFrame functions only.
+The units of a file are its lines, paragraphs, runs of comment lines and whole
+text. Each is compared with templates: short notices, identifier tags, header
+blocks and the texts of licence files (``licences/``; those of AGPL-3.0 and
+CC-BY-NC-4.0 are GPL-3.0's and CC-BY-4.0's with their own passages set in). The
+measure is the cosine of TF-IDF vectors (``1 + ln tf``, so that the articles of
+a long text don't outweigh its words), term weights from counts over all files;
+the terms of units join the terms of templates. A unit can only reach the
+threshold if it holds one of a template's rare terms (those without which the
+rest of the template's weight stays below it), so other files and units are
+left aside without loss. A file that is headed by a notice is a licence file of
+its directory; files without a notice of their own inherit from the nearest
+ancestor directory that has one, found by joining their ancestor paths.
+DataFrame functions only.
 
 Defined cases: null and empty texts have no notice; a null path has no
 directory and neither gives nor inherits; ties of notices go to the higher
@@ -19,6 +24,7 @@ ignored.
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,76 +46,123 @@ NOTICES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
 }
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+]
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+HEADERS += [(name, _GNU.format(kind, version)) for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))]
+#: Texts of licence files by licence, copyright lines left out where they differ from file to file.
+BODIES = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+TAG = "spdx-license-identifier"
+TAGS = [(name, f"{TAG}: {name}{form}") for name in sorted({*NOTICES, *BODIES}) for form in (("", "-only", "-or-later") if "GPL" in name else ("",))]
 THRESHOLD = 0.7
+#: A run of lines that begin with a comment mark.
+COMMENTS = r"(?m)(?:^[ \t]*(?:#|//|/\*|\*|--|;|%|<!--|\.\.)[^\n]*\n?)++"
+
+
+def default_templates() -> list[tuple[str, str]]:
+    """Licence and text of every template."""
+    return [*NOTICES.items(), *HEADERS, *BODIES.items(), *TAGS]
 
 
 def _terms(text: Column) -> Column:
-    """Lower-case words, numbers with their points and hyphens; a point at the end belongs to the sentence."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"), F.lit(0))
+    """Lower-case words, numbers with their points and hyphens; a point at the end belongs to the sentence. An identifier tag is one term with its identifier."""
+    tagged = F.regexp_replace(F.lower(text), TAG + r":[ \t]*", TAG + "-")
+    return F.regexp_extract_all(tagged, F.lit(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"), F.lit(0))
 
 
 def python_terms(text: str) -> list[str]:
     import re
 
-    return re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", text.lower())
+    return re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", re.sub(TAG + r":[ \t]*", TAG + "-", text.lower()))
+
+
+def document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term, n``: in how many rows each term of ``wanted`` (one column, distinct) is; terms in no row are missing."""
+    held = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    return held.join(F.broadcast(wanted) if small(wanted) else wanted.hint("merge"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def weights(files: DataFrame, notices: dict[str, str]) -> tuple[dict[str, float], float]:
-    """idf of each term of the notices, counted over all files, and that of a term that no file has."""
-    vocabulary = sorted({t for text in notices.values() for t in python_terms(text)})
-    held = files.select(F.explode(F.array_intersect(_terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
-    counts = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the notices have terms
-    total = files.count()
-    idf = lambda n: math.log((1 + total) / (1 + n)) + 1
-    return {t: idf(counts.get(t, 0)) for t in vocabulary}, idf(0)
+def idf(total: int, n: int) -> float:
+    return math.log((1 + total) / (1 + n)) + 1
 
 
-def heavy_terms(notices: dict[str, str], idf: dict[str, float], threshold: float) -> list[str]:
-    """Terms of which a line must hold one to reach the threshold with some notice."""
+def vector(text: str, weight: dict[str, float]) -> dict[str, float]:
+    """Weights of a template's terms, of length 1."""
+    terms = python_terms(text)
+    out = {t: (1 + math.log(terms.count(t))) * weight[t] for t in sorted(set(terms))}
+    norm = math.sqrt(sum(w * w for w in out.values()))
+    return {t: w / norm for t, w in out.items()}
+
+
+def needed_terms(vectors: list[dict[str, float]], weight: dict[str, float], threshold: float) -> list[str]:
+    """Terms of which a unit must hold one to reach the threshold with some template; the rarest that serve."""
     out = set()
-    for text in notices.values():
-        terms = python_terms(text)
-        squares = sorted(((terms.count(t) * idf[t]) ** 2, t) for t in set(terms))
-        total, rest = sum(s for s, _ in squares), 0.0
-        for square, term in squares:  # the lightest may be missing together
-            rest += square
-            if rest >= (threshold**2) * total * 0.999999:
+    for v in vectors:
+        rest = 0.0
+        for term in sorted(v, key=lambda t: (weight[t], t)):  # the commonest may be missing together
+            rest += v[term] ** 2
+            if rest >= (threshold**2) * 0.999999:
                 out.add(term)
     return sorted(out)
 
 
-def _cosine(terms: Column, text: str, idf: dict[str, float], other: float) -> Column:
-    """Cosine of a line's terms with one notice."""
-    own = python_terms(text)
-    norm = math.sqrt(sum((own.count(t) * idf[t]) ** 2 for t in set(own)))
-    size = lambda t: F.size(F.filter(terms, lambda x: x == t)).cast("double")
-    table = F.create_map(*(c for t, w in idf.items() for c in (F.lit(t), F.lit(w))))
-    weight = lambda t: size(t) * F.coalesce(F.element_at(table, t), F.lit(other))
-    dot = sum((size(F.lit(t)) * (own.count(t) * idf[t] ** 2) for t in sorted(set(own))), F.lit(0.0))
-    length = F.sqrt(F.aggregate(F.array_distinct(terms), F.lit(0.0), lambda a, t: a + weight(t) * weight(t)))
-    return dot / (length * norm)
+def _units(text: Column) -> Column:
+    """Lines, paragraphs, comment runs and the whole: whether it begins the text, its terms. Those of several lines that are one line are left to the lines."""
+    each = lambda texts: F.transform(texts, lambda x, i: F.struct((i == 0).alias("first"), x.alias("text")))
+    several = lambda units: F.filter(units, lambda u: F.trim(u["text"]).contains("\n"))
+    runs = F.transform(F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)), lambda x: F.struct(F.startswith(text, x).alias("first"), x.alias("text")))
+    whole = F.array(F.struct(F.lit(True).alias("first"), text.alias("text")))
+    units = F.concat(each(F.split(text, "\n")), several(F.concat(each(F.split(text, r"\n\s*\n")), runs, whole)))
+    return F.transform(units, lambda u: F.struct(u["first"].alias("first"), _terms(u["text"]).alias("terms")))
+
+
+def _scores(terms: DataFrame, known: DataFrame, other: Column, licences: list[str]) -> DataFrame:
+    """``row, unit, first, score, licence`` of the best template of each unit. ``terms``: row, unit, first, term, tf; ``known``: term, idf, templates."""
+    w = (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", other)
+    part = lambda template, x: F.struct(template.alias("template"), x.alias("x"))
+    parts = F.concat(F.array(part(F.lit(-1), F.col("w") * F.col("w"))), F.transform(F.coalesce("templates", F.array().cast("array<struct<template:int,x:double>>")), lambda t: part(t["template"], F.col("w") * t["x"])))
+    rows = terms.join(F.broadcast(known), "term", "left").withColumn("w", w).select("row", "unit", "first", F.explode(parts).alias("p"))
+    sums = rows.groupBy("row", "unit", "first", "p.template").agg(F.sum("p.x").alias("x"))
+    each = sums.groupBy("row", "unit", "first").agg(F.max(F.when(F.col("template") < 0, F.col("x"))).alias("square"), F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "x"))).alias("dots"))
+    names = F.array(*map(F.lit, licences))
+    best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["x"] / F.sqrt("square"), 9).alias("score"), F.get(names, d["template"]).alias("licence"))))
+    return each.withColumn("best", best).select("row", "unit", "first", "best.score", "best.licence")
 
 
 def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``file_id, path, licence, score, origin, source_path`` for every row of ``file_id, path, text``.
 
-    ``origin``: own, inherited or none; ``source_path``: the file that states the licence.
+    ``notices``: templates in the place of the default ones. ``origin``: own,
+    inherited or none; ``source_path``: the file that states the licence.
     """
-    notices = NOTICES if notices is None else notices
+    templates = default_templates() if notices is None else list(notices.items())
     spark = files.sparkSession
     scratch = Scratch(spark)
     rows = files.select(F.col("file_id"), F.col("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    idf, other = weights(rows, notices)
-    heavy = heavy_terms(notices, idf, threshold)
-    holds = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(t.replace(".", r"\.") for t in heavy) + r")(?![\p{L}\p{N}])"
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-    some = F.filter(lines, lambda x: x["line"].rlike(holds))
-    scores = lambda line: F.array(*(F.struct(_cosine(_terms(line), text, idf, other).alias("score"), F.lit(name).alias("licence")) for name, text in sorted(notices.items(), reverse=True)))
-    best = F.transform(some, lambda x: F.struct(F.array_max(F.filter(scores(x["line"]), lambda s: ~F.isnan(s["score"]))).alias("s"), (-x["at"]).alias("at")))
-    top = F.array_max(F.filter(best, lambda b: b["s"]["score"] >= threshold))
-    found = rows.select("file_id", "path", F.when(F.size(some) > 0, top).alias("top"))
-    found = found.select("file_id", "path", F.col("top.s.licence").alias("own"), F.round("top.s.score", 6).alias("score"), (F.col("top.at") == 0).alias("headed"))
-    found = scratch.write(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    vocabulary = sorted({t for _, text in templates for t in python_terms(text)})
+    counts = {r["term"]: r["n"] for r in document_counts(rows, spark.createDataFrame([(t,) for t in vocabulary], "term string")).collect()}  # as many rows as the templates have terms
+    total = rows.count()
+    weight = {t: idf(total, counts.get(t, 0)) for t in vocabulary}
+    vectors = [vector(text, weight) for _, text in templates]
+    uses: dict[str, list[tuple[int, float]]] = {t: [] for t in vocabulary}
+    for n, v in enumerate(vectors):
+        for t, x in v.items():
+            uses[t].append((n, x))
+    known = scratch.write(spark.createDataFrame([(t, weight[t], uses[t]) for t in vocabulary], "term string, idf double, templates array<struct<template:int,x:double>>"), "templates")
+    needed = F.array(*map(F.lit, needed_terms(vectors, weight, threshold)))
+    units = F.filter(_units(F.col("text")), lambda u: F.arrays_overlap(u["terms"], needed))
+    kept = rows.select("file_id", "path", F.when(F.arrays_overlap(_terms(F.col("text")), needed), units).alias("units"))
+    kept = scratch.write(kept.withColumn("row", F.monotonically_increasing_id()), "files")
+    terms = kept.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.first", F.explode("u.terms").alias("term"))
+    terms = terms.groupBy("row", "unit", "first", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = _scores(terms, known, F.lit(idf(total, 0)), [name for name, _ in templates]).where(F.col("score") >= threshold)
+    hits = hits.groupBy("row").agg(F.max(F.struct("score", "licence", "first")).alias("top"))
+    hits = scratch.write(hits.select("row", F.col("top.licence").alias("own"), F.round("top.score", 6).alias("score"), F.col("top.first").alias("headed")), "hits")
+    found = kept.drop("units").join(F.broadcast(hits) if small(hits) else hits.hint("merge"), "row", "left")
 
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     given = found.where("headed AND own IS NOT NULL AND path IS NOT NULL").groupBy(directory.alias("dir"))

@@ -4,7 +4,7 @@ import math
 import random
 
 from riskweave.llm.decontamination import contained_items
-from riskweave.llm.license_scan import NOTICES, licence_scan
+from riskweave.llm.license_scan import BODIES, HEADERS, NOTICES, licence_scan
 from riskweave.llm.topk import top_k
 
 
@@ -74,3 +74,16 @@ def test_licences(spark):
     ]
     assert licence_scan(table.where("file_id < 0")).count() == 0
     assert all(r["score"] == 1.0 for r in licence_scan(spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(NOTICES.values())], "file_id long, path string, text string")).collect())
+
+
+def test_licence_files_and_headers(spark):
+    prose = " ".join(f"word{i}" for i in range(400))
+    apache = dict(HEADERS)["Apache-2.0"]
+    wrapped = [" ".join(apache.split()[i : i + 12]) for i in range(0, len(apache.split()), 12)]
+    rows = [(f"b{i}/LICENSE", f"Title of it\n\nCopyright (c) 2020 Jane Doe\n\n{text}", name) for i, (name, text) in enumerate(sorted(BODIES.items()))]
+    rows += [(f"h{i}/f", f"{text}\n\n{prose}", name) for i, (name, text) in enumerate(HEADERS)]
+    rows += [("c/a.py", "#!/bin/sh\n# " + "\n# ".join(wrapped) + f"\n{prose}", "Apache-2.0"), ("c/mit.c", "/*\n * " + BODIES["MIT"].replace("\n", "\n * ") + f"*/\nint x;\n{prose}", "MIT")]
+    rows += [("s/a", f"// SPDX-License-Identifier: MIT\n{prose}", "MIT"), ("s/b", f"{prose}\nSPDX-License-Identifier:GPL-3.0-or-later", "GPL-3.0"), ("s/c", f"SPDX-License-Identifier: Unknown-1.0\n{prose}", None), ("o", prose, None)]
+    table = spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(rows)], "file_id long, path string, text string")
+    got = {r["file_id"]: r["licence"] if r["origin"] == "own" else None for r in licence_scan(table).collect()}
+    assert {i: (rows[i][0], got[i]) for i in got} == {i: (path, want) for i, (path, _, want) in enumerate(rows)}
