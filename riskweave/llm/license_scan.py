@@ -5,8 +5,10 @@ text. Each is compared with templates: short notices, identifier tags, header
 blocks and the texts of licence files (``licences/``; those of AGPL-3.0 and
 CC-BY-NC-4.0 are GPL-3.0's and CC-BY-4.0's with their own passages set in). The
 measure is the cosine of TF-IDF vectors (``1 + ln tf``, so that the articles of
-a long text don't outweigh its words), term weights from counts over all files;
-the terms of units join the terms of templates. A unit can only reach the
+a long text don't outweigh its words), term weights from counts over all files:
+first of the templates' terms, then of all terms of the units that could reach
+the threshold if their other terms had the least weight. The terms of units
+join the terms of templates. A unit can only reach the
 threshold if it holds one of a template's rare terms (those without which the
 rest of the template's weight stays below it), so other files and units are
 left aside without loss. A file that is headed by a notice is a licence file of
@@ -125,7 +127,7 @@ def _scores(terms: DataFrame, known: DataFrame, other: Column, licences: list[st
     w = (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", other)
     part = lambda template, x: F.struct(template.alias("template"), x.alias("x"))
     parts = F.concat(F.array(part(F.lit(-1), F.col("w") * F.col("w"))), F.transform(F.coalesce("templates", F.array().cast("array<struct<template:int,x:double>>")), lambda t: part(t["template"], F.col("w") * t["x"])))
-    rows = terms.join(F.broadcast(known), "term", "left").withColumn("w", w).select("row", "unit", "first", F.explode(parts).alias("p"))
+    rows = terms.join(F.broadcast(known) if small(known) else known.hint("merge"), "term", "left").withColumn("w", w).select("row", "unit", "first", F.explode(parts).alias("p"))
     sums = rows.groupBy("row", "unit", "first", "p.template").agg(F.sum("p.x").alias("x"))
     each = sums.groupBy("row", "unit", "first").agg(F.max(F.when(F.col("template") < 0, F.col("x"))).alias("square"), F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "x"))).alias("dots"))
     names = F.array(*map(F.lit, licences))
@@ -159,7 +161,16 @@ def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, thresh
     kept = scratch.write(kept.withColumn("row", F.monotonically_increasing_id()), "files")
     terms = kept.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.first", F.explode("u.terms").alias("term"))
     terms = terms.groupBy("row", "unit", "first", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = _scores(terms, known, F.lit(idf(total, 0)), [name for name, _ in templates]).where(F.col("score") >= threshold)
+    # Terms outside the templates weigh 1 at least, which bounds the score from above; those of units still open are counted.
+    licences = [name for name, _ in templates]
+    open_units = _scores(terms, known, F.lit(1.0), licences).where(F.col("score") >= threshold)
+    open_units = scratch.write(open_units.select("row", "unit"), "open")
+    terms = terms.join(F.broadcast(open_units) if small(open_units) else open_units.hint("merge"), ["row", "unit"], "left_semi")
+    terms = scratch.write(terms, "terms")
+    wanted = scratch.write(terms.join(F.broadcast(known), "term", "left_anti").select("term").distinct(), "wanted")
+    counted = document_counts(rows, wanted).select("term", (F.log((1 + F.lit(float(total))) / (1 + F.col("n"))) + 1).alias("idf"), F.lit(None).cast(known.schema["templates"].dataType).alias("templates"))
+    weighed = scratch.write(known.unionByName(counted), "weights")
+    hits = _scores(terms, weighed, F.lit(idf(total, 0)), licences).where(F.col("score") >= threshold)
     hits = hits.groupBy("row").agg(F.max(F.struct("score", "licence", "first")).alias("top"))
     hits = scratch.write(hits.select("row", F.col("top.licence").alias("own"), F.round("top.score", 6).alias("score"), F.col("top.first").alias("headed")), "hits")
     found = kept.drop("units").join(F.broadcast(hits) if small(hits) else hits.hint("merge"), "row", "left")

@@ -87,3 +87,25 @@ def test_licence_files_and_headers(spark):
     table = spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(rows)], "file_id long, path string, text string")
     got = {r["file_id"]: r["licence"] if r["origin"] == "own" else None for r in licence_scan(table).collect()}
     assert {i: (rows[i][0], got[i]) for i in got} == {i: (path, want) for i, (path, _, want) in enumerate(rows)}
+
+
+def test_common_words_beside_a_notice(spark):
+    """Words that most files hold weigh little, so a notice among them is found; words that no other file holds weigh much."""
+    common = "this project is a file see for details the under it was copyright written by us"
+    notices = ["This project is released under the MIT license.", "This file is licensed under the MIT License; see LICENSE for details.", "Released under the MIT License. zorg blat quux fnord gleep wibble"]
+    rows = [(i, f"d{i}/f", text) for i, text in enumerate(notices)] + [(10 + i, f"e{i}/f", f"{common} n{i}") for i in range(600)]
+    got = licence_scan(spark.createDataFrame(rows, "file_id long, path string, text string"), {"MIT": "Released under the MIT License."}, 0.6).where("licence IS NOT NULL").collect()
+    scores = {r["file_id"]: r["score"] for r in got}
+
+    def terms(text):
+        return [w.strip(".;").lower() for w in text.split()]
+
+    def cosine(text):
+        weight = {w: math.log((1 + len(rows)) / (1 + sum(w in terms(t) for _, _, t in rows))) + 1 for w in {*terms(text), *terms("Released under the MIT License.")}}
+        vec = lambda x: {w: (1 + math.log(terms(x).count(w))) * weight[w] for w in set(terms(x))}
+        a, b = vec(text), vec("Released under the MIT License.")
+        return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    want = {i: round(c, 6) for i, _, text in rows if (c := cosine(text)) >= 0.6}
+    assert set(scores) == set(want) and all(abs(scores[i] - want[i]) < 2e-6 for i in want)
+    assert {0} <= set(want) and 2 not in want, want
