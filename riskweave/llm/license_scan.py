@@ -11,15 +11,17 @@ the threshold if their other terms had the least weight. The terms of units
 join the terms of templates. A unit can only reach the
 threshold if it holds one of a template's rare terms (those without which the
 rest of the template's weight stays below it), so other files and units are
-left aside without loss. A file that is headed by a notice is a licence file of
-its directory; files without a notice of their own inherit from the nearest
-ancestor directory that has one, found by joining their ancestor paths.
-DataFrame functions only.
+left aside without loss. A file with a licence of its own is a licence file of
+its directory if it has the name of one, states the licence in its header (after
+blank, comment, title and copyright lines at most; with ``closing`` also in its
+last lines) or is as a whole the text of a licence file. Files without a licence
+of their own inherit from the nearest ancestor directory that has a licence
+file, found by joining their ancestor paths. DataFrame functions only.
 
 Defined cases: null and empty texts have no notice; a null path has no
 directory and neither gives nor inherits; ties of notices go to the higher
-cosine, then the name; of several licence files in a directory the least path
-(then licence) counts; repeated rows are answered each; extra columns are
+cosine, then the name; of several licence files in a directory those with the
+name of one count first, then the least path (then licence); repeated rows are answered each; extra columns are
 ignored.
 """
 
@@ -65,6 +67,14 @@ THRESHOLD = 0.7
 COMMENTS = r"(?m)(?:^[ \t]*(?:#|//|/\*|\*|--|;|%|<!--|\.\.)[^\n]*\n?)++"
 
 
+#: Names of licence files.
+NAMED = r"(?i)(?:^|/)(?:(?:un)?licen[cs]e|copying|copyright|notice)(?:[-_][^/.]*)?(?:\.(?:txt|md|rst|html|mit|apache|bsd|gpl|lesser))?$"
+#: Lines that may stand before the notice of a header: blank lines, comments, copyright lines and titles.
+FRONT = r"(?i)\A(?:[ \t\r]*(?:(?:#|//|/\*|\*|--|;|%|<!--|\.\.|=|copyright\b|\(c\)|\x{a9}|all rights reserved)[^\n]*|[^\n]{0,60}licen[cs]e[ \t\r]*(?:\([^\n)]*\))?[ \t\r]*)?\n)*+"
+#: What may stand after the notice of a last line.
+BLANK = " \t\r\n*/->#"
+
+
 def default_templates() -> list[tuple[str, str]]:
     """Licence and text of every template."""
     return [*NOTICES.items(), *HEADERS, *BODIES.items(), *TAGS]
@@ -112,34 +122,46 @@ def needed_terms(vectors: list[dict[str, float]], weight: dict[str, float], thre
     return sorted(out)
 
 
-def _units(text: Column) -> Column:
-    """Lines, paragraphs, comment runs and the whole: whether it begins the text, its terms. Those of several lines that are one line are left to the lines."""
-    each = lambda texts: F.transform(texts, lambda x, i: F.struct((i == 0).alias("first"), x.alias("text")))
-    several = lambda units: F.filter(units, lambda u: F.trim(u["text"]).contains("\n"))
-    runs = F.transform(F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)), lambda x: F.struct(F.startswith(text, x).alias("first"), x.alias("text")))
-    whole = F.array(F.struct(F.lit(True).alias("first"), text.alias("text")))
-    units = F.concat(each(F.split(text, "\n")), several(F.concat(each(F.split(text, r"\n\s*\n")), runs, whole)))
-    return F.transform(units, lambda u: F.struct(u["first"].alias("first"), _terms(u["text"]).alias("terms")))
+def _units(text: Column, needed: Column, closing: bool) -> Column:
+    """Lines, paragraphs, comment runs and the whole: whether it is the whole or at the edge (header, or the end if ``closing``), its terms.
+
+    Those of several lines that are one line are left to the lines. At an edge a
+    unit must begin or end with a line that holds a needed term.
+    """
+    bound = F.array(F.struct(text.alias("text"), F.char_length(F.regexp_extract(text, FRONT, 0)).alias("head"), F.rtrim(text, F.lit(BLANK)).alias("end")))
+    several = lambda texts: F.filter(texts, lambda x: F.trim(x).contains("\n"))
+    texts = F.concat(F.split(text, "\n"), several(F.concat(F.split(text, r"\n\s*\n"), F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)))))
+
+    def unit(b: Column, x: Column) -> Column:
+        body, end = F.regexp_replace(F.concat(x, F.lit("\n")), FRONT, ""), F.rtrim(x, F.lit(BLANK))
+        edge = F.substring(b["text"], F.lit(1), b["head"] + F.char_length(x)).contains(x) & ((body == "") | F.arrays_overlap(_terms(F.substring_index(body, "\n", 1)), needed))
+        if closing:
+            edge |= b["end"].endswith(end) & F.arrays_overlap(_terms(F.substring_index(end, "\n", -1)), needed)
+        return F.struct(F.lit(False).alias("whole"), edge.alias("edge"), _terms(x).alias("terms"))
+
+    parts = F.flatten(F.transform(bound, lambda b: F.transform(texts, lambda x: unit(b, x))))
+    return F.concat(parts, F.array(F.struct(F.lit(True).alias("whole"), F.lit(False).alias("edge"), _terms(text).alias("terms"))))
 
 
 def _scores(terms: DataFrame, known: DataFrame, other: Column, licences: list[str]) -> DataFrame:
-    """``row, unit, first, score, licence`` of the best template of each unit. ``terms``: row, unit, first, term, tf; ``known``: term, idf, templates."""
+    """``row, unit, whole, edge, score, licence, template`` of the best template of each unit. ``terms``: row, unit, whole, edge, term, tf; ``known``: term, idf, templates."""
     w = (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", other)
     part = lambda template, x: F.struct(template.alias("template"), x.alias("x"))
     parts = F.concat(F.array(part(F.lit(-1), F.col("w") * F.col("w"))), F.transform(F.coalesce("templates", F.array().cast("array<struct<template:int,x:double>>")), lambda t: part(t["template"], F.col("w") * t["x"])))
-    rows = terms.join(F.broadcast(known) if small(known) else known.hint("merge"), "term", "left").withColumn("w", w).select("row", "unit", "first", F.explode(parts).alias("p"))
-    sums = rows.groupBy("row", "unit", "first", "p.template").agg(F.sum("p.x").alias("x"))
-    each = sums.groupBy("row", "unit", "first").agg(F.max(F.when(F.col("template") < 0, F.col("x"))).alias("square"), F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "x"))).alias("dots"))
+    rows = terms.join(F.broadcast(known) if small(known) else known.hint("merge"), "term", "left").withColumn("w", w).select("row", "unit", "whole", "edge", F.explode(parts).alias("p"))
+    sums = rows.groupBy("row", "unit", "whole", "edge", "p.template").agg(F.sum("p.x").alias("x"))
+    each = sums.groupBy("row", "unit", "whole", "edge").agg(F.max(F.when(F.col("template") < 0, F.col("x"))).alias("square"), F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "x"))).alias("dots"))
     names = F.array(*map(F.lit, licences))
-    best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["x"] / F.sqrt("square"), 9).alias("score"), F.get(names, d["template"]).alias("licence"))))
-    return each.withColumn("best", best).select("row", "unit", "first", "best.score", "best.licence")
+    best = F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["x"] / F.sqrt("square"), 9).alias("score"), F.get(names, d["template"]).alias("licence"), d["template"].alias("template"))))
+    return each.withColumn("best", best).select("row", "unit", "whole", "edge", "best.score", "best.licence", "best.template")
 
 
-def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, threshold: float = THRESHOLD, closing: bool = False) -> DataFrame:
     """``file_id, path, licence, score, origin, source_path`` for every row of ``file_id, path, text``.
 
     ``notices``: templates in the place of the default ones. ``origin``: own,
     inherited or none; ``source_path``: the file that states the licence.
+    ``closing``: a notice at a file's end counts as one in its header.
     """
     templates = default_templates() if notices is None else list(notices.items())
     spark = files.sparkSession
@@ -156,11 +178,11 @@ def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, thresh
             uses[t].append((n, x))
     known = scratch.write(spark.createDataFrame([(t, weight[t], uses[t]) for t in vocabulary], "term string, idf double, templates array<struct<template:int,x:double>>"), "templates")
     needed = F.array(*map(F.lit, needed_terms(vectors, weight, threshold)))
-    units = F.filter(_units(F.col("text")), lambda u: F.arrays_overlap(u["terms"], needed))
+    units = F.filter(_units(F.col("text"), needed, closing), lambda u: F.arrays_overlap(u["terms"], needed))
     kept = rows.select("file_id", "path", F.when(F.arrays_overlap(_terms(F.col("text")), needed), units).alias("units"))
     kept = scratch.write(kept.withColumn("row", F.monotonically_increasing_id()), "files")
-    terms = kept.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.first", F.explode("u.terms").alias("term"))
-    terms = terms.groupBy("row", "unit", "first", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = kept.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.whole", "u.edge", F.explode("u.terms").alias("term"))
+    terms = terms.groupBy("row", "unit", "whole", "edge", "term").agg(F.count(F.lit(1)).alias("tf"))
     # Terms outside the templates weigh 1 at least, which bounds the score from above; those of units still open are counted.
     licences = [name for name, _ in templates]
     open_units = _scores(terms, known, F.lit(1.0), licences).where(F.col("score") >= threshold)
@@ -171,13 +193,16 @@ def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, thresh
     counted = document_counts(rows, wanted).select("term", (F.log((1 + F.lit(float(total))) / (1 + F.col("n"))) + 1).alias("idf"), F.lit(None).cast(known.schema["templates"].dataType).alias("templates"))
     weighed = scratch.write(known.unionByName(counted), "weights")
     hits = _scores(terms, weighed, F.lit(idf(total, 0)), licences).where(F.col("score") >= threshold)
-    hits = hits.groupBy("row").agg(F.max(F.struct("score", "licence", "first")).alias("top"))
-    hits = scratch.write(hits.select("row", F.col("top.licence").alias("own"), F.round("top.score", 6).alias("score"), F.col("top.first").alias("headed")), "hits")
+    texts = set(BODIES.values()) if notices is None else set()
+    stated = F.col("edge") | (F.col("whole") & F.get(F.array(*(F.lit(text in texts) for _, text in templates)), "template"))
+    hits = hits.groupBy("row").agg(F.max(F.struct("score", "licence")).alias("top"), F.collect_set(F.when(stated, F.col("licence"))).alias("stated"))
+    hits = scratch.write(hits.select("row", F.col("top.licence").alias("own"), F.round("top.score", 6).alias("score"), F.array_contains("stated", F.col("top.licence")).alias("stated")), "hits")
     found = kept.drop("units").join(F.broadcast(hits) if small(hits) else hits.hint("merge"), "row", "left")
 
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    given = found.where("headed AND own IS NOT NULL AND path IS NOT NULL").groupBy(directory.alias("dir"))
-    given = scratch.write(given.agg(F.min(F.struct("path", "own")).alias("m")).select("dir", F.col("m.path").alias("source_path"), F.col("m.own").alias("inherited")), "directories")
+    named = F.col("path").rlike(NAMED)
+    given = found.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("stated") | named)).groupBy(directory.alias("dir"))
+    given = scratch.write(given.agg(F.min(F.struct((~named).alias("other"), "path", "own")).alias("m")).select("dir", F.col("m.path").alias("source_path"), F.col("m.own").alias("inherited")), "directories")
     # All directories above a file, the nearest with the largest depth.
     steps = F.split(directory, "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("dir")))
@@ -193,5 +218,6 @@ def licence_scan(files: DataFrame, notices: dict[str, str] | None = None, thresh
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: ``source/lang/doc_id``."""
-    return docs.select(docs["doc_id"].cast("long").alias("file_id"), F.concat_ws("/", docs["source"], docs["lang"], docs["doc_id"].cast("string")).alias("path"), docs["text"])
+    """Documents as files: ``source/doc_id`` in the main language, English, ``source/lang/doc_id`` in others."""
+    directory = F.when(docs["lang"] == "en", docs["source"]).otherwise(F.concat_ws("/", docs["source"], docs["lang"]))
+    return docs.select(docs["doc_id"].cast("long").alias("file_id"), F.concat_ws("/", directory, docs["doc_id"].cast("string")).alias("path"), docs["text"])

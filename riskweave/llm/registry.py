@@ -61,7 +61,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import document_files, licence_scan
 
-    return licence_scan(document_files(_docs(spark, sf_dir))).withColumnRenamed("file_id", "doc_id")
+    return licence_scan(document_files(_docs(spark, sf_dir)), closing=True).withColumnRenamed("file_id", "doc_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,28 @@ def test_common_words_beside_a_notice(spark):
     want = {i: round(c, 6) for i, _, text in rows if (c := cosine(text)) >= 0.6}
     assert set(scores) == set(want) and all(abs(scores[i] - want[i]) < 2e-6 for i in want)
     assert {0} <= set(want) and 2 not in want, want
+
+
+def test_inherited_licences(spark):
+    mit = NOTICES["MIT"]
+    rows = [
+        ("a/LICENSE", f"Some words about this\n\nthing\n{mit}\nmore words here", "own", None), ("a/b/c", "x", "inherited", "a/LICENSE"),
+        ("d/e.c", f"\n// Tool\n// Copyright 2020 Jane Doe\n\n// {mit}\nint x;", "own", None), ("d/f.c", "int y;", "inherited", "d/e.c"),
+        ("g/x.c", f"int x;\n{mit}\nint y;", "own", None), ("g/y.c", "z", "none", None), ("h/last", f"int x;\n{mit}\n", "own", None), ("h/y", "z", "none", None),
+        ("i/text", "The Project\n\nby us all\n\n" + BODIES["MIT"], "own", None), ("i/y", "z", "inherited", "i/text"),
+        ("j/LICENSE", mit, "own", None), ("j/A.c", f"// {NOTICES['GPL-3.0']}", "own", None), ("j/y", "z", "inherited", "j/LICENSE"),
+        ("k/license_scan.py", f"int x;\n{mit}\nint y;", "own", None), ("k/y", "z", "none", None),
+    ]
+    table = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "file_id long, path string, text string")
+    got = {r["path"]: (r["origin"], r["source_path"] if r["origin"] == "inherited" else None) for r in licence_scan(table).collect()}
+    assert got == {path: (origin, source) for path, _, origin, source in rows}
+
+
+def test_query_inherits(spark):
+    from riskweave.llm.registry import QUERIES
+
+    got = QUERIES["op8_license_scan"](spark, "/root/testdata/sf0.001").collect()
+    files = {r["path"]: r for r in got}
+    heirs = [r for r in got if r["origin"] == "inherited"]
+    assert heirs and any(r["path"].count("/") > r["source_path"].count("/") for r in heirs)  # from a directory above as well
+    assert all(files[r["source_path"]]["origin"] == "own" and files[r["source_path"]]["licence"] == r["licence"] for r in heirs)
