@@ -2,24 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases shown for the strongest features of a decision.
-PHRASES = {
-    "velocity_count_1h": "Unusual number of transactions in the last hour",
-    "velocity_ratio": "Activity far above this identity's baseline",
-    "amount_ratio": "Amount far above this identity's average",
-    "institution_count": "Seen at several institutions within a week",
-    "cross_client_velocity": "Recent activity at other institutions",
-    "known_mixer_interaction": "Funds passed a known mixer",
-    "cross_modal_pattern_detected": "Fiat and crypto activity combined",
-    "balance_drain_ratio": "Large share of the balance leaves the account",
-    "is_unusual_hour": "Activity at an unusual hour",
-    "is_first_time_receiver": "First payment to this receiver",
-    "sender_account_age_days": "Very young account",
-    "amount_usd": "High amount",
+# Texts for the strongest features of a decision. v: the value, iv: its whole part, pct: 100 times, min: a sixtieth.
+FEATURE_TEXTS = {
+    "velocity_ratio": "Velocity {v:.1f}× above baseline",
+    "cross_modal_pattern_detected": "Cross-institutional laundering pattern",
+    "amount_ratio": "Amount {v:.1f}× above user average",
+    "institution_count": "Appeared at {iv} institutions",
+    "balance_drain_ratio": "Balance drain: {pct:.0f}%",
+    "known_mixer_interaction": "Interaction with known crypto mixer",
+    "is_first_time_receiver": "First-time receiver",
+    "receiver_wallet_age_days": "Receiver wallet {iv} days old",
+    "count_1h": "{iv} transactions in the past hour",
+    "fan_in_ratio": "Fan-in ratio {v:.2f} (aggregator pattern)",
+    "time_since_other_institution_sec": "Same identity at other institution {min:.0f}m ago",
+    "sender_account_age_days": "Account only {iv} days old",
 }
+MIXER_TEXT = "Known cryptocurrency mixer interaction"
+CROSS_MODAL_TEXT = "Fiat→crypto laundering pattern detected"
+# Sign and colour of a decision in an alert.
+ALERT_SIGNS = {"block": "🚨", "review": "⚠️", "approve": "✅"}
+ALERT_COLORS = {"block": "#E53E3E", "review": "#DD6B20", "approve": "#38A169"}
+# What a reviewer is shown of a transaction.
+PROMPT_FEATURES = [
+    "amount_usd", "modality", "transfer_network", "sender_account_age_days",
+    "sender_archetype", "sender_kyc_status", "is_first_time_receiver",
+    "balance_drain_ratio", "count_1h", "count_6h", "velocity_ratio",
+    "velocity_baseline_daily", "amount_ratio", "institution_count",
+    "cross_modal_pattern_detected", "known_mixer_interaction",
+    "receiver_wallet_age_days", "receiver_wallet_type",
+    "sender_out_degree", "receiver_in_degree", "fan_in_ratio",
+    "hour_of_day", "prior_high_risk_event", "time_since_other_institution_sec",
+]
+
+
+def short_number(value: Column) -> Column:
+    """Four significant digits without trailing zeros, with an exponent beyond 10^-4 and 10^4 (``%.4g``)."""
+    trim = lambda text: F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
+    bare = lambda text: F.regexp_replace(trim(text), r"\.$", "")
+    science = F.format_string("%.3e", value)
+    power = F.substring_index(science, "e", -1).cast("int")
+    plain = F.lit(None).cast("string")
+    for k in range(-4, 4):
+        plain = F.when(power == k, F.format_string(f"%.{3 - k}f", value) if k == 3 else bare(F.format_string(f"%.{3 - k}f", value))).otherwise(plain)
+    return (
+        F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").when(value == 0, "0")
+        .otherwise(F.coalesce(plain, F.concat(bare(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))))
+    )
+
+
+def feature_text(feature: Column, value: Column) -> Column:
+    """The text of a feature with its value filled in; features without one by name, value and direction."""
+    from string import Formatter
+
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    filled = {"v": value, "iv": value.cast("long"), "pct": value * 100, "min": value / 60}
+    up = F.when(value > 0, "↑").otherwise("↓")
+    out = F.concat(feature, F.lit(": "), short_number(value), F.lit(" ("), up, F.lit(" risk)"))
+    for name, template in FEATURE_TEXTS.items():
+        parts, inputs = "", []
+        for text, field, spec, _ in Formatter().parse(template):
+            parts += text.replace("%", "%%")
+            if field:
+                parts += f"%{spec}" if spec else "%d"
+                inputs.append(filled[field])
+        text = F.format_string(parts, *inputs) if inputs else F.lit(template)
+        out = F.when(feature == name, F.when(finite, text).otherwise(F.concat(feature, F.lit(": "), short_number(value)))).otherwise(out)
+    return out
 
 
 def decide(score: Column, approve: float, block: float) -> Column:
@@ -36,10 +87,9 @@ def binary_decision(p: Column, threshold: float) -> Column:
 
 
 def reasons(features: Column, mixer: Column, cross_modal: Column, most: int = 5) -> Column:
-    """Texts of the three strongest features (an array of names, strongest first); mixer and cross-modal come first, five at most."""
-    table = F.create_map(*(c for k, v in PHRASES.items() for c in (F.lit(k), F.lit(v))))
-    texts = F.transform(F.slice(features, 1, 3), lambda f: F.coalesce(F.element_at(table, f), F.concat(F.lit("Elevated "), f)))
-    first = F.array_compact(F.array(F.when(mixer, "Interaction with a known mixer"), F.when(cross_modal, "Linked fiat and crypto activity")))
+    """Texts of the first three features (structs ``feature, value``, strongest first); before them cross-modal, then mixer; five at most."""
+    texts = F.transform(F.slice(features, 1, 3), lambda f: feature_text(f["feature"], f["value"].cast("double")))
+    first = F.array_compact(F.array(F.when(cross_modal, CROSS_MODAL_TEXT), F.when(mixer, MIXER_TEXT)))
     return F.slice(F.concat(first, texts), 1, most)
 
 
@@ -69,21 +119,52 @@ def top_contributions(contributions: Column, k: int = 5) -> Column:
     return F.slice(F.array_sort(contributions, order), 1, k)
 
 
-def alert_message(decision: Column, transaction_id: Column, amount: Column, score: Column, why: Column) -> Column:
-    """Title, colour, shortened id, three reasons and the amount, as JSON text."""
-    return F.to_json(
-        F.struct(
-            F.when(decision == "block", "Transaction blocked").otherwise("Transaction needs review").alias("title"),
-            F.when(decision == "block", "#D00000").otherwise("#FFB000").alias("color"), F.substring(transaction_id, 1, 24).alias("id"),
-            F.format_string("$%,.2f", amount).alias("amount"), F.format_string("%.3f", score).alias("score"), F.slice(why, 1, 3).alias("reasons"),
-        )
+def _by_decision(decision: Column, table: dict[str, str], other: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(c for k, v in table.items() for c in (F.lit(k), F.lit(v)))), decision), F.lit(other))
+
+
+def direction(contribution: Column) -> Column:
+    return F.when(contribution > 0, "↑ fraud").otherwise("↓ fraud")
+
+
+def alert_message(decision: Column, transaction_id: Column, client: Column, amount: Column, score: Column, why: Column, explanations: Column) -> Column:
+    """Struct of an alert's parts: title with a sign, colour, id of 24 letters, client, score, amount, three reasons, five explanation lines.
+
+    ``explanations``: structs ``feature, value, contribution``. Without reasons
+    or explanations a line says so.
+    """
+    reason_lines = F.transform(F.slice(why, 1, 3), lambda r: F.concat(F.lit("• "), r))
+    lines = F.transform(
+        F.slice(explanations, 1, 5),
+        lambda x: F.concat(F.lit("• "), F.replace(x["feature"], F.lit("_"), F.lit(" ")), F.lit(": `"), short_number(x["value"].cast("double")), F.lit("` ("), direction(x["contribution"]), F.lit(")")),
+    )
+    some = lambda lines, none: F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(none)
+    return F.struct(
+        F.concat(_by_decision(decision, ALERT_SIGNS, "❓"), F.lit(" Fraud Alert — "), F.upper(decision)).alias("title"),
+        _by_decision(decision, ALERT_COLORS, "#718096").alias("color"), F.substring(transaction_id, 1, 24).alias("id"), client.alias("client"),
+        F.format_string("%.4f", score).alias("score"), F.format_string("$%,.2f", amount).alias("amount"),
+        some(reason_lines, "• (no reasons)").alias("reasons"), some(lines, "• (no explanation available)").alias("features"),
     )
 
 
-def review_prompt(features: Column, explanations: Column) -> Column:
-    """Text for a reviewer: non-null features as JSON (nulls drop out) and five explanation lines."""
-    lines = F.transform(F.slice(explanations, 1, 5), lambda x: F.format_string("- %s: %s", x["feature"], F.format_string("%.4f", x["contribution"])))
-    return F.concat_ws("\n", F.lit("Transaction features:"), F.to_json(features), F.lit("Strongest contributions:"), F.array_join(lines, "\n"))
+def review_prompt(df: DataFrame, transaction_id: str, client: str, score: str, explanations: str) -> Column:
+    """Text for a reviewer: header with the score, the ``PROMPT_FEATURES`` that ``df`` has as JSON (nulls drop out), five explanation lines.
+
+    ``explanations``: a column of structs ``feature, value, contribution``.
+    """
+    here = [c for c in PROMPT_FEATURES if c in df.columns]
+    json = lambda c: F.expr(f"substring(to_json(array(`{c}`)), 2, length(to_json(array(`{c}`))) - 2)")
+    pairs = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f'  "{c}": '), json(c))) for c in here))) if here else F.array().cast("array<string>")
+    features = F.when(F.size(pairs) > 0, F.concat(F.lit("{\n"), F.array_join(pairs, ",\n"), F.lit("\n}"))).otherwise("{}")
+    lines = F.transform(
+        F.slice(F.col(explanations), 1, 5),
+        lambda x: F.format_string("  %s: value=%.4f, contribution=%+.4f (%s)", x["feature"], x["value"].cast("double"), x["contribution"].cast("double"), direction(x["contribution"])),
+    )
+    return F.concat(
+        F.lit("TRANSACTION REVIEW REQUEST\n\nTransaction ID: "), F.coalesce(F.col(transaction_id).cast("string"), F.lit("?")), F.lit("\nInstitution:    "), F.coalesce(F.col(client).cast("string"), F.lit("?")),
+        F.lit("\nModel score:    "), F.format_string("%.4f", F.col(score)), F.lit(" (REVIEW zone: 0.30-0.80)\n\nTRANSACTION FEATURES:\n"), features,
+        F.lit("\n\nMODEL EXPLANATION (strongest features):\n"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("  (none available)"), F.lit("\n\nIs this FRAUD (1) or LEGITIMATE (0)?"),
+    )
 
 
 def parse_label(response: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 MICROS_DAY = 86_400_000_000
 
 
@@ -39,28 +41,30 @@ def with_degrees(df: DataFrame) -> DataFrame:
 
 
 def node_stats(edges: DataFrame) -> DataFrame:
-    """Edge counts and amounts by node, each direction aggregated by itself, so neither multiplies the other."""
+    """Edge counts and amounts by node, each direction aggregated by itself, so neither multiplies the other; volume by ``out_degree + 1``."""
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"), money("amount").alias("s"), F.max("is_fraud").alias("label"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"), money("amount").alias("r"))
     both = out.join(into, "id", "full").fillna(0, ["out_degree", "in_degree", "label"]).fillna(0.0, ["s", "r"])
     return both.select(
         "id", "out_degree", "in_degree", F.round(F.when(F.col("out_degree") > 0, F.col("s") / F.col("out_degree")).otherwise(0.0), 4).alias("avg_out"), F.round("s", 2).alias("sum_out"),
         F.round(F.when(F.col("in_degree") > 0, F.col("r") / F.col("in_degree")).otherwise(0.0), 4).alias("avg_in"), F.round(F.col("in_degree") / (F.col("out_degree") + 1), 6).alias("fan_in"),
-        F.round(F.col("s") / F.greatest("out_degree", F.lit(1)), 4).alias("volume_per_txn"), "label",
+        F.round(F.col("s") / (F.col("out_degree") + 1), 4).alias("volume_per_txn"), "label",
     )
 
 
-def live_snapshot(scored: DataFrame) -> DataFrame:
-    """Totals and per-client rows: counts by decision, rates, mean score, volume; the total has a null client."""
+def live_snapshot(scored: DataFrame, latency: str = "latency_ms") -> DataFrame:
+    """Totals and per-client rows: counts by decision, rates, mean score and latency, volume; the total has a null client."""
     n, of = F.count(F.lit(1)), lambda d: F.count_if(F.col("decision") == d)
-    stats = [n.alias("n"), of("approve").alias("approved"), of("review").alias("reviewed"), of("block").alias("blocked"), F.round(of("block") / n, 4).alias("block_rate"), F.round(F.avg("risk_score"), 4).alias("mean_score"), F.round(money("amount_usd"), 2).alias("volume")]
-    return scored.rollup("client_id").agg(*stats)
+    return scored.rollup("client_id").agg(
+        n.alias("n"), of("approve").alias("approved"), of("review").alias("reviewed"), of("block").alias("blocked"), F.round(of("block") / n, 4).alias("block_rate"), F.round(of("review") / n, 4).alias("review_rate"),
+        F.round(F.avg("risk_score"), 4).alias("mean_score"), F.round(F.avg(latency), 2).alias("mean_latency_ms"), F.round(money("amount_usd"), 2).alias("volume"),
+    )
 
 
-def hourly(scored: DataFrame, now_us: Column | None = None, hours: int = 24) -> DataFrame:
-    """Per hour and client of the last hours: counts, blocks, reviews, mean score, volume."""
-    if now_us is not None:
-        scored = scored.where(F.col("ts_us") >= now_us - hours * 3_600_000_000)
+def hourly(scored: DataFrame, since: Column | None = None) -> DataFrame:
+    """Per hour and client: counts, blocks, reviews, mean score, volume; of rows from ``since`` on, a literal that reaches the files as a filter."""
+    if since is not None:
+        scored = scored.where(F.col("ts") >= since)
     hour = F.floor(F.col("ts_us") / F.lit(3_600_000_000)).cast("long")
     return scored.groupBy(hour.alias("hour"), "client_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "block").alias("blocked"), F.count_if(F.col("decision") == "review").alias("reviewed"),
@@ -68,6 +72,11 @@ def hourly(scored: DataFrame, now_us: Column | None = None, hours: int = 24) ->
     )
 
 
+def newest_us(df: DataFrame, column: str = "ts_us") -> int:
+    """The largest time, one number, so that later filters hold a literal. 0 without rows."""
+    return df.agg(F.max(column)).first()[0] or 0
+
+
 def newest(df: DataFrame, column: str = "ts_us") -> DataFrame:
     """One row ``now``."""
     return df.agg(F.max(column).alias("now"))
@@ -130,17 +139,25 @@ def log_normal_fit(df: DataFrame, column: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.round(F.avg(x), 6).alias("mu"), F.round(F.stddev_samp(x), 6).alias("sigma"))
 
 
+def counted(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Distinct values with their counts ``_c``, combined before the shuffle."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def median_ratio(df: DataFrame, column: str, label: str) -> DataFrame:
-    """Median of label 1 over that of label 0, and median and first decile of label 1 (exact percentiles)."""
-    of = lambda y: F.when(F.col(label) == y, F.col(column))
-    g = df.agg(F.percentile(of(1), 0.5).alias("m1"), F.percentile(of(0), 0.5).alias("m0"), F.percentile(of(1), 0.1).alias("p10"))
+    """Median of label 1 over that of label 0, and median and first decile of label 1 (exact)."""
+    q = quantiles(counted(df.where(F.col(label).isin(0, 1)), column, label), column, "_c", {"m": 0.5, "p": 0.1}, label)
+    of = lambda y, c: F.max(F.when(F.col(label) == y, F.col(c)))
+    g = q.agg(of(1, "m").alias("m1"), of(0, "m").alias("m0"), of(1, "p").alias("p10"))
     return g.select(F.round(F.col("m1") / F.col("m0"), 6).alias("ratio"), F.round("m1", 6).alias("median_1"), F.round("p10", 6).alias("p10_1"))
 
 
 def burst_stats(df: DataFrame) -> DataFrame:
     """Rows a sender and span in hours, then their deciles."""
     per = df.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), ((F.max("ts_us") - F.min("ts_us")) / F.lit(3_600_000_000).cast("double")).alias("span"))
-    return per.agg(F.round(F.percentile("n", 0.1), 4).alias("n_p10"), F.round(F.percentile("n", 0.9), 4).alias("n_p90"), F.round(F.avg("span"), 4).alias("mean_span_hours"))
+    q = quantiles(counted(per, "n"), "n", "_c", {"n_p10": 0.1, "n_p90": 0.9})
+    mean = per.agg(F.round(F.avg("span"), 4).alias("mean_span_hours"))
+    return mean.join(F.broadcast(q.select(F.round("n_p10", 4).alias("n_p10"), F.round("n_p90", 4).alias("n_p90")))).select("n_p10", "n_p90", "mean_span_hours")
 
 
 def hour_distribution(df: DataFrame, top: int = 3) -> DataFrame:
@@ -162,15 +179,37 @@ def archetypes(fit: DataFrame, offsets: dict[str, tuple[float, float]]) -> DataF
 
 
 def data_summary(df: DataFrame) -> DataFrame:
-    """Rows, fraud and upper quantiles by client and kind, with their totals."""
-    return df.rollup("client_id", "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("fraud"), F.round(F.avg("is_fraud"), 6).alias("fraud_rate"),
-        F.round(F.percentile("amount_usd", 0.75), 4).alias("p75"), F.round(F.percentile("amount_usd", 0.95), 4).alias("p95"),
+    """Rows, fraud and upper quantiles by client and kind, with their totals (null kind, null client)."""
+    levels = F.array(*(F.struct(F.lit(i).alias("level"), (F.coalesce("client_id", F.lit("")) if i < 2 else F.lit("")).alias("c"), (F.coalesce("event_type", F.lit("")) if i < 1 else F.lit("")).alias("e")) for i in range(3)))
+    g = df.groupBy("client_id", "event_type", "amount_usd").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").alias("fraud"))
+    g = g.select(F.explode(levels).alias("l"), "amount_usd", "n", "fraud").select("l.*", "amount_usd", "n", "fraud").groupBy("level", "c", "e", "amount_usd").agg(F.sum("n").alias("n"), F.sum("fraud").alias("fraud"))
+    q = quantiles(g, "amount_usd", "n", {"p75": 0.75, "p95": 0.95}, "level", "c", "e")
+    sums = g.groupBy("level", "c", "e").agg(F.sum("n").alias("n"), F.sum("fraud").alias("fraud"))
+    return sums.join(q, ["level", "c", "e"], "left").select(
+        F.when(F.col("level") < 2, F.col("c")).alias("client_id"), F.when(F.col("level") < 1, F.col("e")).alias("event_type"), "n", "fraud",
+        F.round(F.col("fraud") / F.col("n"), 6).alias("fraud_rate"), F.round("p75", 4).alias("p75"), F.round("p95", 4).alias("p95"),
     )
 
 
-def split_report(df: DataFrame) -> DataFrame:
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg("is_fraud"), 4).alias("fraud_percent"), F.min("ts_us").alias("first_us"), F.round(100 * F.avg((F.col("modality") == "fiat").cast("int")), 4).alias("fiat_percent"))
+def cross_modal_totals(df: DataFrame, key: str) -> DataFrame:
+    """Rows that belong to a cross-modal sequence, and how many sequences there are."""
+    return df.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("transactions"), F.countDistinct(key).alias("sequences"))
+
+
+def split_report(df: DataFrame, embedding: str | None = None) -> DataFrame:
+    """Rows, fraud and first time of each split; share of rows with an ``embedding`` (1 or 0); whether training and test differ by over 5 points of fraud."""
+    hit = [F.round(100 * F.avg(embedding), 4).alias("embedding_percent")] if embedding else []
+    g = df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("is_fraud").alias("_f"), F.min("ts_us").alias("first_us"), *hit)
+    of = lambda s: F.max(F.when(F.col("split") == s, F.col("_f")))
+    note = g.agg(F.coalesce(F.abs(of("train") - of("test")) * 100 > 5.0, F.lit(False)).alias("fraud_shift"))
+    return g.join(F.broadcast(note)).select("split", "n", F.round(100 * F.col("_f"), 4).alias("fraud_percent"), "first_us", *(["embedding_percent"] if embedding else []), "fraud_shift")
+
+
+def source_mix(df: DataFrame, source: str) -> DataFrame:
+    """Rows and share of each source within each split."""
+    g = df.groupBy("split", source).agg(F.count(F.lit(1)).alias("n"))
+    total = g.groupBy("split").agg(F.sum("n").alias("_t"))  # a row for each split
+    return g.join(F.broadcast(total), "split").select("split", source, "n", F.round(100 * F.col("n") / F.col("_t"), 4).alias("percent"))
 
 
 def class_weights(df: DataFrame, label: str = "is_fraud") -> DataFrame:
@@ -217,6 +256,12 @@ def quality_rules(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> Dat
 
 def latency_report(df: DataFrame, kind: str, value: str, failed: Column, least: int = 5) -> DataFrame:
     """Count, exact percentiles and failure share by request kind, of kinds with at least ``least`` rows."""
-    p = F.percentile(value, F.array(*map(F.lit, (0.5, 0.75, 0.95, 0.99, 0.999))))
-    g = df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.round(100 * F.avg(failed.cast("int")), 4).alias("failed_percent")).where(F.col("n") >= least)
-    return g.select(kind, "n", *(F.round(F.col("p")[i], 4).alias(name) for i, name in enumerate(("p50", "p75", "p95", "p99", "p999"))), "failed_percent")
+    shares = {"p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+    g = df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(failed.cast("int")), 4).alias("failed_percent")).where(F.col("n") >= least)
+    q = quantiles(counted(df, value, kind), value, "_c", shares, kind)
+    return g.join(q, kind).select(kind, "n", *(F.round(c, 4).alias(c) for c in shares), "failed_percent")
+
+
+def slow_requests(df: DataFrame, value: str, failed: Column, over: float = 200.0) -> DataFrame:
+    """Requests that did not fail and took longer than ``over``."""
+    return df.where((F.col(value) > over) & ~F.coalesce(failed, F.lit(False)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import saved
+from .joins import active_subgraph, lookup
+from .ordering import running_sums
 
 
 def transaction_edges(df: DataFrame, sender: tuple[str, ...], receiver: tuple[str, ...]) -> DataFrame:
@@ -116,20 +118,32 @@ def neighbour_mean(edges: DataFrame, nodes: DataFrame, cap: int | None = None) -
     return both.groupBy(F.col("dst").alias("id")).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
 
 
+def hop_features(edges: DataFrame, nodes: DataFrame, caps: tuple[int, int] = (15, 10)) -> DataFrame:
+    """``id, x``: a node's vector, its neighbours' mean and the mean of these, end to end; zeros where it has no neighbours."""
+    zeros = lambda like: F.transform(like, lambda x: F.lit(0.0))
+    one = nodes.hint("merge").join(neighbour_mean(edges, nodes, caps[0]), "id", "left").select("id", "features", F.coalesce("mean", zeros(F.col("features"))).alias("h1"))
+    two = neighbour_mean(edges, one.select("id", F.col("h1").alias("features")), caps[1])
+    return one.hint("merge").join(two, "id", "left").select("id", F.concat("features", "h1", F.coalesce("mean", zeros(F.col("features")))).alias("x"))
+
+
 def propagated_embeddings(edges: DataFrame, nodes: DataFrame, size: int = 32, caps: tuple[int, int] = (15, 10)) -> DataFrame:
-    """Node vectors, their neighbours' means and the means of these, joined end to end and reduced by principal components to ``size``."""
+    """``hop_features`` reduced by principal components to ``size``. Written before the fit, which reads them several times."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    width = len(nodes.select("features").first()[0])
-    zeros = F.array_repeat(F.lit(0.0), width)
-    one = nodes.hint("merge").join(neighbour_mean(edges, nodes, caps[0]), "id", "left").select("id", "features", F.coalesce("mean", zeros).alias("h1"))
-    two = neighbour_mean(edges, one.select("id", F.col("h1").alias("features")), caps[1])
-    all_ = one.hint("merge").join(two, "id", "left").select("id", array_to_vector(F.concat("features", "h1", F.coalesce("mean", zeros))).alias("x"))
+    hops = saved(hop_features(edges, nodes, caps), "hops")
+    all_ = hops.select("id", array_to_vector("x").alias("x"))
     model = PCA(k=size, inputCol="x", outputCol="y").fit(all_)
     return model.transform(all_).select("id", vector_to_array("y").alias("embedding"))
 
 
+def embedding_refresh(edges: DataFrame, nodes: DataFrame, store: DataFrame, active: DataFrame, size: int = 32, hops: int = 2) -> DataFrame:
+    """The store with new embeddings of the neighbourhood of the ``active`` nodes; the work follows that part, not the graph."""
+    near = saved(neighbourhood(edges, active, hops), "near")
+    part = active_subgraph(edges, near)
+    return refreshed(store, propagated_embeddings(part, nodes.join(lookup(near), "id", "left_semi"), size))
+
+
 def combined_graphs(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     """Nodes of two graphs in one table: a namespace, vectors of one length, labels of the first only."""
     from ..functions.records import padded
@@ -145,11 +159,5 @@ def refreshed(store: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """0, 1, 2, ... by key: positions in hash-free range slots plus the slots' offsets."""
-    spark: SparkSession = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id())
-    ranged = saved(ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1), "dense")
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_p").withColumn("index", F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+    """0, 1, 2, ... by key."""
+    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], [F.col(key)], ["_one"]).withColumn("index", F.col("_one_before")).drop("_one", "_one_before", "_one_all")

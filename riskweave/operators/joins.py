@@ -31,9 +31,9 @@ def features_with_classes(features: DataFrame, classes: DataFrame) -> DataFrame:
     return features.hint("merge").join(classes, "id", "left")
 
 
-def review_candidates(scored: DataFrame, labels: DataFrame, now: DataFrame, hours: int = 24, below: float = 50_000.0, limit: int = 500) -> DataFrame:
-    """Unlabelled reviews of the last hours below an amount, highest scores first (``limit`` is the report's length)."""
-    recent = scored.join(F.broadcast(now)).where((F.col("decision") == "review") & (F.col("ts_us") >= F.col("now") - hours * 3_600_000_000) & (F.col("amount_usd") < below)).drop("now")
+def review_candidates(scored: DataFrame, labels: DataFrame, since: Column, below: float = 50_000.0, limit: int = 500) -> DataFrame:
+    """Unlabelled reviews from ``since`` on (a literal, so the filter reaches the files) below an amount, highest scores first (``limit`` is the report's length)."""
+    recent = scored.where((F.col("decision") == "review") & (F.col("ts") >= since) & (F.col("amount_usd") < below))
     return recent.hint("merge").join(labels.select("transaction_id"), "transaction_id", "left_anti").orderBy(F.desc("risk_score"), "transaction_id").limit(limit)
 
 
@@ -52,10 +52,11 @@ def apply_chargebacks(labels: DataFrame, chargebacks: DataFrame) -> DataFrame:
     return both.withColumns({"source": F.when(take, "chargeback").otherwise(F.col("source")), "weight": F.when(take, 1.0).otherwise(F.col("weight")), "chargeback_label": F.coalesce("chargeback_label", "_new")}).drop("_new")
 
 
-def evaluation_rows(scored: DataFrame, labels: DataFrame, confident: float = 0.80) -> DataFrame:
-    """Scores with trusted labels: a chargeback, or a confident reviewer."""
+def evaluation_rows(scored: DataFrame, labels: DataFrame, confident: float = 0.80, least: int = 50) -> DataFrame:
+    """Scores with trusted labels: a chargeback, or a confident reviewer; none at all if they are fewer than ``least``."""
     both = scored.select("transaction_id", "risk_score").hint("merge").join(labels, "transaction_id")
-    return both.where(F.col("chargeback_label").isNotNull() | (F.col("confidence") >= confident)).withColumn("label", F.coalesce("chargeback_label", "llm_label"))
+    rows = both.where(F.col("chargeback_label").isNotNull() | (F.col("confidence") >= confident)).withColumn("label", F.coalesce("chargeback_label", "llm_label"))
+    return rows.join(F.broadcast(rows.agg((F.count(F.lit(1)) >= least).alias("_enough")))).where("_enough").drop("_enough")
 
 
 def recycled_receiver(df: DataFrame, among: Column) -> DataFrame:

@@ -48,11 +48,18 @@ def scored_by(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("p", F.round(vector_to_array("probability")[1], 9)).drop("_raw", "rawPrediction", "probability", "prediction")
 
 
-def tournament(train_rows: DataFrame, val_rows: DataFrame, candidates: dict[str, tuple[str, dict]], numeric: list[str], categories: list[str], label: str) -> DataFrame:
-    """``run, pr_auc``: each candidate trained and measured on validation rows; a constant score counts 0. The loop is over candidates, not rows."""
+def tournament(train_rows: DataFrame, val_rows: DataFrame, candidates: dict[str, tuple[str, dict]], numeric: list[str], categories: list[str], label: str, sample: int | None = None) -> DataFrame:
+    """``run, pr_auc``: each candidate trained and measured on validation rows; a constant score counts 0.
+
+    The loop is over candidates, not rows. ``sample``: about so many training
+    rows are used (by a fixed hash share), as a search does; all without it.
+    """
+    rows = train_rows
+    if sample is not None and (n := train_rows.count()) > sample:
+        rows = train_rows.where(F.pmod(F.xxhash64(*numeric), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     out = None
     for name, (kind, params) in candidates.items():
-        p = scored_by(train(train_rows, kind, numeric, categories, label, **params), val_rows).select("p", label)
+        p = scored_by(train(rows, kind, numeric, categories, label, **params), val_rows).select("p", label)
         flat = p.agg((F.coalesce(F.stddev_pop("p"), F.lit(0.0)) < 1e-6).alias("flat"))
         row = average_precision(p, "p", label).join(F.broadcast(flat)).select(F.lit(name).alias("run"), F.when(F.col("flat"), 0.0).otherwise(F.col("average_precision")).alias("pr_auc"))
         out = row if out is None else out.unionByName(row)
@@ -60,11 +67,16 @@ def tournament(train_rows: DataFrame, val_rows: DataFrame, candidates: dict[str,
 
 
 def search_space(draws: int, seed: int = 42) -> dict[str, tuple[str, dict]]:
-    """Random candidates for ``tournament`` from fixed ranges."""
+    """Random candidates for ``tournament`` from fixed ranges: logistic and boosted in turn."""
     import random
 
-    rng = random.Random(seed)
-    return {f"draw_{i}": ("logistic", {"regParam": 10 ** rng.uniform(-4, 0), "elasticNetParam": rng.choice([0.0, 0.5, 1.0]), "maxIter": 50}) for i in range(draws)}
+    rng, out = random.Random(seed), {}
+    for i in range(draws):
+        if i % 2 == 0:
+            out[f"draw_{i}"] = ("logistic", {"regParam": 10 ** rng.uniform(-4, 0), "elasticNetParam": rng.choice([0.0, 0.5, 1.0]), "maxIter": 50})
+        else:
+            out[f"draw_{i}"] = ("boosted", {"maxIter": rng.randint(3, 8), "maxDepth": rng.randint(2, 4), "stepSize": round(rng.uniform(0.05, 0.3), 3), "subsamplingRate": rng.choice([0.7, 0.9, 1.0]), "seed": seed})
+    return out
 
 
 def promotion(runs: DataFrame, champion: str, challenger: str, margin: float = 0.005) -> DataFrame:

@@ -5,23 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import saved
+from .joins import lookup
 
-def temporal_split(df: DataFrame, ts: str, key: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """80/10/10 by position in time order (null times last, ties by key).
 
-    No global window: rows are numbered within coarse time slots, and the slots'
-    sizes, a small table, are summed to offsets. A slot is a day; ties and nulls
-    share one.
+def stable_hash(*parts: Column) -> Column:
+    """A number from 0 to 2^32 - 1 of the parts' texts, the same in every engine and whatever the partitions."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], names: list[str]) -> DataFrame:
+    """``df`` with ``<name>_before``, the sum of the earlier rows in ``order`` within ``keys``, and ``<name>_all``.
+
+    No window spans a key: rows are dealt by sampled ranges of keys and order,
+    summed within a range, and the ranges' totals, a row or two a range and key,
+    are summed apart. ``order`` should be unique within a key. The ranges are a
+    written table, as their numbers must stay.
     """
-    slot = F.coalesce(F.floor(F.col(ts) / F.lit(86_400_000_000)).cast("long"), F.lit(2**62))
-    d = df.withColumn("_slot", slot)
-    sizes = d.groupBy("_slot").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_slot", (F.sum("_size").over(Window.orderBy("_slot")) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_total"))
-    rank = F.row_number().over(Window.partitionBy("_slot").orderBy(F.asc_nulls_last(ts), key)) - 1
-    d = d.withColumn("_rank", rank).join(F.broadcast(before), "_slot")
-    at = F.col("_rank") + F.col("_before")
-    first, second = F.floor(F.col("_total") * train), F.floor(F.col("_total") * (train + val) + 1e-9)
-    return d.withColumn("split", F.when(at < first, "train").when(at < second, "val").otherwise("test")).drop("_slot", "_rank", "_before", "_total")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*keys, "_range").agg(*(F.sum(c).alias(c) for c in names))
+    earlier, whole = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    before = sums.select(*keys, "_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_ranges") for c in names), *(F.sum(c).over(whole).alias(f"{c}_all") for c in names))
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = dealt.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in names}).join(lookup(before), [*keys, "_range"])
+    return both.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_ranges") for c in names}).drop("_range", *(f"{c}_ranges" for c in names))
+
+
+def quantiles(counts: DataFrame, value: str, count: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """Exact, interpolated quantiles by ``keys`` from a table of distinct values and their counts; no key's values meet in one task."""
+    r = running_sums(counts.where(F.col(value).isNotNull()), list(keys), [F.col(value)], [count])
+    low, high, top = F.col(f"{count}_before"), F.col(f"{count}_before") + F.col(count), F.col(f"{count}_all") - 1
+    out = []
+    for name, share in shares.items():
+        at = top * F.lit(float(share))
+        pick = lambda rank: F.max(F.when((low <= rank) & (rank < high), F.col(value)))
+        first, second, rest = pick(F.floor(at)), pick(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((first + (second - first) * rest).alias(name))
+    return r.groupBy(*keys).agg(*out)
+
+
+def temporal_split(df: DataFrame, ts: str, key: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """80/10/10 by position in time order (null times last, ties by key); positions by ``running_sums``, so no day or time is a single task."""
+    d = running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], [F.asc_nulls_last(ts), F.col(key)], ["_one"])
+    first, second = F.floor(F.col("_one_all") * train), F.floor(F.col("_one_all") * (train + val) + 1e-9)
+    at = F.col("_one_before")
+    return d.withColumn("split", F.when(at < first, "train").when(at < second, "val").otherwise("test")).drop("_one", "_one_before", "_one_all")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.70, val: float = 0.15, buckets: int = 10_000) -> DataFrame:
@@ -47,23 +76,34 @@ def step_split(df: DataFrame, step: str) -> DataFrame:
 
 
 def hash_split(key: Column, train: int = 70, val: int = 15) -> Column:
-    h = F.pmod(F.xxhash64(key), F.lit(100))
+    h = stable_hash(key) % 100
     return F.when(h < train, "train").when(h < train + val, "val").otherwise("test")
 
 
 def subsample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The same n rows every time (a sampling operator)."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    return df.orderBy(stable_hash(F.col(key)), key).limit(n)
 
 
 def recent(df: DataFrame, limit: int = 100) -> DataFrame:
     return df.orderBy(F.desc("ts_us"), F.desc("event_id")).limit(limit)
 
 
-def label_candidates(labels: DataFrame, used: DataFrame, least: float = 0.40) -> DataFrame:
-    """Unused labels of enough weight with their order: chargeback, human, others; heavier first."""
+def label_candidates(labels: DataFrame, used: DataFrame | None = None, least: float = 0.40) -> DataFrame:
+    """Labels not used yet, of enough weight, in order: chargeback, human, others; the heavier first.
+
+    ``label`` is the first there is of ``chargeback_label``, ``human_label`` and
+    ``llm_label``; rows without any are left out. Used are the rows of ``used``
+    or those marked ``included_in_training``.
+    """
+    kinds = [c for c in ("chargeback_label", "human_label", "llm_label") if c in labels.columns]
+    rows = labels.withColumn("label", F.coalesce(*kinds)).where(F.col("label").isNotNull() & (F.col("weight") >= least))
+    if "included_in_training" in labels.columns:
+        rows = rows.where(~F.coalesce("included_in_training", F.lit(False)))
+    if used is not None:
+        rows = rows.hint("merge").join(used.select("transaction_id"), "transaction_id", "left_anti")
     rank = F.when(F.col("source") == "chargeback", 1).when(F.col("source") == "human", 2).otherwise(3)
-    return labels.where(F.col("weight") >= least).hint("merge").join(used.select("transaction_id"), "transaction_id", "left_anti").withColumn("priority", rank)
+    return rows.withColumn("priority", rank).orderBy("priority", F.desc("weight"), "transaction_id")
 
 
 def merge_last(training: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,6 +113,28 @@ def merge_last(training: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_batch")
 
 
+def ingest_labels(training: DataFrame, labels: DataFrame, least: int = 100, weight: float = 0.40) -> tuple[DataFrame, DataFrame]:
+    """Training rows with the new labels merged in, and the labels with those that were used marked.
+
+    A candidate's ``features_json`` is read in the training table's types (a
+    text that is no JSON object leaves it out), with ``is_fraud`` from its label
+    and its ``sample_weight`` and ``label_source``. With fewer than ``least``
+    candidates nothing changes: labels go on gathering.
+    """
+    some = label_candidates(labels, None, weight)
+    enough = some.agg((F.count(F.lit(1)) >= least).alias("_enough"))
+    some = some.join(F.broadcast(enough)).where("_enough").drop("_enough")
+    own = {"is_fraud", "sample_weight", "label_source", "transaction_id"}
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in training.schema if f.name not in own)
+    read = F.from_json("features_json", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}) if fields else F.struct(F.lit(0).alias("_none"))
+    valid = F.get_json_object("features_json", "$").startswith("{")
+    new = some.where(valid).select("transaction_id", read.alias("_f"), F.col("label").cast("int").alias("is_fraud"), F.col("weight").cast("double").alias("sample_weight"), F.col("source").alias("label_source"))
+    new = new.select("transaction_id", "is_fraud", "sample_weight", "label_source", *([f"_f.`{f.name}`" for f in training.schema if f.name not in own]))
+    used = some.select("transaction_id", F.lit(True).alias("_used"))
+    marked = labels.hint("merge").join(used, "transaction_id", "left").withColumn("included_in_training", F.coalesce("_used", "included_in_training", F.lit(False))).drop("_used")
+    return merge_last(training, new), marked
+
+
 def aligned_union(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

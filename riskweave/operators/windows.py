@@ -8,6 +8,8 @@ the current row count both, windows over prior rows neither.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,23 +22,35 @@ def _over(first: int, last: int, *keys: str):
     return Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(first, last)
 
 
-def velocity(df: DataFrame) -> DataFrame:
+def in_slots(df: DataFrame, features: Callable[..., DataFrame], width: int = WEEK) -> DataFrame:
+    """``features`` (windows that look back ``width`` at most) with each identity cut into time slots of ``width``.
+
+    A row is in its own slot and, as history only, in the next one. So the
+    largest window task holds two slots of an identity, whatever its lifetime;
+    the price is that rows are sorted twice.
+    """
+    slot = F.floor(F.col("ts_us") / F.lit(width)).cast("long")
+    both = df.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slot", slot + F.col("_copy"))
+    return features(both, keys=("identity", "_slot")).where("_copy = 0").drop("_copy", "_slot")
+
+
+def velocity(df: DataFrame, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
     """Counts and sums over 1, 6 and 24 hours (lower bound within) and 7 days (lower bound out), the current row counted."""
     made: dict[str, Column] = {}
     for name, width in (("1h", HOUR), ("6h", 6 * HOUR), ("24h", 24 * HOUR), ("7d", WEEK - 1)):
-        over = _over(-width, 0, "identity")
+        over = _over(-width, 0, *keys)
         made[f"count_{name}"] = F.count(F.lit(1)).over(over)
         made[f"sum_{name}"] = F.round(F.sum("amount_usd").over(over), 2)
     return df.withColumns(made)
 
 
-def baseline(df: DataFrame) -> DataFrame:
+def baseline(df: DataFrame, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
     """Rows a day over the last 7 days, mean amount (halves round up), and the ratios of the current values to them."""
-    week = _over(-(WEEK - 1), 0, "identity")
+    week = _over(-(WEEK - 1), 0, *keys)
     days = F.greatest((F.col("ts_us") - F.min("ts_us").over(week)) / F.lit(24 * HOUR).cast("double"), F.lit(1.0))
     df = df.withColumns({
         "baseline_rate": F.round(F.count(F.lit(1)).over(week) / days, 4), "baseline_amount": F.round(F.sum(F.col("amount_usd").cast("decimal(18,4)")).over(week).cast("double") / F.count("amount_usd").over(week) + 1e-9, 2),
-        "_day": F.count(F.lit(1)).over(_over(-24 * HOUR, 0, "identity")),
+        "_day": F.count(F.lit(1)).over(_over(-24 * HOUR, 0, *keys)),
     })
     return df.withColumns({
         "velocity_ratio": F.round(F.col("_day") / F.greatest("baseline_rate", F.lit(0.1)), 3),
@@ -44,7 +58,7 @@ def baseline(df: DataFrame) -> DataFrame:
     }).drop("_day")
 
 
-def cross_client(df: DataFrame, include_current: bool = False) -> DataFrame:
+def cross_client(df: DataFrame, include_current: bool = False, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
     """Institutions, activity and amounts at other clients, and modalities, over prior rows of 7 days.
 
     What happened at other clients is everything of the identity less the own
@@ -52,9 +66,9 @@ def cross_client(df: DataFrame, include_current: bool = False) -> DataFrame:
     clients is bounded by their number.
     """
     prior = -1
-    week, own = _over(-WEEK, prior, "identity"), _over(-WEEK, prior, "identity", "client_id")
-    hour, own_hour = _over(-HOUR, prior, "identity"), _over(-HOUR, prior, "identity", "client_id")
-    modal = _over(-WEEK, 0 if include_current else prior, "identity")
+    week, own = _over(-WEEK, prior, *keys), _over(-WEEK, prior, *keys, "client_id")
+    hour, own_hour = _over(-HOUR, prior, *keys), _over(-HOUR, prior, *keys, "client_id")
+    modal = _over(-WEEK, 0 if include_current else prior, *keys)
     n = F.count(F.lit(1))
     df = df.withColumns({
         "institution_count": F.size(F.collect_set("client_id").over(week)),
@@ -87,10 +101,10 @@ def time_since_other_client(df: DataFrame) -> DataFrame:
     return df.withColumn("time_since_other_institution_sec", F.round(F.when(gap <= WEEK, gap / F.lit(SECOND).cast("double")), 1)).drop("_client", "_ts", "_island", "_other")
 
 
-def prior_high_risk(df: DataFrame, risk: float = 0.70) -> DataFrame:
+def prior_high_risk(df: DataFrame, risk: float = 0.70, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
     """Whether another client scored the identity at ``risk`` or more in the prior 7 days."""
     hit = F.sum((F.col("risk_score") >= risk).cast("int"))
-    week, own = _over(-WEEK, -1, "identity"), _over(-WEEK, -1, "identity", "client_id")
+    week, own = _over(-WEEK, -1, *keys), _over(-WEEK, -1, *keys, "client_id")
     return df.withColumn("prior_high_risk", (F.coalesce(hit.over(week), F.lit(0)) - F.coalesce(hit.over(own), F.lit(0)) > 0).cast("int"))
 
 

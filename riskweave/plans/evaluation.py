@@ -10,11 +10,13 @@ from ..functions import decisions as D
 from ..operators import learning as L
 from ..operators import metrics as E
 from ..operators import windows as W
+from ..operators.aggregates import newest_us
 from ..operators.ordering import champion, temporal_split
 from ..sources import bindings as B
-from ..sources.storage import shared_folder
+from ..sources.storage import saved, shared_folder
 from ..streaming import stateful as T
-from .catalog import query
+from . import features as _features_first  # noqa: F401  its SQL is used below
+from .catalog import ORACLE_SQL, query
 
 WEIGHTS, BIAS = {"amount_usd": 0.02, "count_24h": 0.3, "institution_count": 0.4, "balance_drain_ratio": 1.5}, -2.0
 
@@ -68,8 +70,10 @@ def m5(spark, d):
 
 @query("m6_m7_tournament")
 def m7(spark, d):
+    """A forest, boosted trees and four random draws; their rows are written once, before the first is trained."""
     train, test = _splits(spark, d)
-    return L.tournament(train, test, {"forest": ("forest", {"numTrees": 5, "maxDepth": 3, "seed": 1}), **L.search_space(2)}, NUMERIC, [], "is_fraud")
+    fixed = {"forest": ("forest", {"numTrees": 5, "maxDepth": 3, "seed": 1}), "boosted": ("boosted", {"maxIter": 3, "maxDepth": 3, "seed": 1})}
+    return L.tournament(saved(train, "train"), saved(test, "validation"), {**fixed, **L.search_space(4)}, NUMERIC, [], "is_fraud", sample=200_000)
 
 
 @query("m16_importance")
@@ -172,40 +176,112 @@ def m18b(spark, d):
     return E.flag_rate_by_step(B.txn(spark, d).withColumn("step", F.col("event_id") % 49), "risk_score", "step")
 
 
-_SC = """s AS (SELECT * FROM (VALUES ('low_amount', 50.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE), ('low_velocity', NULL, 1.0, NULL, NULL), ('own_bank', NULL, NULL, 1.0, NULL), ('small_drain', NULL, NULL, NULL, 0.05), ('all_legit', 50.0, 1.0, 1.0, 0.05)) v(scenario, a, c, i, b)),
-p AS (SELECT scenario, 1 / (1 + exp(-(-2.0::DOUBLE + coalesce(a, amount_usd) * 0.02::DOUBLE + coalesce(c, count_24h) * 0.3::DOUBLE + coalesce(i, institution_count) * 0.4::DOUBLE + coalesce(b, balance_drain_ratio) * 1.5::DOUBLE))) AS p FROM r, s WHERE is_fraud = 1)"""
+SCORER = {
+    "amount_usd": 0.01, "count_1h": 0.15, "count_6h": 0.05, "count_24h": 0.1, "velocity_ratio": 0.12, "amount_ratio": 0.2, "balance_drain_ratio": 1.5, "is_first_time_receiver": 0.8,
+    "sender_account_age_days": -0.0005, "sender_lifetime_txn_count": -0.01, "fan_in_ratio": 0.3, "receiver_in_degree": 0.05, "sender_out_degree": 0.04,
+}
+SCORER_BIAS = -3.5
+_MADE = {
+    "amount_usd": "amount_usd", "count_1h": "k % 5", "count_6h": "k % 9", "count_24h": "k % 17", "velocity_ratio": "(k % 13) / {two}", "amount_ratio": "amount_usd / {fifty}", "balance_drain_ratio": "k / {hundred}", "is_first_time_receiver": "k % 2",
+    "sender_account_age_days": "k * 10", "sender_lifetime_txn_count": "identity % 40", "fan_in_ratio": "(receiver % 7) / {three}", "receiver_in_degree": "receiver % 11", "sender_out_degree": "identity % 20",
+}
+_NUMBERS = {"two": 2, "three": 3, "fifty": 50, "hundred": 100}
 
 
-@query("m19_red_team", f"WITH {_ROWS}, {_SC} SELECT scenario, count(*) AS n, round(avg((p < 0.5)::INTEGER), 6) AS evasion_rate, round(avg(p), 6) AS mean_score FROM p GROUP BY scenario")
+def _features(spark, d):
+    """Model inputs made of whole-table columns."""
+    numbers = {k: f"CAST({v} AS DOUBLE)" for k, v in _NUMBERS.items()}
+    return B.txn(spark, d).select("event_id", "is_fraud", *(F.expr(f"CAST({e.format(**numbers)} AS DOUBLE)").alias(c) for c, e in _MADE.items()))
+
+
+_FEATURES = f"{B.TXN}, r AS (SELECT event_id, is_fraud, " + ", ".join(f"({e.format(**{k: f'{v}::DOUBLE' for k, v in _NUMBERS.items()})})::DOUBLE AS {c}" for c, e in _MADE.items()) + " FROM txn)"
+
+
+def _logit(values: dict[str, str]) -> str:
+    """SQL of the linear score, in the order in which the operator sums."""
+    z = f"({SCORER_BIAS}::DOUBLE)"
+    for c, w in SCORER.items():
+        z = f"({z} + {values.get(c, c)} * ({w}::DOUBLE))"
+    return f"1 / (1 + exp(-{z}))"
+
+
+def _strategy_sql() -> str:
+    out = []
+    for name, sets in E.STRATEGIES.items():
+        values = {c: "(SELECT m FROM legit)" if v == E.LEGIT else f"{v}::DOUBLE" for c, v in sets.items()}
+        out.append(f"SELECT '{name}' AS strategy, {_logit(values)} AS p, sender_out_degree AS o, fan_in_ratio AS f, sender_account_age_days AS a FROM r WHERE is_fraud = 1")
+    return " UNION ALL ".join(out)
+
+
+@query("m19_red_team", f"""WITH {_FEATURES}, legit AS (SELECT quantile_cont(balance_drain_ratio, 0.5) AS m FROM r WHERE is_fraud = 0), p AS ({_strategy_sql()}),
+g AS (SELECT strategy, count(*) AS n, round(avg((p < 0.5)::INTEGER), 6) AS evasion_rate, avg(p) AS m, round(avg(o) FILTER (p >= 0.5), 4) AS caught_sender_out_degree, round(avg(o) FILTER (p < 0.5), 4) AS evaded_sender_out_degree,
+  round(avg(f) FILTER (p >= 0.5), 4) AS caught_fan_in_ratio, round(avg(f) FILTER (p < 0.5), 4) AS evaded_fan_in_ratio, round(avg(a) FILTER (p >= 0.5), 4) AS caught_sender_account_age_days, round(avg(a) FILTER (p < 0.5), 4) AS evaded_sender_account_age_days FROM p GROUP BY strategy)
+SELECT * EXCLUDE (m), round(m, 6) AS mean_score, round((SELECT m FROM g WHERE strategy = 'baseline') - m, 6) AS score_drop FROM g""")
 def m19(spark, d):
-    return E.red_team(_rows(spark, d).where("is_fraud = 1"), WEIGHTS, BIAS)
+    return E.red_team(_features(spark, d), SCORER, SCORER_BIAS)
+
+
+def _hash_sql(*parts: str) -> str:
+    return "('0x' || substr(md5(" + " || '|' || ".join(f"({p})::VARCHAR" for p in parts) + "), 1, 8))::BIGINT"
 
 
-_MIX = f"""{B.TXN}, f AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0]::DOUBLE[]) AS fraction),
-d AS (SELECT fraction, CASE WHEN is_fraud = 1 AND (event_id * 7919 + 17) % 1000 / 1000::DOUBLE < fraction THEN risk_score * 0.4 ELSE risk_score END AS s, is_fraud AS y FROM txn, f), """ + _CURVE.format(keys="fraction,", part="fraction") + """,
-ap AS (SELECT fraction, round(sum(p / pos * (tp / (tp + fp))), 6) AS average_precision FROM c GROUP BY fraction), base AS (SELECT average_precision AS b FROM ap WHERE fraction = 0)"""
+def _drift_sql() -> str:
+    out = []
+    for name, sets in E.DRIFTS.items():
+        values = {}
+        for c, v in sets.items():
+            low, high = v if isinstance(v, tuple) else (v, v)
+            u = f"{_hash_sql('event_id', repr(name), repr(c))} / 4294967296::DOUBLE"
+            values[c] = f"(floor({u} * {high - low}) + {low})::DOUBLE" if isinstance(high, int) else f"({u} * {high - low!r}::DOUBLE + {low!r}::DOUBLE)"
+        out.append(f"SELECT '{name}' AS scenario, event_id, rank, n, own, round({_logit(values)}, 9) AS new FROM pairs")
+    return " UNION ALL ".join(out)
 
 
-def _mix(spark, d, factor=0.4):
-    t = B.txn(spark, d).withColumn("drifted", F.col("risk_score") * F.lit(factor))
-    return E.drift_mix(t, "event_id", "risk_score", "drifted", "is_fraud")
+_MIX = f"""{_FEATURES}, legit AS (SELECT *, row_number() OVER (ORDER BY {_hash_sql('event_id')}, event_id) - 1 AS at, count(*) OVER () AS legits, round({_logit({})}, 9) AS score FROM r WHERE is_fraud = 0),
+bad AS (SELECT event_id, row_number() OVER (ORDER BY {_hash_sql('event_id')}, event_id) - 1 AS rank, count(*) OVER () AS n, round({_logit({})}, 9) AS own FROM r WHERE is_fraud = 1),
+pairs AS (SELECT bad.event_id, rank, n, own, {', '.join(f'legit.{c}' for c in SCORER)} FROM bad JOIN legit ON bad.rank % (SELECT max(legits) FROM legit) = legit.at),
+drifted AS ({_drift_sql()}), f AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0]::DOUBLE[]) AS fraction),
+d AS (SELECT scenario, fraction, CASE WHEN rank < floor(n * fraction + 1e-9) THEN new ELSE own END AS s, 1 AS y FROM drifted, f UNION ALL SELECT scenario, fraction, score, 0 FROM legit, f, (SELECT DISTINCT scenario FROM drifted)),
+""" + _CURVE.format(keys="scenario, fraction,", part="scenario, fraction") + """,
+ap AS (SELECT scenario, fraction, round(sum(p / pos * (tp / (tp + fp))), 6) AS average_precision FROM c GROUP BY scenario, fraction),
+mix AS (SELECT scenario, fraction, average_precision, round(100 * (b - average_precision) / b, 4) AS drop_percent FROM ap JOIN (SELECT scenario, average_precision AS b FROM ap WHERE fraction = 0) USING (scenario))"""
 
 
-@query("m20_drift_mix", f"WITH {_MIX} SELECT fraction, average_precision, round(100 * (b - average_precision) / b, 4) AS drop_percent FROM ap, base")
+def _mix(spark, d):
+    return E.drift_mix(_features(spark, d), "event_id", "is_fraud", SCORER, SCORER_BIAS)
+
+
+@query("m20_drift_mix", f"WITH {_MIX} SELECT * FROM mix")
 def m20(spark, d):
     return _mix(spark, d)
 
 
-@query("m21_drop_pivot")
+@query("m20_drift_alerts", f"""WITH {_MIX} SELECT scenario, min(fraction) FILTER (drop_percent >= 5) AS first_fraction, round(max(average_precision) FILTER (fraction = 0) * 0.95, 4) AS alert_at, round(max(average_precision) FILTER (fraction = 0) * 0.90, 4) AS critical_at FROM mix GROUP BY scenario""")
+def m20a(spark, d):
+    return E.drift_alerts(_mix(spark, d))
+
+
+@query("m21_drop_pivot", f"WITH {_MIX} SELECT scenario, " + ", ".join(f"max(drop_percent) FILTER (fraction = {f}::DOUBLE) AS f_{round(100 * f)}" for f in E.FRACTIONS) + " FROM mix GROUP BY scenario")
 def m21(spark, d):
-    both = _mix(spark, d, 0.4).withColumn("scenario", F.lit("strong")).unionByName(_mix(spark, d, 0.8).withColumn("scenario", F.lit("weak")))
-    return E.drop_pivot(both).toDF("scenario", "f_10", "f_50", "f_100")
+    return E.drop_pivot(_mix(spark, d))
+
 
+def _z_sql(c: str) -> str:
+    return f"sqrt(-2 * ln(({_hash_sql('event_id', repr(c), '42', '1')} + 1) / 4294967297::DOUBLE)) * cos(6.283185307179586::DOUBLE * {_hash_sql('event_id', repr(c), '42', '2')} / 4294967296::DOUBLE)"
 
-@query("m22_noise")
+
+@query("m22_noise", f"""WITH {B.TXN}, r AS (SELECT event_id, is_fraud, amount_usd, k AS count_1h, hour(ts)::DOUBLE AS hour_of_day, (isodow(ts) - 1)::DOUBLE AS day_of_week, 3.0::DOUBLE AS velocity_ratio, event_type AS transfer_type, CASE event_id % 3 WHEN 0 THEN 'elliptic_real' WHEN 1 THEN 'simulator' END AS source FROM txn),
+c AS (SELECT *, is_fraud = 1 AND coalesce(source <> 'elliptic_real', true) AS chosen FROM r), sd AS (SELECT stddev_pop(amount_usd) AS a, stddev_pop(count_1h) AS k FROM c WHERE chosen),
+p AS (SELECT event_id, row_number() OVER (ORDER BY {_hash_sql('event_id', '42')}, event_id) - 1 AS pos, count(*) OVER () AS n FROM c WHERE chosen), flips AS (SELECT event_id FROM p WHERE pos < floor(n * 0.1::DOUBLE + 1e-9))
+SELECT event_id, round(CASE WHEN chosen THEN greatest(amount_usd + {_z_sql('amount_usd')} * 0.2::DOUBLE * a, 0) ELSE amount_usd END, 4) AS amount_usd, CASE WHEN chosen THEN trunc(greatest(count_1h + {_z_sql('count_1h')} * 0.2::DOUBLE * sd.k, 0))::BIGINT ELSE count_1h END AS count_1h,
+  round(CASE WHEN chosen THEN least(greatest(hour_of_day + {_z_sql('hour_of_day')} * 3.0::DOUBLE, 0), 23) ELSE hour_of_day END, 4) AS hour_of_day, round(CASE WHEN chosen THEN least(greatest(day_of_week + {_z_sql('day_of_week')} * 1.0::DOUBLE, 0), 6) ELSE day_of_week END, 4) AS day_of_week, velocity_ratio,
+  CASE WHEN event_id IN (SELECT event_id FROM flips) THEN ['ach', 'wire', 'p2p', 'rtp'][({_hash_sql('event_id', "'transfer_type'")} % 4 + 1)::INTEGER] ELSE transfer_type END AS transfer_type FROM c, sd""")
 def m22(spark, d):
-    r = _rows(spark, d).withColumn("transfer_type", F.col("event_type"))
-    return E.with_noise(r, F.col("is_fraud") == 1, ["amount_usd", "count_24h"], 0.2, "event_id", ["ach", "wire", "card"])
+    t, i = B.txn(spark, d), F.col("event_id")
+    source = F.when(i % 3 == 0, "elliptic_real").when(i % 3 == 1, "simulator")
+    r = t.select("event_id", "is_fraud", "amount_usd", F.col("k").alias("count_1h"), F.hour("ts").cast("double").alias("hour_of_day"), F.weekday("ts").cast("double").alias("day_of_week"), F.lit(3.0).alias("velocity_ratio"), F.col("event_type").alias("transfer_type"), source.alias("source"))
+    n = E.with_noise(r, "event_id")
+    return n.select("event_id", *(F.round(c, 4).alias(c) for c in ("amount_usd", "hour_of_day", "day_of_week")), "count_1h", "velocity_ratio", "transfer_type")
 
 
 _GATES = f"""{B.TXN}, g AS (SELECT client_id, count(*) AS new_labels, max(k) % 30 AS age_days, CASE WHEN avg(k) > 49.6 THEN 'medium' ELSE 'none' END AS psi, CASE client_id WHEN 'neobank' THEN 'high' ELSE 'none' END AS rate, avg(risk_score) AS auc FROM txn GROUP BY client_id)"""
@@ -231,16 +307,100 @@ def m25(spark, d):
     return _gates(spark, d).select("client_id", D.auc_drop(F.col("auc"), F.lit(0.45)).alias("verdict"))
 
 
-@query("st1_stateful_velocity", f"""WITH {B.TXN} SELECT a.event_id, count(*) FILTER (b.ts_us >= a.ts_us - {W.HOUR}) AS count_1h, count(*) FILTER (b.ts_us >= a.ts_us - 24 * {W.HOUR}) AS count_24h, count(*) FILTER (b.ts_us > a.ts_us - {W.WEEK}) AS count_7d
-FROM txn a JOIN txn b ON a.identity = b.identity AND b.ts_us <= a.ts_us AND b.ts_us >= a.ts_us - {W.WEEK} GROUP BY a.event_id""")
+def _stream(spark, d):
+    """The events' files as a stream. A pattern, as a stream reads folders or patterns, and the table may be one file."""
+    return B.txn_of(spark.readStream.schema(B.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]"))
+
+
+_BATCH_FEATURES = ["count_1h", "sum_1h", "count_6h", "sum_6h", "count_24h", "sum_24h", "count_7d", "sum_7d", "baseline_rate", "baseline_amount", "velocity_ratio", "amount_ratio", "institution_count", "cross_client_velocity", "amount_correlation", "time_since_other_institution_sec", "has_fiat_history", "has_crypto_history", "cross_modal_pattern_detected", "prior_high_risk"]
+
+
+@query("st1_stateful_velocity", "WITH " + ", ".join(f"x{i} AS ({ORACLE_SQL[n]})" for i, n in enumerate(("w1_velocity", "w2_w4_baseline", "w5_w9_cross_client", "w8_time_since_other_client", "w10_prior_high_risk"))) + f" SELECT event_id, {', '.join(_BATCH_FEATURES)} FROM x0 JOIN x1 USING (event_id) JOIN x2 USING (event_id) JOIN x3 USING (event_id) JOIN x4 USING (event_id)")
 def st1(spark, d):
     """A stream over the table's files, run to its end."""
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    # A pattern, as a stream reads folders or patterns, and the table may be one file.
-    events = spark.readStream.schema(B.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    found = T.streaming_velocity(B.txn_of(events).select("event_id", "identity", "client_id", "amount_usd", "ts_us"))
-    found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{out}/rows").select("event_id", "count_1h", "count_24h", "count_7d")
+    found = T.streaming_velocity(_stream(spark, d).select("event_id", "identity", "client_id", "modality", "amount_usd", "risk_score", "ts_us"))
+    return spark.read.schema(found.schema).parquet(T.run_to_end(found, shared_folder(spark))).select("event_id", *_BATCH_FEATURES)
+
+
+@query("st1_embeddings", f"""WITH {B.TXN} SELECT t.event_id, (v.vec_id IS NOT NULL)::INTEGER AS embedding_hit, round(coalesce(v.embedding[1]::DOUBLE, 0), 6) AS first FROM txn t LEFT JOIN embeddings v ON t.identity = v.vec_id""")
+def st1e(spark, d):
+    both = T.with_embeddings(_stream(spark, d).select("event_id", "identity"), B.nodes_vec(spark, d), 64).select("event_id", "embedding_hit", F.round(F.col("embedding")[0], 6).alias("first"))
+    return spark.read.schema(both.schema).parquet(T.run_to_end(both, shared_folder(spark)))
+
+
+@query("st4_duplicate_guard", f"WITH {B.TXN} SELECT transaction_id FROM txn")
+def st4(spark, d):
+    """Every event arrives twice."""
+    once = _stream(spark, d).select("transaction_id", F.col("ts").cast("timestamp").alias("ts"))
+    kept = T.duplicate_guard(once.unionByName(once)).select("transaction_id")
+    return spark.read.schema(kept.schema).parquet(T.run_to_end(kept, shared_folder(spark)))
+
+
+@query("st5_graph_batches", f"""WITH {B.EDGES_TXN}, b AS (SELECT src AS id, amount, ts_us FROM edges UNION ALL SELECT dst, amount, ts_us FROM edges)
+SELECT id, count(*) AS txn_count, round(sum(amount::DECIMAL(18,4))::DOUBLE, 2) AS total_volume, min(ts_us) AS first_seen, max(ts_us) AS last_seen FROM b GROUP BY id""")
+def st5(spark, d):
+    out = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    edges = _stream(spark, d).select(F.col("identity").alias("src"), F.col("receiver").alias("dst"), F.col("amount_usd").alias("amount"), "ts_us")
+    T.run_to_end(edges, out, T.graph_batches(f"{out}/nodes"))
+    n = spark.read.parquet(f"{out}/nodes")
+    total = F.round(F.sum(F.col("total_volume").cast("decimal(18,4)")).cast("double"), 2)
+    return n.groupBy("id").agg(F.sum("txn_count").alias("txn_count"), total.alias("total_volume"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+@query("st6_alert_limit_greedy")
+def st6g(spark, d):
+    """The rolling limit as a running stream, alerts of a client as its channel; 3 in any hour, so that it is met at this table's rate."""
+    alerts = _stream(spark, d).where("risk_score >= 0.30").select(F.col("client_id").alias("channel"), F.col("event_id").alias("alert_id"), "ts_us")
+    limited = T.alert_limit(alerts, 3, 3600)
+    return spark.read.schema(limited.schema).parquet(T.run_to_end(limited, shared_folder(spark)))
+
+
+@query("st7_io8_fan_out", f"""WITH {B.SCORED} SELECT 'alerts' AS sink, transaction_id FROM scored WHERE decision IN ('block', 'review') UNION ALL SELECT 'results', transaction_id FROM scored UNION ALL SELECT 'analytics', transaction_id FROM scored""")
+def st7(spark, d):
+    out = f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
+    scored = _stream(spark, d).select("transaction_id", D.decide(F.col("risk_score"), 0.30, 0.80).alias("decision"))
+    T.run_to_end(scored, out, T.fan_out(out))
+    parts = [spark.read.schema(scored.schema).parquet(f"{out}/{sink}/batch=*").select(F.lit(sink).alias("sink"), "transaction_id") for sink in ("results", "alerts", "analytics")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("st8_embedding_refresh", f"WITH RECURSIVE {B.NODES_VEC}, {B.EDGES_VEC}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), walk(id, distance) AS (SELECT id, 0 FROM nodes WHERE step = (SELECT max(step) FROM nodes) UNION SELECT u.dst, distance + 1 FROM walk JOIN u ON walk.id = u.src WHERE distance < 2) SELECT DISTINCT id, 16::BIGINT AS size FROM walk JOIN nodes USING (id)")
+def st8(spark, d):
+    """The nodes of the newest step arrive as a stream; new embeddings of their two-hop neighbourhood are written."""
+    out = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
+    nodes = B.nodes_vec(spark, d)
+    rows = spark.readStream.schema(B.table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 49 + 1).alias("step"))
+    active = rows.where(F.col("step") == newest_us(nodes, "step"))
+    T.run_to_end(active, out, T.refresh_embeddings(f"{out}/store", nodes, B.edges_vec(spark, d), nodes.select("id", F.slice("features", 1, 16).alias("embedding")), 16))
+    return spark.read.parquet(f"{out}/store").select("id", F.size("embedding").cast("long").alias("size"))
+
+
+@query("st9_interval_join", f"""WITH {B.TXN} SELECT f.identity, f.transaction_id AS fiat_id, c.transaction_id AS crypto_id FROM txn f JOIN txn c ON f.identity = c.identity AND f.modality = 'fiat' AND c.modality = 'crypto' AND c.ts_us BETWEEN f.ts_us AND f.ts_us + 15 * 60000000""")
+def st9(spark, d):
+    legs = lambda m: _stream(spark, d).where(F.col("modality") == m).select("transaction_id", "identity", F.col("ts").cast("timestamp").alias("ts"))
+    pairs = T.interval_join(legs("fiat"), legs("crypto"))
+    return spark.read.schema(pairs.schema).parquet(T.run_to_end(pairs, shared_folder(spark)))
+
+
+@query("st10_late_rows", f"WITH {B.TXN} SELECT 'on_time' AS part, event_id FROM txn WHERE event_id % 2 = 0 OR ts_us >= (SELECT max(ts_us) FROM txn WHERE event_id % 2 = 0) - 600000000 UNION ALL SELECT 'late', event_id FROM txn WHERE event_id % 2 = 1 AND ts_us < (SELECT max(ts_us) FROM txn WHERE event_id % 2 = 0) - 600000000")
+def st10(spark, d):
+    """Even events arrive first, odd ones in a second batch, most of them late."""
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    t, write = B.txn(spark, d).select("event_id", "ts_us"), T.late_split(folder)
+    write(t.where("event_id % 2 = 0"), 0)
+    write(t.where("event_id % 2 = 1"), 1)
+    parts = [spark.read.schema("event_id long, ts_us long").parquet(f"{folder}/{p}/batch=*").select(F.lit(p).alias("part"), "event_id") for p in ("on_time", "late")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("io7_stream_dead_letters", f"WITH {B.TXN} SELECT 'rows' AS part, transaction_id AS item FROM txn WHERE event_id % 50 <> 0 UNION ALL SELECT 'dead', '{{broken ' || event_id FROM txn WHERE event_id % 50 = 0")
+def io7s(spark, d):
+    """The events as JSON lines, one in 50 broken, through a stream with a dead-letter branch."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    line = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct("transaction_id", "amount_usd")))
+    T.run_to_end(T.parsed_stream(_stream(spark, d).select(line.alias("json")), "transaction_id string, amount_usd double"), folder, T.dead_letters(folder, "row.transaction_id IS NOT NULL"))
+    rows = spark.read.schema("transaction_id string, amount_usd double").parquet(f"{folder}/rows/batch=*").select(F.lit("rows").alias("part"), F.col("transaction_id").alias("item"))
+    return rows.unionByName(spark.read.schema("json string").parquet(f"{folder}/dead/batch=*").select(F.lit("dead").alias("part"), F.col("json").alias("item")))
 
 
 @query("st2_sliding_stats", f"""WITH {B.SCORED}, w AS (SELECT s.ts_us, decision, risk_score, unnest(range(s.ts_us // 60000000 - 4, s.ts_us // 60000000 + 1)) AS m FROM scored s)

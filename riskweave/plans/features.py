@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import decisions as D
 from ..functions import records as R
 from ..operators import windows as W
-from ..operators.aggregates import hourly, newest
+from ..operators.aggregates import newest_us
 from ..operators.ordering import first_by
 from ..sources import bindings as B
-from .catalog import query
+from .catalog import ORACLE_SQL, query
 
 H = 3_600_000_000
 WK = 168 * H
@@ -32,26 +32,30 @@ def p1(spark, d):
 
 
 _RAW = """raw AS (
-  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE 'evt_' || event_id END AS transaction_id, CASE WHEN event_id % 13 = 0 THEN -1.0 ELSE value END AS amount_usd,
+  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE 'evt_' || event_id END AS transaction_id, CASE WHEN event_id % 13 = 0 THEN -1.0 WHEN event_id % 47 = 0 THEN 50000000.0 ELSE value END AS amount_usd,
     CASE WHEN event_id % 17 = 0 THEN 'other' ELSE 'neobank' END AS client_id, CASE WHEN event_id % 19 = 0 THEN 'cash' ELSE 'fiat' END AS modality,
-    CASE WHEN event_id % 23 = 0 THEN 'bad' ELSE sha256(user_id::VARCHAR) END AS identity_hash, CASE WHEN event_id % 29 = 0 THEN '' ELSE sha256('s' || user_id) END AS sender_hash,
-    props, user_id, ts FROM events)"""
+    CASE WHEN event_id % 41 = 0 THEN '' WHEN event_id % 23 = 0 THEN 'bad' ELSE sha256(user_id::VARCHAR) END AS identity_hash, CASE WHEN event_id % 29 = 0 OR event_id % 41 = 0 THEN '' ELSE sha256('s' || user_id) END AS sender_hash,
+    CASE WHEN event_id % 43 = 0 THEN upper(sha256('e' || user_id)) END AS user_email_hash, props, user_id, ts FROM events)"""
 
 
 def _raw(spark, d):
     e, i = B.table(spark, d, "events"), F.col("event_id")
     return e.select(
-        "event_id", F.when(i % 11 == 0, "x").otherwise(F.concat(F.lit("evt_"), i.cast("string"))).alias("transaction_id"), F.when(i % 13 == 0, -1.0).otherwise(F.col("value")).alias("amount_usd"),
+        "event_id", F.when(i % 11 == 0, "x").otherwise(F.concat(F.lit("evt_"), i.cast("string"))).alias("transaction_id"), F.when(i % 13 == 0, -1.0).when(i % 47 == 0, 5e7).otherwise(F.col("value")).alias("amount_usd"),
         F.when(i % 17 == 0, "other").otherwise("neobank").alias("client_id"), F.when(i % 19 == 0, "cash").otherwise("fiat").alias("modality"),
-        F.when(i % 23 == 0, "bad").otherwise(R.salted_hash(F.col("user_id"))).alias("identity_hash"), F.when(i % 29 == 0, "").otherwise(F.sha2(F.concat(F.lit("s"), F.col("user_id").cast("string")), 256)).alias("sender_hash"),
-        F.lit(None).cast("string").alias("user_email_hash"), F.lit(None).cast("string").alias("sender_wallet_hash"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "props", "user_id", "ts",
+        F.when(i % 41 == 0, "").when(i % 23 == 0, "bad").otherwise(R.salted_hash(F.col("user_id"))).alias("identity_hash"),
+        F.when((i % 29 == 0) | (i % 41 == 0), "").otherwise(F.sha2(F.concat(F.lit("s"), F.col("user_id").cast("string")), 256)).alias("sender_hash"),
+        F.when(i % 43 == 0, F.upper(F.sha2(F.concat(F.lit("e"), F.col("user_id").cast("string")), 256))).alias("user_email_hash"), F.lit(None).cast("string").alias("sender_wallet_hash"),
+        F.when(i % 31 == 0, "soon").when(i % 37 == 0, "2100-01-01 00:30:01").when(i % 59 == 0, "2100-01-01 00:30:00").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), "props", "user_id", "ts",
     )
 
 
 @query("p2_validation", f"""WITH {_RAW}, r AS (SELECT event_id, [x FOR x IN [
   CASE WHEN length(transaction_id) NOT BETWEEN 5 AND 128 THEN 'transaction_id' END, CASE WHEN amount_usd <= 0 OR amount_usd >= 50000000 THEN 'amount' END,
   CASE WHEN client_id NOT IN ('neobank', 'cryptoex', 'finbridge') THEN 'client' END, CASE WHEN modality NOT IN ('fiat', 'crypto') THEN 'modality' END,
-  CASE WHEN NOT regexp_matches(identity_hash, '^[0-9a-f]{{64}}$') THEN 'identity_hash' END] IF x IS NOT NULL] AS reasons FROM raw)
+  CASE WHEN event_id % 31 = 0 OR event_id % 37 = 0 THEN 'timestamp' END, CASE WHEN identity_hash = '' AND sender_hash = '' AND user_email_hash IS NULL THEN 'identity' END,
+  CASE WHEN identity_hash <> '' AND NOT regexp_matches(identity_hash, '^[0-9a-f]{{64}}$') THEN 'identity_hash' END,
+  CASE WHEN NOT regexp_matches(user_email_hash, '^[0-9a-f]{{64}}$') THEN 'user_email_hash' END] IF x IS NOT NULL] AS reasons FROM raw)
 SELECT event_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS valid FROM r""")
 def p2(spark, d):
     now = F.to_timestamp(F.lit("2100-01-01 00:00:00"))
@@ -59,8 +63,8 @@ def p2(spark, d):
 
 
 @query("p3_pii_scan", r"""SELECT doc_id, array_to_string([x FOR x IN [
-  CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'text:email' END,
-  CASE WHEN regexp_matches(text, '\b\d{3}[-.]\d{3}[-.]\d{4}\b') THEN 'text:phone' END,
+  CASE WHEN regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+') THEN 'text:email' END,
+  CASE WHEN regexp_matches(text, '\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b') THEN 'text:phone' END,
   CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') THEN 'text:ssn' END] IF x IS NOT NULL], ',') AS fields FROM documents""")
 def p3(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.array_join(R.pii_fields(["text"]), ",").alias("fields"))
@@ -88,16 +92,23 @@ def p7(spark, d):
     return B.table(spark, d, "events").select("event_id", *(c.alias(k) for k, c in R.temporal("ts").items()))
 
 
-@query("p8_passthrough_defaults", "SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, -1.0) AS amount_usd, coalesce(CASE WHEN event_id % 4 <> 0 THEN event_type END, 'unknown') AS kyc, coalesce(CASE WHEN event_id % 5 <> 0 THEN 0.25 END, 0.5)::DOUBLE AS confidence FROM events")
+@query("p8_passthrough_defaults", """SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, -1.0) AS amount_usd, coalesce(CASE WHEN event_id % 4 <> 0 THEN event_type END, 'unknown') AS sender_kyc_status,
+  coalesce(CASE WHEN event_id % 5 <> 0 THEN 0.25 END, 0.5)::DOUBLE AS source_confidence, CASE WHEN event_id % 6 = 0 THEN -1 ELSE event_id % 900 END::INTEGER AS sender_account_age_days, CASE WHEN event_id % 7 = 0 THEN 'BTC' ELSE '' END AS cryptocurrency,
+  -1::INTEGER AS receiver_wallet_age_days, 'unknown' AS sender_archetype, 0::INTEGER AS is_first_time_receiver, -1.0::DOUBLE AS balance_drain_ratio, -1.0::DOUBLE AS sender_balance_before, 'fiat' AS modality, 'unknown' AS transfer_type, 'unknown' AS transfer_network,
+  'unknown' AS client_id, 0::INTEGER AS known_mixer_interaction, 'unknown' AS receiver_wallet_type, '' AS blockchain, -1::INTEGER AS gas_price_gwei, 0::INTEGER AS is_real_data FROM events""")
 def p8(spark, d):
     e, i = B.table(spark, d, "events"), F.col("event_id")
-    r = e.select("event_id", F.when(i % 3 != 0, F.col("value")).alias("amount_usd"), F.when(i % 4 != 0, F.col("event_type")).alias("kyc"), F.when(i % 5 != 0, 0.25).alias("confidence"))
-    return r.na.fill({"amount_usd": -1.0, "kyc": "unknown", "confidence": 0.5})
+    r = e.select(
+        "event_id", F.when(i % 3 != 0, F.col("value")).alias("amount_usd"), F.when(i % 4 != 0, F.col("event_type")).alias("sender_kyc_status"), F.when(i % 5 != 0, 0.25).alias("source_confidence"),
+        F.when(i % 6 != 0, i % 900).alias("sender_account_age_days"), F.when(i % 7 == 0, "BTC").alias("cryptocurrency"), F.lit("old").alias("receiver_wallet_age_days"),
+    )
+    return R.passthrough(r)
 
 
-@query("p9_leakage_drop", f"WITH {B.TXN} SELECT transaction_id, client_id, amount_usd FROM txn")
+@query("p9_leakage_drop", f"WITH {B.TXN} SELECT event_id, client_id, amount_usd, is_fraud FROM txn")
 def p9(spark, d):
-    return B.txn(spark, d).drop("event_id", "identity", "modality", "ts", "ts_us", "k", "is_fraud", "risk_score", "receiver", "props", "event_type", "absent_column")
+    t = B.txn(spark, d).select("event_id", "client_id", "amount_usd", "is_fraud", *(F.lit(i).alias(c) for i, c in enumerate(R.LEAKAGE)))
+    return R.without_leakage(R.without_leakage(t, R.LEAKAGE_EARLY))
 
 
 @query("p10_contract_merge", """SELECT event_id, event_id % 4 = 1 AS flag, CASE WHEN event_id % 3 <> 0 THEN value ELSE 0 END AS amount, CASE WHEN event_id % 5 <> 0 THEN event_type ELSE 'unknown' END AS kind, CASE WHEN event_id % 7 <> 0 THEN event_id::VARCHAR ELSE '' END AS ref FROM events""")
@@ -107,11 +118,19 @@ def p10(spark, d):
     return R.contract(r, ["flag"], ["amount"], ["kind"], ["ref"])
 
 
-@query("p11_contract_features", """SELECT vec_id, label % 2 = 1 AS flag, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE vec_id * 0.5 END::DOUBLE AS weight, CASE WHEN vec_id % 4 = 0 THEN '' ELSE 'k' || label END AS kind FROM embeddings""")
+@query("p11_contract_features", """SELECT vec_id, label % 2 = 1 AS is_weekend, false AS graph_only, label > 4 AS has_fiat_history, (CASE WHEN vec_id % 3 <> 0 THEN vec_id * 0.1 END)::FLOAT::DOUBLE AS velocity_ratio,
+  (CASE WHEN vec_id % 5 <> 0 THEN vec_id + 0.5 END)::FLOAT::DOUBLE AS amount_crypto, (CASE WHEN vec_id % 7 = 0 THEN 0 ELSE embedding[1] END)::FLOAT::DOUBLE AS gnn_emb_0, (CASE WHEN vec_id % 2 = 0 THEN 0 ELSE embedding[2] END)::FLOAT::DOUBLE AS gnn_emb_1,
+  CASE WHEN vec_id % 4 = 0 OR vec_id % 4 = 1 THEN '' ELSE 'k' || label END AS blockchain, CASE WHEN vec_id % 4 = 0 THEN 'nan' END AS timestamp FROM embeddings""")
 def p11(spark, d):
-    v = F.col("vec_id")
-    r = B.table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") % 2 == 1, "True").alias("flag"), F.when(v % 3 == 0, float("nan")).otherwise(v * 0.5).alias("weight"), F.when(v % 4 == 0, "nan").otherwise(F.concat(F.lit("k"), F.col("label").cast("string"))).alias("kind"))
-    return R.contract(r, ["flag"], ["weight"], ["kind"], category_null="")
+    v, e = F.col("vec_id"), F.col("embedding")
+    r = B.table(spark, d, "embeddings").select(
+        "vec_id", F.when(F.col("label") % 2 == 1, "True").alias("is_weekend"), F.lit(None).cast("boolean").alias("graph_only"), F.when(F.col("label") > 4, 2.0).when(F.col("label") > 2, 0.0).alias("has_fiat_history"),
+        F.when(v % 3 != 0, v * F.lit(0.1)).alias("velocity_ratio"), F.when(v % 5 == 0, "x").otherwise((v + F.lit(0.5)).cast("string")).alias("amount_crypto"),
+        F.when(v % 7 == 0, float("nan")).otherwise(e[0]).alias("gnn_emb_0"), F.when(v % 2 == 1, e[1]).alias("gnn_emb_1"),
+        F.when(v % 4 == 0, "nan").when(v % 4 != 1, F.concat(F.lit("k"), F.col("label").cast("string"))).alias("blockchain"), F.when(v % 4 == 0, "nan").alias("timestamp"),
+    )
+    out = R.feature_contract(r)
+    return out.withColumns({c: F.col(c).cast("double") for c in ("velocity_ratio", "amount_crypto", "gnn_emb_0", "gnn_emb_1")})
 
 
 @query("p12_decision", f"WITH {B.SCORED} SELECT transaction_id, decision, CASE decision WHEN 'approve' THEN 0 WHEN 'block' THEN 2 ELSE 1 END AS decision_code FROM scored")
@@ -119,11 +138,29 @@ def p12(spark, d):
     return B.scored(spark, d).select("transaction_id", "decision", D.decision_code(F.col("decision")).alias("decision_code"))
 
 
-@query("p13_reasons", f"""WITH {B.TXN} SELECT transaction_id, array_to_string((CASE WHEN k = 1 THEN ['Interaction with a known mixer'] ELSE [] END || CASE WHEN modality = 'crypto' THEN ['Linked fiat and crypto activity'] ELSE [] END
-  || CASE WHEN amount_usd > 50 THEN ['High amount', 'Elevated k', 'Activity at an unusual hour'] ELSE ['Elevated k'] END)[1:5], '; ') AS reasons FROM txn""")
+_NAMES = [*D.FEATURE_TEXTS, "k"]
+_TEXT = """CASE WHEN isnan(v) THEN f || ': nan' || CASE WHEN f = 'k' THEN ' (↑ risk)' ELSE '' END WHEN f = 'velocity_ratio' THEN format('Velocity {:.1f}× above baseline', v) WHEN f = 'cross_modal_pattern_detected' THEN 'Cross-institutional laundering pattern'
+  WHEN f = 'amount_ratio' THEN format('Amount {:.1f}× above user average', v) WHEN f = 'institution_count' THEN format('Appeared at {} institutions', trunc(v)::BIGINT) WHEN f = 'balance_drain_ratio' THEN format('Balance drain: {:.0f}%', v * 100)
+  WHEN f = 'known_mixer_interaction' THEN 'Interaction with known crypto mixer' WHEN f = 'is_first_time_receiver' THEN 'First-time receiver' WHEN f = 'receiver_wallet_age_days' THEN format('Receiver wallet {} days old', trunc(v)::BIGINT)
+  WHEN f = 'count_1h' THEN format('{} transactions in the past hour', trunc(v)::BIGINT) WHEN f = 'fan_in_ratio' THEN format('Fan-in ratio {:.2f} (aggregator pattern)', v)
+  WHEN f = 'time_since_other_institution_sec' THEN format('Same identity at other institution {:.0f}m ago', v / 60) WHEN f = 'sender_account_age_days' THEN format('Account only {} days old', trunc(v)::BIGINT)
+  ELSE f || ': ' || format('{:.4g}', v) || CASE WHEN v > 0 THEN ' (↑ risk)' ELSE ' (↓ risk)' END END"""
+
+
+@query("p13_reasons", f"""WITH {B.TXN}, n AS (SELECT {_NAMES!r} AS names), x AS (SELECT event_id, transaction_id, k, modality, names[((event_id + j) % 13 + 1)::INTEGER] AS f, j,
+  CASE WHEN event_id % 53 = 0 THEN 'nan'::DOUBLE ELSE (event_id % 3 - 1) * pow(10::DOUBLE, (event_id % 11 - 5)::DOUBLE) * (amount_usd + j) / 7.313::DOUBLE END AS v FROM txn, n, range(3) r(j)),
+t AS (SELECT event_id, transaction_id, k, modality, list({_TEXT} ORDER BY j) AS texts FROM x GROUP BY ALL)
+SELECT transaction_id, array_to_string((CASE WHEN modality = 'crypto' THEN ['Fiat→crypto laundering pattern detected'] ELSE [] END || CASE WHEN k % 3 = 1 THEN ['Known cryptocurrency mixer interaction'] ELSE [] END || texts)[1:5], '; ') AS reasons FROM t""")
 def p13(spark, d):
-    top = F.when(F.col("amount_usd") > 50, F.array(*map(F.lit, ("amount_usd", "k", "is_unusual_hour", "receiver")))).otherwise(F.array(F.lit("k")))
-    return B.txn(spark, d).select("transaction_id", F.array_join(D.reasons(top, F.col("k") == 1, F.col("modality") == "crypto"), "; ").alias("reasons"))
+    names, i = F.array(*map(F.lit, _NAMES)), F.col("event_id")
+
+    def feature(j: int):
+        value = F.when(i % 53 == 0, float("nan")).otherwise((i % 3 - 1) * F.pow(F.lit(10.0), (i % 11 - 5).cast("double")) * (F.col("amount_usd") + j) / F.lit(7.313))
+        return F.struct(F.element_at(names, ((i + j) % 13 + 1).cast("int")).alias("feature"), value.alias("value"))
+
+    # A fourth feature is never shown.
+    top = F.array(*map(feature, range(4)))
+    return B.txn(spark, d).select("transaction_id", F.array_join(D.reasons(top, F.col("k") % 3 == 1, F.col("modality") == "crypto"), "; ").alias("reasons"))
 
 
 @query("p14_alert_eligibility", f"WITH {B.SCORED} SELECT transaction_id, decision <> 'approve' AND amount_usd >= 100 AND (decision <> 'review' OR risk_score >= 0.60) AS eligible FROM scored")
@@ -131,11 +168,23 @@ def p14(spark, d):
     return B.scored(spark, d).select("transaction_id", D.alert_eligible(F.col("decision"), F.col("risk_score"), F.col("amount_usd")).alias("eligible"))
 
 
-@query("p15_alert_message")
+_G = "format('{{:.4g}}', {0})"
+
+
+@query("p15_alert_message", f"""WITH {B.SCORED} SELECT transaction_id, CASE decision WHEN 'block' THEN '🚨 Fraud Alert — BLOCK' WHEN 'review' THEN '⚠️ Fraud Alert — REVIEW' ELSE '✅ Fraud Alert — APPROVE' END AS title,
+  CASE decision WHEN 'block' THEN '#E53E3E' WHEN 'review' THEN '#DD6B20' ELSE '#38A169' END AS color, substr(transaction_id, 1, 24) AS id, client_id AS client, format('{{:.4f}}', risk_score) AS score, format('${{:.2f}}', round(k * 1.25::DOUBLE, 2)) AS amount,
+  CASE WHEN modality = 'crypto' THEN '• Fiat→crypto laundering pattern detected' || chr(10) || '• First-time receiver' WHEN k % 2 = 0 THEN '• First-time receiver' ELSE '• (no reasons)' END AS reasons,
+  CASE WHEN event_id % 4 = 0 THEN '• (no explanation available)' ELSE '• amount usd: `' || {_G.format("amount_usd / 7.313::DOUBLE")} || '` (' || CASE WHEN risk_score - 0.5 > 0 THEN '↑' ELSE '↓' END || ' fraud)' || chr(10) || '• count 1h: `' || {_G.format("k::DOUBLE")} || '` (↓ fraud)' END AS features FROM scored""")
 def p15(spark, d):
-    s = B.scored(spark, d).where("decision <> 'approve'")
-    why = D.reasons(F.array(F.lit("amount_usd"), F.lit("k")), F.lit(False), F.col("modality") == "crypto")
-    return s.select("transaction_id", D.alert_message(F.col("decision"), F.col("transaction_id"), F.col("amount_usd"), F.col("risk_score"), why).alias("message"))
+    s = B.scored(spark, d)
+    crypto = F.col("modality") == "crypto"
+    known = F.array(F.struct(F.lit("is_first_time_receiver").alias("feature"), F.lit(1.0).alias("value")))
+    why = D.reasons(F.when(crypto | (F.col("k") % 2 == 0), known).otherwise(F.slice(known, 1, 0)), F.lit(False), crypto)
+    part = lambda name, value, contribution: F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value"), contribution.cast("double").alias("contribution"))
+    parts = F.array(part("amount_usd", F.col("amount_usd") / F.lit(7.313), F.col("risk_score") - 0.5), part("count_1h", F.col("k"), F.lit(0.0)))
+    told = F.when(F.col("event_id") % 4 == 0, F.slice(parts, 1, 0)).otherwise(parts)
+    m = D.alert_message(F.col("decision"), F.col("transaction_id"), F.col("client_id"), F.round(F.col("k") * 1.25, 2), F.col("risk_score"), why, told)
+    return s.select("transaction_id", m.alias("m")).select("transaction_id", "m.*")
 
 
 @query("p16_dashboard_event", f"WITH {B.SCORED} SELECT transaction_id FROM scored WHERE decision IN ('block', 'review') AND risk_score > 0.5")
@@ -143,11 +192,16 @@ def p16(spark, d):
     return B.scored(spark, d).where(D.dashboard_event(F.col("decision"), F.col("risk_score"))).select("transaction_id")
 
 
-@query("p17_review_prompt")
+@query("p17_review_prompt", f"""WITH {B.SCORED}, x AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN (k % 2)::INTEGER END AS first, k * 0.25::DOUBLE AS ratio FROM scored WHERE decision = 'review')
+SELECT transaction_id, 'TRANSACTION REVIEW REQUEST' || chr(10) || chr(10) || 'Transaction ID: ' || transaction_id || chr(10) || 'Institution:    ' || client_id || chr(10) || 'Model score:    ' || format('{{:.4f}}', risk_score) || ' (REVIEW zone: 0.30-0.80)'
+  || chr(10) || chr(10) || 'TRANSACTION FEATURES:' || chr(10) || '{{' || chr(10) || array_to_string([p FOR p IN ['  "modality": "' || modality || '"', '  "is_first_time_receiver": ' || first, '  "balance_drain_ratio": ' || ratio, '  "hour_of_day": ' || hour(ts)] IF p IS NOT NULL], ',' || chr(10)) || chr(10) || '}}'
+  || chr(10) || chr(10) || 'MODEL EXPLANATION (strongest features):' || chr(10) || '  balance_drain_ratio: value=' || format('{{:.4f}}', ratio) || ', contribution=' || CASE WHEN k >= 50 THEN '+' ELSE '' END || format('{{:.4f}}', (k - 50) / 8::DOUBLE) || CASE WHEN k > 50 THEN ' (↑ fraud)' ELSE ' (↓ fraud)' END
+  || chr(10) || chr(10) || 'Is this FRAUD (1) or LEGITIMATE (0)?' AS prompt FROM x""")
 def p17(spark, d):
     s = B.scored(spark, d).where("decision = 'review'")
-    parts = F.array(F.struct(F.lit("amount_usd").alias("feature"), F.col("amount_usd").alias("contribution")), F.struct(F.lit("k").alias("feature"), F.col("k").cast("double").alias("contribution")))
-    return s.select("transaction_id", D.review_prompt(F.struct("amount_usd", "client_id", "modality", "k"), parts).alias("prompt"))
+    s = s.select("transaction_id", "client_id", "risk_score", "modality", "event_id", F.when(F.col("event_id") % 5 != 0, (F.col("k") % 2).cast("int")).alias("is_first_time_receiver"), (F.col("k") * 0.25).alias("balance_drain_ratio"), F.hour("ts").alias("hour_of_day"), F.lit(None).cast("int").alias("count_1h"), "k")
+    s = s.withColumn("why", F.array(F.struct(F.lit("balance_drain_ratio").alias("feature"), F.col("balance_drain_ratio").alias("value"), ((F.col("k") - 50) / F.lit(8.0)).alias("contribution"))))
+    return s.select("transaction_id", D.review_prompt(s, "transaction_id", "client_id", "risk_score", "why").alias("prompt"))
 
 
 @query("p18_parse_label", f"""WITH {B.TXN} SELECT transaction_id, CASE WHEN k % 4 < 2 AND k <= 100 THEN (k % 4)::INTEGER END AS label, CASE WHEN k % 4 < 2 AND k <= 100 THEN k / 100::DOUBLE END AS confidence FROM txn""")
@@ -162,9 +216,14 @@ def p19(spark, d):
     return B.labels_tbl(spark, d).where("confidence >= 0.70").select("transaction_id", D.label_weight(F.col("confidence")).alias("weight"))
 
 
-@query("p20_source_confidence", f"WITH {B.TXN}, {B.LABELS} SELECT transaction_id, (CASE source WHEN 'chargeback' THEN 1.0 WHEN 'llm' THEN 0.7 ELSE 0.5 END)::DOUBLE AS source_confidence FROM labels_tbl")
+_SOURCES = ["simulator", "elliptic_real", "elliptic_seeded", "alchemy_real", "alchemy_legit", "finbridge_prod", "alchemy_tornado_cash", None]
+
+
+@query("p20_source_confidence", """WITH s AS (SELECT event_id, ['simulator', 'elliptic_real', 'elliptic_seeded', 'alchemy_real', 'alchemy_legit', 'finbridge_prod', 'alchemy_tornado_cash', NULL][(event_id % 8 + 1)::INTEGER] AS source FROM events)
+SELECT event_id, (CASE source WHEN 'simulator' THEN 0.50 WHEN 'elliptic_real' THEN 1.00 WHEN 'elliptic_seeded' THEN 0.85 WHEN 'alchemy_real' THEN 0.75 WHEN 'alchemy_legit' THEN 0.70 WHEN 'finbridge_prod' THEN 0.55 ELSE 0.50 END)::DOUBLE AS source_confidence FROM s""")
 def p20(spark, d):
-    return B.labels_tbl(spark, d).select("transaction_id", R.source_confidence(F.col("source")).alias("source_confidence"))
+    source = F.element_at(F.array(*map(F.lit, _SOURCES)), (F.col("event_id") % 8 + 1).cast("int"))
+    return B.table(spark, d, "events").select("event_id", R.source_confidence(source).alias("source_confidence"))
 
 
 @query("p21_usd_repair", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, value * 2800) AS amount_usd FROM events")
@@ -196,11 +255,13 @@ def p26(spark, d):
     return B.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("double").alias("k")).where("k IS NOT NULL")
 
 
-@query("p27_boolish", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END AS flag, -1.0::DOUBLE AS absent FROM events")
+@query("p27_boolish", """SELECT event_id, (CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END)::DOUBLE AS is_weekend, (CASE WHEN event_id % 4 = 0 THEN -1 WHEN event_id % 4 = 1 THEN 1 ELSE 0 END)::DOUBLE AS is_real_data,
+  CASE WHEN event_id % 7 = 0 THEN -1 ELSE value END AS amount_usd, -1.0::DOUBLE AS absent FROM events""")
 def p27(spark, d):
-    i = F.col("event_id") % 5
-    e = B.table(spark, d, "events").select("event_id", F.when(i == 0, "True").when(i == 1, "true").when(i == 2, "False").when(i == 3, "maybe").alias("w"))
-    return e.select("event_id", R.boolish(F.col("w")).alias("flag"), F.lit(-1.0).alias("absent"))
+    i = F.col("event_id")
+    word = F.when(i % 6 == 0, "True").when(i % 6 == 1, "true").when(i % 6 == 2, "False").when(i % 6 == 3, "maybe").when(i % 6 == 4, "TRUE")
+    e = B.table(spark, d, "events").select("event_id", word.alias("is_weekend"), F.when(i % 4 != 0, i % 4 == 1).alias("is_real_data"), F.when(i % 7 != 0, F.col("value")).alias("amount_usd"), F.lit(1).alias("unknown_to_the_model"))
+    return R.aligned(e, ["is_weekend", "is_real_data", "amount_usd", "absent"], keep=["event_id"])
 
 
 @query("p28_nan_to_zero", "SELECT vec_id, round(list_sum([CASE WHEN x > 0 THEN x ELSE 0 END FOR x IN embedding::DOUBLE[]]), 4) AS total FROM embeddings")
@@ -209,9 +270,11 @@ def p28(spark, d):
     return B.table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(R.no_nan(v), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("p29_alignment_report")
+@query("p29_alignment_report", f"""WITH {B.TXN} SELECT count(*) AS n, 5 AS expected, (5 - len(missing))::INTEGER AS present, array_to_string(missing, ',') AS missing, CASE WHEN len(missing) = 0 THEN 'pass' WHEN len(missing) <= 5 THEN 'warn' ELSE 'fail' END AS verdict
+FROM txn, (SELECT [x FOR x IN [CASE WHEN count(amount_usd) = 0 THEN 'amount_usd' END, CASE WHEN count(k) = 0 THEN 'k' END, 'count_1h', CASE WHEN count(CASE WHEN k > 1000 THEN k END) = 0 THEN 'large_k' END] IF x IS NOT NULL] AS missing FROM txn) GROUP BY missing""")
 def p29(spark, d):
-    return R.alignment_report(B.txn(spark, d), ["amount_usd", "k", "risk_score", "count_1h"])
+    t = B.txn(spark, d).withColumn("large_k", F.when(F.col("k") > 1000, F.col("k")))
+    return R.alignment_report(t, ["amount_usd", "k", "risk_score", "count_1h", "large_k"]).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("p30_human_routing", f"WITH {B.SCORED} SELECT transaction_id, decision = 'review' AND amount_usd >= 60 AS human FROM scored")
@@ -289,9 +352,24 @@ def w13(spark, d):
 
 
 @query("w14_latest_snapshot", f"""WITH {B.TXN}, r AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY ts_us DESC, event_id DESC) AS n FROM txn)
-SELECT identity, ts_us, event_id, client_id, amount_usd, round(risk_score, 6) AS risk_score FROM r WHERE n = 1""")
+SELECT identity, ts_us, event_id, client_id, amount_usd, round(risk_score, 6) AS risk_score FROM r WHERE n = 1 AND ts_us >= (SELECT max(ts_us) FROM txn) + 89 * {24 * H} + 23 * {H} - 90 * {24 * H}""")
 def w14(spark, d):
-    return W.latest_snapshot(B.txn(spark, d), F.lit(0)).withColumn("risk_score", F.round("risk_score", 6))
+    """As seen 89 days and 23 hours after the newest event, so that identities idle for more than an hour then have run out."""
+    t = B.txn(spark, d)
+    return W.latest_snapshot(t, F.lit(newest_us(t) + 89 * 24 * H + 23 * H)).withColumn("risk_score", F.round("risk_score", 6))
+
+
+@query("w1_velocity_slots", f"WITH {B.TXN} SELECT event_id, {_range('1h', H)}, {_range('6h', 6 * H)}, {_range('24h', 24 * H)}, {_range('7d', WK - 1)} FROM txn")
+def w1s(spark, d):
+    """The exact windows with every identity cut into slots of a week, so that a hot identity is no single task."""
+    v = W.in_slots(B.txn(spark, d), W.velocity)
+    return v.select("event_id", *(f"{k}_{n}" for n in ("1h", "6h", "24h", "7d") for k in ("count", "sum")))
+
+
+@query("w5_w9_cross_client_slots", ORACLE_SQL["w5_w9_cross_client"])
+def w5s(spark, d):
+    c = W.in_slots(B.txn(spark, d), W.cross_client)
+    return c.select("event_id", "institution_count", "cross_client_velocity", "has_fiat_history", "has_crypto_history", "amount_correlation", "cross_modal_pattern_detected")
 
 
 @query("w1_hour_buckets", f"""WITH {B.TXN}, b AS (SELECT identity, ts_us // {H} AS hour, count(*) AS n, sum(amount_usd::DECIMAL(18,4)) AS v FROM txn GROUP BY ALL)

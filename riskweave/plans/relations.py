@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.decisions import label_weight
 from ..operators import graph as G
 from ..operators import joins as J
-from ..operators.aggregates import newest
+from ..operators.aggregates import newest_us
 from ..sources import bindings as B
 from ..sources import storage as S
 from .catalog import query
@@ -27,16 +29,52 @@ def io6e(spark, d):
     return S.graph_edges(B.edges_order(spark, d))
 
 
-@query("io9_transfer_rows")
+_MOVES = "SELECT sha256('0xa' || identity) AS sender, sha256('0xb' || receiver) AS receiver, amount_usd * 2800 AS usd, transaction_id, date_trunc('second', ts) AS ts FROM txn WHERE event_id % 50 <> 0"
+
+
+@query("io9_transfer_rows", f"WITH {B.TXN} SELECT transaction_id, epoch_us(ts) AS ts_us, sender AS sender_wallet_hash, receiver AS receiver_wallet_hash, round(usd, 4) AS amount_usd, 'ETH' AS cryptocurrency, 'crypto' AS modality, 1 AS is_fraud, 'alchemy_tornado_cash' AS source FROM ({_MOVES})")
 def io9(spark, d):
     good, _ = S.parsed_transfers(_transfers(spark, d))
-    return S.transfer_rows(good, "tornado_cash")
+    rows = S.transfer_rows(good, "tornado_cash")
+    return rows.withColumns({"ts_us": F.unix_micros("timestamp"), "amount_usd": F.round("amount_usd", 4)}).drop("timestamp")
 
 
-@query("io10_transfer_edges")
+@query("io10_transfer_edges", f"WITH {B.TXN} SELECT sender AS src, receiver AS dst, round(usd, 4) AS amount, transaction_id, 1 AS depth, true AS fraud_proximity FROM ({_MOVES})")
 def io10(spark, d):
     good, _ = S.parsed_transfers(_transfers(spark, d))
-    return S.transfer_edges(good, 1, True)
+    return S.transfer_edges(good, 1, True).withColumn("amount", F.round("amount", 4))
+
+
+_EVENTS = "SELECT event_id, user_id, event_type, value, props FROM events"
+
+
+def _round_trip(spark, d, write, read):
+    """Every event written by one function and read by another."""
+    path = f"{S.shared_folder(spark)}/io-{uuid.uuid4().hex}"
+    e = B.table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props")
+    write(e, path)
+    return read(path, "event_id long, user_id long, event_type string, value double, props string")
+
+
+@query("io2_json_lines", _EVENTS)
+def io2(spark, d):
+    return _round_trip(spark, d, lambda e, p: e.write.json(p), lambda p, schema: S.read_json_lines(spark, p, schema))
+
+
+@query("io3_io5_csv_with_header", _EVENTS)
+def io3(spark, d):
+    return _round_trip(spark, d, S.write_csv, lambda p, schema: S.read_csv(spark, p, schema))
+
+
+@query("io3_csv_without_header", _EVENTS)
+def io3b(spark, d):
+    return _round_trip(spark, d, lambda e, p: S.write_csv(e, p, header=False), lambda p, schema: S.read_csv(spark, p, schema, header=False))
+
+
+@query("io4_split_folders", "SELECT event_id, user_id, event_type, value, props, CASE WHEN event_id % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM events")
+def io4(spark, d):
+    split = F.when(F.col("event_id") % 10 < 8, "train").otherwise("test")
+    return _round_trip(spark, d, lambda e, p: S.write_splits(e.withColumn("split", split), p), lambda p, schema: spark.read.schema(f"{schema}, split string").parquet(p))
 
 
 def _transfers(spark, d):
@@ -73,7 +111,7 @@ def j2(spark, d):
 WHERE decision = 'review' AND ts_us >= now - 240 * 3600000000 AND amount_usd < 80 AND NOT EXISTS (SELECT 1 FROM labels_tbl l WHERE l.transaction_id = s.transaction_id) ORDER BY s.risk_score DESC, s.transaction_id LIMIT 500""")
 def j3(spark, d):
     s = B.scored(spark, d)
-    return J.review_candidates(s, B.labels_tbl(spark, d), newest(s), hours=240, below=80.0).select("transaction_id", F.round("risk_score", 6).alias("risk_score"))
+    return J.review_candidates(s, B.labels_tbl(spark, d), B.at(newest_us(s) - 240 * 3_600_000_000), below=80.0).select("transaction_id", F.round("risk_score", 6).alias("risk_score"))
 
 
 @query("j4_insert_absent", f"""WITH {B.TXN}, {B.LABELS} SELECT transaction_id, source FROM labels_tbl UNION ALL SELECT transaction_id, 'new' FROM txn WHERE event_id % 3 = 0 AND event_id % 5 <> 0""")
@@ -90,15 +128,15 @@ def j5(spark, d):
     return J.apply_chargebacks(labels, B.txn(spark, d).where("event_id % 4 = 0").select("transaction_id", F.lit(1).alias("is_fraud")))
 
 
-@query("j6_evaluation_rows", f"""WITH {B.TXN}, {B.LABELS} SELECT l.transaction_id, round(risk_score, 6) AS risk_score, coalesce(chargeback_label, llm_label) AS label FROM labels_tbl l JOIN txn USING (transaction_id) WHERE chargeback_label IS NOT NULL OR confidence >= 0.80""")
+@query("j6_evaluation_rows", f"""WITH {B.TXN}, {B.LABELS} SELECT l.transaction_id, round(risk_score, 6) AS risk_score, coalesce(chargeback_label, llm_label) AS label FROM labels_tbl l JOIN txn USING (transaction_id) WHERE (chargeback_label IS NOT NULL OR confidence >= 0.80) AND (SELECT count(*) FROM labels_tbl WHERE chargeback_label IS NOT NULL OR confidence >= 0.80) >= 50""")
 def j6(spark, d):
     return J.evaluation_rows(B.scored(spark, d), B.labels_tbl(spark, d)).select("transaction_id", F.round("risk_score", 6).alias("risk_score"), "label")
 
 
-@query("j7_recycled_receiver", f"""WITH {B.EDGES_TXN}, b AS (SELECT src AS id FROM edges WHERE modality = 'crypto' AND src < 60 INTERSECT SELECT dst FROM edges WHERE modality = 'crypto' AND src < 60)
+@query("j7_recycled_receiver", f"""WITH {B.EDGES_TXN}, b AS (SELECT src AS id FROM edges WHERE modality = 'crypto' AND client_id = 'cryptoex' INTERSECT SELECT dst FROM edges WHERE modality = 'crypto' AND client_id = 'cryptoex')
 SELECT edge_id, (dst IN (SELECT id FROM b))::INTEGER AS recycled FROM edges""")
 def j7(spark, d):
-    return J.recycled_receiver(B.edges_txn(spark, d), F.expr("modality = 'crypto' AND src < 60")).select("edge_id", "recycled")
+    return J.recycled_receiver(B.edges_txn(spark, d), F.expr("modality = 'crypto' AND client_id = 'cryptoex'")).select("edge_id", "recycled")
 
 
 @query("j8_illicit_neighbours", f"""WITH {B.NODES_VEC}, {B.EDGES_VEC}, u AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
@@ -108,25 +146,34 @@ def j8(spark, d):
     return J.illicit_neighbours(B.nodes_vec(spark, d), B.edges_vec(spark, d)).select("id", "illicit_neighbours", "has_illicit_neighbour")
 
 
-@query("j9_frontier_expansion", f"""WITH {B.EDGES_TXN}, s AS (SELECT DISTINCT src AS id, (src % 3 = 0)::INTEGER AS near FROM edges WHERE src < 20),
+@query("j9_frontier_expansion", f"""WITH {B.EDGES_TXN}, s AS (SELECT src AS id, max((modality = 'crypto')::INTEGER) AS near FROM edges WHERE is_fraud = 1 GROUP BY src),
 n AS (SELECT dst AS id, max(near) AS near_fraud FROM edges JOIN s ON edges.src = s.id WHERE dst NOT IN (SELECT id FROM s) GROUP BY dst)
 (SELECT id, near_fraud FROM n WHERE near_fraud = 1 ORDER BY id LIMIT 28) UNION ALL (SELECT id, near_fraud FROM n WHERE near_fraud = 0 ORDER BY id LIMIT 12)""")
 def j9(spark, d):
+    """From all senders of fraud edges; near fraud if any of these is crypto."""
     e = B.edges_txn(spark, d)
-    seeds = e.where("src < 20").select(F.col("src").alias("id"), (F.col("src") % 3 == 0).cast("int").alias("near_fraud")).distinct()
+    seeds = e.where("is_fraud = 1").groupBy(F.col("src").alias("id")).agg(F.max((F.col("modality") == "crypto").cast("int")).alias("near_fraud"))
     return J.expand_frontier(e, seeds, 40)
 
 
-@query("j10_active_subgraph", f"WITH {B.EDGES_TXN} SELECT edge_id FROM edges WHERE src < 15 OR dst < 15")
+_ACTIVE = "active AS (SELECT DISTINCT id FROM (SELECT src AS id, ts_us FROM edges UNION ALL SELECT dst, ts_us FROM edges) WHERE ts_us >= (SELECT max(ts_us) FROM edges) - 7200000000)"
+
+
+def _active(e):
+    """Nodes of the edges of the last two hours."""
+    return G.node_list(e.where(F.col("ts_us") >= newest_us(e) - 7_200_000_000))
+
+
+@query("j10_active_subgraph", f"WITH {B.EDGES_TXN}, {_ACTIVE} SELECT edge_id FROM edges WHERE src IN (SELECT id FROM active) OR dst IN (SELECT id FROM active)")
 def j10(spark, d):
     e = B.edges_txn(spark, d)
-    return J.active_subgraph(e, e.where("src < 15").select(F.col("src").alias("id")).union(e.where("dst < 15").select("dst")).distinct()).select("edge_id")
+    return J.active_subgraph(e, _active(e)).select("edge_id")
 
 
-@query("j11_wallet_conflicts", f"WITH {B.EDGES_TXN} SELECT DISTINCT src AS id FROM edges WHERE src NOT IN (SELECT dst FROM edges WHERE is_fraud = 1 AND dst < 100) ORDER BY id LIMIT 2000")
+@query("j11_wallet_conflicts", f"WITH {B.EDGES_TXN} SELECT DISTINCT src AS id FROM edges WHERE src NOT IN (SELECT dst FROM edges WHERE is_fraud = 1) ORDER BY id LIMIT 2000")
 def j11(spark, d):
     e = B.edges_txn(spark, d)
-    return J.resolve_wallets(e.select(F.col("src").alias("id")), e.where("is_fraud = 1 AND dst < 100").select(F.col("dst").alias("id")))
+    return J.resolve_wallets(e.select(F.col("src").alias("id")), e.where("is_fraud = 1").select(F.col("dst").alias("id")))
 
 
 @query("j12_fiat_crypto_pairs", f"""WITH {B.TXN} SELECT f.identity, f.transaction_id AS fiat_id, c.transaction_id AS crypto_id, round((c.ts_us - f.ts_us) / 1000000::DOUBLE, 3) AS seconds
@@ -200,22 +247,29 @@ walk(id, distance) AS (SELECT id, 0 FROM seeds UNION SELECT u.dst, distance + 1
 SELECT id, min(distance)::INTEGER AS distance FROM walk GROUP BY id"""
 
 
-@query("g7_fraud_distance", _BFS.format(ctes=f"{B.NODES_VEC}, {B.EDGES_VEC}, seeds AS (SELECT id FROM nodes WHERE id % 97 = 0)", hops=5))
+@query("g7_fraud_distance", _BFS.format(ctes=f"{B.NODES_VEC}, {B.EDGES_VEC}, seeds AS (SELECT id FROM nodes WHERE class = '1')", hops=5))
 def g7(spark, d):
-    return G.distances(B.edges_vec(spark, d), B.nodes_vec(spark, d).where("id % 97 = 0").select("id"))
+    return G.distances(B.edges_vec(spark, d), B.nodes_vec(spark, d).where("class = '1'").select("id"))
 
 
 @query("g8_active_nodes", f"""WITH {B.EDGES_TXN}, b AS (SELECT src AS id, ts_us FROM edges UNION ALL SELECT dst, ts_us FROM edges), n AS (SELECT id, max(ts_us) AS last_seen FROM b GROUP BY id)
 SELECT id, last_seen FROM n WHERE last_seen >= (SELECT max(ts_us) FROM edges) - 7200000000 ORDER BY last_seen DESC, id LIMIT 5000""")
 def g8(spark, d):
     e = B.edges_txn(spark, d)
-    nodes = G.node_totals(e).join(F.broadcast(newest(e)))
-    return G.active_nodes(nodes, F.col("now"), 7200).select("id", "last_seen")
+    return G.active_nodes(G.node_totals(e), F.lit(newest_us(e)), 7200).select("id", "last_seen")
+
+
+_LAST_STEP = "seeds AS (SELECT id FROM nodes WHERE step = (SELECT max(step) FROM nodes))"
 
 
-@query("g9_two_hop", "SELECT id FROM (" + _BFS.format(ctes=f"{B.NODES_VEC}, {B.EDGES_VEC}, seeds AS (SELECT id FROM nodes WHERE id < 3)", hops=2) + ")")
+def _last_step(nodes):
+    """Nodes of the newest time step, about one in 49."""
+    return nodes.where(F.col("step") == newest_us(nodes, "step")).select("id")
+
+
+@query("g9_two_hop", "SELECT id FROM (" + _BFS.format(ctes=f"{B.NODES_VEC}, {B.EDGES_VEC}, {_LAST_STEP}", hops=2) + ")")
 def g9(spark, d):
-    return G.neighbourhood(B.edges_vec(spark, d), B.nodes_vec(spark, d).where("id < 3").select("id"))
+    return G.neighbourhood(B.edges_vec(spark, d), _last_step(B.nodes_vec(spark, d)))
 
 
 @query("g10_max_normalised", f"""WITH {B.EDGES_TXN}, s AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY src) SELECT id, round(n / (SELECT greatest(max(n), 1e-9) FROM s), 6) AS n FROM s""")
@@ -235,6 +289,22 @@ def g12(spark, d):
     return G.neighbour_mean(B.edges_vec(spark, d), B.nodes_vec(spark, d)).select("id", F.round(F.col("mean")[0], 5).alias("m0"), F.round(F.col("mean")[63], 5).alias("m63"))
 
 
+@query("g12_capped_neighbour_mean", f"""WITH {B.NODES_VEC}, {B.EDGES_VEC}, c AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src * 7919 % 10007, src) AS r FROM edges)
+SELECT c.dst AS id, round(avg(n.features[1]), 5) AS m0, round(avg(n.features[64]), 5) AS m63 FROM c JOIN nodes n ON c.src = n.id WHERE r <= 1 GROUP BY c.dst""")
+def g12c(spark, d):
+    """One neighbour each, so that the cap is met."""
+    return G.neighbour_mean(B.edges_vec(spark, d), B.nodes_vec(spark, d), 1).select("id", F.round(F.col("mean")[0], 5).alias("m0"), F.round(F.col("mean")[63], 5).alias("m63"))
+
+
+@query("g13_hop_features", f"""WITH {B.NODES_VEC}, {B.EDGES_VEC}, c AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src * 7919 % 10007, src) AS r FROM edges),
+m AS (SELECT c.dst AS id, avg(n.features[1]) AS h FROM c JOIN nodes n ON c.src = n.id WHERE r <= 15 GROUP BY c.dst), a AS (SELECT id, features[1] AS x, coalesce(h, 0) AS h FROM nodes LEFT JOIN m USING (id)),
+t AS (SELECT c.dst AS id, avg(a.h) AS h FROM c JOIN a ON c.src = a.id WHERE r <= 10 GROUP BY c.dst)
+SELECT a.id, 192::BIGINT AS size, round(a.x, 5) AS own, round(a.h, 5) AS one_hop, round(coalesce(t.h, 0), 5) AS two_hop FROM a LEFT JOIN t USING (id)""")
+def g13h(spark, d):
+    x = G.hop_features(B.edges_vec(spark, d), B.nodes_vec(spark, d))
+    return x.select("id", F.size("x").cast("long").alias("size"), *(F.round(F.col("x")[i], 5).alias(n) for i, n in ((0, "own"), (64, "one_hop"), (128, "two_hop"))))
+
+
 @query("g13_propagated_embeddings")
 def g13(spark, d):
     return G.propagated_embeddings(B.edges_vec(spark, d), B.nodes_vec(spark, d))
@@ -250,7 +320,4 @@ def g14(spark, d):
 @query("g15_incremental_refresh")
 def g15(spark, d):
     nodes, edges = B.nodes_vec(spark, d), B.edges_vec(spark, d)
-    near = G.neighbourhood(edges, nodes.where("id < 5").select("id"), 2)
-    part = J.active_subgraph(edges, near)
-    new = G.propagated_embeddings(part, nodes.join(J.lookup(near), "id", "left_semi"), 16)
-    return G.refreshed(nodes.select("id", F.slice("features", 1, 16).alias("embedding")), new)
+    return G.embedding_refresh(edges, nodes, nodes.select("id", F.slice("features", 1, 16).alias("embedding")), _last_step(nodes), 16)

@@ -34,7 +34,7 @@ def a4(spark, d):
 _NODES = f"""o AS (SELECT src AS id, count(*) AS out_degree, sum(amount{M})::DOUBLE AS s, max(is_fraud) AS label FROM edges GROUP BY src),
 i AS (SELECT dst AS id, count(*) AS in_degree, sum(amount{M})::DOUBLE AS r FROM edges GROUP BY dst),
 stats AS (SELECT id, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, round(coalesce(s / out_degree, 0), 4) AS avg_out, round(coalesce(s, 0), 2) AS sum_out,
-  round(coalesce(r / in_degree, 0), 4) AS avg_in, round(coalesce(in_degree, 0) / (coalesce(out_degree, 0) + 1), 6) AS fan_in, round(coalesce(s, 0) / greatest(coalesce(out_degree, 0), 1), 4) AS volume_per_txn, coalesce(label, 0) AS label
+  round(coalesce(r / in_degree, 0), 4) AS avg_in, round(coalesce(in_degree, 0) / (coalesce(out_degree, 0) + 1), 6) AS fan_in, round(coalesce(s, 0) / (coalesce(out_degree, 0) + 1), 4) AS volume_per_txn, coalesce(label, 0) AS label
   FROM o FULL JOIN i USING (id))"""
 
 
@@ -50,20 +50,19 @@ def p23(spark, d):
 
 
 _SNAP = f"""count(*) AS n, count(*) FILTER (decision = 'approve') AS approved, count(*) FILTER (decision = 'review') AS reviewed, count(*) FILTER (decision = 'block') AS blocked,
-  round(count(*) FILTER (decision = 'block') / count(*), 4) AS block_rate, round(avg(risk_score), 4) AS mean_score, round(sum(amount_usd{M})::DOUBLE, 2) AS volume"""
+  round(count(*) FILTER (decision = 'block') / count(*), 4) AS block_rate, round(count(*) FILTER (decision = 'review') / count(*), 4) AS review_rate, round(avg(risk_score), 4) AS mean_score, round(avg(k * 3), 2) AS mean_latency_ms, round(sum(amount_usd{M})::DOUBLE, 2) AS volume"""
 
 
 @query("a7_live_snapshot", f"WITH {B.SCORED} SELECT client_id, {_SNAP} FROM scored GROUP BY ROLLUP (client_id)")
 def a7(spark, d):
-    return A.live_snapshot(B.scored(spark, d))
+    return A.live_snapshot(B.scored(spark, d).withColumn("latency_ms", F.col("k") * 3))
 
 
 @query("a8_hourly_by_client", f"""WITH {B.SCORED} SELECT ts_us // 3600000000 AS hour, client_id, count(*) AS n, count(*) FILTER (decision = 'block') AS blocked, count(*) FILTER (decision = 'review') AS reviewed,
   round(avg(risk_score), 4) AS mean_score, round(sum(amount_usd{M})::DOUBLE, 2) AS volume FROM scored, latest WHERE ts_us >= now - 24 * 3600000000 GROUP BY ALL""")
 def a8(spark, d):
     s = B.scored(spark, d)
-    both = s.join(F.broadcast(A.newest(s)))
-    return A.hourly(both, F.col("now"))
+    return A.hourly(s, B.at(A.newest_us(s) - 24 * 3_600_000_000))
 
 
 @query("a9_block_rate_drift", f"""WITH {B.SCORED}, r AS (SELECT
@@ -143,13 +142,24 @@ def a18(spark, d):
     return A.data_summary(B.txn(spark, d))
 
 
+@query("a18_cross_modal_totals", f"WITH {B.TXN} SELECT count(*) AS transactions, count(DISTINCT receiver) AS sequences FROM txn WHERE k % 5 = 0 AND receiver IS NOT NULL")
+def a18c(spark, d):
+    return A.cross_modal_totals(B.txn(spark, d).withColumn("sequence", F.when(F.col("k") % 5 == 0, F.col("receiver"))), "sequence")
+
+
 _SPLIT = """ranked AS (SELECT *, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS r, count(*) OVER () AS n FROM txn),
 split AS (SELECT *, CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.9 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM ranked)"""
 
 
-@query("a19_split_report", f"WITH {B.TXN}, {_SPLIT} SELECT split, count(*) AS n, round(100 * avg(is_fraud), 4) AS fraud_percent, min(ts_us) AS first_us, round(100 * avg((modality = 'fiat')::INTEGER), 4) AS fiat_percent FROM split GROUP BY split")
+@query("a19_split_report", f"""WITH {B.TXN}, {_SPLIT}, g AS (SELECT split, count(*) AS n, avg(is_fraud) AS f, min(ts_us) AS first_us, round(100 * avg((k % 3 > 0)::INTEGER), 4) AS embedding_percent FROM split GROUP BY split)
+SELECT split, n, round(100 * f, 4) AS fraud_percent, first_us, embedding_percent, (SELECT abs(max(f) FILTER (split = 'train') - max(f) FILTER (split = 'test')) * 100 > 5 FROM g) AS fraud_shift FROM g""")
 def a19(spark, d):
-    return A.split_report(K.temporal_split(B.txn(spark, d), "ts_us", "event_id"))
+    return A.split_report(K.temporal_split(B.txn(spark, d).withColumn("hit", (F.col("k") % 3 > 0).cast("int")), "ts_us", "event_id"), "hit")
+
+
+@query("a19_source_mix", f"WITH {B.TXN}, {_SPLIT} SELECT split, client_id, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY split), 4) AS percent FROM split GROUP BY split, client_id")
+def a19m(spark, d):
+    return A.source_mix(K.temporal_split(B.txn(spark, d), "ts_us", "event_id"), "client_id")
 
 
 @query("a20_class_weights", f"WITH {B.TXN} SELECT count(*) FILTER (is_fraud = 1) AS n_pos, count(*) FILTER (is_fraud = 0) AS n_neg, round(count(*) FILTER (is_fraud = 0) / count(*) FILTER (is_fraud = 1), 6) AS weight FROM txn")
@@ -193,6 +203,11 @@ def a26(spark, d):
     return A.latency_report(B.txn(spark, d), "event_type", "amount_usd", F.col("k") % 10 == 0)
 
 
+@query("a26_slow_requests", f"WITH {B.TXN} SELECT event_id FROM txn WHERE k * 3 > 200 AND NOT k % 10 = 0")
+def a26s(spark, d):
+    return A.slow_requests(B.txn(spark, d).withColumn("latency_ms", F.col("k") * 3), "latency_ms", F.col("k") % 10 == 0).select("event_id")
+
+
 @query("a27_alert_outcomes", f"WITH {B.SCORED} SELECT CASE WHEN decision = 'approve' THEN 'skipped' WHEN k % 20 = 0 THEN 'failed' ELSE 'sent' END AS outcome, count(*) AS n FROM scored GROUP BY outcome")
 def a27(spark, d):
     outcome = F.when(F.col("decision") == "approve", "skipped").when(F.col("k") % 20 == 0, "failed").otherwise("sent")
@@ -215,12 +230,15 @@ def k3(spark, d):
     return K.step_split(B.nodes_vec(spark, d), "step").select("id", "split")
 
 
-@query("k4_hash_split")
+_H = "('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT"
+
+
+@query("k4_hash_split", f"WITH {B.NODES_VEC} SELECT id, CASE WHEN {_H.format('id')} % 100 < 70 THEN 'train' WHEN {_H.format('id')} % 100 < 85 THEN 'val' ELSE 'test' END AS split FROM nodes")
 def k4(spark, d):
     return B.nodes_vec(spark, d).select("id", K.hash_split(F.col("id")).alias("split"))
 
 
-@query("k5_subsample")
+@query("k5_subsample", f"WITH {B.TXN} SELECT event_id, amount_usd FROM txn ORDER BY {_H.format('event_id')}, event_id LIMIT 500")
 def k5(spark, d):
     return K.subsample(B.txn(spark, d).select("event_id", "amount_usd"), "event_id", 500)
 
@@ -230,20 +248,40 @@ def k6(spark, d):
     return K.recent(B.scored(spark, d)).select("transaction_id", "decision", "ts_us")
 
 
-@query("k8_label_candidates", f"""WITH {B.TXN}, {B.LABELS}, w AS (SELECT transaction_id, event_id, source, (CASE WHEN confidence >= 0.85 THEN 1.0 WHEN confidence >= 0.70 THEN 0.7 ELSE 0.4 END)::DOUBLE AS weight FROM labels_tbl)
-SELECT transaction_id, weight, CASE source WHEN 'chargeback' THEN 1 WHEN 'human' THEN 2 ELSE 3 END AS priority FROM w WHERE weight >= 0.7 AND event_id % 15 <> 0""")
-def k8(spark, d):
+_STORE = """store AS (SELECT transaction_id, event_id, source, (CASE WHEN confidence >= 0.85 THEN 1.0 WHEN confidence >= 0.70 THEN 0.7 ELSE 0.4 END)::DOUBLE AS weight, event_id % 15 = 0 AS included_in_training,
+  CASE WHEN source = 'chargeback' THEN is_fraud END AS chargeback_label, CASE WHEN source = 'human' THEN 1 - is_fraud END AS human_label, CASE WHEN source = 'llm' AND event_id % 4 <> 0 THEN is_fraud END AS llm_label,
+  CASE WHEN event_id % 25 = 0 THEN 'no json' ELSE '{"amount_usd": ' || k || ', "modality": "m"}' END AS features_json FROM labels_tbl JOIN txn USING (transaction_id, event_id)),
+cand AS (SELECT *, coalesce(chargeback_label, human_label, llm_label) AS label FROM store WHERE weight >= 0.4 AND NOT included_in_training AND coalesce(chargeback_label, human_label, llm_label) IS NOT NULL)"""
+
+
+def _store(spark, d):
     from ..functions.decisions import label_weight
 
-    labels = B.labels_tbl(spark, d).withColumn("weight", label_weight(F.col("confidence")))
-    return K.label_candidates(labels, labels.where("event_id % 15 = 0"), 0.7).select("transaction_id", "weight", "priority")
+    labels = B.labels_tbl(spark, d).select("transaction_id", "event_id", "source", "confidence", F.col("llm_label").alias("y"))
+    k = B.txn(spark, d).select("transaction_id", "k")
+    of = lambda s, y: F.when(F.col("source") == s, y).cast("int")
+    i = F.col("event_id")
+    return labels.hint("merge").join(k, "transaction_id").select(
+        "transaction_id", "event_id", "source", label_weight(F.col("confidence")).alias("weight"), (i % 15 == 0).alias("included_in_training"), of("chargeback", F.col("y")).alias("chargeback_label"), of("human", 1 - F.col("y")).alias("human_label"),
+        of("llm", F.when(i % 4 != 0, F.col("y"))).alias("llm_label"), F.when(i % 25 == 0, "no json").otherwise(F.format_string('{"amount_usd": %d, "modality": "m"}', F.col("k"))).alias("features_json"),
+    )
+
+
+@query("k8_label_candidates", f"WITH {B.TXN}, {B.LABELS}, {_STORE} SELECT transaction_id, weight, label, CASE source WHEN 'chargeback' THEN 1 WHEN 'human' THEN 2 ELSE 3 END AS priority FROM cand WHERE event_id % 10 <> 0 ORDER BY priority, weight DESC, transaction_id")
+def k8(spark, d):
+    labels = _store(spark, d)
+    return K.label_candidates(labels, labels.where("event_id % 10 = 0")).select("transaction_id", "weight", "label", "priority")
 
 
-@query("k9_merge_training", f"""WITH {B.TXN}, {B.LABELS} SELECT transaction_id, CASE WHEN event_id % 10 = 0 THEN 1 ELSE is_fraud END AS is_fraud, CASE WHEN event_id % 10 = 0 THEN 0.7::DOUBLE END AS weight FROM txn""")
+@query("k9_merge_training", f"""WITH {B.TXN}, {B.LABELS}, {_STORE}, new AS (SELECT transaction_id, k::DOUBLE AS amount_usd, 'm' AS modality, label AS is_fraud, weight AS sample_weight, source AS label_source FROM cand JOIN txn USING (transaction_id) WHERE features_json <> 'no json' AND (SELECT count(*) FROM cand) >= 100)
+SELECT * FROM new UNION ALL SELECT transaction_id, amount_usd, modality, is_fraud, NULL, NULL FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM new)""")
 def k9(spark, d):
-    t = B.txn(spark, d)
-    new = t.where("event_id % 10 = 0").select("transaction_id", F.lit(1).alias("is_fraud"), F.lit(0.7).alias("weight"))
-    return K.merge_last(t.select("transaction_id", "is_fraud"), new)
+    return K.ingest_labels(B.txn(spark, d).select("transaction_id", "amount_usd", "modality", "is_fraud"), _store(spark, d))[0]
+
+
+@query("k9_labels_used", f"WITH {B.TXN}, {B.LABELS}, {_STORE} SELECT transaction_id, included_in_training OR (transaction_id IN (SELECT transaction_id FROM cand) AND (SELECT count(*) FROM cand) >= 100) AS included_in_training FROM store")
+def k9u(spark, d):
+    return K.ingest_labels(B.txn(spark, d).select("transaction_id", "amount_usd", "modality", "is_fraud"), _store(spark, d))[1].select("transaction_id", "included_in_training")
 
 
 @query("k10_union_by_name", f"WITH {B.TXN} SELECT transaction_id, amount_usd, NULL::VARCHAR AS modality FROM txn WHERE event_id % 2 = 0 UNION ALL SELECT transaction_id, NULL, modality FROM txn WHERE event_id % 2 = 1")

@@ -18,6 +18,11 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")
 
 
+def at(us: int) -> Column:
+    """The zoneless timestamp of so many microseconds since 1970, as a constant."""
+    return F.expr(f"timestampadd(MICROSECOND, {us}L, {EPOCH})")
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn_of(table(spark, sf_dir, "events"))
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one that is then set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local master (tests) gets a temporary one; a cluster must set it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="riskweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,15 +32,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=header)
+    return spark.read.csv(path, schema=schema, header=header, escape='"')
 
 
 def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """Quotes within a text are doubled, which ``read_csv`` undoes."""
+    df.write.mode("overwrite").csv(path, header=header, escape='"')
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:

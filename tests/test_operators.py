@@ -14,7 +14,7 @@ from riskweave.operators import ordering as K
 def test_node_fan_out(spark):
     rows = [("n", "x", 1.0, 0), ("n", "y", 3.0, 1), ("p", "n", 5.0, 0), ("q", "n", 7.0, 0), ("r", "n", 9.0, 0)]
     r = A.node_stats(spark.createDataFrame(rows, "src string, dst string, amount double, is_fraud int")).where("id = 'n'").first()
-    assert (r["out_degree"], r["in_degree"], r["sum_out"], r["avg_in"], r["label"]) == (2, 3, 4.0, 7.0, 1)
+    assert (r["out_degree"], r["in_degree"], r["sum_out"], r["avg_in"], r["volume_per_txn"], r["label"]) == (2, 3, 4.0, 7.0, round(4 / 3, 4), 1)
 
 
 def test_distances(spark):
@@ -73,10 +73,89 @@ def test_labels(spark):
 
 
 def test_noise_leaves_other_rows(spark):
-    df = spark.range(200).select("id", (F.col("id") * 1.0).alias("x"), F.lit("ach").alias("transfer_type"))
-    got = E.with_noise(df, F.col("id") < 50, ["x"], 0.2, "id", ["ach", "wire"]).orderBy("id").collect()
-    assert all(r["x"] == float(r["id"]) and r["transfer_type"] == "ach" for r in got[50:])
-    assert any(r["x"] != float(r["id"]) for r in got[:50]) and all(r["x"] >= 0 for r in got)
+    source = F.when(F.col("id") % 2 == 0, "elliptic_real")
+    df = spark.range(400).select("id", (F.col("id") < 100).cast("int").alias("is_fraud"), (F.col("id") * 1.0).alias("amount_usd"), (F.col("id") % 24).cast("int").alias("hour_of_day"), F.lit(2.0).alias("velocity_ratio"), F.lit("cash").alias("transfer_type"), source.alias("source"))
+    got = E.with_noise(df, "id").orderBy("id").collect()
+    hit = [r for r in got if r["id"] < 100 and r["id"] % 2]
+    rest = [r for r in got if r["id"] >= 100 or r["id"] % 2 == 0]
+    assert all(r["amount_usd"] == float(r["id"]) and r["hour_of_day"] == r["id"] % 24 and r["transfer_type"] == "cash" for r in rest)
+    assert sum(r["amount_usd"] != float(r["id"]) for r in hit) > 40 and all(r["amount_usd"] >= 0 and 0 <= r["hour_of_day"] <= 23 and r["velocity_ratio"] == 2.0 for r in hit)
+    assert sum(r["transfer_type"] != "cash" for r in hit) == int(len(hit) * 0.2 * 0.5)
+    again = E.with_noise(df.repartition(7), "id").orderBy("id").collect()
+    assert again == got
+
+
+def test_running_sums_and_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(k, round(rng.random() ** 9, 4)) for k in "aaaaaaab" for _ in range(150)] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    q = K.quantiles(A.counted(df, "v", "k"), "v", "_c", {"p0": 0.0, "p37": 0.37, "p50": 0.5, "p100": 1.0}, "k")
+    import numpy as np
+
+    for r in q.collect():
+        values = [v for k, v in rows if k == r["k"]]
+        assert np.allclose([r["p0"], r["p37"], r["p50"], r["p100"]], np.quantile(values, [0, 0.37, 0.5, 1]))
+    s = K.running_sums(spark.range(1000).select("id", F.lit(1).cast("long").alias("one")), [], [F.desc("id")], ["one"])
+    assert {r["id"]: (r["one_before"], r["one_all"]) for r in s.collect()} == {i: (999 - i, 1000) for i in range(1000)}
+
+
+def test_few_labels_change_nothing(spark):
+    training = spark.createDataFrame([("a", 1.0, 0)], "transaction_id string, x double, is_fraud int")
+    rows = [(f"n{i}", "human", 0.7, False, None, 1, None, '{"x": %d}' % i) for i in range(4)] + [("a", "chargeback", 1.0, False, 1, 0, 0, '{"x": 9}'), ("w", "llm", 0.1, False, None, None, 1, "{}"), ("u", "llm", 0.9, True, None, None, 1, "{}"), ("b", "human", 0.9, False, None, 1, None, "no")]
+    labels = spark.createDataFrame(rows, "transaction_id string, source string, weight double, included_in_training boolean, chargeback_label int, human_label int, llm_label int, features_json string")
+    merged, marked = K.ingest_labels(training, labels, least=7)
+    assert merged.count() == 1 and marked.where("included_in_training").count() == 1
+    merged, marked = K.ingest_labels(training, labels, least=6)
+    got = {r["transaction_id"]: (r["x"], r["is_fraud"], r["label_source"]) for r in merged.collect()}
+    assert got == {"a": (9.0, 1, "chargeback"), **{f"n{i}": (float(i), 1, "human") for i in range(4)}}
+    assert {r[0] for r in marked.where("included_in_training").select("transaction_id").collect()} == {"a", "b", "u", *(f"n{i}" for i in range(4))}
+    assert [r["transaction_id"] for r in K.label_candidates(labels).collect()][:2] == ["a", "b"]
+
+
+def test_models(spark):
+    """Scores order separable rows; the importance finds the column that decides; a constant score counts nothing."""
+    from riskweave.operators import learning as L
+
+    rng = random.Random(2)
+    rows = [(i, int(x > 0.6), x, rng.random(), "ab"[i % 2]) for i, x in enumerate(rng.random() for _ in range(400))]
+    df = spark.createDataFrame(rows, "id long, y int, amount double, noise double, kind string")
+    for kind, params in (("logistic", {"maxIter": 50}), ("boosted", {"maxIter": 3, "maxDepth": 2}), ("forest", {"numTrees": 5, "maxDepth": 3, "seed": 1})):
+        m = L.train(df, kind, ["amount", "noise"], ["kind"], "y", **params)
+        scored = L.scored_by(m, df)
+        assert E.average_precision(scored, "p", "y").first()[0] > 0.98 and scored.where("p < 0 OR p > 1").count() == 0
+        assert L.importance(m, df).first()["feature"] == "amount"
+    standard = L.train(df, "logistic", ["amount"], [], "y", maxIter=1).transform(df).select("x").toPandas()["x"]
+    values = [float(v[0]) for v in standard]
+    assert abs(sum(values)) < 1e-6
+    runs = {r["run"]: r["pr_auc"] for r in L.tournament(df, df, {"good": ("logistic", {"maxIter": 20}), "flat": ("logistic", {"regParam": 1e9, "elasticNetParam": 1.0})}, ["amount"], [], "y", sample=300).collect()}
+    assert runs["good"] > 0.9 and runs["flat"] == 0.0
+    assert len(L.search_space(6)) == 6 and L.search_space(6) == L.search_space(6)
+
+
+def test_refresh_equals_full_propagation(spark):
+    """Inside the refreshed part, hop features are those of the whole graph; outside, the store stays."""
+    nodes = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(40)], "id long, features array<double>")
+    edges = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "src long, dst long")
+    near = G.neighbourhood(edges, spark.createDataFrame([(10,)], "id long"), 4)
+    part = J.active_subgraph(edges, near)
+    whole = {r["id"]: r["x"] for r in G.hop_features(edges, nodes).collect()}
+    some = {r["id"]: r["x"] for r in G.hop_features(part, nodes.join(near, "id", "left_semi")).collect()}
+    assert set(some) == set(range(6, 15)) and all(some[i] == whole[i] for i in range(8, 13))
+    store = nodes.select("id", F.array(F.lit(-1.0), F.lit(-1.0)).alias("embedding"))
+    out = {r["id"]: r["embedding"] for r in G.embedding_refresh(edges, nodes, store, spark.createDataFrame([(10,)], "id long"), 2, 2).collect()}
+    assert len(out) == 40 and all((out[i] != [-1.0, -1.0]) == (8 <= i <= 12) for i in out)
+
+
+def test_components_of_hop_features(spark):
+    """Principal components: the covariance of the embedding holds the largest eigenvalues of that of the features."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(60)], "id long, features array<double>")
+    edges = spark.createDataFrame([(i, int(j)) for i in range(60) for j in rng.integers(0, 60, 2)], "src long, dst long")
+    x = np.array([r["x"] for r in G.hop_features(edges, nodes).orderBy("id").collect()])
+    y = np.array([r["embedding"] for r in G.propagated_embeddings(edges, nodes, 4).orderBy("id").collect()])
+    assert np.allclose(np.sort(np.linalg.eigvalsh(np.cov(y.T))), np.sort(np.linalg.eigvalsh(np.cov(x.T)))[-4:])
 
 
 def test_weights(spark):

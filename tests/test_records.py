@@ -23,8 +23,40 @@ def test_rejections(spark):
 
 
 def test_pii(spark):
-    df = spark.createDataFrame([("write to a@b.com", "555-123-4567", "123-45-6789"), ("clean", None, "a@b.com")], "text string, phone string, _private string")
-    assert [r["f"] for r in df.select(R.pii_fields(df.columns).alias("f")).collect()] == [["text:email", "phone:phone"], []]
+    df = spark.createDataFrame([("write to a@b.com", "555-123-4567", "123-45-6789"), ("clean", None, "a@b.com"), ("5551234567", "555 123 4567", ""), ("a1234567890", "a@b", "x"), ("123-45-6789", "555.123.4567 x+y.z@d-e.f", "")], "text string, phone string, _private string")
+    want = [["text:email", "phone:phone"], [], ["text:phone", "phone:phone"], [], ["text:ssn", "phone:email", "phone:phone"]]
+    assert [r["f"] for r in df.select(R.pii_fields(df.columns).alias("f")).collect()] == want
+
+
+def test_source_confidence(spark):
+    want = {"simulator": 0.5, "elliptic_real": 1.0, "elliptic_seeded": 0.85, "alchemy_real": 0.75, "alchemy_legit": 0.7, "finbridge_prod": 0.55, "alchemy_tornado_cash": 0.5, None: 0.5}
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    assert {r[0]: r[1] for r in df.select("s", R.source_confidence(F.col("s"))).collect()} == want
+
+
+def test_tables():
+    assert (len(R.PASSTHROUGH), len(R.LEAKAGE), len(set(R.LEAKAGE)), len(R.FLAGS), len(R.NUMBERS), len(D.FEATURE_TEXTS), len(D.PROMPT_FEATURES)) == (19, 30, 30, 13, 11, 12, 24)
+
+
+def test_short_numbers(spark):
+    values = [0.0, 1.0, -1.0, 12345.6, 0.00012346, 0.000012346, 9999.6, 999.96, 1e-9, 3.0e20, 123.0, 100.0, 1000.0, 0.1, 7.7777777, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(D.short_number(F.col("v"))).collect()] == [f"{v:.4g}" for v in values]
+
+
+def test_reasons(spark):
+    rows = [([("velocity_ratio", 3.21), ("balance_drain_ratio", 0.876), ("odd_one", -12345.6), ("count_1h", 9.0)], True, True), ([("time_since_other_institution_sec", 930.0)], False, None), ([("count_1h", float("nan"))], None, False)]
+    df = spark.createDataFrame(rows, "f array<struct<feature: string, value: double>>, mixer boolean, cross boolean")
+    got = [r[0] for r in df.select(D.reasons(F.col("f"), F.col("mixer"), F.col("cross"))).collect()]
+    assert got[0] == ["Fiat→crypto laundering pattern detected", "Known cryptocurrency mixer interaction", "Velocity 3.2× above baseline", "Balance drain: 88%", "odd_one: -1.235e+04 (↓ risk)"]
+    assert got[1] == ["Same identity at other institution 16m ago"] and got[2] == ["count_1h: nan"]
+
+
+def test_alert_amounts(spark):
+    empty = F.array().cast("array<struct<feature: string, value: double, contribution: double>>")
+    m = D.alert_message(F.lit("hold"), F.lit("t" * 40), F.lit("c"), F.lit(1234567.891), F.lit(0.5), F.array().cast("array<string>"), empty)
+    r = spark.range(1).select(m.alias("m")).first()["m"]
+    assert (r["amount"], r["id"], r["title"], r["color"], r["reasons"]) == ("$1,234,567.89", "t" * 24, "❓ Fraud Alert — HOLD", "#718096", "• (no reasons)")
 
 
 def test_decision_edges(spark):
@@ -52,7 +84,9 @@ def test_contract(spark):
 
 
 def test_alignment(spark):
-    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    df = spark.createDataFrame([(1, 2, None, "True"), (1, 3, None, "no")], "a int, b int, c int, d string")
     assert R.alignment_report(df, ["a", "b"]).first()["verdict"] == "pass"
-    assert R.alignment_report(df, ["a", "z"]).first()["verdict"] == "warn"
-    assert R.aligned(df, ["b", "z"]).first()[:] == (2.0, -1.0)
+    warn = R.alignment_report(df, ["a", "z", "c"]).first()
+    assert (warn["verdict"], warn["missing"], warn["present"], warn["n"]) == ("warn", ["z", "c"], 1, 2)
+    assert R.alignment_report(df, list("uvwxyz")).first()["verdict"] == "fail"
+    assert sorted(map(tuple, R.aligned(df, ["b", "z", "d"]).collect())) == [(2.0, -1.0, 1.0), (3.0, -1.0, -1.0)]
