@@ -9,7 +9,7 @@ by a number where rows must be singled out.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm.byte_bpe import encode_decode
@@ -19,48 +19,58 @@ from riskweave.llm.near_dup import near_duplicates
 from riskweave.llm.quality import fit, score_column
 from riskweave.llm.substring_dedup import substring_dedup
 
-KEY = "_rid"
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _as_documents(rows: DataFrame) -> DataFrame:
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def _as_documents(rows: DataFrame, key: str) -> DataFrame:
     """What an operator needs of the rows, the row's number for its id."""
-    return rows.select(F.col(KEY).alias("doc_id"), "text")
+    return rows.select(F.col(key).alias("doc_id"), "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.3 and more)."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_column(docs, model, "_quality").where("_quality >= 0.3").select(*docs.columns)
+    model, score = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), _free(docs, "_quality")
+    return score_column(docs, model, score).where(F.col(score) >= 0.3).select(*_columns(docs))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    scratch = Scratch(spark)
-    rows = numbered(docs, scratch, KEY)
-    gone = near_duplicates(_as_documents(rows), shingle_words=5, percent=80).where("NOT first").select(F.col("rid").alias(KEY))
-    return without(rows, scratch.write(gone, "gone"), KEY).select(*docs.columns)
+    scratch, key = Scratch(spark), _free(docs, "_rid")
+    rows = numbered(docs, scratch, key)
+    gone = near_duplicates(_as_documents(rows, key), shingle_words=5, percent=80).where("NOT first").select(F.col("rid").alias(key))
+    return without(rows, scratch.write(gone, "gone"), key).select(*_columns(docs))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur again; ``n_chars`` follows the text."""
-    scratch = Scratch(spark)
-    rows = numbered(docs, scratch, KEY)
-    found = substring_dedup(_as_documents(rows), with_text=True).where("n_removed > 0")
-    changed = scratch.write(found.select(F.col("rid").alias(KEY), F.col("kept_text").alias("_kept")), "changed")
-    both = rows.hint("merge").join(changed, KEY, "left")
-    new = {"text": F.coalesce("_kept", "text")}
+    scratch, key, kept = Scratch(spark), _free(docs, "_rid"), _free(docs, "_kept")
+    rows = numbered(docs, scratch, key)
+    found = substring_dedup(_as_documents(rows, key), with_text=True).where("n_removed > 0")
+    changed = scratch.write(found.select(F.col("doc_id").alias(key), F.col("kept_text").alias(kept)), "changed")
+    both = rows.hint("merge").join(changed, key, "left")
+    new = {"text": F.coalesce(F.col(kept), F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return both.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.col(kept).isNotNull(), F.char_length(F.col(kept))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.withColumns(new).select(*_columns(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't contain a benchmark item."""
-    scratch = Scratch(spark)
-    rows = numbered(docs, scratch, KEY)
-    found = contained_items(_as_documents(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = scratch.write(found.select(F.col("doc_id").alias(KEY)).distinct(), "gone")
-    return without(rows, gone, KEY).select(*docs.columns)
+    scratch, key = Scratch(spark), _free(docs, "_rid")
+    rows = numbered(docs, scratch, key)
+    found = contained_items(_as_documents(rows, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = scratch.write(found.select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return without(rows, gone, key).select(*_columns(docs))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +86,7 @@ STAGES = [
     ("byte-level BPE", tokens_stage),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL form; tests compare the rows and texts of each stage with plain Python.
 ORACLE_SQL = None
 
 
