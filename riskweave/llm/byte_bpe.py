@@ -18,14 +18,15 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_of, text_of
+from .common import bounded, id_of, text_of
 from .pretokens import Memo, splitter
 from .token_counts import byte_letters
 
-MEMO = 300_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -97,18 +98,22 @@ def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False) -> D
             return struct.pack(f"<{len(ids)}I", *ids)
 
         memo = Memo(packed, MEMO)
-        for batch in batches:
-            rows = []
+        for batch in bounded(batches, 1):
+            n, sha, decoded, same, flat = [], [], [], [], bytearray()
             for text in batch.column(1).to_pylist():
                 data = b"".join(map(memo.__getitem__, split(text)))
-                ids = memoryview(data).cast("I").tolist() if data else []
-                text_back = b"".join(map(pieces.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text_back).hexdigest(), text_back == text.encode(), ids if with_ids else None))
-            n, sha, decoded, same, all_ids = zip(*rows) if rows else ((),) * 5
+                text_back = b"".join(map(pieces.__getitem__, memoryview(data).cast("I"))) if data else b""
+                n.append(len(data) // 4)
+                sha.append(hashlib.sha256(data).hexdigest())
+                decoded.append(hashlib.sha256(text_back).hexdigest())
+                same.append(text_back == text.encode())
+                if with_ids:
+                    flat += data
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
-            if with_ids:
-                out, names = [*out, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
+            if with_ids:  # one buffer of 32-bit ids and the offsets into it
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                out, names = [*out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32)))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids

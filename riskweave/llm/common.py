@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast (longs and short structs: a few MB). Sides are counted first.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a task turns into Python objects at once.
+TEXT_BYTES = 1 << 21
+
+#: Spark's setting for removing shuffle files at the end of an execution.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """Tables written in the shared folder of ``spark.checkpoint.dir``.
 
     A written table cuts lineage: a lost executor costs its running tasks, not
-    the work before the table. Without the setting (tests) a local folder is used.
+    the work before the table. Where it is unset, a local master (tests) gets a
+    temporary folder; on a cluster that is an error, as executors couldn't see it.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="riskweave-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.base = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -31,15 +43,36 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back with the same columns."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` as Parquet and read it back with the same columns.
+
+        Nothing reads the write's shuffle files once the table is there, so they
+        are removed at its end: the disk holds those of one write at a time.
+        """
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later step reads."""
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(conf).delete(where, True)
+        for name in names:
+            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            where.getFileSystem(conf).delete(where, True)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: int, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes in column ``text`` (a longer value comes alone)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths.astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if high > low:
+                yield batch.slice(low, high - low)
 
 
 def text_of(docs: DataFrame) -> Column:

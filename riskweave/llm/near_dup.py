@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, small
+from .common import Scratch, bounded, keyed, small
 from .components import components
 from .pretokens import Memo
 
@@ -100,7 +100,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
 
         memo = Memo(word_hash, 300_000)
         flip, factor = permutations()
-        for batch in batches:
+        for batch in bounded(batches, 2):
             n, keys, all_bands = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, k, memo)
@@ -120,7 +120,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_hash, 300_000)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             out = [shingle_set(t, k, memo).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rid", "s"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, text_of
+from .common import bounded, id_of, text_of
 from .labelled import held_out, sampled_texts
 from .pretokens import Memo
 
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, of_each: int = 4_000) -> Machine | f
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(None)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             got = [make.words(t.encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0].astype(np.int16).tobytes() for g in got], pa.binary()), pa.array([g[1].astype(np.float32).tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
@@ -174,7 +174,7 @@ def score_column(rows: DataFrame, model: Machine | float, name: str = "score") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, w, v, edges = shared.value
         machine, make = Machine(bias, w, v), Features(edges)
-        for batch in batches:
+        for batch in bounded(batches, at):
             out = [machine.score(*make.row((t or "").encode())) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 

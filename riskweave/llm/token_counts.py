@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_of, text_of
+from .common import bounded, id_of, text_of
 from .pretokens import Memo, splitter
 
 MEMO = 400_000
@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
         special = [t["content"] for t in json.loads(text_json).get("added_tokens", [])]
         odd = regex.compile("|".join([r"[^\x00-ɏ]", *map(regex.escape, special)])).search
 
-        for batch in batches:
+        for batch in bounded(batches, 1):
             tokens = []
             for text in batch.column(1).to_pylist():
                 if odd(text):  # special strings, and letters on which the library's Unicode tables can differ
