@@ -1,12 +1,21 @@
 """Operator 10: substring dedup by level-wise doubling.
 
-Windows of ``gram`` = 18 words are examined first; those that occur once drop out.
-The windows around the repeated ones are extended to twice the length (the last
-doubling, to 35, overlaps by one word), again those that occur
-once drop out, until the target of ``window`` words is reached or no candidates
-survive. At the last level, runs of windows whose whole content repeats are
-settled together; the windows of the other runs are counted one by one by
-128-bit hashes.
+Every window of 9 words is counted first (35 halved twice, rounded up). Windows
+that occur once drop out; a window of twice the length is a candidate only if
+both its halves repeat. So 9 becomes 18, 18 becomes 35 (the last halves overlap
+by a word), each level counts all its candidates, and the loop ends early when
+no candidates survive.
+
+Texts are packed into chunks of about ``CHUNK`` bytes, a written table, and a
+level goes through two shuffles: a chunk sends the distinct hashes of its
+candidates, cut by hash range into ``slices``; a slice counts in how many chunks
+each hash stands and answers with one bit a hash; a chunk knows by itself which
+hashes it holds twice. A window that stands in a third of all texts thus costs
+one hash a chunk, and slices are even whatever the text. Hashes of a longer
+window are made of those of its halves. Below the last level hashes have 64
+bits: a collision only lets a candidate live on. The last level compares 128
+bits of independent word hashes; for n windows the probability of a wrong match
+is below n^2 / 2^128.
 
 Defined cases: null, empty and blank texts have no words; texts shorter than a
 window keep all words; repeated rows are further occurrences, so both lose
@@ -17,91 +26,251 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed
-from .pretokens import Memo
-from .repeats import Roller, covered, mix, repeated_runs, with_marks
+from .common import Scratch, bounded, id_of, parts, text_of
+from .hashing import Roller, byte_numbers, mix, order_of
+
+#: Bytes of text in a chunk, and windows in a slice: bounds of a task's memory.
+CHUNK = 1 << 20
+SLICE = 1 << 20
+#: Words of a task that works on chunks.
+TASK = 1 << 21
+#: The first level's longest window.
+FIRST = 9
+ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+SEEDS = (10, 11)
+#: Bytes of text that are hashed at once.
+STRETCH = 1 << 19
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def lengths(window: int, first: int = FIRST) -> list[int]:
+    """Window lengths of the levels, ascending: ``window`` halved, rounded up, until ``first`` or less."""
+    out = [window]
+    while out[-1] > first:
+        out.append((out[-1] + 1) // 2)
+    return out[::-1]
+
+
+def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``chunk, n_words, ids, texts``: consecutive rows together, about ``size`` bytes (a longer text alone)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 32
+        ids, texts, held, words = [], [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((at, words, ids, texts), kinds)], names=["chunk", "n_words", "ids", "texts"])
+
+        for batch in bounded(batches, 1, size):
+            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(one)
+                texts.append(text)
+                held += len(text)
+                words += text.count(" ") + 1  # about; sizes the slices only
+                if held >= size:
+                    yield out()
+                    at, ids, texts, held, words = at + 1, [], [], 0, 0
+        if ids:
+            yield out()
+
+    return docs.select(id_of(docs), text_of(docs)).mapInArrow(pack, "chunk long, n_words long, ids array<long>, texts array<string>")
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte text begin and end."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~BLANK[data], [False]])))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, about ``STRETCH`` bytes of the text at a time."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, "right")))
+        first = start[at]
+        out[at:to] = Roller(numbers[data[first : end[to - 1]]]).some(start[at:to] - first, end[at:to] - first)
+        at = to
+    return out
+
+
+class Windows:
+    """The windows of a chunk of texts: their hashes level by level, and which of them are candidates."""
 
+    def __init__(self, texts: list[bytes], levels: list[int], hashes: int):
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        start, end = word_places(data)
+        self.sizes = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))  # words of each text
+        self.n, self.levels = len(start), levels
+        self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(self.n)  # words to the end of the own text
+        self.keys = [self._first(word_hashes(data, start, end, byte_numbers(seed)), odd) for seed, odd in zip(SEEDS[:hashes], ODD)]
+        self.level = 0
+        self.alive: np.ndarray | None = None
 
-def word_symbols():
-    """Text to 64-bit hashes of its words, which lie between ASCII blanks."""
-    import xxhash
+    def _first(self, symbols: np.ndarray, odd: np.uint64) -> np.ndarray:
+        width = self.levels[0]
+        out = np.full(max(0, self.n - width + 1), width, np.uint64)
+        for j in range(width):
+            out = out * odd + symbols[j : j + len(out)]
+        return mix(out)
 
-    memo = Memo(xxhash.xxh3_64_intdigest, 300_000)
+    def candidates(self) -> np.ndarray:
+        """Where windows of this level start that may repeat: inside one text, and both halves repeat."""
+        n = max(0, self.n - self.levels[self.level] + 1)
+        if self.alive is None:
+            return np.flatnonzero(self.left[:n] >= self.levels[0])
+        step = self.levels[self.level] - self.levels[self.level - 1]
+        return np.flatnonzero(self.alive[:n] & self.alive[step : step + n] & (self.left[:n] >= self.levels[self.level]))
 
-    def make(text: str) -> np.ndarray:
-        words = text.encode().split()
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    def survive(self, at: np.ndarray, repeated: np.ndarray) -> None:
+        """On to the next level with the candidates that repeat."""
+        self.alive = np.zeros(max(0, self.n - self.levels[self.level] + 1), bool)
+        self.alive[at[repeated]] = True
+        self.level += 1
+        if self.level < len(self.levels):
+            step = self.levels[self.level] - self.levels[self.level - 1]
+            n = max(0, self.n - self.levels[self.level] + 1)
+            self.keys = [mix(k[:n] * odd + k[step : step + n]) for k, odd in zip(self.keys, ODD)]
 
-    return make
+    def covered(self) -> np.ndarray:
+        """Words in a surviving window of the last level."""
+        edge = np.zeros(self.n + 1, np.int64)
+        at = np.flatnonzero(self.alive)
+        edge[at] += 1
+        edge[at + self.levels[-1]] -= 1
+        return np.cumsum(edge[:-1]) > 0
 
 
-def _doubled(rows: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """``k1, k2, rid, start, times``: the windows of the given runs, extended to full length."""
+def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows, which of them in this order are new, and the number of the distinct row for each row."""
+    order = order_of(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, new, number
+
+
+def cuts(key: np.ndarray, slices: int) -> np.ndarray:
+    """Where the slices of ascending hashes begin and end."""
+    return np.searchsorted(key >> np.uint64(1), (np.arange(slices + 1, dtype=np.float64) * (2.0**63 / slices)).astype(np.uint64))
+
+
+def replayed(windows: Windows, answers: list | None, slices: int, upto: int):
+    """Run the levels below ``upto`` again with the answers to them; returns the candidates of ``upto`` and their distinct keys."""
+    told: dict[int, list] = {}
+    for answer in answers or ():
+        told.setdefault(answer["level"], []).append(answer)
+    while True:
+        at = windows.candidates()
+        last = windows.level == len(windows.levels) - 1
+        # Keys of one hash below the last level, as they were sent.
+        keys = [k[at] for k in (windows.keys if last else windows.keys[:1])]
+        order, new, number = distinct(keys)
+        first = order[new]
+        if windows.level == upto:
+            return at, [k[first] for k in keys]
+        repeated = np.bincount(number, minlength=len(first)) > 1
+        edges = cuts(keys[0][first], slices)
+        for answer in told.get(windows.level, ()):
+            low, high = edges[answer["slice"]], edges[answer["slice"] + 1]
+            repeated[low:high] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8))[: high - low].astype(bool)
+        windows.survive(at, repeated[number])
+        if windows.level == len(windows.levels):
+            return None
+
+
+def sent(packed: DataFrame, levels: list[int], level: int, slices: int) -> DataFrame:
+    """``slice, chunk, keys``: the distinct hashes of the candidates of one level, by hash range."""
+    two = level == len(levels) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = word_symbols()
         for batch in batches:
-            k1, k2, rid, start, times = [], [], [], [], []
-            for one, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                symbols = make(text)
-                first, second = Roller(symbols), Roller(mix(symbols + np.uint64(1)))
-                at = np.concatenate([np.arange(m["start"], m["start"] + m["count"]) for m in marks])
-                k1.append(first.some(at, at + window))
-                k2.append(second.some(at, at + window))
-                rid.append(np.full(len(at), one))
-                start.append(at)
-                times.append(np.repeat([m["times"] for m in marks], [m["count"] for m in marks]))
-            if k1:
-                a, b, c, d, e = (np.concatenate(x) for x in (k1, k2, rid, start, times))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c, pa.int64()), pa.array(d.astype(np.int32)), pa.array(e.astype(np.int32))],
-                    names=["k1", "k2", "rid", "start", "times"],
-                )
-
-    lists = runs.groupBy("rid").agg(F.collect_list(F.struct("start", "count", "times")).alias("marks"))
-    return rows.hint("merge").join(lists, "rid").select("rid", "text", "marks").mapInArrow(work, "k1 long, k2 long, rid long, start int, times int")
-
-
-def repeated_windows(rows: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
-    """``rid, start, count``: runs of windows that also start elsewhere."""
-    whole, mixed = repeated_runs(rows, word_symbols, window, gram, scratch)
-    level = scratch.write(_doubled(rows, mixed, window), "level")
-    again = level.groupBy("k1", "k2").agg(F.sum("times").alias("n")).where("n > 1").select("k1", "k2")
-    single = level.where("times = 1").hint("merge").join(again, ["k1", "k2"])
-    return whole.unionByName(single.select("rid", "start", F.lit(1).alias("count")))
-
-
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 18, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` for every document, and ``rid, kept_text`` if ``with_text``.
+            for i in range(batch.num_rows):
+                chunk, texts, answers = (batch.column(c)[i].as_py() for c in range(3))
+                windows = Windows([t.encode() for t in texts], levels, 1 + two)
+                _, keys = replayed(windows, answers, slices, level)
+                edges = cuts(keys[0], slices)
+                here = np.flatnonzero(np.diff(edges))
+                out = [np.stack([k[edges[s] : edges[s + 1]] for k in keys]).tobytes() for s in here]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(np.full(len(here), chunk)), pa.array(out, pa.binary())], names=["slice", "chunk", "keys"])
+
+    return packed.select("chunk", "texts", "answers").mapInArrow(work, "slice int, chunk long, keys binary")
+
+
+def answered(keys: DataFrame, level: int, hashes: int) -> DataFrame:
+    """``level, slice, chunk, bits``: for the hashes of a chunk in a slice, whether other chunks hold them (null: none)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(hashes, -1) for x in table.column("keys")]
+        every = np.concatenate(rows, axis=1)
+        _, _, number = distinct(list(every))
+        common = (np.bincount(number) > 1)[number]  # a chunk sends a hash once
+        ends = np.cumsum([r.shape[1] for r in rows])
+        bits = [np.packbits(common[e - r.shape[1] : e]).tobytes() if common[e - r.shape[1] : e].any() else None for r, e in zip(rows, ends)]
+        return pa.table({"level": pa.array(np.full(len(rows), level), pa.int32()), "slice": table.column("slice"), "chunk": table.column("chunk"), "bits": pa.array(bits, pa.binary())})
+
+    return keys.groupBy("slice").applyInArrow(work, "level int, slice int, chunk long, bits binary")
+
+
+def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False, first: int = FIRST, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` for every document, and ``kept_text`` if ``with_text``.
 
     Words covered by a window that starts anywhere else are removed. Kept words
     are joined by one space; ``kept_text`` is the text itself where nothing went.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows, _ = keyed(docs, scratch)
-    marks = scratch.write(repeated_windows(rows, window, gram, scratch), "marks")
+    spark, scratch, levels = docs.sparkSession, Scratch(docs.sparkSession), lengths(window, first)
+    table = scratch.write(chunks(docs, chunk), "chunks")
+    total = table.agg(F.sum("n_words")).first()[0] or 0
+    slices = max(parts(spark), -(-total // SLICE))
+    # A set number of partitions, which is not coalesced, so that a task and its Arrow batches hold few chunks.
+    tasks = max(parts(spark), -(-total // TASK))
+    answers = None
+
+    def packed() -> DataFrame:
+        if answers is None:
+            return table.withColumn("answers", F.lit(None).cast("array<struct<level: int, slice: int, bits: binary>>"))
+        told = answers.where("bits IS NOT NULL").repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("level", "slice", "bits")).alias("answers"))
+        return table.repartition(tasks, "chunk").hint("merge").join(told, "chunk", "left")
+
+    for level in range(len(levels)):
+        got = scratch.write(answered(sent(packed(), levels, level, slices), level, 1 + (level == len(levels) - 1)), f"level-{level}")
+        if not got.limit(1).count():  # no candidates survive
+            break
+        answers = got if answers is None else answers.unionByName(got)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = text.encode().split()
-                gone = covered(len(words), found, window)
-                kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                removed = int(gone.sum())
-                out.append((len(words), removed, hashlib.sha256(kept).hexdigest(), (kept.decode() if removed else text) if with_text else None))
-            n, removed, sha, kept = zip(*out) if out else ((),) * 4
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                columns, names = [*columns, batch.column(3), pa.array(kept, pa.string())], [*names, "rid", "kept_text"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", rid long, kept_text string" * with_text
-    return with_marks(rows, marks).select("doc_id", "text", "marks", "rid").mapInArrow(work, schema)
+            for i in range(batch.num_rows):
+                ids, texts, told = (batch.column(c)[i].as_py() for c in range(3))
+                raw = [t.encode() for t in texts]
+                windows = Windows(raw, levels, 2)
+                replayed(windows, told, slices, len(levels))
+                gone, out, at = windows.covered(), [], 0
+                for data, text, size in zip(raw, texts, windows.sizes.tolist()):
+                    w, here = data.split(), gone[at : at + size]
+                    at += size
+                    removed = int(here.sum())
+                    kept = b" ".join(compress(w, (~here).tolist()) if removed else w)
+                    out.append((len(w), removed, hashlib.sha256(kept).hexdigest(), (kept.decode() if removed else text) if with_text else None))
+                n, removed, sha, kept = zip(*out)
+                columns = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                if with_text:
+                    columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept_text"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return packed().select("ids", "texts", "answers").mapInArrow(work, schema)
