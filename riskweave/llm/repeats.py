@@ -1,58 +1,35 @@
-"""Windows that start more than once in a corpus: what operators 6 and 10 share.
-
-A window is ``window`` consecutive symbols of one document. Level one looks at
-short windows, grams of ``gram`` symbols, and only at those that are the least
-hash of some window. Equal windows hold their least gram at the same offset, so
-windows of one document that share it form a *run*, and a window can repeat
-only if the gram of its run does. A run is a row of a few numbers: the gram's
-hash, the hash of the run's whole content, its place. Where all runs of a gram
-are alike, they repeat as wholes. The windows of the others are compared in
-full by the operator (``mixed``), each different run once.
+"""Runs of windows that may start more than once in a corpus: how operator 6 routes text to its blocks.
+
+A window is ``window`` consecutive bytes of one document. Its *gram* is the
+least hash of ``gram`` bytes in it. Equal windows hold their gram at the same
+offset, so windows of one document that share it form a *run*, and a window can
+repeat only if the gram of its run does. A run is a row of a few numbers: the
+gram's hash, the hash of the run's whole content, its place.
+
+A gram with very many different surroundings (a common line) is lengthened
+without loss: of the bytes around it a window holds at least half on one side,
+so its windows go, by side, to runs of a gram that is longer by that half. Most
+of these stand alone and drop out; the rest is lengthened again while a group
+is too large. At full length a group has one content.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded
+from .hashing import Roller, byte_numbers, mix
 
-BASE = np.uint64(0xD1342543DE82EF95)
-#: Symbols of a text that are hashed at once; longer texts go by pieces that overlap by a window.
+#: Bytes of a text that are hashed at once; longer texts go by pieces that overlap by a window.
 PIECE = 1 << 19
 _POSITION = np.uint64((1 << 24) - 1)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-class Roller:
-    """Hashes of any stretch of a symbol sequence from prefix sums of ``symbol * BASE^position``, modulo 2^64."""
-
-    _powers = np.empty(0, np.uint64)
-    _inverse = np.empty(0, np.uint64)
-
-    def __init__(self, symbols: np.ndarray):
-        n = len(symbols) + 1
-        if len(Roller._powers) < n:
-            size = max(n, 4096)
-            Roller._powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, BASE)]))
-            Roller._inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * Roller._powers[: n - 1])])
-
-    def all(self, length: int) -> np.ndarray:
-        """Of every stretch of this length."""
-        n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * Roller._inverse[:n])
-
-    def some(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Roller._inverse[start] + (end - start).astype(np.uint64))
+RUN = "key long, content long, rid long, start int, count int, at int"
+PIECES = "key long, content long, count int, at int, several boolean, piece binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,11 +41,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs(symbols: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``key, content, start, count`` of every run of windows."""
+def runs(symbols: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
+    """``key, content, start, count, at`` of every run of windows; ``at``: where the gram lies, from the start."""
     out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, max(1, len(symbols) - window + 1), PIECE):
-        piece = symbols[at : at + PIECE + window - 1]
+    for base in range(0, max(1, len(symbols) - window + 1), PIECE):
+        piece = symbols[base : base + PIECE + window - 1]
         if len(piece) < window:
             break
         roller = Roller(piece)
@@ -78,69 +55,91 @@ def runs(symbols: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
         where = (sliding_min(packed, window - gram + 1) & _POSITION).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         end = np.append(start[1:], len(where))
-        out.append((grams[where[start]], roller.some(start, end - 1 + window), start + at, end - start))
+        out.append((grams[where[start]], roller.some(start, end - 1 + window), start + base, end - start, where[start] - start))
     if not out:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        return [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+    return [np.concatenate(x) for x in zip(*out)]
 
 
-Symbols = Callable[[], Callable[[str], np.ndarray]]
+def halves(symbols: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
+    """Runs, whose grams have ``gram`` bytes, as runs of grams longer by half of what is left of the window.
+
+    ``row, key, content, off, count, at``: of which run each is, and the first of its windows there.
+    """
+    half = (window - gram + 1) // 2
+    roller, every = Roller(symbols), np.arange(len(start))
+    left = np.clip(at - half + 1, 0, count)  # windows that begin so early that they hold ``half`` before the gram
+    core = start + at
+    out = []
+    for side, (off, many, where, low, high) in enumerate(((0 * left, left, at - half, core - half, core + gram), (left, count - left, at - left, core, core + gram + half))):
+        some = many > 0
+        off, many, where, low, high, first = (x[some] for x in (off, many, where, low, high, start + off))
+        out.append((every[some], mix(roller.some(low, high) + np.uint64(side)), roller.some(first, first + many - 1 + window), off, many, where))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
-def run_table(rows: DataFrame, symbols: Symbols, window: int, gram: int) -> DataFrame:
-    """``key, content, rid, start, count``: the runs of all texts. ``symbols()`` makes a function from text to 64-bit symbol hashes."""
+def _batch(rids: np.ndarray, found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    key, content, start, count, at = (np.concatenate([f[i] for f in found]) for i in range(5))
+    columns = [key.view(np.int64), content.view(np.int64), np.repeat(rids, [len(f[0]) for f in found]), start.astype(np.int32), count.astype(np.int32), at.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "rid", "start", "count", "at"])
+
+
+def run_table(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """The runs of all texts (``rid, text``)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = symbols()
-        for batch in batches:
-            found = [runs(make(t), window, gram) for t in batch.column(1).to_pylist()]
-            rids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(f[0]) for f in found])
-            key, content, start, count = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rids), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["key", "content", "rid", "start", "count"],
-            )
-
-    return rows.select("rid", "text").mapInArrow(work, "key long, content long, rid long, start int, count int")
-
-
-def repeated_runs(rows: DataFrame, symbols: Symbols, window: int, gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``whole`` and ``mixed``.
-
-    ``whole`` (``rid, start, count``): runs whose whole content occurs again.
-    ``mixed`` (``key, content, rid, start, count, times``): one run of each
-    content, for grams with several contents, and how often it occurs (1 or 2, for more).
-    Counts are combined before each shuffle and the joins may split hot keys.
-    """
-    table = scratch.write(run_table(rows, symbols, window, gram), "runs")
-    # Written apart: a join with an aggregate in its own stage could not split a hot key's rows.
+        table = byte_numbers()
+        for batch in bounded(batches, 1):
+            yield _batch(batch.column(0).to_numpy(), [runs(table[np.frombuffer(t.encode(), np.uint8)], window, gram) for t in batch.column(1).to_pylist()])
+
+    return rows.select("rid", "text").mapInArrow(work, RUN)
+
+
+def lengthened(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """Runs given by their bytes (``PIECES``), with longer grams; ``okey, ocontent, off``: of which run and from which window on."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 5, PIECE):
+            texts = batch.column(5).to_pylist()
+            start = np.cumsum([0, *map(len, texts)])[:-1]
+            key, content, count, at = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            row, new, same, off, many, where = halves(byte_numbers()[np.frombuffer(b"".join(texts), np.uint8)], start, count, at, window, gram)
+            cut = [texts[r][o : o + m - 1 + window] for r, o, m in zip(row.tolist(), off.tolist(), many.tolist())]
+            columns = [new.view(np.int64), same.view(np.int64), many.astype(np.int32), where.astype(np.int32), batch.column(4).to_numpy(zero_copy_only=False)[row], pa.array(cut, pa.binary()), key[row], content[row], off.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "count", "at", "several", "piece", "okey", "ocontent", "off"])
+
+    return pieces.select("key", "content", "count", "at", "several", "piece").mapInArrow(work, f"{PIECES}, okey long, ocontent long, off int")
+
+
+def shared_runs(rows: DataFrame, window: int, gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``shared`` (all runs whose gram occurs again) and ``contents`` (``key, content, rid, start, count, at, times``: a place of each different run, and how often it occurs)."""
+    table = scratch.write(run_table(rows, window, gram), "runs")
+    # Written apart, so that the join may split a hot gram's rows.
     again = scratch.write(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "again")
     shared = scratch.write(table.hint("merge").join(again, "key"), "shared")
-    scratch.drop("runs")
-    contents = shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "count")).alias("one"))
-    contents = scratch.write(contents.select("key", "content", "n", "one.*"), "contents")
-    twice = contents.where("n > 1").select("key", "content")
-    whole = shared.hint("merge").join(twice, ["key", "content"]).select("rid", "start", "count")
-    several = contents.groupBy("key").agg(F.min("content").alias("c0"), F.max("content").alias("c1")).where("c0 <> c1").select("key")
-    several = scratch.write(several, "several")
-    mixed = contents.hint("merge").join(several, "key").select("key", "content", "rid", "start", "count", F.least("n", F.lit(2)).cast("int").alias("times"))
-    return whole, mixed
-
-
-def by_row(marks: DataFrame) -> DataFrame:
-    """``rid, marks``: the marked runs of windows of each row (no more than the text has)."""
-    return marks.groupBy("rid").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
-
-
-def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """``rows`` and their marks, null without any."""
-    return rows.hint("merge").join(by_row(marks), "rid", "left")
-
-
-def covered(n: int, marks, window: int) -> np.ndarray:
-    """Which of ``n`` symbols lie in a marked window."""
-    edge = np.zeros(n + 1, np.int64)
-    for mark in marks or ():
-        edge[mark["start"]] += 1
-        edge[mark["start"] + mark["count"] - 1 + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    scratch.drop("runs", "again")
+    each = shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "start", "count", "at")).alias("one"))
+    return shared.select("key", "content", "rid", "start"), each.select("key", "content", "times", "one.*")
+
+
+def in_groups(pieces: DataFrame, window: int, gram: int, group: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """``pieces`` and their ``level``, in groups of ``group`` runs at most, and for each level beyond 0 where its runs lie in those of the level before."""
+    todo, parts, places = pieces, [], []
+    while True:
+        level = len(places)
+        large = scratch.write(todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("key"), f"large-{level}")
+        some = bool(large.limit(1).count())
+        parts.append((todo.hint("merge").join(large, "key", "left_anti") if some else todo).withColumn("level", F.lit(level)))
+        if not some:
+            break
+        sub = scratch.write(lengthened(todo.hint("merge").join(large, "key", "left_semi"), window, gram), f"sub-{level}")
+        again = sub.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("several").alias("s")).where("n > 1 OR s").select("key")
+        kept = sub.hint("merge").join(scratch.write(again, f"subagain-{level}"), "key")
+        one = kept.groupBy("key", "content").agg(F.min(F.struct("count", "at", "piece")).alias("one"), (F.max("several") | (F.count(F.lit(1)) > 1)).alias("several"))
+        todo = scratch.write(one.select("key", "content", "one.count", "one.at", "several", "one.piece"), f"pieces-{level + 1}")
+        places.append(sub.select("key", "content", "okey", "ocontent", "off"))
+        gram += (window - gram + 1) // 2
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, places

@@ -1,19 +1,23 @@
 """Operator 6: long repeated byte strings by a run-length index.
 
 Runs of 200-byte windows that share their least 32-byte gram (``repeats``)
-bring together what can match. Runs whose whole content repeats are settled.
-The others of a gram are texts of a few hundred bytes that agree in part: they
-go, whole groups in one block, to a run-length index. A block's texts are
-sorted by suffix; of the Burrows-Wheeler transform only the runs are kept, with
-the text position of every run's first and last row and the common length with
-the row before or after (sampled run ends). Matching statistics stream from
-these: at any position the longest match elsewhere is the value of the last
-sampled position before it, less the distance. Positions whose match reaches
-200 bytes are marked.
-
-Blocks hold at most ``BLOCK_BYTES``; a gram with more than ``GROUP_RUNS``
-different contents doesn't fit in one task and its windows are counted by
-128-bit hashes in a shuffle instead (exact as well).
+bring together what can match; each different run goes once, with its number
+of occurrences, to a block of whole groups. A block's strings are sorted by
+suffix; of the Burrows-Wheeler transform only the runs are kept, with the text
+position of every run's first and last row and the common length with the row
+before or after (sampled run ends). A string that occurs more often would stand
+in adjacent rows of the same transform run, so it is kept once and its samples
+are the whole rest of it. Matching statistics stream from the samples: at any
+position the longest match elsewhere is the value of the last sampled position
+before it, less the distance. Windows whose match reaches 200 bytes are marked,
+at every place where their run occurs; nothing else removes bytes.
+
+Blocks hold about ``BLOCK_BYTES``, and a group at most ``GROUP`` strings of less
+than 400 bytes: the grams of larger groups are lengthened (``repeats``).
+
+The index compares bytes. Only copies of one run are told by hashes: two runs of
+the same 64-bit gram hash count as equal if their 64-bit content hashes are; for
+n pairs of different runs of a gram the probability of a mistake is n / 2^64.
 
 Defined cases: null and empty texts have no bytes; texts shorter than 200 bytes
 keep all; repeated rows are further occurrences, so both lose their windows;
@@ -30,99 +34,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed
-from .repeats import Roller, covered, mix, repeated_runs, with_marks
+from .common import Scratch, bounded, keyed
+from .repeats import PIECES, in_groups, shared_runs
 
 LENGTH, GRAM = 200, 32
-GROUP_RUNS = 2_000
-BLOCK_BYTES = 1 << 21
-
-
-def byte_numbers() -> np.ndarray:
-    return np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-def byte_symbols():
-    """Text to a random 64-bit number for each of its bytes."""
-    table = byte_numbers()
-    return lambda text: table[np.frombuffer(text.encode(), np.uint8)]
+GROUP = 2_000
+BLOCK_BYTES = 1 << 17
 
 
 class RunLengthIndex:
     """Suffix order of several byte strings, kept as the runs of its transform and their sampled ends.
 
-    The strings are one sequence of symbols: bytes plus one, and after each
-    string an end sign, lowest of all and different for each (the earlier the
-    lower), so that no match crosses two strings.
+    The strings are one sequence, with an end sign after each: a byte that UTF-8
+    never holds, and different for each string (the earlier the lower), so that
+    no match crosses two strings. ``several``: strings that occur more than once.
     """
 
-    FIRST = 7  # symbols of nine bits in the first sort key
+    END = 0xFF
+    FIRST = 8  # bytes in the first sort key
 
-    def __init__(self, texts: list[bytes]):
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    def __init__(self, strings: list[bytes], several: list[bool]):
+        sizes = np.array([len(t) + 1 for t in strings], np.int64)
         ends = np.cumsum(sizes)
-        n = self.n = int(ends[-1])
-        self.symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
-        self.symbols[ends - 1] = 0
-        self.left = np.repeat(ends, sizes) - np.arange(n)  # symbols to the own end sign, it included
-        order = self._sort()
-        before = np.empty(n, np.int64)
-        before[order > 0] = self.symbols[order[order > 0] - 1]
+        self.n = int(ends[-1])
+        self.symbols = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
+        self.left = (np.repeat(ends, sizes) - np.arange(self.n) - 1).astype(np.int32)  # bytes to the own end sign
         first = np.concatenate([[0], ends[:-1]])
-        begins = np.zeros(n, bool)
-        begins[first] = True
-        at = begins[order]
-        before[at] = -1 - np.arange(int(at.sum()))  # before a string's begin stands an end sign, each a run of its own
+        order, levels = self._sort(int(sizes.max()))
+        before = np.empty(self.n, np.int32)
+        before[1:] = self.symbols[:-1]
+        before[first] = -1 - np.arange(len(first))  # before a string's begin stands an end sign, each a run of its own
+        before = before[order]
         change = np.flatnonzero(before[1:] != before[:-1])
-        self.heads = self._samples(order, np.append(0, change + 1), -1)
-        self.tails = self._samples(order, np.append(change, n - 1), 1)
+        whole = np.repeat(np.array(several, bool), sizes)
+        self.heads = self._samples(order, levels, np.append(0, change + 1), -1, whole)
+        self.tails = self._samples(order, levels, np.append(change, self.n - 1), 1, whole)
 
-    def _sort(self) -> np.ndarray:
-        """Suffix order by prefix doubling."""
+    def _sort(self, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffix order by prefix doubling of what is still tied, and the ranks of every level."""
         n, width = self.n, self.FIRST
-        padded = np.concatenate([self.symbols, np.zeros(width, np.uint64)])
-        key = np.zeros(n, np.uint64)
-        for j in range(width):
-            key = (key << np.uint64(9)) | np.where(j < self.left, padded[j : j + n], np.uint64(0))
-        order, alone = np.argsort(key), self.left <= width
-        some = alone[order]  # those that reach their end sign: equal keys by the order of the strings
-        ended = order[some]
-        order[some] = ended[np.lexsort((ended, key[ended]))]
-        self.levels = []
-        while True:
-            rank = np.empty(n, np.int64)
-            sorted_, single = key[order], alone[order]
-            new = np.ones(n, bool)
-            new[1:] = (sorted_[1:] != sorted_[:-1]) | single[1:] | single[:-1]
-            rank[order] = np.cumsum(new) - 1
-            self.levels.append((width, rank))
-            if new.all():
-                return order
-            far = np.minimum(np.arange(n) + width, n - 1)
-            key = (rank.astype(np.uint64) << np.uint64(32)) | rank[far].astype(np.uint64)
-            width *= 2
-            order, alone = np.argsort(key), self.left <= width
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common length of the suffixes at a and b (all different), down the levels of the doubling."""
-        length = np.zeros(len(a), np.int64)
-        for width, rank in reversed(self.levels):
-            step = np.where(rank[a + length] == rank[b + length], width, 0)
-            length += step
-        for _ in range(self.FIRST):
-            x = self.symbols[a + length]
-            step = (x == self.symbols[b + length]) & (x > 0)
-            if not step.any():
+        key = np.zeros(n + width, np.uint64)
+        key[:n] = self.symbols
+        for step in (1, 2, 4):
+            key[:-step] = (key[:-step] << np.uint64(8 * step)) | key[step:]
+        key = key[:n]
+        short = np.flatnonzero(self.left < width)  # blank what follows the end sign
+        key[short] &= ~((np.uint64(1) << (np.uint64(8) * (width - 1 - self.left[short]).astype(np.uint64))) - np.uint64(1))
+        order = np.argsort(key)
+        alone = self.left[order] < width
+        ended = order[alone]
+        order[alone] = ended[np.lexsort((ended, key[ended]))]  # equal keys with an end sign: by the order of the strings
+        key = key[order]
+        new = alone.copy()
+        new[0] = True
+        new[1:] |= alone[:-1] | (key[1:] != key[:-1])
+        group = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+        rank = np.zeros(n + 1, np.int32)
+        rank[order] = group + 1
+        levels = [(width, rank)]
+        while width < longest:
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            slots = np.flatnonzero(tied)
+            if not len(slots):
                 break
-            length += step
-        return length
+            at = order[slots]
+            far = rank[at + width].astype(np.uint64)  # what is tied doesn't reach the end
+            if n < 1 << 21:  # group, rank and row fit in one number, which sorts several times faster than an index does
+                key = np.sort((group[slots].astype(np.uint64) << np.uint64(42)) | (far << np.uint64(21)) | np.arange(len(slots), dtype=np.uint64))
+                at = at[(key & np.uint64((1 << 21) - 1)).astype(np.int64)]
+                key >>= np.uint64(21)
+            else:
+                key = (group[slots].astype(np.uint64) << np.uint64(32)) | far
+                by = np.argsort(key)
+                key, at = key[by], at[by]
+            order[slots] = at
+            fresh = np.ones(len(slots), bool)
+            fresh[1:] = key[1:] != key[:-1]
+            new[slots] = fresh
+            group[slots] = np.maximum.accumulate(np.where(fresh, slots, 0))
+            rank = rank.copy()
+            rank[at] = group[slots] + 1
+            width *= 2
+            levels.append((width, rank))
+        return order, levels
 
-    def _samples(self, order: np.ndarray, rows: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    def _samples(self, order: np.ndarray, levels: list, rows: np.ndarray, side: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text positions of the rows, ascending, and the common length with the row on that side."""
         other = rows + side
         valid = (other >= 0) & (other < self.n)
-        at, length = order[rows], np.zeros(len(rows), np.int64)
-        length[valid] = self._common(at[valid], order[other[valid]])
+        at, next_ = order[rows], order[np.where(valid, other, rows)]
+        length = np.zeros(len(rows), np.int32)
+        for width, rank in reversed(levels):
+            length += np.where(rank[np.minimum(at + length, self.n)] == rank[np.minimum(next_ + length, self.n)], width, 0).astype(np.int32)
+        for _ in range(self.FIRST):
+            x = self.symbols[np.minimum(at + length, self.n - 1)]
+            length += (x == self.symbols[np.minimum(next_ + length, self.n - 1)]) & (x != self.END)
+        length = np.where(whole[at], self.left[at], np.where(valid, length, 0))
         by = np.argsort(at)
         return at[by], length[by]
 
@@ -130,119 +138,103 @@ class RunLengthIndex:
         """Of every byte, string after string, the longest match that starts at another one."""
         out, here = np.zeros(self.n, np.int64), np.arange(self.n)
         for at, length in (self.heads, self.tails):
-            last = np.searchsorted(at, here, side="right") - 1
+            last = np.repeat(np.arange(len(at)), np.diff(np.append(at, self.n)))
             out = np.maximum(out, length[last] - (here - at[last]))
-        return out[self.symbols > 0]
+        return out[self.symbols != self.END]
 
 
-def _texts(rows: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """``key, rid, start, count, times, piece``: the bytes of the given runs."""
+def _strings(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
+    """The runs of ``contents`` with their bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 0):
             out = []
-            for rid, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode()
-                out += [(m["key"], rid, m["start"], m["count"], m["times"], data[m["start"] : m["start"] + m["count"] + length - 1]) for m in marks]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "rid", "start", "count", "times", "piece"])
+                out += [(f["key"], f["content"], f["count"], f["at"], f["times"] > 1, data[f["start"] : f["start"] + f["count"] + length - 1]) for f in found]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "content", "count", "at", "several", "piece"])
 
-    lists = runs.groupBy("rid").agg(F.collect_list(F.struct("key", "start", "count", "times")).alias("marks"))
-    return rows.hint("merge").join(lists, "rid").select("rid", "text", "marks").mapInArrow(work, "key long, rid long, start int, count int, times int, piece binary")
+    lists = contents.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "start", "count", "at", "times")).alias("found"))
+    return rows.hint("merge").join(lists, "rid").select("text", "found").mapInArrow(work, PIECES)
 
 
-def _runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
+def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of a mask begin, and their lengths."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()))
+    return edge[::2], edge[1::2] - edge[::2]
 
 
 def index_marks(pieces: DataFrame, length: int) -> DataFrame:
-    """``rid, start, count``: windows of the pieces that match elsewhere, block by block of whole groups.
+    """``level, key, content, first, many``: windows of the runs that match elsewhere, block by block of whole groups.
 
-    Pieces are shuffled by gram and sorted within a task, so a block is cut
-    between two grams.
+    Runs are shuffled by gram and sorted within a task, so a block is cut between two grams.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def mark(block: list[tuple]) -> pa.RecordBatch:
-            index = RunLengthIndex([b[5] for b in block])
-            long = index.matching_statistics() >= length
-            out, at = [], 0
-            for _, rid, start, count, times, piece in block:
-                if times == 1:  # a content that occurs twice is settled as a whole
-                    out += [(rid, start + s, c) for s, c in _runs_of(long[at : at + count])]
-                at += len(piece)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["rid", "start", "count"]
-            )
+    def mark(block: list[tuple]) -> pa.RecordBatch:
+        long = RunLengthIndex([b[4] for b in block], [b[3] for b in block]).matching_statistics() >= length
+        begin = np.cumsum([0, *(len(b[4]) for b in block)])
+        at, size = spans(long)  # no stretch crosses two strings: the last bytes of a string match less than ``length``
+        which = np.searchsorted(begin, at, side="right") - 1
+        key, content, level = (np.array([b[i] for b in block], np.int64)[which] for i in (0, 1, 2))
+        columns = [level.astype(np.int32), key, content, (at - begin[which]).astype(np.int32), size.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "key", "content", "first", "many"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         size, key = 0, None
-        for batch in batches:
+        for batch in bounded(batches, 4):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != key and size >= BLOCK_BYTES:
                     yield mark(block)
                     block, size = [], 0
                 key = row[0]
                 block.append(row)
-                size += len(row[5])
+                size += len(row[4])
         if block:
             yield mark(block)
 
     placed = pieces.repartition("key").sortWithinPartitions("key")
-    return placed.select("key", "rid", "start", "count", "times", "piece").mapInArrow(work, "rid long, start int, count int")
-
-
-def counted_marks(pieces: DataFrame, length: int) -> DataFrame:
-    """The same windows for grams with very many contents: every window by its hash, counts combined before the shuffle."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_numbers()
-        for batch in batches:
-            out = []
-            for rid, start, count, times, piece in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                symbols = table[np.frombuffer(piece, np.uint8)]
-                at = np.arange(count)
-                out.append((Roller(symbols).some(at, at + length), Roller(mix(symbols + np.uint64(1))).some(at, at + length), np.full(count, rid), start + at, np.full(count, times)))
-            if out:
-                a, b, c, d, e = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c, pa.int64()), pa.array(d.astype(np.int32)), pa.array(e.astype(np.int32))], names=["k1", "k2", "rid", "start", "times"])
-
-    level = pieces.select("key", "rid", "start", "count", "times", "piece").mapInArrow(work, "k1 long, k2 long, rid long, start int, times int")
-    again = level.groupBy("k1", "k2").agg(F.sum("times").alias("n")).where("n > 1").select("k1", "k2")
-    return level.where("times = 1").hint("merge").join(again, ["k1", "k2"]).select("rid", "start", F.lit(1).alias("count"))
+    return placed.select("key", "content", "level", "several", "piece").mapInArrow(work, "level int, key long, content long, first int, many int")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_runs: int = GROUP_RUNS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every document."""
     scratch = Scratch(docs.sparkSession)
     rows, _ = keyed(docs, scratch)
-    whole, mixed = repeated_runs(rows, byte_symbols, length, gram, scratch)
-    mixed = scratch.write(mixed, "mixed")
-    large = scratch.write(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_runs).select("key"), "large")
-    pieces = scratch.write(_texts(rows, mixed, length), "pieces")
-    marks = whole.unionByName(index_marks(pieces.hint("merge").join(large, "key", "left_anti"), length))
-    if large.limit(1).count():
-        marks = marks.unionByName(counted_marks(pieces.hint("merge").join(large, "key", "left_semi"), length))
-    marks = scratch.write(marks, "marks")
-    scratch.drop("pieces")
+    shared, contents = shared_runs(rows, length, gram, scratch)
+    pieces = scratch.write(_strings(rows, contents, length), "pieces")
+    grouped, inside = in_groups(pieces, length, gram, group, scratch)
+    marked = scratch.write(index_marks(grouped, length), "marked")
+    at = lambda level: marked.where(F.col("level") == level).drop("level")
+    found = at(len(inside))
+    for level in range(len(inside), 0, -1):  # back to the runs that were lengthened
+        up = inside[level - 1].hint("merge").join(found, ["key", "content"])
+        up = up.select(F.col("okey").alias("key"), F.col("ocontent").alias("content"), (F.col("first") + F.col("off")).alias("first"), "many")
+        found = scratch.write(at(level - 1).unionByName(up), f"found-{level}")
+    places = shared.hint("merge").join(found, ["key", "content"]).select("rid", (F.col("start") + F.col("first")).alias("start"), "many")
+    marks = scratch.write(places, "marks")
+    scratch.drop("pieces", "shared", "marked", *(f"{name}-{level}" for level in range(len(inside) + 1) for name in ("large", "sub", "subagain", "pieces", "found")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 data = text.encode()
-                if not found:
+                cell = batch.column(2)[i].values
+                if cell is None:
                     out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                     continue
-                gone = covered(len(data), found, length)
+                start, many = (cell.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1))
+                edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + many - 1 + length, minlength=len(data) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((len(data), int(gone.sum()), len(_runs_of(gone)), hashlib.sha256(kept).hexdigest()))
-            n, removed, spans, sha = zip(*out) if out else ((),) * 4
+                out.append((len(data), int(gone.sum()), len(spans(gone)[0]), hashlib.sha256(kept).hexdigest()))
+            n, removed, runs, sha = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return with_marks(rows, marks).select("doc_id", "text", "marks").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = rows.hint("merge").join(marks.groupBy("rid").agg(F.collect_list(F.struct("start", "many")).alias("marks")), "rid", "left")
+    return marked.select("doc_id", "text", "marks").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

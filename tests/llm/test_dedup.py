@@ -10,7 +10,7 @@ import pytest
 from riskweave.llm.common import Scratch
 from riskweave.llm.components import components
 from riskweave.llm.near_dup import near_duplicates
-from riskweave.llm.substring_dedup import substring_dedup
+from riskweave.llm.substring_dedup import Windows, lengths, replayed, substring_dedup
 from riskweave.llm.suffix_dedup import RunLengthIndex, suffix_dedup
 
 
@@ -86,33 +86,81 @@ def test_near_duplicates_odd_ids(spark):
     assert near_duplicates(frame(spark, rows).where("doc_id = 99")).count() == 0
 
 
+def windows(units, width):
+    """Which windows of each unit also start elsewhere, by comparing them."""
+    seen = Counter(u[p : p + width] for u in units for p in range(len(u) - width + 1))
+    return [np.array([seen[u[p : p + width]] > 1 for p in range(len(u) - width + 1)], bool) for u in units]
+
+
 def removed(units, width):
-    seen = Counter(tuple(u[p : p + width]) for u in units for p in range(len(u) - width + 1))
-    for u in units:
+    for u, again in zip(units, windows(units, width)):
         gone = np.zeros(len(u), bool)
-        for p in range(len(u) - width + 1):
-            if seen[tuple(u[p : p + width])] > 1:
-                gone[p : p + width] = True
+        for p in np.flatnonzero(again):
+            gone[p : p + width] = True
         yield u, gone
 
 
-def test_substring_dedup(spark):
-    rows = [r for r in corpus() if len(r[1] or "") < 50_000]
+def with_long(rows):
+    """And texts beyond a piece of the run finder (2^19 bytes), one with passages of the others at its piece border and end."""
+    rng = random.Random(12)
+    long = words(rng, 130_000, 10**6)
+    passage = next(t for _, t in rows if t and len(t.split()) == 140)
+    at = next(i for i, n in enumerate(np.cumsum([len(w) + 1 for w in long])) if n > (1 << 19) - 300)
+    long[at:at] = passage.split()
+    return [*rows, (len(rows), " ".join([*long, *passage.split()])), (len(rows) + 1, "ab" * 300_000)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 21, 3000])
+def test_substring_dedup(spark, chunk):
+    rows = with_long(corpus())
     want = []
-    for (i, _), (u, gone) in zip(rows, removed([(t or "").encode().split() for _, t in rows], 35)):
+    for (i, _), (u, gone) in zip(rows, removed([tuple((t or "").encode().split()) for _, t in rows], 35)):
         want.append((i, len(u), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(u, gone) if not g)).hexdigest()))
-    got = substring_dedup(frame(spark, rows)).collect()
+    got = substring_dedup(frame(spark, rows), chunk=chunk).collect()
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("most", [2000, 2])
+@pytest.mark.parametrize(("window", "levels"), [(35, [9, 18, 35]), (9, [9]), (40, [5, 10, 20, 40]), (2, [2])])
+def test_levels(spark, window, levels):
+    """At every level the candidates are the windows whose halves repeat, and those that repeat survive."""
+    assert lengths(window) == levels
+    units = [tuple((t or "").encode().split()) for _, t in corpus()]
+    make = lambda: Windows([(t or "").encode() for _, t in corpus()], levels, 2)
+    for n, width in enumerate(levels):
+        at, _ = replayed(make(), None, 1, n)
+        before = windows(units, levels[n - 1]) if n else None
+        step = width - levels[n - 1] if n else 0
+        base, want, keep = 0, [], []
+        for k, (u, again) in enumerate(zip(units, windows(units, width))):
+            some = [p for p in range(len(u) - width + 1) if not n or (before[k][p] and before[k][p + step])]
+            want += [base + p for p in some]
+            keep += [base + p for p in some if again[p]]
+            base += len(u)
+        assert at.tolist() == want
+        if n + 1 < len(levels):
+            replayed(run := make(), None, 1, n + 1)
+            assert np.flatnonzero(run.alive).tolist() == keep
+    texts = [(i, t) for i, t in corpus()]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(frame(spark, texts), window).collect()}
+    assert got == {i: int(g.sum()) for i, (_, g) in enumerate(removed(units, window))}
+
+
+def test_substring_text(spark):
+    rows = corpus()
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in substring_dedup(frame(spark, rows), with_text=True).collect()}
+    for (i, t), (u, gone) in zip(rows, removed([tuple((t or "").split()) for _, t in rows], 35)):
+        assert got[i][1] == (" ".join(w for w, g in zip(u, gone) if not g) if gone.any() else t or "")
+
+
+@pytest.mark.parametrize("most", [1000, 2, 1])
 def test_suffix_dedup(spark, most):
-    rows = [r for r in corpus() if len(r[1] or "") < 50_000]
+    """Also with grams lengthened while a group has more than ``most`` contents, to full length at the end."""
+    rows = with_long(corpus())
     want = []
     for (i, _), (u, gone) in zip(rows, removed([(t or "").encode() for _, t in rows], 200)):
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((i, len(u), int(gone.sum()), spans, hashlib.sha256(bytes(c for c, g in zip(u, gone) if not g)).hexdigest()))
-    got = suffix_dedup(frame(spark, rows), group_runs=most).collect()
+    got = suffix_dedup(frame(spark, rows), group=most).collect()
     assert sorted(map(tuple, got)) == want
 
 
@@ -127,10 +175,11 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_index_matches_everywhere():
     rng = random.Random(3)
-    for _ in range(20):
+    for _ in range(60):
         base = bytes(rng.choice(b"ab") for _ in range(60))
         texts = [base[a : a + rng.randint(1, 60)] + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for a in (rng.randint(0, 50) for _ in range(6))]
-        got = RunLengthIndex(texts).matching_statistics().tolist()
+        several = [rng.random() < 0.2 for _ in texts]
+        got = RunLengthIndex(texts, several).matching_statistics().tolist()
         flat = [(t, i) for t in range(len(texts)) for i in range(len(texts[t]))]
 
         def common(x, y):
@@ -139,7 +188,7 @@ def test_index_matches_everywhere():
                 n += 1
             return n
 
-        assert got == [max(common(texts[t][i:], texts[u][j:]) for u, j in flat if (t, i) != (u, j)) for t, i in flat]
+        assert got == [len(texts[t]) - i if several[t] else max(common(texts[t][i:], texts[u][j:]) for u, j in flat if (t, i) != (u, j)) for t, i in flat]
 
 
 def test_components(spark):
