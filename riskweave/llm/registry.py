@@ -76,6 +76,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: Words and shingles as operator 2 has them; {share} is exact in whole numbers.
@@ -108,7 +115,61 @@ SELECT doc_id, item_id, n_shingles::INTEGER AS n_shingles, n_found::INTEGER AS n
 FROM f JOIN n USING (item_id) WHERE 5 * n_found >= 4 * n_shingles
 """
 
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string in DuckDB, which has no function for it: byte by byte, bit by bit."""
+    bits = "list_reduce(list_concat([xor(a, b)], [0::BIGINT FOR i IN range(8)]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], [ord(s)::BIGINT FOR s IN string_split({text}, '')]), lambda a, b: {bits}), 4294967295)"
+
+
+def _merkle_sql(depth: int = 8) -> str:
+    """Operator 12 for up to 16^depth rows: each level as a table of its own."""
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*(value(c) for c in ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"d AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS used FROM documents)",
+        "s AS MATERIALIZED (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM d))",
+        "l0 AS MATERIALIZED (SELECT tree, doc_id, leaf, used, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)",
+        "a0 AS MATERIALIZED (SELECT tree, pos, n, leaf AS h FROM l0)",
+    ]
+
+    def tree(name: str) -> None:
+        for k in range(1, depth + 1):
+            below = f"{name}{k - 1}"
+            steps.append(f"{name}{k} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {below} WHERE n > 1 GROUP BY tree, pos // 16, n)")
+
+    tree("a")
+    steps.append("b0 AS MATERIALIZED (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM (" + " UNION ALL ".join(f"SELECT tree, h FROM a{k} WHERE n = 1" for k in range(depth + 1)) + "))")
+    tree("b")
+    steps.append("r AS (SELECT h AS root FROM (" + " UNION ALL ".join(f"SELECT h FROM b{k} WHERE n = 1" for k in range(depth + 1)) + "))")
+    # Every leaf climbs: what stands left and right of its node, and the digest folded so far.
+    steps.append("c0 AS MATERIALIZED (SELECT row_number() OVER () AS id, tree, pos, n, used AS h, '' AS proof FROM l0)")
+    steps.append("e AS MATERIALIZED (SELECT id, doc_id, l.leaf, c.tree FROM c0 c JOIN l0 l USING (tree, pos))")
+    last = "c0"
+
+    def climb(name: str, part: str, own: str, where: str) -> None:
+        steps.append(
+            f"{name} AS MATERIALIZED (SELECT c.id, c.tree, CASE WHEN c.n > 1 THEN c.pos // 16 ELSE c.pos END AS pos, CASE WHEN c.n > 1 THEN (c.n + 15) // 16 ELSE 1 END AS n, "
+            f"CASE WHEN c.n > 1 THEN sha256(coalesce(x.low, '') || c.h || coalesce(x.high, '')) ELSE c.h END AS h, c.proof || coalesce(x.low, '') || coalesce(x.high, '') AS proof "
+            f"FROM {own} c LEFT JOIN (SELECT id, string_agg(m.h, '' ORDER BY m.pos) FILTER (m.pos < c.pos) AS low, string_agg(m.h, '' ORDER BY m.pos) FILTER (m.pos > c.pos) AS high "
+            f"FROM {own} c JOIN {part} m ON {where} AND m.pos // 16 = c.pos // 16 AND c.n > 1 GROUP BY id) x USING (id))"
+        )
+
+    for k in range(depth):
+        climb(f"c{k + 1}", f"a{k}", f"c{k}", "m.tree = c.tree")
+        last = f"c{k + 1}"
+    steps.append(f"u AS MATERIALIZED (SELECT a.tree, a.h AS subroot FROM ({' UNION ALL '.join(f'SELECT tree, h, n FROM a{k}' for k in range(depth + 1))}) a WHERE a.n = 1)")
+    steps.append(f"t0 AS MATERIALIZED (SELECT id, tree, tree AS pos, (SELECT count(*) FROM s) AS n, h, proof FROM {last})")
+    for k in range(depth):
+        climb(f"t{k + 1}", f"b{k}", f"t{k}", "TRUE")
+    return (
+        "WITH " + ",\n".join(steps) + f"\nSELECT e.doc_id, e.leaf, u.subroot, r.root, sha256(t.proof) AS proof_sha256, t.h AS folded_root, t.h = r.root AS verified FROM e JOIN t{depth} t USING (id) JOIN u ON u.tree = e.tree, r"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op2_decontamination": _OP2,
     "op1_top_k": """
 WITH vectors AS (
