@@ -76,6 +76,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import manifest
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -168,7 +175,28 @@ def _merkle_sql(depth: int = 8) -> str:
     )
 
 
+#: Prefixes as lists of turn numbers, each node with all of its prefixes.
+_OP11 = rf"""
+WITH v AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS dig, dense_rank() OVER (ORDER BY role, text) AS sid, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM v
+), w AS (SELECT sid, any_value(w) AS w FROM k GROUP BY sid),
+o AS (SELECT conv_id, list(sid ORDER BY turn NULLS FIRST, dig) AS own FROM k GROUP BY conv_id),
+h AS (SELECT conv_id, own, conv_id - conv_id % 20 AS family, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM o),
+r AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(f.own, [])[1 : h.h], h.own[h.h + 1 :]) AS seq FROM h LEFT JOIN o f ON f.conv_id = h.family),
+m AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r),
+n AS MATERIALIZED (
+  SELECT seq[1 : depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(seq) = depth), '') AS ends FROM m GROUP BY 1, 2
+), c AS MATERIALIZED (SELECT p[1 : depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+x AS MATERIALIZED (SELECT n.p, n.depth, n.conv_id, n.n_convs, n.ends, coalesce(c.n_children, 0) AS n_children, (n.n_convs - 1) * coalesce(w.w, 0) AS own FROM n LEFT JOIN c USING (p) LEFT JOIN w ON w.sid = n.p[n.depth]),
+s AS (SELECT p[1 : d] AS p, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT p, own, n_children, unnest(range(0, depth + 1)) AS d FROM x) GROUP BY 1)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN s USING (p) LEFT JOIN n u ON x.depth > 0 AND u.p = x.p[1 : x.depth - 1]
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": _OP11,
     "op12_merkle_manifest": _merkle_sql(),
     "op2_decontamination": _OP2,
     "op1_top_k": """

@@ -25,15 +25,23 @@ def lower(text):
     return None if text is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
 
 
-def climb(nodes, at):
-    """Levels of a tree, and the siblings of the leaf ``at``, level by level, as (left, right)."""
+def tree(nodes):
+    """All levels of a tree, lowest first."""
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([h(*out[-1][i : i + 16]) for i in range(0, len(out[-1]), 16)])
+    return out
+
+
+def climb(levels, at):
+    """The siblings of the leaf ``at``, level by level, as (left, right)."""
     path = []
-    while len(nodes) > 1:
+    for nodes in levels[:-1]:
         run = at // 16 * 16
         group = nodes[run : run + 16]
         path.append(("".join(group[: at - run]), "".join(group[at - run + 1 :])))
-        nodes, at = [h(*nodes[i : i + 16]) for i in range(0, len(nodes), 16)], at // 16
-    return nodes[0], path
+        at //= 16
+    return path
 
 
 def brute(rows):
@@ -44,16 +52,15 @@ def brute(rows):
         groups[source].append((i is not None, i or 0, leaf, h(*map(value, (i, source, lang, n, lower(text)))) if picked else leaf, i))
     order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
     leaves = {s: sorted(g, key=lambda r: r[:3]) for s, g in groups.items()}
-    subroots = [climb([r[2] for r in leaves[s]], 0)[0] for s in order]
-    out = []
+    trees = {s: tree([r[2] for r in leaves[s]]) for s in order}
+    top = tree([trees[s][-1][0] for s in order])
+    root, out = top[-1][0], []
     for k, s in enumerate(order):
-        root, over = climb(subroots, k)
         for at, r in enumerate(leaves[s]):
-            _, path = climb([x[2] for x in leaves[s]], at)
-            folded = r[3]
-            for left, right in path + over:
+            path, folded = climb(trees[s], at) + climb(top, k), r[3]
+            for left, right in path:
                 folded = h(left, folded, right)
-            out.append((r[4], r[2], subroots[k], root, h(*(a + b for a, b in path + over)), folded, folded == root))
+            out.append((r[4], r[2], top[0][k], root, h(*(a + b for a, b in path)), folded, folded == root))
     return out
 
 
