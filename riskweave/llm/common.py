@@ -56,6 +56,24 @@ class Scratch:
             self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+        """Like ``write``, with the rows dealt to ``buckets`` files by ``key``: joins on it shuffle the other side alone.
+
+        Spark knows buckets from its catalog only. The entry is needed to read the
+        table once and removed then; the files stay.
+        """
+        table = f"riskweave_{uuid.uuid4().hex}"
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+            dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return out
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import xxhash
+
+from .pretokens import Memo
 
 BASE = np.uint64(0xD1342543DE82EF95)
 #: Bits of a row's number in ``order_of``'s packed sort.
@@ -42,6 +47,20 @@ class Roller:
         return mix((self.sums[end] - self.sums[start]) * Roller._inverse[start] + (end - start).astype(np.uint64))
 
 
+class WordHashes:
+    """Two 64-bit hashes of every word, from its bytes by xxh3 under two seeds; words are kept in a bounded memo."""
+
+    LIMIT = 200_000
+
+    def __init__(self, seed: int):
+        self.memo = Memo(lambda word: xxhash.xxh3_64_digest(word, seed) + xxhash.xxh3_64_digest(word, seed + 1), self.LIMIT)
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The hashes of the words of all texts, end to end, one array for each seed."""
+        both = np.frombuffer(b"".join(map(self.memo.__getitem__, chain.from_iterable(texts))), np.uint64).reshape(-1, 2)
+        return [np.ascontiguousarray(both[:, k]) for k in (0, 1)]
+
+
 def order_of(h: np.ndarray) -> np.ndarray:
     """``argsort`` of 64-bit hashes, equal ones together: by their upper bits with the row number below, which sorts several times faster; in full where these bits don't tell different hashes apart."""
     n = len(h)

@@ -6,16 +6,19 @@ both its halves repeat. So 9 becomes 18, 18 becomes 35 (the last halves overlap
 by a word), each level counts all its candidates, and the loop ends early when
 no candidates survive.
 
-Texts are packed into chunks of about ``CHUNK`` bytes, a written table, and a
-level goes through two shuffles: a chunk sends the distinct hashes of its
+Texts are packed into chunks of about ``CHUNK`` bytes, a table of buckets, so
+that texts are shuffled once and later only the answers go to them. A level goes through two shuffles: a chunk sends the distinct hashes of its
 candidates, cut by hash range into ``slices``; a slice counts in how many chunks
 each hash stands and answers with one bit a hash; a chunk knows by itself which
 hashes it holds twice. A window that stands in a third of all texts thus costs
-one hash a chunk, and slices are even whatever the text. Hashes of a longer
-window are made of those of its halves. Below the last level hashes have 64
-bits: a collision only lets a candidate live on. The last level compares 128
-bits of independent word hashes; for n windows the probability of a wrong match
-is below n^2 / 2^128.
+one hash a chunk, and slices are even whatever the text. Words are hashed by
+xxh3 under seeds that are drawn anew for every call, so that no text can be
+written to collide. A longer window's hash is an odd multiple of its first
+half's, plus its second half's, mixed without loss: windows that differ in one
+half alone never collide. Below the last level hashes have 64 bits: a collision
+only lets a candidate live on. The last level compares two such hashes of
+different seeds; a pair of different windows passes both with a probability of
+about 2^-128.
 
 Defined cases: null, empty and blank texts have no words; texts shorter than a
 window keep all words; repeated rows are further occurrences, so both lose
@@ -25,6 +28,7 @@ their windows; null ids take part; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from itertools import compress
 
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded, id_of, parts, text_of
-from .hashing import Roller, byte_numbers, mix, order_of
+from .hashing import WordHashes, mix, order_of
 
 #: Bytes of text in a chunk, and windows in a slice: bounds of a task's memory.
 CHUNK = 1 << 20
@@ -44,11 +48,6 @@ TASK = 1 << 21
 #: The first level's longest window.
 FIRST = 9
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-SEEDS = (10, 11)
-#: Bytes of text that are hashed at once.
-STRETCH = 1 << 19
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def lengths(window: int, first: int = FIRST) -> list[int]:
@@ -60,60 +59,42 @@ def lengths(window: int, first: int = FIRST) -> list[int]:
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """``chunk, n_words, ids, texts``: consecutive rows together, about ``size`` bytes (a longer text alone)."""
+    """``chunk, ids, texts``: consecutive rows together, about ``size`` bytes (a longer text alone)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 32
-        ids, texts, held, words = [], [], 0, 0
+        ids, texts, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((at, words, ids, texts), kinds)], names=["chunk", "n_words", "ids", "texts"])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((at, ids, texts), kinds)], names=["chunk", "ids", "texts"])
 
         for batch in bounded(batches, 1, size):
             for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(one)
                 texts.append(text)
                 held += len(text)
-                words += text.count(" ") + 1  # about; sizes the slices only
                 if held >= size:
                     yield out()
-                    at, ids, texts, held, words = at + 1, [], [], 0, 0
+                    at, ids, texts, held = at + 1, [], [], 0
         if ids:
             yield out()
 
-    return docs.select(id_of(docs), text_of(docs)).mapInArrow(pack, "chunk long, n_words long, ids array<long>, texts array<string>")
-
-
-def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a byte text begin and end."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~BLANK[data], [False]])))
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, about ``STRETCH`` bytes of the text at a time."""
-    out, at = np.empty(len(start), np.uint64), 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, "right")))
-        first = start[at]
-        out[at:to] = Roller(numbers[data[first : end[to - 1]]]).some(start[at:to] - first, end[at:to] - first)
-        at = to
-    return out
+    return docs.select(id_of(docs), text_of(docs)).mapInArrow(pack, "chunk long, ids array<long>, texts array<string>")
 
 
 class Windows:
     """The windows of a chunk of texts: their hashes level by level, and which of them are candidates."""
 
-    def __init__(self, texts: list[bytes], levels: list[int], hashes: int):
-        data = np.frombuffer(b" ".join(texts), np.uint8)
-        start, end = word_places(data)
-        self.sizes = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))  # words of each text
-        self.n, self.levels = len(start), levels
+    def __init__(self, texts: list[bytes], levels: list[int], hashes: int, words: WordHashes):
+        split = [t.split() for t in texts]
+        self.sizes = np.array([len(w) for w in split], np.int64)  # words of each text
+        self.n, self.levels = int(self.sizes.sum()), levels
         self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(self.n)  # words to the end of the own text
-        self.keys = [self._first(word_hashes(data, start, end, byte_numbers(seed)), odd) for seed, odd in zip(SEEDS[:hashes], ODD)]
+        symbols = words.of(split)
+        self.keys = [self._first(symbols[k], odd) for k, odd in enumerate(ODD[:hashes])]
         self.level = 0
         self.alive: np.ndarray | None = None
 
@@ -191,15 +172,16 @@ def replayed(windows: Windows, answers: list | None, slices: int, upto: int):
             return None
 
 
-def sent(packed: DataFrame, levels: list[int], level: int, slices: int) -> DataFrame:
+def sent(packed: DataFrame, levels: list[int], level: int, slices: int, seed: int) -> DataFrame:
     """``slice, chunk, keys``: the distinct hashes of the candidates of one level, by hash range."""
     two = level == len(levels) - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes(seed)
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, texts, answers = (batch.column(c)[i].as_py() for c in range(3))
-                windows = Windows([t.encode() for t in texts], levels, 1 + two)
+                windows = Windows([t.encode() for t in texts], levels, 1 + two, words)
                 _, keys = replayed(windows, answers, slices, level)
                 edges = cuts(keys[0], slices)
                 here = np.flatnonzero(np.diff(edges))
@@ -232,31 +214,32 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False,
     are joined by one space; ``kept_text`` is the text itself where nothing went.
     """
     spark, scratch, levels = docs.sparkSession, Scratch(docs.sparkSession), lengths(window, first)
-    table = scratch.write(chunks(docs, chunk), "chunks")
-    total = table.agg(F.sum("n_words")).first()[0] or 0
-    slices = max(parts(spark), -(-total // SLICE))
-    # A set number of partitions, which is not coalesced, so that a task and its Arrow batches hold few chunks.
-    tasks = max(parts(spark), -(-total // TASK))
-    answers = None
+    # About; a set number of buckets, so that a task and its Arrow batches hold few chunks. It sizes tasks only.
+    total = docs.select((F.octet_length(text_of(docs)) / 6).alias("n")).agg(F.sum("n")).first()[0] or 0
+    slices = max(parts(spark), -(-int(total) // SLICE))
+    tasks = max(parts(spark), -(-int(total) // TASK))
+    table = scratch.bucketed(chunks(docs, chunk), "chunks", tasks, "chunk")
+    answers, seed = None, secrets.randbits(63)
 
     def packed() -> DataFrame:
         if answers is None:
             return table.withColumn("answers", F.lit(None).cast("array<struct<level: int, slice: int, bits: binary>>"))
         told = answers.where("bits IS NOT NULL").repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("level", "slice", "bits")).alias("answers"))
-        return table.repartition(tasks, "chunk").hint("merge").join(told, "chunk", "left")
+        return table.hint("merge").join(told, "chunk", "left")
 
     for level in range(len(levels)):
-        got = scratch.write(answered(sent(packed(), levels, level, slices), level, 1 + (level == len(levels) - 1)), f"level-{level}")
+        got = scratch.write(answered(sent(packed(), levels, level, slices, seed), level, 1 + (level == len(levels) - 1)), f"level-{level}")
         if not got.limit(1).count():  # no candidates survive
             break
         answers = got if answers is None else answers.unionByName(got)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes(seed)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, texts, told = (batch.column(c)[i].as_py() for c in range(3))
                 raw = [t.encode() for t in texts]
-                windows = Windows(raw, levels, 2)
+                windows = Windows(raw, levels, 2, words)
                 replayed(windows, told, slices, len(levels))
                 gone, out, at = windows.covered(), [], 0
                 for data, text, size in zip(raw, texts, windows.sizes.tolist()):

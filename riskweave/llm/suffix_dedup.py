@@ -1,23 +1,22 @@
 """Operator 6: long repeated byte strings by a run-length index.
 
 Runs of 200-byte windows that share their least 32-byte gram (``repeats``)
-bring together what can match; each different run goes once, with its number
-of occurrences, to a block of whole groups. A block's strings are sorted by
-suffix; of the Burrows-Wheeler transform only the runs are kept, with the text
-position of every run's first and last row and the common length with the row
-before or after (sampled run ends). A string that occurs more often would stand
-in adjacent rows of the same transform run, so it is kept once and its samples
-are the whole rest of it. Matching statistics stream from the samples: at any
-position the longest match elsewhere is the value of the last sampled position
-before it, less the distance. Windows whose match reaches 200 bytes are marked,
-at every place where their run occurs; nothing else removes bytes.
+bring together what can match. Each different run goes to a block of whole
+groups once, or twice if it occurs more often, so that the index itself finds
+the copy. A block's strings are sorted by suffix, by prefix doubling over the
+whole block; of the Burrows-Wheeler transform only the runs are kept, with the
+text position of every run's first and last row and the common length with the
+row before or after (sampled run ends). Matching statistics stream from the
+samples: at any position the longest match elsewhere is the value of the last
+sampled position before it, less the distance. Windows whose match reaches 200
+bytes are marked, at every place where their run occurs; nothing else removes
+bytes.
 
 Blocks hold about ``BLOCK_BYTES``, and a group at most ``GROUP`` strings of less
 than 400 bytes: the grams of larger groups are lengthened (``repeats``).
 
-The index compares bytes. Only copies of one run are told by hashes: two runs of
-the same 64-bit gram hash count as equal if their 64-bit content hashes are; for
-n pairs of different runs of a gram the probability of a mistake is n / 2^64.
+The index compares bytes. Only that two runs are copies is told by a hash, the
+128-bit xxh3 of their bytes, among runs of one gram.
 
 Defined cases: null and empty texts have no bytes; texts shorter than 200 bytes
 keep all; repeated rows are further occurrences, so both lose their windows;
@@ -47,13 +46,13 @@ class RunLengthIndex:
 
     The strings are one sequence, with an end sign after each: a byte that UTF-8
     never holds, and different for each string (the earlier the lower), so that
-    no match crosses two strings. ``several``: strings that occur more than once.
+    no match crosses two strings.
     """
 
     END = 0xFF
     FIRST = 8  # bytes in the first sort key
 
-    def __init__(self, strings: list[bytes], several: list[bool]):
+    def __init__(self, strings: list[bytes]):
         sizes = np.array([len(t) + 1 for t in strings], np.int64)
         ends = np.cumsum(sizes)
         self.n = int(ends[-1])
@@ -66,9 +65,8 @@ class RunLengthIndex:
         before[first] = -1 - np.arange(len(first))  # before a string's begin stands an end sign, each a run of its own
         before = before[order]
         change = np.flatnonzero(before[1:] != before[:-1])
-        whole = np.repeat(np.array(several, bool), sizes)
-        self.heads = self._samples(order, levels, np.append(0, change + 1), -1, whole)
-        self.tails = self._samples(order, levels, np.append(change, self.n - 1), 1, whole)
+        self.heads = self._samples(order, levels, np.append(0, change + 1), -1)
+        self.tails = self._samples(order, levels, np.append(change, self.n - 1), 1)
 
     def _sort(self, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """Suffix order by prefix doubling of what is still tied, and the ranks of every level."""
@@ -119,7 +117,7 @@ class RunLengthIndex:
             levels.append((width, rank))
         return order, levels
 
-    def _samples(self, order: np.ndarray, levels: list, rows: np.ndarray, side: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _samples(self, order: np.ndarray, levels: list, rows: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Text positions of the rows, ascending, and the common length with the row on that side."""
         other = rows + side
         valid = (other >= 0) & (other < self.n)
@@ -130,7 +128,7 @@ class RunLengthIndex:
         for _ in range(self.FIRST):
             x = self.symbols[np.minimum(at + length, self.n - 1)]
             length += (x == self.symbols[np.minimum(next_ + length, self.n - 1)]) & (x != self.END)
-        length = np.where(whole[at], self.left[at], np.where(valid, length, 0))
+        length = np.where(valid, length, 0)
         by = np.argsort(at)
         return at[by], length[by]
 
@@ -152,7 +150,7 @@ def _strings(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
             for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode()
                 out += [(f["key"], f["content"], f["count"], f["at"], f["times"] > 1, data[f["start"] : f["start"] + f["count"] + length - 1]) for f in found]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "content", "count", "at", "several", "piece"])
 
     lists = contents.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "start", "count", "at", "times")).alias("found"))
@@ -172,11 +170,13 @@ def index_marks(pieces: DataFrame, length: int) -> DataFrame:
     """
 
     def mark(block: list[tuple]) -> pa.RecordBatch:
-        long = RunLengthIndex([b[4] for b in block], [b[3] for b in block]).matching_statistics() >= length
-        begin = np.cumsum([0, *(len(b[4]) for b in block)])
+        once, twice = [b[4] for b in block], [b[4] for b in block if b[3]]
+        begin = np.cumsum([0, *map(len, once)])
+        long = RunLengthIndex(once + twice).matching_statistics()[: begin[-1]] >= length
         at, size = spans(long)  # no stretch crosses two strings: the last bytes of a string match less than ``length``
         which = np.searchsorted(begin, at, side="right") - 1
-        key, content, level = (np.array([b[i] for b in block], np.int64)[which] for i in (0, 1, 2))
+        key, level = (np.array([b[i] for b in block], np.int64)[which] for i in (0, 2))
+        content = pa.array([block[i][1] for i in which.tolist()], pa.binary())
         columns = [level.astype(np.int32), key, content, (at - begin[which]).astype(np.int32), size.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "key", "content", "first", "many"])
 
@@ -190,12 +190,12 @@ def index_marks(pieces: DataFrame, length: int) -> DataFrame:
                     block, size = [], 0
                 key = row[0]
                 block.append(row)
-                size += len(row[4])
+                size += len(row[4]) * (2 if row[3] else 1)
         if block:
             yield mark(block)
 
     placed = pieces.repartition("key").sortWithinPartitions("key")
-    return placed.select("key", "content", "level", "several", "piece").mapInArrow(work, "level int, key long, content long, first int, many int")
+    return placed.select("key", "content", "level", "several", "piece").mapInArrow(work, "level int, key long, content binary, first int, many int")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:

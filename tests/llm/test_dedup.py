@@ -9,6 +9,7 @@ import pytest
 
 from riskweave.llm.common import Scratch
 from riskweave.llm.components import components
+from riskweave.llm.hashing import WordHashes
 from riskweave.llm.near_dup import near_duplicates
 from riskweave.llm.substring_dedup import Windows, lengths, replayed, substring_dedup
 from riskweave.llm.suffix_dedup import RunLengthIndex, suffix_dedup
@@ -125,7 +126,7 @@ def test_levels(spark, window, levels):
     """At every level the candidates are the windows whose halves repeat, and those that repeat survive."""
     assert lengths(window) == levels
     units = [tuple((t or "").encode().split()) for _, t in corpus()]
-    make = lambda: Windows([(t or "").encode() for _, t in corpus()], levels, 2)
+    make = lambda: Windows([(t or "").encode() for _, t in corpus()], levels, 2, WordHashes(3))
     for n, width in enumerate(levels):
         at, _ = replayed(make(), None, 1, n)
         before = windows(units, levels[n - 1]) if n else None
@@ -178,8 +179,8 @@ def test_index_matches_everywhere():
     for _ in range(60):
         base = bytes(rng.choice(b"ab") for _ in range(60))
         texts = [base[a : a + rng.randint(1, 60)] + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for a in (rng.randint(0, 50) for _ in range(6))]
-        several = [rng.random() < 0.2 for _ in texts]
-        got = RunLengthIndex(texts, several).matching_statistics().tolist()
+        texts += [t for t in texts if rng.random() < 0.2]
+        got = RunLengthIndex(texts).matching_statistics().tolist()
         flat = [(t, i) for t in range(len(texts)) for i in range(len(texts[t]))]
 
         def common(x, y):
@@ -188,7 +189,28 @@ def test_index_matches_everywhere():
                 n += 1
             return n
 
-        assert got == [len(texts[t]) - i if several[t] else max(common(texts[t][i:], texts[u][j:]) for u, j in flat if (t, i) != (u, j)) for t, i in flat]
+        assert got == [max(common(texts[t][i:], texts[u][j:]) for u, j in flat if (t, i) != (u, j)) for t, i in flat]
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_written_to_collide(spark):
+    """Thue-Morse words collide under any polynomial modulo a power of two; nothing of them repeats here."""
+    for n in (1 << 10, 1 << 11, 1 << 12):
+        one, other = thue_morse(n)
+        rows = [(k, " ".join([*(f"w{i}" for i in range(17)), middle, *(f"w{i}" for i in range(17, 34))])) for k, middle in enumerate((one, other))]
+        assert [r["n_removed"] for r in substring_dedup(frame(spark, rows)).collect()] == [0, 0]
+    # Two documents that share a gram and else differ by words of that kind.
+    gram = "".join(random.Random(5).choice("cdefghij") for _ in range(64))
+    for n in (128, 1024):
+        rows = [(k, gram + middle) for k, middle in enumerate(thue_morse(n))]
+        want = [(i, int(g.sum())) for (i, _), (_, g) in zip(rows, removed([t.encode() for _, t in rows], 200))]
+        assert sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup(frame(spark, rows)).collect()) == want
 
 
 def test_components(spark):
