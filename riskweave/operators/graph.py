@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import saved
-from .joins import active_subgraph, lookup
+from ..sources.storage import newest_version, saved
 from .ordering import running_sums
 
 
@@ -24,19 +23,21 @@ def node_list(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def node_totals(edges: DataFrame) -> DataFrame:
-    """First and last time, transactions and volume of every node, both ends counted."""
+def node_totals(edges: DataFrame, exact: bool = False) -> DataFrame:
+    """First and last time, transactions and volume of every node, both ends counted. ``exact``: the volume as a decimal, to be added to."""
     both = edges.select(F.col("src").alias("id"), "amount", "ts_us").unionByName(edges.select(F.col("dst").alias("id"), "amount", "ts_us"))
-    return both.groupBy("id").agg(F.count(F.lit(1)).alias("txn_count"), F.round(F.sum(F.col("amount").cast("decimal(18,4)")).cast("double"), 2).alias("total_volume"), F.min("ts_us").alias("first_seen"), F.max("ts_us").alias("last_seen"))
+    volume = F.sum(F.col("amount").cast("decimal(18,4)"))
+    return both.groupBy("id").agg(F.count(F.lit(1)).alias("txn_count"), (volume if exact else F.round(volume.cast("double"), 2)).alias("total_volume"), F.min("ts_us").alias("first_seen"), F.max("ts_us").alias("last_seen"))
 
 
 def upsert_nodes(nodes: DataFrame, delta: DataFrame) -> DataFrame:
-    """Old totals and a batch's totals as one table."""
+    """Old totals and a batch's totals as one table; volumes keep their type."""
+    kind = nodes.schema["total_volume"].dataType
     o, d = nodes.alias("o"), delta.alias("d")
     both = o.join(d, F.col("o.id") == F.col("d.id"), "full")
     add = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"d.{c}"), F.lit(0))
     return both.select(
-        F.coalesce("o.id", "d.id").alias("id"), add("txn_count").alias("txn_count"), F.round(add("total_volume"), 2).alias("total_volume"),
+        F.coalesce("o.id", "d.id").alias("id"), add("txn_count").alias("txn_count"), (F.round(add("total_volume"), 2) if kind.typeName() == "double" else add("total_volume").cast(kind)).alias("total_volume"),
         F.least("o.first_seen", "d.first_seen").alias("first_seen"), F.greatest("o.last_seen", "d.last_seen").alias("last_seen"),
     )
 
@@ -126,22 +127,70 @@ def hop_features(edges: DataFrame, nodes: DataFrame, caps: tuple[int, int] = (15
     return one.hint("merge").join(two, "id", "left").select("id", F.concat("features", "h1", F.coalesce("mean", zeros(F.col("features")))).alias("x"))
 
 
-def propagated_embeddings(edges: DataFrame, nodes: DataFrame, size: int = 32, caps: tuple[int, int] = (15, 10)) -> DataFrame:
-    """``hop_features`` reduced by principal components to ``size``. Written before the fit, which reads them several times."""
+def fit_projection(hops: DataFrame, size: int):
+    """The principal components of hop features (``id, x``), as a model that maps any later row the same way."""
     from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    return PCA(k=size, inputCol="x", outputCol="y").fit(hops.select("id", array_to_vector("x").alias("x")))
+
+
+def projected(model, hops: DataFrame) -> DataFrame:
+    """``id, embedding``: hop features mapped by a fitted projection."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    return model.transform(hops.select("id", array_to_vector("x").alias("x"))).select("id", vector_to_array("y").alias("embedding"))
+
+
+def save_projection(model, folder: str, version: int) -> None:
+    """Keep a projection as version ``version`` of ``folder``. A version is written once; readers of older ones aren't disturbed."""
+    model.write().save(f"{folder}/version={version}")
+
+
+def load_projection(spark, folder: str, version: int | None = None):
+    """A kept projection, by default the newest."""
+    from pyspark.ml.feature import PCAModel
+
+    return PCAModel.load(f"{folder}/version={newest_version(spark, folder) if version is None else version}")
+
+
+def propagated_embeddings(edges: DataFrame, nodes: DataFrame, size: int = 32, caps: tuple[int, int] = (15, 10), projections: str | None = None, version: int = 1) -> DataFrame:
+    """``hop_features`` reduced by principal components to ``size``. Written before the fit, which reads them several times.
+
+    With ``projections``, a folder, the fitted components are kept there, so that
+    ``embedding_refresh`` maps later rows to the same coordinates.
+    """
     hops = saved(hop_features(edges, nodes, caps), "hops")
-    all_ = hops.select("id", array_to_vector("x").alias("x"))
-    model = PCA(k=size, inputCol="x", outputCol="y").fit(all_)
-    return model.transform(all_).select("id", vector_to_array("y").alias("embedding"))
+    model = fit_projection(hops, size)
+    if projections is not None:
+        save_projection(model, projections, version)
+    return projected(model, hops)
 
 
-def embedding_refresh(edges: DataFrame, nodes: DataFrame, store: DataFrame, active: DataFrame, size: int = 32, hops: int = 2) -> DataFrame:
-    """The store with new embeddings of the neighbourhood of the ``active`` nodes; the work follows that part, not the graph."""
+def hop_features_of(edges: DataFrame, nodes: DataFrame, some: DataFrame, caps: tuple[int, int] = (15, 10)) -> DataFrame:
+    """``hop_features`` of the nodes in ``some`` (``id``), equal to those of the whole graph.
+
+    Two steps reach their neighbours' neighbours, so these (the halo) come along:
+    every edge into ``some`` and into the senders of these edges, whole, as the cap
+    on neighbours has to see all of a node's. The work follows that part.
+    """
+    into = lambda ids: edges.hint("merge").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    wanted = saved(some.select("id").distinct(), "wanted")
+    inner = saved(wanted.unionByName(into(wanted).select(F.col("src").alias("id"))).distinct(), "inner")
+    part = saved(into(inner).select("src", "dst"), "halo-edges")
+    outer = inner.unionByName(part.select(F.col("src").alias("id"))).distinct()
+    around = saved(nodes.select("id", "features").hint("merge").join(outer, "id", "left_semi"), "halo-nodes")
+    return hop_features(part, around, caps).hint("merge").join(wanted, "id", "left_semi")
+
+
+def embedding_refresh(edges: DataFrame, nodes: DataFrame, store: DataFrame, active: DataFrame, model, hops: int = 2, caps: tuple[int, int] = (15, 10)) -> DataFrame:
+    """The store with new embeddings of the neighbourhood of the ``active`` nodes, by a kept projection.
+
+    Nothing is fitted: new rows lie in the coordinates of the store, and a refresh
+    of an unchanged graph changes nothing.
+    """
     near = saved(neighbourhood(edges, active, hops), "near")
-    part = active_subgraph(edges, near)
-    return refreshed(store, propagated_embeddings(part, nodes.join(lookup(near), "id", "left_semi"), size))
+    return refreshed(store, projected(model, hop_features_of(edges, nodes, near, caps)))
 
 
 def combined_graphs(a: DataFrame, b: DataFrame, size: int) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
+from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import metrics as E
 from ..operators import windows as W
@@ -14,6 +15,7 @@ from ..operators.aggregates import newest_us
 from ..operators.ordering import champion, temporal_split
 from ..sources import bindings as B
 from ..sources.storage import saved, shared_folder
+from ..streaming import processors as P
 from ..streaming import stateful as T
 from . import features as _features_first  # noqa: F401  its SQL is used below
 from .catalog import ORACLE_SQL, query
@@ -318,7 +320,7 @@ _BATCH_FEATURES = ["count_1h", "sum_1h", "count_6h", "sum_6h", "count_24h", "sum
 @query("st1_stateful_velocity", "WITH " + ", ".join(f"x{i} AS ({ORACLE_SQL[n]})" for i, n in enumerate(("w1_velocity", "w2_w4_baseline", "w5_w9_cross_client", "w8_time_since_other_client", "w10_prior_high_risk"))) + f" SELECT event_id, {', '.join(_BATCH_FEATURES)} FROM x0 JOIN x1 USING (event_id) JOIN x2 USING (event_id) JOIN x3 USING (event_id) JOIN x4 USING (event_id)")
 def st1(spark, d):
     """A stream over the table's files, run to its end."""
-    found = T.streaming_velocity(_stream(spark, d).select("event_id", "identity", "client_id", "modality", "amount_usd", "risk_score", "ts_us"))
+    found = P.streaming_velocity(_stream(P.stream_session(spark), d).select("event_id", "identity", "client_id", "modality", "amount_usd", "risk_score", "ts_us"))
     return spark.read.schema(found.schema).parquet(T.run_to_end(found, shared_folder(spark))).select("event_id", *_BATCH_FEATURES)
 
 
@@ -336,25 +338,65 @@ def st4(spark, d):
     return spark.read.schema(kept.schema).parquet(T.run_to_end(kept, shared_folder(spark)))
 
 
+#: An event arrives again 100 s later (answered as before) and 400 s later (scored anew), each time with another score.
+_REPEATS = ((0, 0.0), (100, 0.125), (400, 0.25))
+
+
+@query("st4_answered_repeats", f"""WITH {B.TXN} SELECT transaction_id, ts_us + x.after * 1000000 AS ts_us, round(risk_score + x.score, 6) AS risk_score, x.again AS repeated
+FROM txn, (VALUES (0, 0.0::DOUBLE, false), (100, 0.0::DOUBLE, true), (400, 0.25::DOUBLE, false)) x(after, score, again)""")
+def st4a(spark, d):
+    """The repeat within 300 s gets the first answer, a later one its own."""
+    once, rows = _stream(P.stream_session(spark), d).select("transaction_id", "ts_us", "risk_score"), None
+    for after, more in _REPEATS:
+        part = once.select("transaction_id", (F.col("ts_us") + after * 1_000_000).alias("ts_us"), (F.col("risk_score") + more).alias("risk_score"))
+        rows = part if rows is None else rows.unionByName(part)
+    found = P.answered(rows)
+    return spark.read.schema(found.schema).parquet(T.run_to_end(found, shared_folder(spark))).withColumn("risk_score", F.round("risk_score", 6))
+
+
 @query("st5_graph_batches", f"""WITH {B.EDGES_TXN}, b AS (SELECT src AS id, amount, ts_us FROM edges UNION ALL SELECT dst, amount, ts_us FROM edges)
 SELECT id, count(*) AS txn_count, round(sum(amount::DECIMAL(18,4))::DOUBLE, 2) AS total_volume, min(ts_us) AS first_seen, max(ts_us) AS last_seen FROM b GROUP BY id""")
 def st5(spark, d):
+    """The events in three parts, about a micro-batch each, added to the stored totals."""
     out = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    edges = _stream(spark, d).select(F.col("identity").alias("src"), F.col("receiver").alias("dst"), F.col("amount_usd").alias("amount"), "ts_us")
-    T.run_to_end(edges, out, T.graph_batches(f"{out}/nodes"))
-    n = spark.read.parquet(f"{out}/nodes")
-    total = F.round(F.sum(F.col("total_volume").cast("decimal(18,4)")).cast("double"), 2)
-    return n.groupBy("id").agg(F.sum("txn_count").alias("txn_count"), total.alias("total_volume"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    t = B.txn(spark, d).select(F.col("identity").alias("src"), F.col("receiver").alias("dst"), F.col("amount_usd").alias("amount"), "ts_us")
+    for part in range(3):
+        t.where(F.col("ts_us") % 3 == part).write.parquet(f"{out}/in/part={part}")
+    files = max(1, len(spark.read.parquet(f"{out}/in").inputFiles()) // 3)
+    edges = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/in/*")
+    T.run_to_end(edges, out, T.node_store(f"{out}/nodes"))
+    totals = G.node_totals(t, exact=True).withColumn("bucket", F.lit(0)).schema
+    n = T.stored_nodes(spark, f"{out}/nodes", totals)
+    return n.select("id", "txn_count", F.round(F.col("total_volume").cast("double"), 2).alias("total_volume"), "first_seen", "last_seen")
+
 
+#: The rolling limit as a recursion over each channel's alerts in time order, with the accepted times of the last hour.
+_GREEDY = f"""WITH RECURSIVE {B.TXN}, a AS MATERIALIZED (SELECT client_id AS channel, event_id AS alert_id, ts_us, row_number() OVER (PARTITION BY client_id ORDER BY ts_us, event_id) AS n FROM txn WHERE risk_score >= 0.30),
+walk(channel, n, alert_id, ts_us, times, accepted) AS (
+  SELECT channel, n, alert_id, ts_us, [ts_us], true FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.channel, a.n, a.alert_id, a.ts_us, CASE WHEN len(x.live) < 3 THEN list_append(x.live, a.ts_us) ELSE x.live END, len(x.live) < 3
+  FROM walk w JOIN a ON a.channel = w.channel AND a.n = w.n + 1, LATERAL (SELECT [t FOR t IN w.times IF t > a.ts_us - 3600000000] AS live) x
+) SELECT channel, alert_id, ts_us, accepted FROM walk"""
 
-@query("st6_alert_limit_greedy")
+
+def _alerts(t):
+    return t.where("risk_score >= 0.30").select(F.col("client_id").alias("channel"), F.col("event_id").alias("alert_id"), "ts_us")
+
+
+@query("st6_alert_limit_greedy", _GREEDY)
 def st6g(spark, d):
     """The rolling limit as a running stream, alerts of a client as its channel; 3 in any hour, so that it is met at this table's rate."""
-    alerts = _stream(spark, d).where("risk_score >= 0.30").select(F.col("client_id").alias("channel"), F.col("event_id").alias("alert_id"), "ts_us")
-    limited = T.alert_limit(alerts, 3, 3600)
+    limited = P.alert_limit(_alerts(_stream(P.stream_session(spark), d)), 3, 3600)
     return spark.read.schema(limited.schema).parquet(T.run_to_end(limited, shared_folder(spark)))
 
 
+@query("st6_alert_limit_spells", _GREEDY)
+def st6s(spark, d):
+    """The same over the table, every channel cut where it is idle for an hour."""
+    return P.alert_limit_table(_alerts(B.txn(spark, d)), 3, 3600)
+
+
 @query("st7_io8_fan_out", f"""WITH {B.SCORED} SELECT 'alerts' AS sink, transaction_id FROM scored WHERE decision IN ('block', 'review') UNION ALL SELECT 'results', transaction_id FROM scored UNION ALL SELECT 'analytics', transaction_id FROM scored""")
 def st7(spark, d):
     out = f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
@@ -364,15 +406,21 @@ def st7(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("st8_embedding_refresh", f"WITH RECURSIVE {B.NODES_VEC}, {B.EDGES_VEC}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), walk(id, distance) AS (SELECT id, 0 FROM nodes WHERE step = (SELECT max(step) FROM nodes) UNION SELECT u.dst, distance + 1 FROM walk JOIN u ON walk.id = u.src WHERE distance < 2) SELECT DISTINCT id, 16::BIGINT AS size FROM walk JOIN nodes USING (id)")
+@query("st8_embedding_refresh", f"WITH RECURSIVE {B.NODES_VEC}, {B.EDGES_VEC}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), walk(id, distance) AS (SELECT id, 0 FROM nodes WHERE step = (SELECT max(step) FROM nodes) UNION SELECT u.dst, distance + 1 FROM walk JOIN u ON walk.id = u.src WHERE distance < 2) SELECT DISTINCT id, 16::BIGINT AS size, 0.0::DOUBLE AS error FROM walk JOIN nodes USING (id)")
 def st8(spark, d):
-    """The nodes of the newest step arrive as a stream; new embeddings of their two-hop neighbourhood are written."""
+    """The nodes of the newest step arrive as a stream, their features doubled since the projection was kept; new embeddings of their
+    two-hop neighbourhood are written. ``error``: the largest distance from the whole graph worked out anew by the same projection."""
     out = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
-    nodes = B.nodes_vec(spark, d)
+    nodes, edges = B.nodes_vec(spark, d), B.edges_vec(spark, d)
+    G.propagated_embeddings(edges, nodes, 16, projections=f"{out}/projections")
+    newest = newest_us(nodes, "step")
+    changed = nodes.withColumn("features", F.when(F.col("step") == newest, F.transform("features", lambda x: 2 * x)).otherwise(F.col("features")))
     rows = spark.readStream.schema(B.table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 49 + 1).alias("step"))
-    active = rows.where(F.col("step") == newest_us(nodes, "step"))
-    T.run_to_end(active, out, T.refresh_embeddings(f"{out}/store", nodes, B.edges_vec(spark, d), nodes.select("id", F.slice("features", 1, 16).alias("embedding")), 16))
-    return spark.read.parquet(f"{out}/store").select("id", F.size("embedding").cast("long").alias("size"))
+    T.run_to_end(rows.where(F.col("step") == newest), out, T.refresh_embeddings(f"{out}/store", changed, edges, f"{out}/projections"))
+    whole = G.projected(G.load_projection(spark, f"{out}/projections"), G.hop_features(edges, changed)).withColumnRenamed("embedding", "whole")
+    both = spark.read.schema("id long, embedding array<double>, batch int").parquet(f"{out}/store").hint("merge").join(whole, "id")
+    error = F.aggregate(F.zip_with("embedding", "whole", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y))
+    return both.select("id", F.size("embedding").cast("long").alias("size"), F.round(error, 6).alias("error"))
 
 
 @query("st9_interval_join", f"""WITH {B.TXN} SELECT f.identity, f.transaction_id AS fiat_id, c.transaction_id AS crypto_id FROM txn f JOIN txn c ON f.identity = c.identity AND f.modality = 'fiat' AND c.modality = 'crypto' AND c.ts_us BETWEEN f.ts_us AND f.ts_us + 15 * 60000000""")
@@ -382,15 +430,16 @@ def st9(spark, d):
     return spark.read.schema(pairs.schema).parquet(T.run_to_end(pairs, shared_folder(spark)))
 
 
-@query("st10_late_rows", f"WITH {B.TXN} SELECT 'on_time' AS part, event_id FROM txn WHERE event_id % 2 = 0 OR ts_us >= (SELECT max(ts_us) FROM txn WHERE event_id % 2 = 0) - 600000000 UNION ALL SELECT 'late', event_id FROM txn WHERE event_id % 2 = 1 AND ts_us < (SELECT max(ts_us) FROM txn WHERE event_id % 2 = 0) - 600000000")
+@query("st10_late_rows", f"WITH {B.TXN}, m AS (SELECT max(ts_us) AS top FROM txn WHERE event_id % 2 = 0) SELECT event_id, event_id % 2 = 1 AND ts_us // 1000 < top // 1000 - 600000 AS late FROM txn, m")
 def st10(spark, d):
-    """Even events arrive first, odd ones in a second batch, most of them late."""
+    """A running stream over two files: even events arrive first, odd ones in a second micro-batch, most of them behind the watermark by then."""
     folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
-    t, write = B.txn(spark, d).select("event_id", "ts_us"), T.late_split(folder)
-    write(t.where("event_id % 2 = 0"), 0)
-    write(t.where("event_id % 2 = 1"), 1)
-    parts = [spark.read.schema("event_id long, ts_us long").parquet(f"{folder}/{p}/batch=*").select(F.lit(p).alias("part"), "event_id") for p in ("on_time", "late")]
-    return parts[0].unionByName(parts[1])
+    t = B.txn(spark, d).select("event_id", "ts_us")
+    for part in (0, 1):
+        t.where(F.col("event_id") % 2 == part).coalesce(1).write.parquet(f"{folder}/in/part={part}")
+    stream = P.stream_session(spark).readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    found = P.with_lateness(stream)
+    return spark.read.schema(found.schema).parquet(T.run_to_end(found, folder)).select("event_id", "late")
 
 
 @query("io7_stream_dead_letters", f"WITH {B.TXN} SELECT 'rows' AS part, transaction_id AS item FROM txn WHERE event_id % 50 <> 0 UNION ALL SELECT 'dead', '{{broken ' || event_id FROM txn WHERE event_id % 50 = 0")

@@ -317,7 +317,34 @@ def g14(spark, d):
     return c.select("namespace", "id", "label", F.size("features").cast("long").alias("size"))
 
 
-@query("g15_incremental_refresh")
-def g15(spark, d):
+#: A node's hop features see its capped neighbours of two steps; ``touched``: those that see a changed node.
+_TOUCHED = f"""{B.NODES_VEC}, {B.EDGES_VEC}, seeds AS (SELECT id FROM nodes WHERE step = (SELECT max(step) FROM nodes)),
+c AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src * 7919 % 10007, src) AS r FROM edges), known AS (SELECT c.* FROM c JOIN nodes n ON n.id = c.src),
+near1 AS (SELECT dst AS id FROM known JOIN seeds ON seeds.id = src WHERE r <= 15),
+touched AS (SELECT id FROM seeds UNION SELECT id FROM near1 UNION SELECT dst FROM known JOIN near1 ON near1.id = src WHERE r <= 10)"""
+
+
+def refresh_report(spark, d, size: int = 16):
+    """What a refresh does to the store once the newest step's features have doubled: ``id, refreshed, moved, error``.
+
+    The store and its projection are made from the graph before. ``moved``: the
+    row isn't the store's any more; ``error``: its distance from the whole graph
+    worked out anew by the kept projection, 0 for refreshed rows.
+    """
+    folder = f"{S.shared_folder(spark)}/projections-{uuid.uuid4().hex}"
     nodes, edges = B.nodes_vec(spark, d), B.edges_vec(spark, d)
-    return G.embedding_refresh(edges, nodes, nodes.select("id", F.slice("features", 1, 16).alias("embedding")), _last_step(nodes), 16)
+    store = S.saved(G.propagated_embeddings(edges, nodes, size, projections=folder), "store")
+    model, active = G.load_projection(spark, folder), _last_step(nodes)
+    changed = nodes.withColumn("features", F.when(F.col("step") == newest_us(nodes, "step"), F.transform("features", lambda x: 2 * x)).otherwise(F.col("features")))
+    near = G.neighbourhood(edges, active).withColumn("refreshed", F.lit(True))
+    new = G.embedding_refresh(edges, changed, store, active, model)
+    whole = G.projected(model, G.hop_features(edges, changed))
+    far = lambda a, b: F.round(F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y)), 6)
+    named = lambda df, name: df.select("id", F.col("embedding").alias(name))
+    both = named(new, "new").hint("merge").join(named(store, "old"), "id").join(named(whole, "whole").hint("merge"), "id").join(near.hint("merge"), "id", "left")
+    return both.select("id", F.coalesce("refreshed", F.lit(False)).alias("refreshed"), (far("new", "old") > 0).alias("moved"), F.when(F.col("refreshed"), far("new", "whole")).otherwise(0.0).alias("error"))
+
+
+@query("g15_incremental_refresh", f"WITH RECURSIVE {_TOUCHED}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), walk(id, distance) AS (SELECT id, 0 FROM seeds UNION SELECT u.dst, distance + 1 FROM walk JOIN u ON walk.id = u.src WHERE distance < 2), w AS (SELECT DISTINCT id FROM walk) SELECT n.id, w.id IS NOT NULL AS refreshed, w.id IS NOT NULL AND t.id IS NOT NULL AS moved, 0.0::DOUBLE AS error FROM nodes n LEFT JOIN w USING (id) LEFT JOIN touched t USING (id)")
+def g15(spark, d):
+    return refresh_report(spark, d)

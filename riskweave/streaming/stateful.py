@@ -1,115 +1,15 @@
-"""Streaming forms: features with explicit state, greedy alert limit, windows, joins, sinks."""
+"""Streaming forms without keyed state of their own: windows, joins, sinks; those with it are in ``processors``."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructType
 
-HOUR = 3_600_000_000
-WEEK = 168 * HOUR
-LATE = "10 minutes"
-#: An identity without rows for so long, by the watermark, loses its state.
-IDLE_DAYS = 90
-
-VELOCITY = """event_id long, identity long, ts_us long, count_1h long, sum_1h double, count_6h long, sum_6h double, count_24h long, sum_24h double, count_7d long, sum_7d double,
-baseline_rate double, baseline_amount double, velocity_ratio double, amount_ratio double, institution_count int, cross_client_velocity long, amount_correlation double,
-time_since_other_institution_sec double, has_fiat_history int, has_crypto_history int, cross_modal_pattern_detected int, prior_high_risk int"""
-STATE = "ts array<long>, amount array<double>, client array<string>, modality array<string>, risk array<double>"
-
-
-def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
-    """Halves away from zero, as in the batch form."""
-    return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5 + 1e-9) / 10.0**digits
-
-
-def _features(key, new: pd.DataFrame, kept: pd.DataFrame, risk: float = 0.70) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Features of the rows ``new`` with ``kept`` as history, and what to keep of both: the rows of 7 days.
-
-    Every count and sum is a difference of prefix sums at positions found by
-    binary search, once over all rows and once for each client, so the work is
-    n log n in an identity's rows of a batch and a week.
-    """
-    rows = pd.concat([kept.assign(event_id=-1, fresh=False), new.assign(fresh=True)], ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
-    ts, amount = rows["ts_us"].to_numpy(np.int64), rows["amount_usd"].to_numpy(float)
-    client, score = rows["client_id"].to_numpy(object), rows["risk_score"].to_numpy(float)
-    fresh = rows["fresh"].to_numpy(bool)
-    now = ts[fresh]
-    sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(amount))])
-    end, before = np.searchsorted(ts, now, "right"), np.searchsorted(ts, now, "left")
-    out: dict[str, np.ndarray] = {"event_id": rows["event_id"].to_numpy(np.int64)[fresh], "identity": np.full(len(now), key[0]), "ts_us": now}
-    for name, width in (("1h", HOUR), ("6h", 6 * HOUR), ("24h", 24 * HOUR), ("7d", WEEK - 1)):
-        first = np.searchsorted(ts, now - width, "left")
-        out[f"count_{name}"], out[f"sum_{name}"] = end - first, _rounded(sums[end] - sums[first], 2)
-    week = np.searchsorted(ts, now - (WEEK - 1), "left")
-    days = np.maximum((now - ts[week]) / (24 * HOUR), 1.0)
-    out["baseline_rate"] = _rounded((end - week) / days, 4)
-    known = np.concatenate([[0], np.cumsum(~np.isnan(amount))])
-    out["baseline_amount"] = _rounded((sums[end] - sums[week]) / np.maximum(known[end] - known[week], 1) + 1e-9, 2)
-    out["velocity_ratio"] = _rounded(out["count_24h"] / np.maximum(out["baseline_rate"], 0.1), 3)
-    out["amount_ratio"] = _rounded(amount[fresh] / np.maximum(out["baseline_amount"], 1.0), 3)
-    # Prior rows of 7 and of 1 hour: all of the identity, less those of the own client.
-    seven, hour = np.searchsorted(ts, now - WEEK, "left"), np.searchsorted(ts, now - HOUR, "left")
-    high = np.concatenate([[0], np.cumsum(score >= risk)])
-    n, total, recent, risky = before - seven, sums[before] - sums[seven], before - hour, high[before] - high[seven]
-    institutions, gap, own = np.zeros(len(now), np.int64), np.full(len(now), np.nan), client[fresh]
-    for c in set(client):
-        at = client == c
-        t, s, h = ts[at], np.concatenate([[0.0], np.cumsum(np.nan_to_num(amount[at]))]), np.concatenate([[0], np.cumsum(score[at] >= risk)])
-        b, w, o = (np.searchsorted(t, x, "left") for x in (now, now - WEEK, now - HOUR))
-        institutions += b > w
-        mine = own == c
-        n, total, recent, risky = n - mine * (b - w), total - mine * (s[b] - s[w]), recent - mine * (b - o), risky - mine * (h[b] - h[w])
-        last = np.where((b > w) & ~mine, (now - t[np.maximum(b - 1, 0)]) / 1e6, np.nan)
-        gap = np.fmin(gap, last)
-    mean = total / np.maximum(n, 1)
-    close = np.clip(1 - np.abs(amount[fresh] - mean) / np.maximum(mean, 1.0), 0.0, 1.0)
-    out["institution_count"], out["cross_client_velocity"], out["amount_correlation"] = institutions, recent, _rounded(np.where(n > 0, close, 0.0), 4)
-    out["time_since_other_institution_sec"] = _rounded(gap, 1)
-    for kind in ("fiat", "crypto"):
-        t = ts[rows["modality"].to_numpy(object) == kind]
-        out[f"has_{kind}_history"] = (np.searchsorted(t, now, "left") > np.searchsorted(t, now - WEEK, "left")).astype(int)
-    out["cross_modal_pattern_detected"] = out["has_fiat_history"] * out["has_crypto_history"]
-    out["prior_high_risk"] = (risky > 0).astype(int)
-    keep = rows[ts >= ts[-1] - WEEK]
-    return pd.DataFrame(out)[[c.strip().split()[0] for c in VELOCITY.replace("\n", " ").split(",")]], keep
-
-
-_KEPT = ["ts_us", "amount_usd", "client_id", "modality", "risk_score"]
-
-
-def _velocity(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: an identity's rows of 7 days as parallel lists in time order; dropped when it has been idle for 90 days."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    kept = pd.DataFrame(dict(zip(_KEPT, map(list, state.get)))) if state.exists else pd.DataFrame({c: [] for c in _KEPT})
-    new = pd.concat(list(frames))
-    new = new[new["ts_us"].notna()]  # Spark pads frames with rows of nulls
-    if new.empty:
-        return
-    out, keep = _features(key, new, kept)
-    state.update(tuple(keep[c].astype(kind).tolist() for c, kind in zip(_KEPT, ("int64", "float64", object, object, "float64"))))
-    state.setTimeoutTimestamp(int(keep["ts_us"].iloc[-1]) // 1000 + IDLE_DAYS * 86_400_000)
-    yield out
-
-
-def streaming_velocity(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Velocity, baseline and cross-client features of each arriving row, equal to the batch windows for rows in time order.
-
-    ``events``: ``event_id, identity, client_id, modality, amount_usd,
-    risk_score, ts_us``. A micro-batch's rows of one identity are taken in time
-    order in one task, so ``maxFilesPerTrigger`` (or its like) bounds them. Rows
-    more than ``late`` behind the watermark drop out (see ``late_split``); state
-    is dropped by event time, so a stream over all there is comes to its end.
-    """
-    timed = events.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", late)
-    return timed.groupBy("identity").applyInPandasWithState(_velocity, VELOCITY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+from .processors import LATE
 
 
 def with_embeddings(stream: DataFrame, embeddings: DataFrame, size: int) -> DataFrame:
@@ -119,30 +19,6 @@ def with_embeddings(stream: DataFrame, embeddings: DataFrame, size: int) -> Data
     return with_embedding(stream, embeddings, "identity", size)
 
 
-LIMITED = "channel string, alert_id long, ts_us long, accepted boolean"
-
-
-def greedy(times: list[int], ts: int, most: int, width: int) -> tuple[list[int], bool]:
-    """Accepted times still within the window, and whether one more at ``ts`` is accepted."""
-    live = [t for t in times if t > ts - width]
-    return (live + [ts], True) if len(live) < most else (live, False)
-
-
-def alert_limit(alerts: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
-    """At most ``most`` accepted alerts of a channel in any rolling window, in time order; state of ``most`` times."""
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        new, out = pd.concat(list(frames)).sort_values(["ts_us", "alert_id"]), []
-        for r in new.itertuples():
-            times, ok = greedy(times, int(r.ts_us), most, seconds * 1_000_000)
-            out.append((key[0], r.alert_id, r.ts_us, ok))
-        state.update((times,))
-        yield pd.DataFrame(out, columns=["channel", "alert_id", "ts_us", "accepted"])
-
-    return alerts.groupBy("channel").applyInPandasWithState(run, LIMITED, "times array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def alert_limit_tumbling(alerts: DataFrame, most: int = 30) -> DataFrame:
     """The simple cap: the first ``most`` alerts of a channel in each minute."""
     from pyspark.sql import Window
@@ -167,6 +43,7 @@ def session_bursts(df: DataFrame, gap: str = "10 minutes", ts: str = "ts") -> Da
 
 
 def duplicate_guard(stream: DataFrame, key: str = "transaction_id", within: str = "5 minutes", ts: str = "ts") -> DataFrame:
+    """The first row of each key within the watermark; ``answered`` gives repeats the first row's answer instead."""
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
@@ -194,38 +71,47 @@ def fan_out(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def graph_batches(out: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: each micro-batch's node totals; a failed batch is tried again by the checkpoint."""
-    from ..operators.graph import node_totals
-
-    def write(batch: DataFrame, number: int) -> None:
-        node_totals(batch.select("src", "dst", "amount", "ts_us")).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return write
-
-
-def late_split(out: str, minutes: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows in time to ``out/on_time``, rows behind the watermark to ``out/late``.
+def node_store(out: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over edges: each micro-batch's node totals are added to a stored table of totals.
 
-    The watermark of a batch is the largest time of the batches before it, less
-    ``minutes``. Each batch leaves its largest time in a row of its own folder,
-    so a repeated batch decides alike.
+    The store is cut into ``buckets`` by a hash of the id; a batch reads and writes
+    those that its nodes fall into, each as a new folder ``batch=<number>``. Which
+    bucket was written by which batch stands in ``marks``, written last: a batch
+    that is repeated starts from the batches before it, so it changes nothing, and
+    one that broke off isn't read. ``stored_nodes`` reads the newest of each bucket.
     """
+    from ..operators.graph import node_totals, upsert_nodes
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = None
-        if number > 0:
-            marks = spark.read.schema("top long, batch long").parquet(f"{out}/marks").where(F.col("batch") < number)
-            seen = marks.agg(F.max("top")).first()[0]
-        limit = -(2**62) if seen is None else seen - minutes * 60_000_000
-        batch.where(F.col("ts_us") >= limit).write.mode("overwrite").parquet(f"{out}/on_time/batch={number}")
-        batch.where(F.col("ts_us") < limit).write.mode("overwrite").parquet(f"{out}/late/batch={number}")
-        batch.agg(F.max("ts_us").alias("top")).write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
+        delta = node_totals(batch.select("src", "dst", "amount", "ts_us"), exact=True)
+        placed = delta.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        placed.write.mode("overwrite").parquet(f"{out}/delta/batch={number}")
+        placed = spark.read.schema(placed.schema).parquet(f"{out}/delta/batch={number}")
+        met = placed.select("bucket").distinct()
+        before = stored_nodes(spark, out, placed.schema, number)
+        if before is None:
+            after = placed
+        else:
+            after = upsert_nodes(before.join(F.broadcast(met), "bucket", "left_semi"), placed)  # at most ``buckets`` rows
+            after = after.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        after.withColumn("of", F.col("bucket")).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("of").parquet(f"{out}/store/batch={number}")
+        met.write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
 
     return write
 
 
+def stored_nodes(spark: SparkSession, out: str, schema: StructType, before: int | None = None) -> DataFrame | None:
+    """The totals of a ``node_store``: of every bucket what its newest batch (before ``before``) wrote; None if there is none."""
+    if before == 0:
+        return None
+    marks = spark.read.schema("bucket int, batch int").parquet(f"{out}/marks")
+    newest = (marks if before is None else marks.where(F.col("batch") < before)).groupBy("bucket").agg(F.max("batch").alias("batch"))
+    folders = StructType([*schema.fields]).add("batch", IntegerType()).add("of", IntegerType())
+    read = spark.read.schema(folders).parquet(f"{out}/store")
+    return read.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("of", "batch")
+
+
 def parsed_stream(lines: DataFrame, schema: str) -> DataFrame:
     """``json`` lines as ``row`` (null: no record of the schema), for ``dead_letters``."""
     return lines.withColumn("row", F.from_json("json", schema))
@@ -242,17 +128,19 @@ def dead_letters(out: str, good: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def refresh_embeddings(out: str, nodes: DataFrame, edges: DataFrame, store: DataFrame, size: int = 32) -> Callable[[DataFrame, int], None]:
+def refresh_embeddings(out: str, nodes: DataFrame, edges: DataFrame, projections: str, hops: int = 2) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function over rows with a node ``id``: the embeddings of the neighbourhood of the nodes that were active in the batch, written anew.
 
-    Run with a trigger of 60 s, or ``availableNow`` on a schedule. ``store``
-    without a batch's rows is not repeated: readers take each node's newest.
+    The projection is the newest of the folder ``projections``; nothing is fitted.
+    Run with a trigger of 60 s, or ``availableNow`` on a schedule. Each batch has
+    a folder of its own, overwritten if it is repeated; readers take each node's
+    newest row.
     """
-    from ..operators.graph import embedding_refresh
+    from ..operators.graph import hop_features_of, load_projection, neighbourhood, projected
 
     def write(batch: DataFrame, number: int) -> None:
-        active = batch.select("id").distinct()
-        fresh = embedding_refresh(edges, nodes, store.where(F.lit(False)), active, size)
+        near = neighbourhood(edges, batch.select("id").distinct(), hops)
+        fresh = projected(load_projection(batch.sparkSession, projections), hop_features_of(edges, nodes, near))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return write

@@ -132,18 +132,30 @@ def test_models(spark):
     assert len(L.search_space(6)) == 6 and L.search_space(6) == L.search_space(6)
 
 
-def test_refresh_equals_full_propagation(spark):
-    """Inside the refreshed part, hop features are those of the whole graph; outside, the store stays."""
-    nodes = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(40)], "id long, features array<double>")
-    edges = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "src long, dst long")
-    near = G.neighbourhood(edges, spark.createDataFrame([(10,)], "id long"), 4)
-    part = J.active_subgraph(edges, near)
-    whole = {r["id"]: r["x"] for r in G.hop_features(edges, nodes).collect()}
-    some = {r["id"]: r["x"] for r in G.hop_features(part, nodes.join(near, "id", "left_semi")).collect()}
-    assert set(some) == set(range(6, 15)) and all(some[i] == whole[i] for i in range(8, 13))
-    store = nodes.select("id", F.array(F.lit(-1.0), F.lit(-1.0)).alias("embedding"))
-    out = {r["id"]: r["embedding"] for r in G.embedding_refresh(edges, nodes, store, spark.createDataFrame([(10,)], "id long"), 2, 2).collect()}
-    assert len(out) == 40 and all((out[i] != [-1.0, -1.0]) == (8 <= i <= 12) for i in out)
+def test_refresh_equals_full_propagation(spark, tmp_path):
+    """By the kept projection: an unchanged graph leaves the store as it is; after a change the refreshed rows are those of the whole graph, the others stay."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id long, features array<double>")
+    # A hub, so that the caps matter; an edge from a sender that has no row.
+    edges = spark.createDataFrame([(i, (i + 1) % 60) for i in range(60)] + [(i, 5) for i in range(10, 50)] + [(99, 6)], "src long, dst long")
+    folder = str(tmp_path / "projections")
+    store = G.propagated_embeddings(edges, nodes, 4, projections=folder)
+    model = G.load_projection(spark, folder)
+    active = spark.createDataFrame([(4,)], "id long")
+    near = {r["id"] for r in G.neighbourhood(edges, active, 2).collect()}
+    of = lambda df: {r["id"]: np.array(r["embedding"]) for r in df.collect()}
+    old, same = of(store), of(G.embedding_refresh(edges, nodes, store, active, model))
+    assert set(same) == set(old) and 4 in near and len(near) < 60
+    assert all(np.allclose(same[i], old[i], atol=1e-9) for i in old)
+    changed = spark.createDataFrame([(i, [9.0, 9.0, 9.0] if i == 4 else x) for i, x in rows], "id long, features array<double>")
+    new, whole = of(G.embedding_refresh(edges, changed, store, active, model)), of(G.projected(model, G.hop_features(edges, changed)))
+    assert all(np.allclose(new[i], whole[i] if i in near else old[i], atol=1e-9) for i in old)
+    assert not np.allclose(new[4], old[4]) and not np.allclose(new[6], old[6])
+    G.save_projection(model, folder, 3)
+    assert G.newest_version(spark, folder) == 3 and G.load_projection(spark, folder).pc == model.pc
 
 
 def test_components_of_hop_features(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import windows as W
 from riskweave.sources import bindings as B
+from riskweave.streaming import processors as P
 from riskweave.streaming import stateful as T
 
 DATA = "/root/testdata/sf0.001"
@@ -17,37 +18,129 @@ def run(stream, out, mode="append"):
     return f"{out}/rows"
 
 
+FIELDS = ["event_id", "identity", "client_id", "amount_usd", "ts_us", "modality", "risk_score"]
+
+
+def in_batches(df, out, n=3):
+    """Files in time order, a micro-batch each."""
+    cut = df.withColumn("q", F.ntile(n).over(Window.orderBy("ts_us")))
+    for i in range(n):
+        cut.where(F.col("q") == i + 1).drop("q").coalesce(1).write.parquet(f"{out}/part{i}")
+
+
 def test_velocity_parity(spark, tmp_path):
-    batch = B.txn(spark, DATA).select("event_id", "identity", "client_id", "amount_usd", "ts_us", "modality", "risk_score")
-    for i in range(3):  # three files in time order, a micro-batch each
-        cut = batch.withColumn("q", F.ntile(3).over(Window.orderBy("ts_us")))
-        cut.where(F.col("q") == i + 1).drop("q").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
-    s = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    got = spark.read.parquet(run(T.streaming_velocity(s), str(tmp_path / "out"))).toPandas().set_index("event_id").sort_index()
+    """With an identity that holds a third of all rows, its rows dense in time, and null amounts."""
+    batch = B.txn(spark, DATA).select(*FIELDS)
+    hot = F.col("event_id") % 3 == 0
+    batch = batch.withColumns({"identity": F.when(hot, -1).otherwise(F.col("identity")), "amount_usd": F.when(F.col("event_id") % 11 > 0, F.col("amount_usd"))})
+    in_batches(batch, str(tmp_path / "in"))
+    s = P.stream_session(spark).readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = spark.read.parquet(run(P.streaming_velocity(s), str(tmp_path / "out"))).toPandas().set_index("event_id").sort_index()
     want = W.prior_high_risk(W.time_since_other_client(W.cross_client(W.baseline(W.velocity(batch))))).toPandas().set_index("event_id").sort_index()
     assert len(got) == len(want)
     for c in got.columns:
         if c not in ("identity", "ts_us"):
-            assert ((got[c] - want[c]).abs().fillna(0) < 0.002).all() and (got[c].isna() == want[c].isna()).all(), c
-
-
-def test_greedy_stream(spark):
-    """The running limit against the plain loop, alert by alert."""
-    import __spark_entry__ as entry
-
-    got = sorted((r["channel"], r["ts_us"], r["alert_id"], r["accepted"]) for r in entry.queries()["st6_alert_limit_greedy"](spark, DATA).collect())
-    times, last = [], None
-    for channel, ts, _, accepted in got:
-        times = times if channel == last else []
-        last = channel
-        times, ok = T.greedy(times, ts, 3, 3600 * 1_000_000)
-        assert ok == accepted
+            a, b = got[c].astype(float), want[c].astype(float)
+            assert ((a - b).abs().fillna(0) < 0.002).all() and (a.isna() == b.isna()).all(), c
+
+
+def test_velocity_holds_few_hours(spark, monkeypatch):
+    """However many rows an identity has, features are worked out from the rows of an hour and of the hours in which windows begin."""
+    import numpy as np
+
+    held = []
+    plain = P.Part.__init__
+    monkeypatch.setattr(P.Part, "__init__", lambda self, rows, risk: (held.append(len(rows)), plain(self, rows, risk))[1])
+    state = {}
+
+    class Map:
+        def __init__(self): self.d = {}
+        def getValue(self, k): return self.d[k]
+        def updateValue(self, k, v): self.d[k] = v
+        def removeKey(self, k): self.d.pop(k, None)
+        def iterator(self): return iter(list(self.d.items()))
+        def exists(self): return "v" in self.d
+        def get(self): return self.d["v"]
+        def update(self, v): self.d["v"] = v
+
+    class Handle:
+        def getMapState(self, name, *_): return state.setdefault(name, Map())
+        getValueState = getMapState
+        def listTimers(self): return []
+        def registerTimer(self, t): pass
+
+    p = P.Velocity()
+    p.init(Handle())
+    n, rng = 6000, np.random.default_rng(1)
+    import pandas as pd
+
+    rows = pd.DataFrame({"event_id": range(n), "ts_us": np.sort(rng.integers(0, 400 * P.HOUR, n)), "client_id": rng.choice(list("abc"), n), "modality": "fiat", "amount_usd": 1.0, "risk_score": 0.1})
+    out = pd.concat(p.handleInputRows((1,), iter(np.array_split(rows, 7)), None))
+    assert len(out) == n and max(held) < 60
+    assert len(state["rows"].d) <= 169 and set(state["rows"].d) == set(state["totals"].d)
+
+
+def test_repeats_are_answered_over_batches(spark, tmp_path):
+    rows = [[("a", 0, 0.1), ("b", 5, 0.2)], [("a", 299, 0.9), ("b", 400, 0.7), ("c", 401, 0.5)], [("a", 301, 0.8), ("b", 450, 0.6), ("a", 350, 0.3)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame([(k, (t + 1000) * P.SECOND, x) for k, t, x in part], "transaction_id string, ts_us long, risk_score double").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    s = P.stream_session(spark).readStream.schema("transaction_id string, ts_us long, risk_score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = sorted((r[0], r[1] // P.SECOND - 1000, r[2], r[3]) for r in spark.read.parquet(run(P.answered(s), str(tmp_path / "out"))).collect())
+    assert got == [("a", 0, 0.1, False), ("a", 299, 0.1, True), ("a", 301, 0.8, False), ("a", 350, 0.8, True), ("b", 5, 0.2, False), ("b", 400, 0.7, False), ("b", 450, 0.7, True), ("c", 401, 0.5, False)]
+
+
+def test_late_rows_of_a_running_stream(spark, tmp_path):
+    for i, part in enumerate([[(1, 0), (2, 5000)], [(3, 4000), (4, 4500), (5, 9000)], [(6, 8300), (7, 8500)]]):
+        spark.createDataFrame([(k, t * P.SECOND) for k, t in part], "event_id long, ts_us long").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    s = P.stream_session(spark).readStream.schema("event_id long, ts_us long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = {r["event_id"]: r["late"] for r in spark.read.parquet(run(P.with_lateness(s), str(tmp_path / "out"))).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_node_store(spark, tmp_path):
+    """Three batches, one repeated, one broken off: the store equals the totals of all rows."""
+    from riskweave.operators import graph as G
+
+    out = str(tmp_path / "store")
+    t = B.txn(spark, DATA).select(F.col("identity").alias("src"), F.col("receiver").alias("dst"), F.col("amount_usd").alias("amount"), "ts_us")
+    parts, write = [t.where(F.col("ts_us") % 3 == i) for i in range(3)], T.node_store(out, 5)
+    write(parts[0], 0)
+    write(parts[1], 1)
+    write(parts[1], 1)
+    G.node_totals(parts[2], exact=True).withColumns({"bucket": F.lit(1), "of": F.lit(1)}).write.partitionBy("of").parquet(f"{out}/store/batch=2")  # no mark: it broke off
+    write(parts[2], 2)
+    schema = G.node_totals(t, exact=True).withColumn("bucket", F.lit(0)).schema
+    got = {r["id"]: tuple(r)[1:] for r in T.stored_nodes(spark, out, schema).select("id", "txn_count", "total_volume", "first_seen", "last_seen").collect()}
+    assert got == {r["id"]: tuple(r)[1:] for r in G.node_totals(t, exact=True).collect()}
+
+
+def test_greedy_limit_of_one_channel(spark, tmp_path):
+    """Over the table cut at idle gaps, and over a stream of several batches: equal to the plain loop on a single channel."""
+    import random
+
+    rng, at, rows = random.Random(6), 0, []
+    for i in range(1500):
+        at += rng.choice([0, 1, 5, 20]) if i % 40 else rng.choice([59, 60, 61, 500])
+        rows.append(("only", i, at * P.SECOND))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "channel string, alert_id long, ts_us long")
+    times, want = [], {}
+    for _, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        times, want[i] = P.greedy(times, ts, 4, 60 * P.SECOND)
+    assert 0 < sum(want.values()) < len(want)
+    assert {r["alert_id"]: r["accepted"] for r in P.alert_limit_table(df, 4, 60).collect()} == want
+    assert P.busy_spells(df, 60 * P.SECOND).select("spell").distinct().count() > 20
+    for i, (low, high) in enumerate(((0, 500), (500, 1000), (1000, 1500))):  # alerts of one time come together
+        df.where(F.col("alert_id").between(low, high - 1)).coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+    s = P.stream_session(spark).readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = {r["alert_id"]: r["accepted"] for r in spark.read.parquet(run(P.alert_limit(s, 4, 60), str(tmp_path / "out"))).collect()}
+    assert got == want
 
 
 def test_greedy_limit():
     times, accepted = [], []
     for ts in [*range(0, 59_000_000, 59_000_000 // 31), 61_000_000]:
-        times, ok = T.greedy(times, ts, 30, 60_000_000)
+        times, ok = P.greedy(times, ts, 30, 60_000_000)
         accepted.append(ok)
     assert sum(accepted[:31]) == 30 and accepted[-1]
 
