@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import xxhash
-
-from .pretokens import Memo
 
 BASE = np.uint64(0xD1342543DE82EF95)
 #: Bits of a row's number in ``order_of``'s packed sort.
@@ -48,17 +43,37 @@ class Roller:
 
 
 class WordHashes:
-    """Two 64-bit hashes of every word, from its bytes by xxh3 under two seeds; words are kept in a bounded memo."""
-
-    LIMIT = 200_000
-
-    def __init__(self, seed: int):
-        self.memo = Memo(lambda word: xxhash.xxh3_64_digest(word, seed) + xxhash.xxh3_64_digest(word, seed + 1), self.LIMIT)
-
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The hashes of the words of all texts, end to end, one array for each seed."""
-        both = np.frombuffer(b"".join(map(self.memo.__getitem__, chain.from_iterable(texts))), np.uint64).reshape(-1, 2)
-        return [np.ascontiguousarray(both[:, k]) for k in (0, 1)]
+    """64-bit hashes of words from their bytes, under keys drawn from ``seed``.
+
+    A word goes in by eight bytes at a time, each time through a keyed mixing
+    without loss (exclusive or, shifts, odd products), all words side by side. It is
+    no linear form of the bytes, and without the seed no collision can be worked out.
+    """
+
+    MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self, seed: int, hashes: int = 2):
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 64, (hashes, 4), dtype=np.uint64) | np.uint64(1)
+
+    @staticmethod
+    def _stir(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(32))) * keys[1]
+        h = (h ^ (h >> np.uint64(29))) * keys[2]
+        return h ^ (h >> np.uint64(32))
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+        """The hash number ``which`` of each stretch of ``data``."""
+        keys = self.keys[which]
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # eight bytes from every place on
+        left = end - start
+        h = self._stir(left.astype(np.uint64) * keys[3] + keys[0], keys)
+        on, at = np.arange(len(start)), start
+        while len(on):
+            h[on] = self._stir((h[on] ^ (eight[at] & self.MASKS[np.minimum(left, 8)])) + keys[0], keys)
+            more = left > 8
+            on, at, left = on[more], at[more] + 8, left[more] - 8
+        return h
 
 
 def order_of(h: np.ndarray) -> np.ndarray:

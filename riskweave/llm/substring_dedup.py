@@ -11,14 +11,14 @@ that texts are shuffled once and later only the answers go to them. A level goes
 candidates, cut by hash range into ``slices``; a slice counts in how many chunks
 each hash stands and answers with one bit a hash; a chunk knows by itself which
 hashes it holds twice. A window that stands in a third of all texts thus costs
-one hash a chunk, and slices are even whatever the text. Words are hashed by
-xxh3 under seeds that are drawn anew for every call, so that no text can be
-written to collide. A longer window's hash is an odd multiple of its first
+one hash a chunk, and slices are even whatever the text. Words are hashed under
+keys that are drawn anew for every call, so that no text can be written to
+collide. A longer window's hash is an odd multiple of its first
 half's, plus its second half's, mixed without loss: windows that differ in one
-half alone never collide. Below the last level hashes have 64 bits: a collision
-only lets a candidate live on. The last level compares two such hashes of
-different seeds; a pair of different windows passes both with a probability of
-about 2^-128.
+half alone never collide. Below the last level 40 bits of a hash are sent to its
+slice: a collision only lets a candidate live on. The last level compares two
+64-bit hashes of different keys; a pair of different windows passes both with a
+probability of about 2^-128.
 
 Defined cases: null, empty and blank texts have no words; texts shorter than a
 window keep all words; repeated rows are further occurrences, so both lose
@@ -47,6 +47,10 @@ SLICE = 1 << 20
 TASK = 1 << 21
 #: The first level's longest window.
 FIRST = 9
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of a hash that are sent below the last level, besides the slice's own bits: of a million hashes in a slice one in a million is taken for another.
+SENT = 5
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -85,16 +89,22 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return docs.select(id_of(docs), text_of(docs)).mapInArrow(pack, "chunk long, ids array<long>, texts array<string>")
 
 
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte text begin and end."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~BLANK[data], [False]])))
+    return edge[::2], edge[1::2]
+
+
 class Windows:
     """The windows of a chunk of texts: their hashes level by level, and which of them are candidates."""
 
     def __init__(self, texts: list[bytes], levels: list[int], hashes: int, words: WordHashes):
-        split = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in split], np.int64)  # words of each text
-        self.n, self.levels = int(self.sizes.sum()), levels
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        start, end = word_places(data)
+        self.sizes = np.diff(np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))  # words of each text
+        self.n, self.levels = len(start), levels
         self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(self.n)  # words to the end of the own text
-        symbols = words.of(split)
-        self.keys = [self._first(symbols[k], odd) for k, odd in enumerate(ODD[:hashes])]
+        self.keys = [self._first(words.of(data, start, end, k), odd) for k, odd in enumerate(ODD[:hashes])]
         self.level = 0
         self.alive: np.ndarray | None = None
 
@@ -185,7 +195,11 @@ def sent(packed: DataFrame, levels: list[int], level: int, slices: int, seed: in
                 _, keys = replayed(windows, answers, slices, level)
                 edges = cuts(keys[0], slices)
                 here = np.flatnonzero(np.diff(edges))
-                out = [np.stack([k[edges[s] : edges[s + 1]] for k in keys]).tobytes() for s in here]
+                if two:
+                    out = [np.stack([k[edges[s] : edges[s + 1]] for k in keys]).tobytes() for s in here]
+                else:
+                    low = keys[0].view(np.uint8).reshape(-1, 8)[:, :SENT]
+                    out = [low[edges[s] : edges[s + 1]].tobytes() for s in here]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array(np.full(len(here), chunk)), pa.array(out, pa.binary())], names=["slice", "chunk", "keys"])
 
@@ -195,8 +209,16 @@ def sent(packed: DataFrame, levels: list[int], level: int, slices: int, seed: in
 def answered(keys: DataFrame, level: int, hashes: int) -> DataFrame:
     """``level, slice, chunk, bits``: for the hashes of a chunk in a slice, whether other chunks hold them (null: none)."""
 
+    def read(value: pa.BinaryScalar) -> np.ndarray:
+        data = np.frombuffer(value.as_buffer(), np.uint8)
+        if hashes > 1:
+            return data.view(np.uint64).reshape(hashes, -1)
+        out = np.zeros((len(data) // SENT, 8), np.uint8)
+        out[:, :SENT] = data.reshape(-1, SENT)
+        return out.view(np.uint64).reshape(1, -1)
+
     def work(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(hashes, -1) for x in table.column("keys")]
+        rows = [read(x) for x in table.column("keys")]
         every = np.concatenate(rows, axis=1)
         _, _, number = distinct(list(every))
         common = (np.bincount(number) > 1)[number]  # a chunk sends a hash once
