@@ -181,10 +181,16 @@ def drift_severity(*severities: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ("none", "medium", "high", "critical"))), worst + 1)
 
 
-def retrain_gate(new_labels: Column, severity: Column, age_days: Column, dry_run: Column, least: int = 100) -> Column:
-    """What the retraining gate decides, first rule that holds."""
-    due = (age_days >= 14) | severity.isin("high", "critical")
-    return F.when(new_labels < least, "waiting").when(~due & (severity == "medium"), "scheduled").when(~due, "stable").when(dry_run, "dry_run").otherwise("retrain")
+def age_severity(age_days: Column, most: int = 14) -> Column:
+    """A model of ``most`` days or more has to be trained anew, whatever drifts."""
+    return F.when(age_days >= most, "critical").otherwise("none")
+
+
+def retrain_gate(new_labels: Column, severity: Column, dry_run: Column, force: Column | None = None, least: int = 100) -> Column:
+    """What the retraining gate decides, first rule that holds; ``severity``: the worst of all, the model's age included. ``force`` passes over missing labels and missing drift."""
+    forced = F.lit(False) if force is None else F.coalesce(force, F.lit(False))
+    due = forced | severity.isin("high", "critical")
+    return F.when(~forced & (new_labels < least), "waiting").when(~due & (severity == "medium"), "scheduled").when(~due, "stable").when(dry_run, "dry_run").otherwise("retrain")
 
 
 def auc_drop(current: Column, baseline: Column) -> Column:

@@ -185,7 +185,7 @@ def data_summary(df: DataFrame) -> DataFrame:
     g = g.select(F.explode(levels).alias("l"), "amount_usd", "n", "fraud").select("l.*", "amount_usd", "n", "fraud").groupBy("level", "c", "e", "amount_usd").agg(F.sum("n").alias("n"), F.sum("fraud").alias("fraud"))
     q = quantiles(g, "amount_usd", "n", {"p75": 0.75, "p95": 0.95}, "level", "c", "e")
     sums = g.groupBy("level", "c", "e").agg(F.sum("n").alias("n"), F.sum("fraud").alias("fraud"))
-    return sums.join(q, ["level", "c", "e"], "left").select(
+    return sums.hint("merge").join(q, ["level", "c", "e"], "left").select(
         F.when(F.col("level") < 2, F.col("c")).alias("client_id"), F.when(F.col("level") < 1, F.col("e")).alias("event_type"), "n", "fraud",
         F.round(F.col("fraud") / F.col("n"), 6).alias("fraud_rate"), F.round("p75", 4).alias("p75"), F.round("p95", 4).alias("p95"),
     )

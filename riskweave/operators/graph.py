@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import newest_version, saved
-from .ordering import running_sums
+from .ordering import ranks
 
 
 def transaction_edges(df: DataFrame, sender: tuple[str, ...], receiver: tuple[str, ...]) -> DataFrame:
@@ -104,7 +104,13 @@ def min_max_vectors(nodes: DataFrame) -> DataFrame:
 
 
 def capped_edges(edges: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` neighbours of a node, the same ones every time."""
+    """At most ``cap`` neighbours of a node, the same ones every time.
+
+    The rank is filtered at once, so Spark keeps ``cap`` rows of a node in every
+    task before the shuffle (``WindowGroupLimit``, up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``): a hub comes as ``cap``
+    rows from each task, never with all its edges. A test reads the plan.
+    """
     order = Window.partitionBy("dst").orderBy(F.pmod(F.col("src") * 7919, F.lit(10_007)), "src")
     return edges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
@@ -209,4 +215,4 @@ def refreshed(store: DataFrame, new: DataFrame) -> DataFrame:
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
     """0, 1, 2, ... by key."""
-    return running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], [F.col(key)], ["_one"]).withColumn("index", F.col("_one_before")).drop("_one", "_one_before", "_one_all")
+    return ranks(df, [], [F.col(key)], "index").drop("_n")

@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, MapType, StringType, StructType
 
 from ..functions.records import embedding_or_zero
 
-BROADCAST_ROWS = 200_000
+#: Bounds of a side that is broadcast; both are counted before.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def width(kind: DataType, value: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType, MapType)):
+            return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 16
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 16
+    if isinstance(kind, (StructType, MapType)):
+        return F.coalesce(F.octet_length(F.to_json(value)), F.lit(0)) + 16
+    return F.lit(16 if isinstance(kind, DecimalType) else 8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is within both bounds; reads no more rows than the first of them and one."""
+    total = sum((width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(0))
+    n, most = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(total.cast("long"))).first()
+    return n <= rows and (most or 0) <= size
 
 
 def lookup(small: DataFrame) -> DataFrame:
-    """``small`` marked for broadcast if counted small, else for a shuffle."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("merge")
+    """``small`` marked for broadcast if counted small in rows and bytes, else for a shuffle."""
+    return F.broadcast(small) if is_small(small) else small.hint("merge")
 
 
 def with_embedding(df: DataFrame, embeddings: DataFrame, key: str, size: int) -> DataFrame:

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import threshold_grid
-from .ordering import quantiles, running_sums, stable_hash
+from ..sources.storage import saved
+from .joins import lookup, threshold_grid
+from .ordering import quantiles, ranks, running_sums, stable_hash
 
 
 def by_score(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
@@ -80,7 +81,7 @@ def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
 def by_step(df: DataFrame, score: str, label: str, step: str, least: int = 5, early: int = 25) -> DataFrame:
     """Average precision and ROC area of each step with enough rows of both classes."""
     enough = df.groupBy(step).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).where((F.col("p") >= least) & (F.col("n") >= least)).select(step)
-    some = df.join(F.broadcast(enough), step)
+    some = df.join(lookup(enough), step)
     return curve_measures(by_score(some, score, label, step), step).withColumn("period", F.when(F.col(step) <= early, "early").otherwise("late"))
 
 
@@ -192,12 +193,13 @@ def drift_mix(df: DataFrame, key: str, label: str, weights: dict[str, float], bi
     grouped by score before they meet the 28 cells of scenario and share.
     """
     columns = list(weights)
-    d = df.select(F.col(key).alias("_key"), F.col(label).alias("_y"), *(F.col(c).cast("double").alias(c) for c in columns)).withColumn("_one", F.lit(1).cast("long"))
+    d = df.select(F.col(key).alias("_key"), F.col(label).alias("_y"), *(F.col(c).cast("double").alias(c) for c in columns)).where("_y IN (0, 1)")
     score = F.round(linear_score(weights, bias), 9)
     order = [stable_hash(F.col("_key")), F.col("_key")]
-    legit = running_sums(d.where("_y = 0"), [], order, ["_one"]).withColumnRenamed("_one_before", "_at")
-    bad = running_sums(d.where("_y = 1"), [], order, ["_one"]).select("_key", score.alias("_own"), F.col("_one_before").alias("_rank"), F.col("_one_all").alias("_n"))
-    size = legit.agg(F.max("_one_all").alias("_legit"))
+    ranked = saved(ranks(d, ["_y"], order), "ranked")
+    legit = ranked.where("_y = 0").withColumnRenamed("_rank", "_at")
+    bad = ranked.where("_y = 1").select("_key", score.alias("_own"), "_rank", "_n")
+    size = legit.agg(F.max("_n").alias("_legit"))
     bad = bad.join(F.broadcast(size)).withColumn("_at", F.col("_rank") % F.col("_legit"))
     both = bad.hint("merge").join(legit.select("_at", *columns), "_at", "left").withColumn("scenario", F.explode(F.array(*map(F.lit, DRIFTS))))
     changed = {}
@@ -215,8 +217,9 @@ def drift_mix(df: DataFrame, key: str, label: str, weights: dict[str, float], bi
     ones = both.groupBy("scenario", "fraction", taken.alias("score")).agg(F.count(F.lit(1)).alias("p")).withColumn("n", F.lit(0).cast("long"))
     cells = F.array(*(F.struct(F.lit(s).alias("scenario"), F.lit(f).alias("fraction")) for s in DRIFTS for f in FRACTIONS))
     zeros = legit.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n")).select(F.explode(cells).alias("c"), "score", "n").select("c.*", "score", F.lit(0).cast("long").alias("p"), "n")
-    counts = ones.unionByName(zeros).groupBy("scenario", "fraction", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    ap = curve_measures(counts, "scenario", "fraction").select("scenario", "fraction", "average_precision")
+    # Written, as ranges are sampled before they are dealt: the cells would be worked out twice.
+    counts = saved(ones.unionByName(zeros).groupBy("scenario", "fraction", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "cells")
+    ap = saved(curve_measures(counts, "scenario", "fraction").select("scenario", "fraction", "average_precision"), "precision")
     base = ap.where("fraction = 0").select("scenario", F.col("average_precision").alias("_base"))  # a row a scenario
     return ap.join(F.broadcast(base), "scenario").select("scenario", "fraction", "average_precision", F.round(100 * (F.col("_base") - F.col("average_precision")) / F.col("_base"), 4).alias("drop_percent"))
 

@@ -32,6 +32,24 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], names: lis
     return both.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_ranges") for c in names}).drop("_range", *(f"{c}_ranges" for c in names))
 
 
+def ranks(df: DataFrame, keys: list[str], order: list[Column], rank: str = "_rank", total: str = "_n") -> DataFrame:
+    """``df`` with each row's number from 0 in ``order`` within ``keys``, and the number of rows of its keys.
+
+    Rows are sorted by sampled ranges and written with a running number; what is
+    summed is a row for each range and key. No window and no second shuffle of rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*map(F.col, keys), *order]
+    table = saved(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranks")
+    table = table.withColumn("_range", F.shiftrightunsigned("_at", 33))  # the number's upper bits are the partition
+    sums = table.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    earlier, whole = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    before = sums.select(*keys, "_range", (F.coalesce(F.sum("_c").over(earlier), F.lit(0)) - F.col("_first")).alias("_before"), F.sum("_c").over(whole).alias(total))
+    # Without keys there is a row for each range.
+    both = table.join(F.broadcast(before) if not keys else lookup(before), [*keys, "_range"])
+    return both.withColumn(rank, F.col("_at") + F.col("_before")).drop("_at", "_range", "_before")
+
+
 def quantiles(counts: DataFrame, value: str, count: str, shares: dict[str, float], *keys: str) -> DataFrame:
     """Exact, interpolated quantiles by ``keys`` from a table of distinct values and their counts; no key's values meet in one task."""
     r = running_sums(counts.where(F.col(value).isNotNull()), list(keys), [F.col(value)], [count])
@@ -46,11 +64,23 @@ def quantiles(counts: DataFrame, value: str, count: str, shares: dict[str, float
 
 
 def temporal_split(df: DataFrame, ts: str, key: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """80/10/10 by position in time order (null times last, ties by key); positions by ``running_sums``, so no day or time is a single task."""
-    d = running_sums(df.withColumn("_one", F.lit(1).cast("long")), [], [F.asc_nulls_last(ts), F.col(key)], ["_one"])
-    first, second = F.floor(F.col("_one_all") * train), F.floor(F.col("_one_all") * (train + val) + 1e-9)
-    at = F.col("_one_before")
-    return d.withColumn("split", F.when(at < first, "train").when(at < second, "val").otherwise("test")).drop("_one", "_one_before", "_one_all")
+    """80/10/10 by position in time order (null times last, ties by key, which is unique).
+
+    Only times and keys are ranked; the two rows at the cuts become constants, with
+    which every row is compared where it stands, so the table isn't shuffled.
+    """
+    narrow = ranks(df.select(F.col(ts).alias("_ts"), F.col(key).alias("_key")), [], [F.asc_nulls_last("_ts"), F.col("_key")])
+    first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * (train + val) + 1e-9)
+    cuts = narrow.where((F.col("_rank") == first) | (F.col("_rank") == second)).orderBy("_rank").select("_ts", "_key", (F.col("_rank") == first).alias("_first"), (F.col("_rank") == second).alias("_second")).collect()
+    out = F.lit("train")
+    for name, at in (("val", "_first"), ("test", "_second")):
+        row = next((r for r in cuts if r[at]), None)
+        if row is None:  # the part is empty
+            continue
+        tie = F.col(key) >= F.lit(row["_key"])
+        since = F.col(ts).isNull() & tie if row["_ts"] is None else F.col(ts).isNull() | (F.col(ts) > F.lit(row["_ts"])) | ((F.col(ts) == F.lit(row["_ts"])) & tie)
+        out = F.when(since, name).otherwise(out)
+    return df.withColumn("split", out)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.70, val: float = 0.15, buckets: int = 10_000) -> DataFrame:

@@ -13,6 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import saved
+from .joins import lookup
+from .ordering import running_sums
+
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 WEEK = 168 * HOUR
@@ -101,6 +105,39 @@ def time_since_other_client(df: DataFrame) -> DataFrame:
     return df.withColumn("time_since_other_institution_sec", F.round(F.when(gap <= WEEK, gap / F.lit(SECOND).cast("double")), 1)).drop("_client", "_ts", "_island", "_other")
 
 
+def time_since_other_client_ranges(df: DataFrame) -> DataFrame:
+    """``time_since_other_client`` for identities too hot for one task, whatever their lifetime.
+
+    Rows are dealt by sampled ranges of identity and time. What a range leaves to
+    the next is no sum but merges like one: the client and time of its last row, and
+    the last time at any other client. These, a row for each range and identity, are
+    folded in order; a range's rows look into it and then at what comes in.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(n, "identity", "ts_us", "event_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    keys = ["identity", "_range"]
+    order = Window.partitionBy(*keys).orderBy("ts_us", "event_id")
+    d = dealt.withColumns({"_client": F.lag("client_id").over(order), "_ts": F.lag("ts_us").over(order)})
+    fresh = F.col("_client").isNull() | (F.col("_client") != F.col("client_id"))
+    d = d.withColumn("_island", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_other", F.first("_ts").over(Window.partitionBy(*keys, "_island").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max_by(F.struct(F.col("client_id").alias("client"), F.col("ts_us").alias("ts"), F.col("_other").alias("other")), F.struct("ts_us", "event_id"))
+    left = d.groupBy(*keys).agg(last.alias("s"))
+    earlier = Window.partitionBy("identity").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(None).cast(left.schema["s"].dataType)
+
+    def merge(a: Column, b: Column) -> Column:
+        """Of two ranges in order as one."""
+        other = F.when(b["other"].isNotNull(), b["other"]).when(a["client"] != b["client"], a["ts"]).otherwise(a["other"])
+        return F.struct(b["client"].alias("client"), b["ts"].alias("ts"), other.alias("other"))
+
+    comes = left.select(*keys, F.aggregate(F.collect_list("s").over(earlier), none, merge).alias("_in"))
+    both = d.join(lookup(comes), keys)
+    before = F.when(F.col("_in.client") != F.col("client_id"), F.col("_in.ts")).otherwise(F.col("_in.other"))
+    gap = F.col("ts_us") - F.coalesce("_other", before)
+    return both.withColumn("time_since_other_institution_sec", F.round(F.when(gap <= WEEK, gap / F.lit(SECOND).cast("double")), 1)).drop("_client", "_ts", "_island", "_other", "_range", "_in")
+
+
 def prior_high_risk(df: DataFrame, risk: float = 0.70, keys: tuple[str, ...] = ("identity",)) -> DataFrame:
     """Whether another client scored the identity at ``risk`` or more in the prior 7 days."""
     hit = F.sum((F.col("risk_score") >= risk).cast("int"))
@@ -116,9 +153,21 @@ def lifetime(df: DataFrame) -> DataFrame:
     return df.withColumns({"lifetime_volume": F.round(F.col("_v").cast("double"), 2), "lifetime_amount_ratio": F.round(F.col("amount_usd") / F.greatest(mean, F.lit(1.0)), 3)}).drop("_v")
 
 
+def lifetime_ranges(df: DataFrame) -> DataFrame:
+    """``lifetime`` for identities too hot for one task: sums before a row by ``running_sums``."""
+    d = df.withColumns({"_one": F.lit(1).cast("long"), "_v": F.coalesce(F.col("amount_usd").cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))})
+    d = running_sums(d, ["identity"], [F.col("ts_us"), F.col("event_id")], ["_one", "_v"])
+    d = d.withColumns({"lifetime_count": F.col("_one_before") + 1, "_sum": (F.col("_v_before") + F.col("_v")).cast("double")})
+    made = {"lifetime_volume": F.round("_sum", 2), "lifetime_amount_ratio": F.round(F.col("amount_usd") / F.greatest(F.col("_sum") / F.col("lifetime_count"), F.lit(1.0)), 3)}
+    return d.withColumns(made).drop("_one", "_v", "_sum", *(f"{c}_{k}" for c in ("_one", "_v") for k in ("before", "all")))
+
+
 def first_time_receiver(df: DataFrame) -> DataFrame:
-    order = Window.partitionBy("identity", "receiver").orderBy("ts_us", "event_id")
-    return df.withColumn("is_first_time_receiver", (F.row_number().over(order) == 1).cast("int"))
+    """Whether a row is the identity's first to its receiver: a grouped minimum, joined back on the pair and the row's place."""
+    place = F.struct("ts_us", "event_id")
+    firsts = df.groupBy("identity", "receiver").agg(F.min(place).alias("_first")).select("identity", "_first.*").withColumn("is_first_time_receiver", F.lit(1))
+    marked = df.hint("merge").join(firsts, ["identity", "ts_us", "event_id"], "left")
+    return marked.withColumn("is_first_time_receiver", F.coalesce("is_first_time_receiver", F.lit(0)))
 
 
 def balance_drain(amount: str, before: str) -> dict[str, Column]:

@@ -72,10 +72,38 @@ def m5(spark, d):
 
 @query("m6_m7_tournament")
 def m7(spark, d):
-    """A forest, boosted trees and four random draws; their rows are written once, before the first is trained."""
+    """A forest, boosted trees and four random draws (with few trees); their rows are prepared and written once, trials run side by side."""
     train, test = _splits(spark, d)
+    return L.tournament(train, test, _candidates(), NUMERIC, [], "is_fraud", sample=200_000)
+
+
+def _candidates():
     fixed = {"forest": ("forest", {"numTrees": 5, "maxDepth": 3, "seed": 1}), "boosted": ("boosted", {"maxIter": 3, "maxDepth": 3, "seed": 1})}
-    return L.tournament(saved(train, "train"), saved(test, "validation"), {**fixed, **L.search_space(4)}, NUMERIC, [], "is_fraud", sample=200_000)
+    return {**fixed, **L.scaled_down(L.search_space(4), 3)}
+
+
+@query("m9_kept_model", f"WITH {_ROWS}, n AS (SELECT count(*) AS n FROM r), o AS (SELECT event_id, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS pos FROM txn) SELECT event_id, true AS same_score, true AS same_decision FROM o, n WHERE pos >= floor(n * 0.8)")
+def m9(spark, d):
+    """A model with its threshold and columns is kept, loaded as its newest version and scores the later rows as the fitted one does."""
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    train, later = _splits(spark, d)
+    train, later = saved(train, "train"), saved(later, "later")
+    kept = L.kept_model(train, later, "logistic", NUMERIC, ["client_id", "modality"], "is_fraud", maxIter=20)
+    kept.save(folder)
+    loaded = L.KeptModel.load(spark, folder)
+    fitted = L.scored_by(kept.model, later).select("event_id", F.col("p").alias("q"))
+    both = loaded.score(later).hint("merge").join(fitted, "event_id")
+    return both.select("event_id", (F.col("p") == F.col("q")).alias("same_score"), (F.col("flagged") == (F.col("q") >= kept.threshold)).alias("same_decision"))
+
+
+#: Runs of the tournament, measured on validation rows, stand for a tracker's; their measures have no SQL form.
+@query("k15_m8_runs")
+def k15r(spark, d):
+    """The tournament's champion, and whether the best draw would replace the forest."""
+    train, test = _splits(spark, d)
+    runs = saved(L.tournament(train, test, _candidates(), NUMERIC, [], "is_fraud", sample=200_000), "runs")
+    best = champion(runs, "pr_auc").select("champion", F.col("pr_auc").alias("champion_pr_auc"))
+    return best.join(F.broadcast(L.promotion(runs, "forest", "draw_0").withColumnsRenamed({"champion": "forest", "challenger": "draw_0"})))  # a row on either side
 
 
 @query("m16_importance")
@@ -286,27 +314,33 @@ def m22(spark, d):
     return n.select("event_id", *(F.round(c, 4).alias(c) for c in ("amount_usd", "hour_of_day", "day_of_week")), "count_1h", "velocity_ratio", "transfer_type")
 
 
-_GATES = f"""{B.TXN}, g AS (SELECT client_id, count(*) AS new_labels, max(k) % 30 AS age_days, CASE WHEN avg(k) > 49.6 THEN 'medium' ELSE 'none' END AS psi, CASE client_id WHEN 'neobank' THEN 'high' ELSE 'none' END AS rate, avg(risk_score) AS auc FROM txn GROUP BY client_id)"""
+#: A gate for every receiver: labels and drift of its own rows. All severities and decisions occur.
+_GATES = f"""{B.TXN}, g AS (SELECT receiver, count(*) AS new_labels, max(k) % 21 AS age_days, CASE receiver % 4 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'none' END AS psi, CASE WHEN avg(risk_score) < 0.40 THEN 'critical' WHEN avg(risk_score) < 0.42 THEN 'high' ELSE 'none' END AS auc,
+  CASE WHEN max(k) % 21 >= 14 THEN 'critical' ELSE 'none' END AS age, receiver % 7 = 3 AS force, receiver % 5 = 2 AS dry FROM txn GROUP BY receiver),
+s AS (SELECT *, CASE WHEN 'critical' IN (psi, auc, age) THEN 'critical' WHEN 'high' IN (psi, auc, age) THEN 'high' WHEN 'medium' IN (psi, auc, age) THEN 'medium' ELSE 'none' END AS severity FROM g)"""
 
 
 def _gates(spark, d):
-    g = B.txn(spark, d).groupBy("client_id").agg(F.count(F.lit(1)).alias("new_labels"), (F.max("k") % 30).alias("age_days"), F.when(F.avg("k") > 49.6, "medium").otherwise("none").alias("psi"), F.avg("risk_score").alias("auc"))
-    return g.withColumn("rate", F.when(F.col("client_id") == "neobank", "high").otherwise("none"))
+    k, r, low = F.max("k") % 21, F.col("receiver"), F.avg("risk_score")
+    g = B.txn(spark, d).groupBy("receiver").agg(F.count(F.lit(1)).alias("new_labels"), k.alias("age_days"), F.when(low < 0.40, "critical").when(low < 0.42, "high").otherwise("none").alias("auc"))
+    psi = F.when(r % 4 == 0, "medium").when(r % 4 == 1, "high").otherwise("none")
+    return g.withColumns({"psi": psi, "severity": D.drift_severity(psi, F.col("auc"), D.age_severity(F.col("age_days"))), "force": r % 7 == 3, "dry": r % 5 == 2})
 
 
-@query("m23_drift_severity", f"WITH {_GATES} SELECT client_id, CASE WHEN psi = 'high' OR rate = 'high' THEN 'high' WHEN psi = 'medium' OR rate = 'medium' THEN 'medium' ELSE 'none' END AS severity FROM g")
+@query("m23_drift_severity", f"WITH {_GATES} SELECT receiver, severity FROM s")
 def m23(spark, d):
-    return _gates(spark, d).select("client_id", D.drift_severity(F.col("psi"), F.col("rate")).alias("severity"))
+    return _gates(spark, d).select("receiver", "severity")
 
 
-@query("m24_retrain_gate", f"""WITH {_GATES} SELECT client_id, CASE WHEN new_labels < 100 THEN 'waiting' WHEN NOT (age_days >= 14 OR rate = 'high') AND rate = 'medium' THEN 'scheduled' WHEN NOT (age_days >= 14 OR rate = 'high') THEN 'stable' ELSE 'retrain' END AS decision FROM g""")
+@query("m24_retrain_gate", f"""WITH {_GATES} SELECT receiver, CASE WHEN NOT force AND new_labels < 60 THEN 'waiting' WHEN NOT force AND severity = 'medium' THEN 'scheduled' WHEN NOT force AND severity = 'none' THEN 'stable' WHEN dry THEN 'dry_run' ELSE 'retrain' END AS decision FROM s""")
 def m24(spark, d):
-    return _gates(spark, d).select("client_id", D.retrain_gate(F.col("new_labels"), F.col("rate"), F.col("age_days"), F.lit(False)).alias("decision"))
+    return _gates(spark, d).select("receiver", D.retrain_gate(F.col("new_labels"), F.col("severity"), F.col("dry"), F.col("force"), 60).alias("decision"))
 
 
-@query("m25_auc_drop", f"WITH {_GATES} SELECT client_id, CASE WHEN 0.45 - auc > 0.10 THEN 'critical' WHEN 0.45 - auc > 0.05 THEN 'high' ELSE 'none' END AS verdict FROM g")
+@query("m25_auc_drop", f"WITH {B.TXN}, g AS (SELECT receiver, avg(risk_score) AS auc FROM txn GROUP BY receiver) SELECT receiver, CASE WHEN 0.45 - auc > 0.10 THEN 'critical' WHEN 0.45 - auc > 0.05 THEN 'high' ELSE 'none' END AS verdict FROM g")
 def m25(spark, d):
-    return _gates(spark, d).select("client_id", D.auc_drop(F.col("auc"), F.lit(0.45)).alias("verdict"))
+    g = B.txn(spark, d).groupBy("receiver").agg(F.avg("risk_score").alias("auc"))
+    return g.select("receiver", D.auc_drop(F.col("auc"), F.lit(0.45)).alias("verdict"))
 
 
 def _stream(spark, d):

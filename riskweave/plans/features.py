@@ -376,3 +376,14 @@ def w5s(spark, d):
 SELECT identity, hour, sum(n) OVER w::BIGINT AS count_hours, round(sum(v) OVER w::DOUBLE, 2) AS sum_hours FROM b WINDOW w AS (PARTITION BY identity ORDER BY hour RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def w1b(spark, d):
     return W.hour_buckets(B.txn(spark, d))
+
+
+@query("w8_time_since_other_client_ranges", ORACLE_SQL["w8_time_since_other_client"])
+def w8r(spark, d):
+    """Every identity cut by ranges; the last row at another client is carried from range to range."""
+    return W.time_since_other_client_ranges(B.txn(spark, d)).select("event_id", "time_since_other_institution_sec")
+
+
+@query("w11_lifetime_ranges", ORACLE_SQL["w11_lifetime"])
+def w11r(spark, d):
+    return W.lifetime_ranges(B.txn(spark, d)).select("event_id", "lifetime_count", "lifetime_volume", "lifetime_amount_ratio")

@@ -27,11 +27,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def newest_version(spark: SparkSession, folder: str) -> int:
-    """The largest number among the folders ``version=<number>``; an error if there is none. Lists names only."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return max(int(n.partition("=")[2]) for n in found if n.startswith("version="))
+def newest_version(spark: SparkSession, folder: str, part: str = "") -> int:
+    """The largest number among the folders ``version=<number>`` that hold a finished ``part``; an error if there is none. Lists names only."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    files = make(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in files.listStatus(make(folder))]
+    done = [n for n in found if n.startswith("version=") and (not part or files.exists(make(f"{folder}/{n}/{part}/_SUCCESS")))]
+    return max(int(n.partition("=")[2]) for n in done)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

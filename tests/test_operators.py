@@ -129,7 +129,39 @@ def test_models(spark):
     assert abs(sum(values)) < 1e-6
     runs = {r["run"]: r["pr_auc"] for r in L.tournament(df, df, {"good": ("logistic", {"maxIter": 20}), "flat": ("logistic", {"regParam": 1e9, "elasticNetParam": 1.0})}, ["amount"], [], "y", sample=300).collect()}
     assert runs["good"] > 0.9 and runs["flat"] == 0.0
-    assert len(L.search_space(6)) == 6 and L.search_space(6) == L.search_space(6)
+    space = L.search_space(6)
+    assert len(space) == 6 and space == L.search_space(6)
+    assert all(200 <= p["maxIter"] <= 1200 and 0.01 <= p["stepSize"] <= 0.3 for kind, p in space.values() if kind == "boosted")
+    assert all(0.01 <= p["regParam"] <= 1e4 for kind, p in space.values() if kind == "logistic")
+    # The leaderboard holds what single fits give.
+    small = L.scaled_down(space, 2)
+    board = {r["run"]: r["pr_auc"] for r in L.tournament(df, df, small, ["amount", "noise"], [], "y", parallelism=3).collect()}
+    assert set(board) == set(small)
+    for name in ("draw_0", "draw_1", "draw_2"):
+        kind, params = small[name]
+        single = L.scored_by(L.train(df, kind, ["amount", "noise"], [], "y", **params), df)
+        # Trees draw their rows by partition, and the trials' rows were written and read.
+        assert abs(board[name] - E.average_precision(single, "p", "y").first()[0]) < (1e-6 if kind == "logistic" else 0.01)
+
+
+def test_kept_model(spark, tmp_path):
+    """A loaded model scores as the fitted one, aligned to its own columns; versions that broke off aren't loaded."""
+    from riskweave.operators import learning as L
+
+    rng = random.Random(3)
+    rows = [(i, int(x > 0.6), x, rng.random(), "ab"[i % 2]) for i, x in enumerate(rng.random() for _ in range(300))]
+    df = spark.createDataFrame(rows, "id long, y int, amount double, noise double, kind string")
+    kept, folder = L.kept_model(df, df, "logistic", ["amount", "noise"], ["kind"], "y", version=4, maxIter=20), str(tmp_path / "models")
+    kept.save(folder)
+    kept.model.write().save(f"{folder}/version=9/pipeline")  # broke off
+    loaded = L.KeptModel.load(spark, folder)
+    assert (loaded.version, loaded.threshold, loaded.numeric, loaded.categories) == (4, kept.threshold, ["amount", "noise"], ["kind"])
+    of = lambda d: {r["id"]: (r["p"], r["flagged"]) for r in d.collect()}
+    assert of(loaded.score(df)) == of(kept.score(df))
+    assert {i for i, (_, f) in of(loaded.score(df)).items() if f} == {i for i, (p, _) in of(loaded.score(df)).items() if p >= kept.threshold}
+    # An absent number is 0, an absent category is unknown, other columns don't matter.
+    bare = of(loaded.score(df.drop("noise", "kind").withColumn("other", F.lit("x"))))
+    assert bare == of(loaded.score(df.withColumns({"noise": F.lit(0.0), "kind": F.lit(None).cast("string")})))
 
 
 def test_refresh_equals_full_propagation(spark, tmp_path):
@@ -177,3 +209,32 @@ def test_weights(spark):
     assert A.class_weights(none).first()["weight"] is None
     base = spark.createDataFrame([(1,)] + [(0,)] * 199, "is_fraud int")
     assert {r["sample_weight"] for r in A.rate_corrected(base).collect()} == {1.0}
+
+
+def test_neighbour_cap_before_the_shuffle(spark):
+    """A hub's edges are cut to the cap in every task, before they are shuffled."""
+    edges = spark.createDataFrame([(i, 1) for i in range(500)] + [(1, 2)], "src long, dst long")
+    plan = G.capped_edges(edges, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange hashpartitioning(dst") < plan.index("Partial")
+    assert plan.count("WindowGroupLimit") == 2
+    got = sorted(r["src"] for r in G.capped_edges(edges, 10).where("dst = 1").collect())
+    assert got == sorted(sorted(range(500), key=lambda s: (s * 7919 % 10_007, s))[:10])
+
+
+def test_broadcasts_are_checked_in_bytes(spark):
+    few = spark.createDataFrame([(i, [1.0] * 4) for i in range(10)], "id long, v array<double>")
+    assert J.is_small(few) and not J.is_small(few, rows=9) and not J.is_small(few, size=400)
+    long = spark.createDataFrame([("x" * 1000,)], "t string")
+    assert J.is_small(long) and not J.is_small(long, size=1000)
+
+
+def test_temporal_split(spark):
+    from riskweave.operators.ordering import temporal_split
+
+    rows = [(i, None if i % 10 == 0 else (i * 7) % 13) for i in range(50)]
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    want = {i: "train" if n < 40 else "val" if n < 45 else "test" for n, (i, _) in enumerate(order)}
+    assert {r["id"]: r["split"] for r in temporal_split(spark.createDataFrame(rows, "id long, t long"), "t", "id").collect()} == want
+    assert temporal_split(spark.createDataFrame([], "id long, t long"), "t", "id").count() == 0
+    one = spark.createDataFrame([(1, 5)], "id long, t long")
+    assert [r["split"] for r in temporal_split(one, "t", "id").collect()] == ["val" if int(0.9 + 1e-9) else "test"]

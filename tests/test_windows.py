@@ -1,6 +1,9 @@
 """Boundary rules of the time windows on rows written by hand."""
 
+import random
+
 from riskweave.operators import windows as W
+from riskweave.sources.storage import saved
 
 H = W.HOUR
 T = 1_700_000_000_000_000
@@ -59,3 +62,20 @@ def test_islands(spark):
 def test_one_exchange(spark):
     plan = W.cross_client(frame(spark, [(1, "a", T, 5.0)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ranges_carry_a_hot_identity(spark):
+    """One identity with all rows: cut into ranges, each a part of the rows, and equal to the plain windows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, 1 if i % 50 else 2, rng.choice("aaaab" if i < 1500 else "c"), float(i % 7) if i % 9 else None, rng.randrange(40) * W.HOUR * 6 + rng.randrange(3)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, identity long, client_id string, amount_usd double, ts_us long")
+    of = lambda d, *c: sorted(tuple(r) for r in d.select("event_id", *c).collect())
+    gap = "time_since_other_institution_sec"
+    assert of(W.time_since_other_client_ranges(df), gap) == of(W.time_since_other_client(df), gap)
+    life = ("lifetime_count", "lifetime_volume", "lifetime_amount_ratio")
+    got, want = of(W.lifetime_ranges(df), *life), of(W.lifetime(df), *life)
+    assert [g for g, w in zip(got, want) if g != w and w[2] is not None] == []
+    sizes = saved(df.repartitionByRange(4, "identity", "ts_us", "event_id").withColumn("_range", F.spark_partition_id()), "r").groupBy("_range").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 2000
