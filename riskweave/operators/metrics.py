@@ -196,7 +196,7 @@ def drift_mix(df: DataFrame, key: str, label: str, weights: dict[str, float], bi
     d = df.select(F.col(key).alias("_key"), F.col(label).alias("_y"), *(F.col(c).cast("double").alias(c) for c in columns)).where("_y IN (0, 1)")
     score = F.round(linear_score(weights, bias), 9)
     order = [stable_hash(F.col("_key")), F.col("_key")]
-    ranked = saved(ranks(d, ["_y"], order), "ranked")
+    ranked = ranks(d, ["_y"], order)
     legit = ranked.where("_y = 0").withColumnRenamed("_rank", "_at")
     bad = ranked.where("_y = 1").select("_key", score.alias("_own"), "_rank", "_n")
     size = legit.agg(F.max("_n").alias("_legit"))
@@ -214,12 +214,16 @@ def drift_mix(df: DataFrame, key: str, label: str, weights: dict[str, float], bi
         changed[c] = value
     both = both.withColumns(changed).withColumn("_new", score).withColumn("fraction", F.explode(F.array(*map(F.lit, FRACTIONS))))
     taken = F.when(F.col("_rank") < F.floor(F.col("_n") * F.col("fraction") + 1e-9), F.col("_new")).otherwise(F.col("_own"))
-    ones = both.groupBy("scenario", "fraction", taken.alias("score")).agg(F.count(F.lit(1)).alias("p")).withColumn("n", F.lit(0).cast("long"))
-    cells = F.array(*(F.struct(F.lit(s).alias("scenario"), F.lit(f).alias("fraction")) for s in DRIFTS for f in FRACTIONS))
-    zeros = legit.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n")).select(F.explode(cells).alias("c"), "score", "n").select("c.*", "score", F.lit(0).cast("long").alias("p"), "n")
-    # Written, as ranges are sampled before they are dealt: the cells would be worked out twice.
-    counts = saved(ones.unionByName(zeros).groupBy("scenario", "fraction", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "cells")
-    ap = saved(curve_measures(counts, "scenario", "fraction").select("scenario", "fraction", "average_precision"), "precision")
+    ones = both.groupBy("scenario", "fraction", taken.alias("score")).agg(F.count(F.lit(1)).alias("p"))
+    # All cells share their legitimate rows, so these are summed once, at the scores that positives have anywhere.
+    ones = saved(ones.select("scenario", "fraction", "score", "p"), "cells")
+    zeros = legit.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("_asked"))
+    asked = ones.select("score").distinct().select("score", F.lit(0).cast("long").alias("n"), F.lit(1).alias("_asked"))
+    line = running_sums(zeros.unionByName(asked).groupBy("score").agg(F.sum("n").alias("n"), F.max("_asked").alias("_asked")), [], [F.desc("score")], ["n"])
+    line = line.where("_asked = 1").select("score", (F.col("n_before") + F.col("n")).alias("fp"))
+    tp, pos = F.col("p_before") + F.col("p"), F.col("p_all")
+    c = running_sums(ones.hint("merge").join(line, "score"), ["scenario", "fraction"], [F.desc("score")], ["p"])
+    ap = saved(c.groupBy("scenario", "fraction").agg(F.round(F.sum(F.col("p") / pos * (tp / (tp + F.col("fp")))), 6).alias("average_precision")), "precision")
     base = ap.where("fraction = 0").select("scenario", F.col("average_precision").alias("_base"))  # a row a scenario
     return ap.join(F.broadcast(base), "scenario").select("scenario", "fraction", "average_precision", F.round(100 * (F.col("_base") - F.col("average_precision")) / F.col("_base"), 4).alias("drop_percent"))
 

@@ -58,6 +58,23 @@ def _splits(spark, d):
     return s.where("split = 'train'"), s.where("split <> 'train'")
 
 
+_NUMERIC_SQL = "amount_usd", "count_24h", "risk_score"
+
+
+@query("m3_standardised", f"""WITH {B.TXN}, r AS (SELECT event_id, amount_usd, (k % 9)::DOUBLE AS count_24h, risk_score, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS pos, count(*) OVER () AS n FROM txn),
+s AS (SELECT {', '.join(f'avg({c}) AS mean_{c}, stddev_samp({c}) AS dev_{c}' for c in _NUMERIC_SQL)} FROM r WHERE pos < floor(n * 0.8))
+SELECT event_id, {', '.join(f'round(({c} - mean_{c}) / dev_{c}, 6) AS {c}' for c in _NUMERIC_SQL)} FROM r, s WHERE pos >= floor(n * 0.8)""")
+def m3(spark, d):
+    """Later rows in units of the training rows' mean and deviation."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    train, later = _splits(spark, d)
+    x = vector_to_array(F.col("x"))
+    made = Pipeline(stages=L.preparation(NUMERIC, [])).fit(train).transform(later)
+    return made.select("event_id", *(F.round(x[i], 6).alias(c) for i, c in enumerate(NUMERIC)))
+
+
 @query("m3_m4_m9_logistic_scores")
 def m4(spark, d):
     train, test = _splits(spark, d)

@@ -238,3 +238,53 @@ def test_temporal_split(spark):
     assert temporal_split(spark.createDataFrame([], "id long, t long"), "t", "id").count() == 0
     one = spark.createDataFrame([(1, 5)], "id long, t long")
     assert [r["split"] for r in temporal_split(one, "t", "id").collect()] == ["val" if int(0.9 + 1e-9) else "test"]
+
+
+def test_linear_model_values(spark):
+    """Coefficients are those of the penalised likelihood, worked out apart; with class weights too; the importance is their size; l1 leaves out what l2 keeps."""
+    import numpy as np
+
+    from riskweave.operators import learning as L
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) * [1.0, 5.0, 0.2] + [0, 3, 1]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.3 * x[:, 1])))).astype(int)
+    weight = np.where(y == 1, 3.0, 1.0)
+    df = spark.createDataFrame([(i, int(b), *map(float, a), float(w)) for i, (a, b, w) in enumerate(zip(x, y, weight))], "id long, y int, a double, b double, c double, w double")
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+
+    def newton(ridge, w):
+        """Mean weighted loss and ridge/2 times the squares; MLlib scales by the deviation of the rows (weighted) once more."""
+        dev = np.sqrt(np.average((z - np.average(z, axis=0, weights=w)) ** 2, axis=0, weights=w) * w.sum() / (w.sum() - 1))
+        s = np.hstack([z / dev, np.ones((len(z), 1))])
+        b, r = np.zeros(4), np.diag([ridge] * 3 + [0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-s @ b))
+            b -= np.linalg.solve((s * (w * p * (1 - p))[:, None]).T @ s / w.sum() + r, s.T @ (w * (p - y)) / w.sum() + r @ b)
+        return 1 / (1 + np.exp(-s @ b)), b[:3] / dev
+
+    for column, w in ((None, np.ones(400)), ("w", weight)):
+        m = L.train(df, "logistic", ["a", "b", "c"], [], "y", weight=column, regParam=0.05, maxIter=200, tol=1e-10)
+        want, coefficients = newton(0.05, w)
+        got = np.array([r["p"] for r in L.scored_by(m, df).orderBy("id").collect()])
+        assert np.abs(got - want).max() < 2e-4
+        shown = {r["feature"]: r["importance"] for r in L.importance(m, df).collect()}
+        assert np.allclose([shown[c] for c in "abc"], np.abs(coefficients), atol=2e-3)
+    lasso = L.train(df, "logistic", ["a", "b", "c"], [], "y", regParam=0.1, elasticNetParam=1.0, maxIter=200).stages[-1].coefficients.toArray()
+    ridge = L.train(df, "logistic", ["a", "b", "c"], [], "y", regParam=0.1, elasticNetParam=0.0, maxIter=200).stages[-1].coefficients.toArray()
+    assert lasso[2] == 0 and ridge[2] != 0 and lasso[1] < 0
+
+
+def test_boosted_split_is_the_best_one(spark):
+    """The first tree of depth 1 parts the rows where the squared error of the labels is least."""
+    from riskweave.operators import learning as L
+
+    rng = random.Random(6)
+    rows = [(i, float(i % 32), rng.random()) for i in range(320)]
+    rows = [(i, int((a >= 20) != (i % 11 == 0)), a, b) for i, a, b in rows]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    m = L.train(df, "boosted", ["a", "b"], [], "y", maxIter=1, maxDepth=1)
+    low = {r["p"] for r in L.scored_by(m, df).where("a < 20").collect()}
+    high = {r["p"] for r in L.scored_by(m, df).where("a >= 20").collect()}
+    assert len(low) == len(high) == 1 and low < high or min(low) < min(high)
+    assert L.importance(m, df).first()["feature"] == "a"
