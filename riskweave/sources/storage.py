@@ -22,9 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+#: Folders of this process's ``saved`` tables.
+_FOLDERS: list[str] = []
+
+
+def clear_saved(spark: SparkSession) -> int:
+    """Remove all tables that ``saved`` has written in this process, once no DataFrame reads them any more; returns how many."""
+    make, conf, n = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration(), len(_FOLDERS)
+    while _FOLDERS:
+        where = make(_FOLDERS.pop())
+        where.getFileSystem(conf).delete(where, True)
+    return n
 
 
 def newest_version(spark: SparkSession, folder: str, part: str = "") -> int:

@@ -288,3 +288,14 @@ def test_boosted_split_is_the_best_one(spark):
     high = {r["p"] for r in L.scored_by(m, df).where("a >= 20").collect()}
     assert len(low) == len(high) == 1 and low < high or min(low) < min(high)
     assert L.importance(m, df).first()["feature"] == "a"
+
+
+def test_saved_tables_can_be_removed(spark):
+    import os
+
+    from riskweave.sources import storage as S
+
+    S.clear_saved(spark)
+    kept = S.saved(spark.range(3), "three")
+    where = kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert os.path.exists(where) and S.clear_saved(spark) == 1 and not os.path.exists(where) and S.clear_saved(spark) == 0
