@@ -160,6 +160,7 @@ def review_prompt(df: DataFrame, transaction_id: str, client: str, score: str, e
         F.slice(F.col(explanations), 1, 5),
         lambda x: F.format_string("  %s: value=%.4f, contribution=%+.4f (%s)", x["feature"], x["value"].cast("double"), x["contribution"].cast("double"), direction(x["contribution"])),
     )
+    # Headings and closing question of the prompt.
     return F.concat(
         F.lit("TRANSACTION REVIEW REQUEST\n\nTransaction ID: "), F.coalesce(F.col(transaction_id).cast("string"), F.lit("?")), F.lit("\nInstitution:    "), F.coalesce(F.col(client).cast("string"), F.lit("?")),
         F.lit("\nModel score:    "), F.format_string("%.4f", F.col(score)), F.lit(" (REVIEW zone: 0.30-0.80)\n\nTRANSACTION FEATURES:\n"), features,

@@ -161,7 +161,7 @@ def promotion(runs: DataFrame, champion: str, challenger: str, margin: float = 0
 
 
 def importance(model: PipelineModel, df: DataFrame, top: int = 20) -> DataFrame:
-    """``feature, importance`` of the model's inputs, largest first."""
+    """``feature, importance`` of the model's inputs, largest first; ``top`` rows at most, made on the driver from the model's own numbers."""
     last = model.stages[-1]
     values = [abs(v) for v in (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()]
     meta = model.transform(df.limit(1)).schema["_raw"].metadata["ml_attr"]["attrs"]
