@@ -17,11 +17,15 @@ def test_identity():
     assert abs(m.score(ids, x) - 1 / (1 + np.exp(-z))) < 1e-12
 
 
-@pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.95), (toxicity, "toxic", 0.90)])
-def test_held_out(spark, operator, label, least):
+@pytest.mark.parametrize(("operator", "label", "accuracy", "recall", "area"), [(quality, "quality", 0.95, 0.9, 0.99), (toxicity, "toxic", 0.90, 0.6, 0.88)])
+def test_held_out(spark, operator, label, accuracy, recall, area):
+    """Accuracy, share of label 1 that is found, and share of pairs of both labels in the right order; a constant score fails."""
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     got = operator(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
-    assert len(got) > 30 and (got["predicted"] == got[label]).mean() >= least and got["score"].between(0, 1).all()
+    ones, zeros = got[got[label] == 1], got[got[label] == 0]
+    right = np.subtract.outer(ones["score"].to_numpy(), zeros["score"].to_numpy())
+    assert len(got) > 30 and (got["predicted"] == got[label]).mean() >= accuracy and got["score"].between(0, 1).all()
+    assert (ones["predicted"] == 1).mean() >= recall and ((right > 0) + 0.5 * (right == 0)).mean() >= area
 
 
 @pytest.mark.parametrize("operator", [quality, toxicity])
