@@ -4,6 +4,10 @@ Each stage takes the rows that its predecessor kept and returns rows with the
 columns of ``documents`` (the last: the token results). Rows keep their other
 columns, whatever their names; rows with null or repeated ids are told apart
 by a number where rows must be singled out.
+
+Defined cases, in every stage: a null text counts as empty; an empty table gives
+an empty table; texts of any length are taken whole, the longest by themselves.
+What becomes of null and empty texts stands with each stage.
 """
 
 from __future__ import annotations
@@ -38,13 +42,13 @@ def _as_documents(rows: DataFrame, key: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.3 and more)."""
+    """Documents that the quality classifier accepts (score of 0.3 and more). Null and empty texts are scored like any; without labels of both classes all rows have one score."""
     model, score = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), _free(docs, "_quality")
     return score_column(docs, model, score).where(F.col(score) >= 0.3).select(*_columns(docs))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that of the smallest id. Texts without words are linked with nothing and stay."""
     scratch, key = Scratch(spark), _free(docs, "_rid")
     rows = numbered(docs, scratch, key)
     gone = near_duplicates(_as_documents(rows, key), shingle_words=5, percent=80).where("NOT first").select(F.col("rid").alias(key))
@@ -52,7 +56,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of passages that occur again; ``n_chars`` follows the text."""
+    """Texts without the words of passages that occur again; ``n_chars`` follows the text. A text that loses nothing stays as it is, null included; one that loses all becomes empty and stays."""
     scratch, key, kept = Scratch(spark), _free(docs, "_rid"), _free(docs, "_kept")
     rows = numbered(docs, scratch, key)
     found = substring_dedup(_as_documents(rows, key), with_text=True).where("n_removed > 0")
@@ -65,7 +69,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't contain a benchmark item."""
+    """Documents that don't contain a benchmark item. Texts without words contain none; items without words are in none."""
     scratch, key = Scratch(spark), _free(docs, "_rid")
     rows = numbered(docs, scratch, key)
     found = contained_items(_as_documents(rows, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -74,7 +78,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, their hash and that of the decoded text."""
+    """Token ids of every document, their hash and that of the decoded text. Null and empty texts have no ids."""
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
