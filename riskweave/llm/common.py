@@ -121,6 +121,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def light(df: DataFrame, column: str, size: int = 32 << 20) -> bool:
+    """``small``, and the texts of one column within ``size`` bytes together."""
+    return small(df) and (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) <= size
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, id_of, parts, small
+from .common import BROADCAST_ROWS, Scratch, id_of, light, parts
 
 ARITY = 16
 #: Leaves of a block: bound of a task's memory (about 30 MB with the proofs).
@@ -211,7 +211,7 @@ def manifest(docs: DataFrame, wanted: Column | None = None, with_siblings: bool
     each = scratch.write(placed.groupBy("source").agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n")), "each")
     sources = scratch.write(in_order(each, [first("source")], scratch, "sources").select(F.col("source").alias("_source"), F.col("number").alias("tree"), "first", "n"), "numbers")
     n_sources = sources.count()
-    with_tree = placed.join(F.broadcast(sources) if small(sources) else sources.hint("merge"), F.col("source").eqNullSafe(F.col("_source")))
+    with_tree = placed.join(F.broadcast(sources) if light(sources, "_source") else sources.hint("merge"), F.col("source").eqNullSafe(F.col("_source")))
     pos = F.col("number") - F.col("first")
     leaves = scratch.write(with_tree.select("doc_id", "source", "leaf", "tampered", "tree", pos.alias("pos"), F.floor(pos / SPAN).cast("long").alias("block"), "n"), "trees")
     scratch.drop("leaves", "placed", "each")
