@@ -1,10 +1,11 @@
 """Operators 1, 2 and 8 against brute force and by hand."""
 
 import math
+import re
 import random
 
 from riskweave.llm.decontamination import contained_items
-from riskweave.llm.license_scan import BODIES, HEADERS, NOTICES, licence_scan
+from riskweave.llm.license_scan import BLANK, BODIES, COMMENTS, FRONT, HEADERS, NAMED, NOTICES, THRESHOLD, default_templates, licence_scan
 from riskweave.llm.topk import top_k
 
 
@@ -22,6 +23,16 @@ def test_top_k(spark):
     assert top_k(table.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_repeated_ids(spark):
+    """Repeated ids: what a query's own id is stays out, in every row that has it."""
+    rows = [(0, [1.0, 0.5]), (0, [0.25, 0.25]), (3, [0.5, 0.5]), (3, [0.5, 0.5]), (4, [2.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert got and all(r["query_id"] == 0 and r["vec_id"] != 0 for r in got)
+    dot = lambda a, b: sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b))
+    scores = {(i, dot(q, v)) for n, q in rows if n == 0 for i, v in rows if i != 0}
+    assert all((r["vec_id"], r["score"]) in scores for r in got)
+
+
 def test_contained_items(spark):
     rng = random.Random(4)
     w = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
@@ -134,3 +145,96 @@ def test_query_inherits(spark):
     heirs = [r for r in got if r["origin"] == "inherited"]
     assert heirs and any(r["path"].count("/") > r["source_path"].count("/") for r in heirs)  # from a directory above as well
     assert all(files[r["source_path"]]["origin"] == "own" and files[r["source_path"]]["licence"] == r["licence"] for r in heirs)
+
+
+def plain_scan(files, closing):
+    """``licence_scan`` over all templates, units and directories by loops: ``file_id -> licence, score, origin, source_path``."""
+    front, comments = FRONT.replace("x{a9}", "xa9"), re.compile(COMMENTS)
+
+    def terms(text):
+        return re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", re.sub(r"spdx-license-identifier:[ \t]*", "spdx-license-identifier-", text.lower()))
+
+    texts = [text or "" for _, _, text in files]
+    held = [set(terms(t)) for t in texts]
+    counts = {}
+    for h in held:
+        for t in h:
+            counts[t] = counts.get(t, 0) + 1
+    weight = lambda t: math.log((1 + len(files)) / (1 + counts.get(t, 0))) + 1
+
+    def vector(words):
+        v = {t: (1 + math.log(words.count(t))) * weight(t) for t in set(words)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    templates = [(name, text, vector(terms(text))) for name, text in default_templates()]
+    needed = set()
+    for _, _, v in templates:
+        total = 0.0
+        for t in sorted(v, key=lambda t: (weight(t), t)):
+            total += v[t] ** 2
+            if total >= THRESHOLD**2 * 0.999999:
+                needed.add(t)
+
+    def best(text):
+        words = terms(text)
+        v = vector(words) if words else {}
+        return max(((round(sum(x * w.get(t, 0) for t, x in v.items()), 9), name, n) for n, (name, _, w) in enumerate(templates)), default=(0, "", 0)) if v else (0, "", 0)
+
+    def edge(text, x):
+        head = len(re.match(front, text).group())
+        body, end = re.sub(front, "", x + "\n", count=1), x.rstrip(BLANK)
+        at = x in text[: head + len(x)] and (body == "" or bool(needed & set(terms(body.split("\n")[0]))))
+        return at or (closing and text.rstrip(BLANK).endswith(end) and bool(needed & set(terms(end.split("\n")[-1]))))
+
+    own = []
+    for text in texts:
+        several = [x for x in [*re.split(r"\n\s*\n", text), *comments.findall(text)] if "\n" in x.strip(" ")]
+        hits = []
+        for x, whole in [*((x, False) for x in [*text.split("\n"), *several]), (text, True)]:
+            score, name, n = best(x)
+            if score >= THRESHOLD:
+                hits.append((score, name, templates[n][1] in BODIES.values() if whole else edge(text, x)))
+        top = max(((s, n) for s, n, _ in hits), default=None)
+        own.append((*top, any(n == top[1] and stated for _, n, stated in hits)) if top else None)
+    given = {}
+    for (_, path, _), o in zip(files, own):
+        if o and path is not None and (o[2] or re.search(NAMED, path)):
+            place = path.rpartition("/")[0]
+            given[place] = min(given.get(place, (True, "\uffff", "")), (not re.search(NAMED, path), path, o[1]))
+    out = {}
+    for (i, path, _), o in zip(files, own):
+        if o:
+            out[i] = (o[1], round(o[0], 6), "own", path)
+            continue
+        place, found = path.rpartition("/")[0] if path is not None else None, None
+        while place is not None and not found:
+            found = given.get(place)
+            place = place.rpartition("/")[0] if place else None
+        out[i] = (found[2], None, "inherited", found[1]) if found else (None, None, "none", None)
+    return out
+
+
+def test_licences_by_brute_force(spark):
+    """Default templates, all units and inheritance against loops; ties of notices, a very long text, odd rows."""
+    rng = random.Random(8)
+    prose = lambda n: "\n".join(" ".join(rng.choice(["the", "of", "license", "software", f"w{rng.randrange(300)}"]) for _ in range(9)) for _ in range(n))
+    stated = [*NOTICES.values(), *(t for _, t in HEADERS), "SPDX-License-Identifier: MIT", "SPDX-License-Identifier:LGPL-3.0-or-later", BODIES["MIT"], BODIES["ISC"], BODIES["BSD-3-Clause"]]
+    files = []
+    for n, text in enumerate(stated * 3):
+        words = text.split()
+        if n % 4 == 3:  # some words gone, some others between
+            text = " ".join(rng.choice([w, w, w, w, f"x{rng.randrange(50)}"]) for w in words)
+        if n % 3 == 1:
+            text = "# " + "\n# ".join(text.split("\n"))
+        shape = [f"{text}\n\n{prose(3)}", f"{prose(2)}\n\n{text}\n\n{prose(2)}", f"{prose(3)}\n{text}\n", f"Title\n\nCopyright (c) 2020 Jane Doe\n\n{text}"][rng.randrange(4)]
+        files.append((n, f"{rng.choice('abc')}/{rng.choice('de')}/{rng.choice(['LICENSE', 'f.c', 'g.py'])}{n if n % 5 else ''}", shape))
+    files += [(200 + n, f"{rng.choice('abcz')}/{rng.choice('dey')}/x/{n}.c", prose(4)) for n in range(40)]
+    files += [(300, "t/tie", f"{NOTICES['MIT']}\n{NOTICES['BSD-3-Clause']}\n"), (301, "t/u", "x"), (302, "l/long", f"{prose(6000)}\n{NOTICES['MPL-2.0']}"), (303, "l/v", ""), (304, None, None), (305, None, NOTICES["MIT"]), (306, "root.c", "int x;"), (307, "one word", "license")]
+    table = spark.createDataFrame([(*f, 0.5) for f in files], "file_id long, path string, text string, score double")
+    for closing in (False, True):
+        got = {r["file_id"]: (r["licence"], r["score"], r["origin"], r["source_path"]) for r in licence_scan(table, closing=closing).collect()}
+        want = plain_scan(files, closing)
+        off = {i: (got.get(i), w) for i, w in want.items() if got[i][0] != w[0] or got[i][2:] != w[2:] or abs((got[i][1] or 0) - (w[1] or 0)) > 2e-6}
+        assert not off and len(got) == len(files), off
+        assert got[300][0] == "MIT" and got[302][0] == "MPL-2.0" and {g[2] for g in got.values()} == {"own", "inherited", "none"}
