@@ -8,7 +8,8 @@ Each pre-token is encoded by itself; decoding maps ids back to their bytes.
 
 Defined cases: null and empty text give no ids (hashes of the empty string);
 null ``doc_id`` stays null; repeated rows give repeated results; strings of
-special tokens are ordinary text; further columns are ignored.
+special tokens are ordinary text; very long texts are encoded whole, in a batch
+of their own; further columns are ignored.
 """
 
 from __future__ import annotations

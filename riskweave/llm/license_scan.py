@@ -18,7 +18,8 @@ last lines) or is as a whole the text of a licence file. Files without a licence
 of their own inherit from the nearest ancestor directory that has a licence
 file, found by joining their ancestor paths. DataFrame functions only.
 
-Defined cases: null and empty texts have no notice; a null path has no
+Defined cases: null and empty texts have no notice; all units of very long texts
+are compared; a null path has no
 directory and neither gives nor inherits; ties of notices go to the higher
 cosine, then the name; of several licence files in a directory those with the
 name of one count first, then the least path (then licence); repeated rows are answered each; extra columns are

@@ -10,7 +10,7 @@ documented; their compact features come to the driver, never their texts);
 every whole text is scored. Labels, lang, source and doc_id are no inputs.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like
-any text; repeated rows are scored alike; without labels of both classes the
+any text; very long texts are read whole; repeated rows are scored alike; without labels of both classes the
 score is that class (0.5 without any); extra columns are ignored.
 """
 

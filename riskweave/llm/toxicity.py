@@ -21,7 +21,8 @@ Learning uses at most ``of_each`` documents of each class, and at most
 every window of every text. Labels, lang, source and doc_id are no inputs of a
 score.
 
-Defined cases: null and empty texts get the score of a text without windows;
+Defined cases: null and empty texts get the score of a text without windows; very
+long texts are scored by all their windows;
 repeated rows are scored alike; without labels of both classes, or with too few
 toxic documents for two halves, the score is the share of toxic labels (0.5
 without any); extra columns are ignored.
