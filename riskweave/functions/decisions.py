@@ -38,18 +38,32 @@ PROMPT_FEATURES = [
 ]
 
 
+def fixed(value: Column, digits: int, grouped: bool = False, sign: bool = False) -> Column:
+    """``%.<digits>f`` of a double as Python and DuckDB give it: the exact value rounded, halves to even.
+
+    ``format_string`` rounds the shortest digits and halves up. It still writes what isn't finite, and null as "null".
+    """
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    text = F.format_number(value, digits)
+    text = text if grouped else F.replace(text, F.lit(","), F.lit(""))
+    text = F.concat(F.when(F.startswith(text, F.lit("-")), "").otherwise("+"), text) if sign else text
+    return F.when(finite, text).otherwise(F.format_string(f"%{'+' if sign else ''}.{digits}f", value))
+
+
 def short_number(value: Column) -> Column:
     """Four significant digits without trailing zeros, with an exponent beyond 10^-4 and 10^4 (``%.4g``)."""
     trim = lambda text: F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
     bare = lambda text: F.regexp_replace(trim(text), r"\.$", "")
-    science = F.format_string("%.3e", value)
-    power = F.substring_index(science, "e", -1).cast("int")
+    scientific = lambda x: F.call_function("format_number", x, F.lit("0.000E0"))
+    whole = (F.abs(value) < 2.0**53) & (value == F.rint(value))  # Java rounds whole doubles half up, whole decimals to even
+    science = F.when(whole, scientific(F.when(whole, value).cast("decimal(16,0)"))).otherwise(scientific(value))
+    power = F.substring_index(science, "E", -1).cast("int")
     plain = F.lit(None).cast("string")
     for k in range(-4, 4):
-        plain = F.when(power == k, F.format_string(f"%.{3 - k}f", value) if k == 3 else bare(F.format_string(f"%.{3 - k}f", value))).otherwise(plain)
+        plain = F.when(power == k, fixed(value, 0) if k == 3 else bare(fixed(value, 3 - k))).otherwise(plain)
     return (
-        F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").when(value == 0, "0")
-        .otherwise(F.coalesce(plain, F.concat(bare(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))))
+        F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").when(value == 0, fixed(value, 0))
+        .otherwise(F.coalesce(plain, F.concat(bare(F.substring_index(science, "E", 1)), F.lit("e"), F.format_string("%+03d", power))))
     )
 
 
@@ -62,13 +76,12 @@ def feature_text(feature: Column, value: Column) -> Column:
     up = F.when(value > 0, "↑").otherwise("↓")
     out = F.concat(feature, F.lit(": "), short_number(value), F.lit(" ("), up, F.lit(" risk)"))
     for name, template in FEATURE_TEXTS.items():
-        parts, inputs = "", []
+        parts = []
         for text, field, spec, _ in Formatter().parse(template):
-            parts += text.replace("%", "%%")
+            parts.append(F.lit(text))
             if field:
-                parts += f"%{spec}" if spec else "%d"
-                inputs.append(filled[field])
-        text = F.format_string(parts, *inputs) if inputs else F.lit(template)
+                parts.append(fixed(filled[field], int(spec[1:-1])) if spec else filled[field].cast("string"))
+        text = F.concat(*parts)
         out = F.when(feature == name, F.when(finite, text).otherwise(F.concat(feature, F.lit(": "), short_number(value)))).otherwise(out)
     return out
 
@@ -142,7 +155,7 @@ def alert_message(decision: Column, transaction_id: Column, client: Column, amou
     return F.struct(
         F.concat(_by_decision(decision, ALERT_SIGNS, "❓"), F.lit(" Fraud Alert — "), F.upper(decision)).alias("title"),
         _by_decision(decision, ALERT_COLORS, "#718096").alias("color"), F.substring(transaction_id, 1, 24).alias("id"), client.alias("client"),
-        F.format_string("%.4f", score).alias("score"), F.format_string("$%,.2f", amount).alias("amount"),
+        fixed(score, 4).alias("score"), F.concat(F.lit("$"), fixed(amount, 2, grouped=True)).alias("amount"),
         some(reason_lines, "• (no reasons)").alias("reasons"), some(lines, "• (no explanation available)").alias("features"),
     )
 
@@ -158,12 +171,12 @@ def review_prompt(df: DataFrame, transaction_id: str, client: str, score: str, e
     features = F.when(F.size(pairs) > 0, F.concat(F.lit("{\n"), F.array_join(pairs, ",\n"), F.lit("\n}"))).otherwise("{}")
     lines = F.transform(
         F.slice(F.col(explanations), 1, 5),
-        lambda x: F.format_string("  %s: value=%.4f, contribution=%+.4f (%s)", x["feature"], x["value"].cast("double"), x["contribution"].cast("double"), direction(x["contribution"])),
+        lambda x: F.format_string("  %s: value=%s, contribution=%s (%s)", x["feature"], fixed(x["value"].cast("double"), 4), fixed(x["contribution"].cast("double"), 4, sign=True), direction(x["contribution"])),
     )
     # Headings and closing question of the prompt.
     return F.concat(
         F.lit("TRANSACTION REVIEW REQUEST\n\nTransaction ID: "), F.coalesce(F.col(transaction_id).cast("string"), F.lit("?")), F.lit("\nInstitution:    "), F.coalesce(F.col(client).cast("string"), F.lit("?")),
-        F.lit("\nModel score:    "), F.format_string("%.4f", F.col(score)), F.lit(" (REVIEW zone: 0.30-0.80)\n\nTRANSACTION FEATURES:\n"), features,
+        F.lit("\nModel score:    "), fixed(F.col(score), 4), F.lit(" (REVIEW zone: 0.30-0.80)\n\nTRANSACTION FEATURES:\n"), features,
         F.lit("\n\nMODEL EXPLANATION (strongest features):\n"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("  (none available)"), F.lit("\n\nIs this FRAUD (1) or LEGITIMATE (0)?"),
     )
 

@@ -38,6 +38,18 @@ def test_tables():
     assert (len(R.PASSTHROUGH), len(R.LEAKAGE), len(set(R.LEAKAGE)), len(R.FLAGS), len(R.NUMBERS), len(D.FEATURE_TEXTS), len(D.PROMPT_FEATURES)) == (19, 30, 30, 13, 11, 12, 24)
 
 
+def test_numbers_round_their_exact_value(spark):
+    """Halves to even and by the exact value, not by the shortest digits; minus zero keeps its sign."""
+    values = [0.5, 1.5, 2.5, -0.5, 0.125, 0.375, 0.15, 0.25, 0.35, 1.005, -0.0, 0.0, -0.04, 123456.5, 1234.5, 1235.5, 0.00012345, 12345.0, 1e5, 1.5e-7, 9999.5, 99995.0, 1048575.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(*(D.fixed(F.col("v"), k) for k in (0, 1, 2, 4)), D.fixed(F.col("v"), 4, sign=True), D.short_number(F.col("v"))).collect()
+    assert [tuple(r)[1:] for r in got] == [tuple(f"{v:{f}}" for f in (".1f", ".2f", ".4f", "+.4f", ".4g")) for v in values]
+    assert [r[0] for r in got] == [f"{v:.0f}" for v in values]
+    told = lambda name, v: df.limit(1).select(D.feature_text(F.lit(name), F.lit(v))).first()[0]
+    assert told("time_since_other_institution_sec", 30.0) == "Same identity at other institution 0m ago"
+    assert told("velocity_ratio", 0.25) == "Velocity 0.2× above baseline" and told("k", -0.0) == "k: -0 (↓ risk)"
+
+
 def test_short_numbers(spark):
     values = [0.0, 1.0, -1.0, 12345.6, 0.00012346, 0.000012346, 9999.6, 999.96, 1e-9, 3.0e20, 123.0, 100.0, 1000.0, 0.1, 7.7777777, float("nan"), float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "v double")
