@@ -339,10 +339,11 @@ def refresh_report(spark, d, size: int = 16):
     near = G.neighbourhood(edges, active).withColumn("refreshed", F.lit(True))
     new = G.embedding_refresh(edges, changed, store, active, model)
     whole = G.projected(model, G.hop_features(edges, changed))
-    far = lambda a, b: F.round(F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y)), 6)
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda x, y: F.greatest(x, y))
+    noise = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: F.greatest(x, F.abs(y))) * 1e-12  # noqa: E731  sums in another order
     named = lambda df, name: df.select("id", F.col("embedding").alias(name))
     both = named(new, "new").hint("merge").join(named(store, "old"), "id").join(named(whole, "whole").hint("merge"), "id").join(near.hint("merge"), "id", "left")
-    return both.select("id", F.coalesce("refreshed", F.lit(False)).alias("refreshed"), (far("new", "old") > 0).alias("moved"), F.when(F.col("refreshed"), far("new", "whole")).otherwise(0.0).alias("error"))
+    return both.select("id", F.coalesce("refreshed", F.lit(False)).alias("refreshed"), (far("new", "old") > noise(F.col("old"))).alias("moved"), F.when(F.col("refreshed"), F.round(far("new", "whole"), 6)).otherwise(0.0).alias("error"))
 
 
 @query("g15_incremental_refresh", f"WITH RECURSIVE {_TOUCHED}, u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), walk(id, distance) AS (SELECT id, 0 FROM seeds UNION SELECT u.dst, distance + 1 FROM walk JOIN u ON walk.id = u.src WHERE distance < 2), w AS (SELECT DISTINCT id FROM walk) SELECT n.id, w.id IS NOT NULL AS refreshed, w.id IS NOT NULL AND t.id IS NOT NULL AS moved, 0.0::DOUBLE AS error FROM nodes n LEFT JOIN w USING (id) LEFT JOIN touched t USING (id)")

@@ -299,3 +299,18 @@ def test_saved_tables_can_be_removed(spark):
     kept = S.saved(spark.range(3), "three")
     where = kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
     assert os.path.exists(where) and S.clear_saved(spark) == 1 and not os.path.exists(where) and S.clear_saved(spark) == 0
+
+
+def test_refresh_counts_small_moves(spark, tmp_path):
+    """Rows that move by less than a millionth are moved all the same (features of about 10^-6)."""
+    import duckdb
+
+    from riskweave.plans import ORACLE_SQL, relations
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    e.withColumn("embedding", F.transform("embedding", lambda x: (x * 1e-5).cast("float"))).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["g15_incremental_refresh"]).fetchall()
+    got = [tuple(r) for r in relations.refresh_report(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
