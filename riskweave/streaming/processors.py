@@ -41,30 +41,44 @@ def marked(stream: DataFrame, late: str | None = LATE) -> DataFrame:
 class Answers(StatefulProcessor):
     """The first answer to a transaction is kept and given to its repeats for so long; then it is scored anew.
 
-    State: time and score of the last answer; dropped by a timer once no repeat could ask for it.
+    A key is a bucket of transactions, as calls to the state for each transaction
+    cost far more than its rows. State: time and score of the last answers of a
+    bucket. Those that no repeat could ask for any more go with the next rows, or
+    by a timer.
     """
 
     def __init__(self, within_us: int):
         self.within = within_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "ts_us long, score double")
+        self.handle, self.last = handle, handle.getValueState("last", "answers string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        for frame in rows:
-            frame = frame.sort_values("ts_us", kind="stable")
-            out = []
-            for ts, score in zip(frame["ts_us"].tolist(), frame["risk_score"].tolist()):
-                again = last is not None and 0 <= ts - last[0] <= self.within
-                if not again:
-                    last = (ts, score)
-                out.append((key[0], ts, last[1], again))
-            yield pd.DataFrame(out, columns=["transaction_id", "ts_us", "risk_score", "repeated"])
-        self.last.update(last)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last[0] + self.within) // 1000 + 1)
+        before = self.last.exists()
+        last = {t: (ts, score) for t, ts, score in json.loads(self.last.get()[0])} if before else {}
+        every = pd.concat(list(rows), ignore_index=True)
+        every = every[every["ts_us"].notna()].sort_values("ts_us", kind="stable")
+        scores = [None if s != s else s for s in every["risk_score"].tolist()]
+        out = []
+        for name, ts, score in zip(every["transaction_id"].tolist(), every["ts_us"].astype("int64").tolist(), scores):
+            held = last.get(name)
+            again = held is not None and 0 <= ts - held[0] <= self.within
+            if not again:
+                held = last[name] = (ts, score)
+            out.append((name, ts, held[1], again))
+        yield pd.DataFrame(out, columns=["transaction_id", "ts_us", "risk_score", "repeated"]).astype({"risk_score": "float64"})
+        self._keep(last, timerValues.getCurrentWatermarkInMs(), before)
+
+    def _keep(self, last: dict, mark_ms: int, before: bool) -> None:
+        live = [(t, ts, score) for t, (ts, score) in last.items() if ts + self.within >= mark_ms * 1000]
+        if before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if live:
+            self.last.update((json.dumps(live),))
+            self.handle.registerTimer((max(ts for _, ts, _ in live) + self.within) // 1000 + 1)
+        elif before:
+            self.last.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
