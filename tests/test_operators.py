@@ -307,7 +307,7 @@ def test_refresh_counts_small_moves(spark, tmp_path):
 
     from riskweave.plans import ORACLE_SQL, relations
 
-    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     e.withColumn("embedding", F.transform("embedding", lambda x: (x * 1e-5).cast("float"))).write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
