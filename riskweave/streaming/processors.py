@@ -91,14 +91,15 @@ class Answers(StatefulProcessor):
 ANSWER = "transaction_id string, ts_us long, risk_score double, repeated boolean"
 
 
-def answered(stream: DataFrame, seconds: int = 300, late: str = LATE) -> DataFrame:
+def answered(stream: DataFrame, seconds: int = 300, late: str = LATE, buckets: int = 2048) -> DataFrame:
     """``transaction_id, ts_us, risk_score, repeated``: each row's answer, the earlier one for a repeat within ``seconds``.
 
     Times are event times; rows of a transaction should arrive in time order. Of
-    rows in one piece the earlier counts first.
+    rows in one micro-batch the earlier counts first; a task holds those of one of
+    ``buckets`` buckets at a time. Rows without a time drop out.
     """
-    rows = marked(stream.select("transaction_id", "ts_us", "risk_score"), late)
-    return rows.groupBy("transaction_id").transformWithStateInPandas(Answers(seconds * SECOND), ANSWER, "Append", "EventTime")
+    rows = marked(stream.select("transaction_id", "ts_us", "risk_score"), late).withColumn("_bucket", F.pmod(F.xxhash64("transaction_id"), F.lit(buckets)))
+    return rows.groupBy("_bucket").transformWithStateInPandas(Answers(seconds * SECOND), ANSWER, "Append", "EventTime")
 
 
 class Lateness(StatefulProcessor):
@@ -197,9 +198,13 @@ class Velocity(StatefulProcessor):
     answered. A window of whole hours that ends at a row in hour h is the rows of h
     up to it, totals of the hours between, and rows of the one hour in which it
     begins: at most five hours' rows are in memory, whatever the identity. Hours
-    older than a week go; an idle identity goes by a timer.
+    older than a week go; an idle identity goes by a timer. An identity of at most
+    ``FEW`` rows, a micro-batch's included, isn't cut by hours: its rows are one
+    value, as calls to the state for each hour cost far more than the rows.
     """
 
+    FEW = 1000
+
     SPANS = {"1h": (HOUR, 1), "6h": (6 * HOUR, 6), "24h": (24 * HOUR, 24), "7d": (WEEK - 1, 168)}
 
     def __init__(self, risk: float = 0.70, idle_days: int = 90):
@@ -209,7 +214,7 @@ class Velocity(StatefulProcessor):
         self.handle = handle
         self.slots = Slots(handle, "rows", ROW, HOUR)
         self.totals = handle.getMapState("totals", "slot long", "answered long, totals binary")
-        self.names = handle.getValueState("clients", "names string")
+        self.kept = handle.getValueState("kept", "clients string, rows binary, cut boolean")
 
     def _records(self, frame: pd.DataFrame, clients: dict[str, int]) -> np.ndarray:
         out = np.zeros(len(frame), ROW)
@@ -220,18 +225,39 @@ class Velocity(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        clients: dict[str, int] = json.loads(self.names.get()[0]) if self.names.exists() else {}
-        named = len(clients)
-        done = {s[0]: (int(v[0]), np.frombuffer(bytes(v[1]), TOTAL)) for s, v in self.totals.iterator()}
-        known, met = set(done), set()
+        kept = self.kept.get() if self.kept.exists() else None
+        clients: dict[str, int] = json.loads(kept[0]) if kept else {}
+        old, cut = (np.frombuffer(bytes(kept[1]), ROW), kept[2]) if kept else (np.empty(0, ROW), False)
+        named = len(clients) if cut else -1
+        done = {s[0]: (int(v[0]), np.frombuffer(bytes(v[1]), TOTAL)) for s, v in self.totals.iterator()} if cut else {}
+        known, met, few = set(done), set(), []
         for frame in rows:
             frame = frame[frame["ts_us"].notna()]
-            if len(frame):
-                met |= self.slots.add(self._records(frame, clients), known)
+            if not len(frame):
+                continue
+            few.append(self._records(frame, clients))
+            if not cut and len(old) + sum(map(len, few)) > self.FEW:
+                cut = True
+                for slot in self.slots.add(old, known):
+                    held = self.slots.of(slot, known)
+                    done[slot] = (len(held), hour_totals(held, self.risk))
+                    self.totals.updateValue((slot,), (len(held), done[slot][1].tobytes()))
+            if cut:
+                for new in few:
+                    met |= self.slots.add(new, known)
+                few = []
+        if few:
+            fresh = np.concatenate(few)
+            every = np.concatenate([old, fresh])
+            yield self._features_of_few(key[0], fresh[np.lexsort((fresh["id"], fresh["ts"]))], every[np.lexsort((every["id"], every["ts"]))], len(clients))
+            newest = int(every["ts"].max()) // HOUR
+            self.kept.update((json.dumps(clients), every[every["ts"] // HOUR >= newest - 168].tobytes(), False))
+            self._wait(newest, kept is not None)
+            return
         if not met:
             return
         if len(clients) > named:
-            self.names.update((json.dumps(clients),))
+            self.kept.update((json.dumps(clients), b"", True))
         for slot in met:
             done[slot] = (done[slot][0] if slot in done else 0, hour_totals(self.slots.of(slot, known), self.risk))
         order = sorted(done)
@@ -251,18 +277,38 @@ class Velocity(StatefulProcessor):
             answered_, totals = done[slot]
             held = self.slots.of(slot, known)
             fresh = held[answered_:]
-            yield self._features(key[0], fresh[np.lexsort((fresh["id"], fresh["ts"]))], slot, part, (of_slot, every), len(clients))
+            yield self._features_in_slot(key[0], fresh[np.lexsort((fresh["id"], fresh["ts"]))], slot, part, (of_slot, every), len(clients))
             done[slot] = (len(held), totals)
             self.totals.updateValue((slot,), (len(held), totals.tobytes()))
         newest = max(done)
         for slot in [s for s in done if s < newest - 168]:
             self.totals.removeKey((slot,))
             self.slots.remove(slot)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self._wait(newest, kept is not None)
+
+    def _wait(self, newest: int, before: bool) -> None:
+        """The timer of an idle identity, in place of an earlier one."""
+        if before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer((newest + 1) * (HOUR // 1000) + self.idle)
 
-    def _features(self, identity, fresh: np.ndarray, slot: int, part, totals: tuple[np.ndarray, np.ndarray], n_clients: int) -> pd.DataFrame:
+    def _features_of_few(self, identity, fresh: np.ndarray, every: np.ndarray, n_clients: int) -> pd.DataFrame:
+        now, risk, whole = fresh["ts"], self.risk, Part(every, self.risk)
+
+        def within(name: str, width: int, hours: int, side: str, client: int | None = None) -> np.ndarray:
+            rows = whole if client is None else whole.of(client, risk)
+            return rows.upto(name, np.searchsorted(rows.ts, now, side)) - rows.upto(name, np.searchsorted(rows.ts, now - width, "left"))
+
+        def last(client: int) -> np.ndarray:
+            ts = whole.of(client, risk).ts
+            at = np.searchsorted(ts, now, "left")
+            found = np.where(at > 0, np.append(ts, 0)[np.maximum(at - 1, 0)], -1)
+            return np.where(found >= now - WEEK, found, -1)
+
+        return self._features(identity, fresh, n_clients, within, whole.ts[np.searchsorted(whole.ts, now - (WEEK - 1), "left")], last)
+
+    def _features_in_slot(self, identity, fresh: np.ndarray, slot: int, part, totals: tuple[np.ndarray, np.ndarray], n_clients: int) -> pd.DataFrame:
         now, risk = fresh["ts"], self.risk
         here = part(slot)
 
@@ -288,14 +334,28 @@ class Velocity(StatefulProcessor):
             begin = np.searchsorted(low.ts, now - width, "left")
             return low.upto(name, np.full(len(now), len(low.ts))) - low.upto(name, begin) + mid + top.upto(name, np.searchsorted(top.ts, now, side))
 
-        out: dict[str, np.ndarray] = {"event_id": fresh["id"], "identity": np.full(len(now), identity), "ts_us": now}
-        for name, (width, hours) in self.SPANS.items():
-            out[f"count_{name}"] = within("n", width, hours, "right").astype(np.int64)
-            out[f"sum_{name}"] = np.where(within("known", width, hours, "right") > 0, rounded(within("sum", width, hours, "right"), 2), np.nan)
         low = part(slot - 168)
         begin = np.searchsorted(low.ts, now - (WEEK - 1), "left")
         first = np.minimum(middle[168]["first"].min(initial=np.iinfo(np.int64).max), here.ts[0])
         first = np.where(begin < len(low.ts), np.append(low.ts, 0)[np.minimum(begin, len(low.ts))], first)
+
+        def last(client: int) -> np.ndarray:
+            """The last row of this client: in this hour, in the hours between, or in the one where the week begins."""
+            top, old = here.of(client, risk).ts, low.of(client, risk).ts
+            at = np.searchsorted(top, now, "left")
+            found = np.where(at > 0, np.append(top, 0)[np.maximum(at - 1, 0)], middle[168]["last"][client])
+            oldest = old[-1] if len(old) else -1
+            return np.where(found >= 0, found, np.where(oldest >= now - WEEK, oldest, -1))
+
+        return self._features(identity, fresh, n_clients, within, first, last)
+
+    def _features(self, identity, fresh: np.ndarray, n_clients: int, within, first: np.ndarray, last) -> pd.DataFrame:
+        """``within``: sums over windows; ``first``: the first time of each row's 7 days; ``last``: of a client, its last time of a week before each row, or -1."""
+        now = fresh["ts"]
+        out: dict[str, np.ndarray] = {"event_id": fresh["id"], "identity": np.full(len(now), identity), "ts_us": now}
+        for name, (width, hours) in self.SPANS.items():
+            out[f"count_{name}"] = within("n", width, hours, "right").astype(np.int64)
+            out[f"sum_{name}"] = np.where(within("known", width, hours, "right") > 0, rounded(within("sum", width, hours, "right"), 2), np.nan)
         days = np.maximum((now - first) / (24 * HOUR), 1.0)
         out["baseline_rate"] = rounded(out["count_7d"] / days, 4)
         known = within("known", WEEK - 1, 168, "right")
@@ -311,13 +371,8 @@ class Velocity(StatefulProcessor):
             institutions += count > 0
             n, total, risky = n - mine * count, total - mine * within("sum", WEEK, 168, "left", c), risky - mine * within("risky", WEEK, 168, "left", c)
             recent = recent - mine * within("n", HOUR, 1, "left", c)
-            # The last row of this client: in this hour, in the hours between, or in the one where the week begins.
-            top, old = here.of(c, risk).ts, low.of(c, risk).ts
-            at = np.searchsorted(top, now, "left")
-            last = np.where(at > 0, np.append(top, 0)[np.maximum(at - 1, 0)], middle[168]["last"][c])
-            oldest = old[-1] if len(old) else -1
-            last = np.where(last >= 0, last, np.where(oldest >= now - WEEK, oldest, -1))
-            gap = np.fmin(gap, np.where((last >= 0) & ~mine, (now - last) / 1e6, np.nan))
+            before = last(c)
+            gap = np.fmin(gap, np.where((before >= 0) & ~mine, (now - before) / 1e6, np.nan))
         mean = total / np.maximum(n, 1)
         close = np.nan_to_num(np.clip(1 - np.abs(fresh["amount"] - mean) / np.maximum(mean, 1.0), 0.0, 1.0))
         out["institution_count"], out["cross_client_velocity"] = institutions, recent.astype(np.int64)
@@ -330,7 +385,7 @@ class Velocity(StatefulProcessor):
         return pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.slots.state, self.totals, self.names):
+        for state in (self.slots.state, self.totals, self.kept):
             state.clear()
         return iter([])
 

@@ -80,6 +80,78 @@ def test_velocity_holds_few_hours(spark, monkeypatch):
     assert len(state["rows"].d) <= 169 and set(state["rows"].d) == set(state["totals"].d)
 
 
+class Calls:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.states = 0, {}
+
+    def state(self, name, *_):
+        outer = self
+
+        class State(dict):
+            def exists(self): outer.n += 1; return "v" in self
+            def get(self): outer.n += 1; return self["v"]
+            def update(self, v): outer.n += 1; self["v"] = v
+            def getValue(self, k): outer.n += 1; return self[k]
+            def updateValue(self, k, v): outer.n += 1; self[k] = v
+            def removeKey(self, k): outer.n += 1; self.pop(k, None)
+            def iterator(self): outer.n += 1; return iter(list(self.items()))
+
+        return self.states.setdefault(name, State())
+
+    getMapState = getValueState = state
+
+    def listTimers(self): self.n += 1; return []
+    def deleteTimer(self, t): self.n += 1
+    def registerTimer(self, t): self.n += 1
+
+
+def test_velocity_of_few_rows_asks_little_of_the_state(spark):
+    """An identity of few rows costs a few calls a batch, however many hours they lie in; its features are those by hours, also once it has grown."""
+    import numpy as np
+    import pandas as pd
+
+    n, rng = 1500, np.random.default_rng(2)
+    rows = pd.DataFrame({"event_id": range(n), "ts_us": np.sort(rng.integers(0, 900 * P.HOUR, n)), "client_id": rng.choice(list("abc"), n), "modality": rng.choice(["fiat", "crypto"], n), "amount_usd": rng.random(n) * 100, "risk_score": rng.random(n)})
+    rows.loc[::9, "amount_usd"] = np.nan
+    batches = [rows[:300], rows[300:400], rows[400:]]  # the last is more than FEW
+
+    def over(p, calls):
+        p.init(calls)
+        out = []
+        for i, b in enumerate(batches):
+            out.append(pd.concat(p.handleInputRows((1,), iter([b[:150], b[150:]]), None)))
+            assert i == 2 or p.FEW == 0 or calls.n <= 6 * (i + 1)
+        return pd.concat(out).sort_values("event_id").reset_index(drop=True)
+
+    few, slots = P.Velocity(), P.Velocity()
+    slots.FEW = 0
+    a, b = over(few, Calls()), over(slots, Calls())
+    assert len(a) == n
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=2e-3, rtol=0)
+
+
+def test_answers_of_a_bucket_are_one_value(spark):
+    """Many transactions cost a few calls to the state; of a batch's rows the earlier counts first, in whatever pieces they come; answers too old go."""
+    import pandas as pd
+
+    class Times:
+        def __init__(self, ms): self.ms = ms
+        def getCurrentWatermarkInMs(self): return self.ms
+
+    frame = lambda rows: pd.DataFrame(rows, columns=["transaction_id", "ts_us", "risk_score"])
+    calls, p = Calls(), P.Answers(300 * P.SECOND)
+    p.init(calls)
+    late = frame([(f"t{i}", (400 + i) * P.SECOND, 0.3) for i in range(1000)])
+    early = frame([(f"t{i}", (i + d) * P.SECOND, 0.1 + d / 1000) for i in range(1000) for d in (0, 100)])
+    got = pd.concat(p.handleInputRows((7,), iter([late, early]), Times(0)))
+    assert len(got) == 3000 and got["repeated"].sum() == 1000 and calls.n <= 4
+    again = pd.concat(p.handleInputRows((7,), iter([frame([("t999", 1500 * P.SECOND, 0.9), (None, 1500 * P.SECOND, None)])]), Times(1200_000)))
+    assert again[["transaction_id", "risk_score", "repeated"]].values.tolist()[0] == ["t999", 0.3, True] and again["risk_score"].isna().sum() == 1
+    assert "t400" not in calls.states["last"]["v"][0] and "t999" in calls.states["last"]["v"][0]
+
+
 def test_repeats_are_answered_over_batches(spark, tmp_path):
     rows = [[("a", 0, 0.1), ("b", 5, 0.2)], [("a", 299, 0.9), ("b", 400, 0.7), ("c", 401, 0.5)], [("a", 301, 0.8), ("b", 450, 0.6), ("a", 350, 0.3)]]
     for i, part in enumerate(rows):
