@@ -87,7 +87,9 @@ EDGES_TXN = TXN + ", edges AS (SELECT event_id AS edge_id, identity AS src, rece
 
 def edges_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    both = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # A given number of partitions: keys compress so well that Spark would merge those of ten million rows into a task, which sorts them.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = li.repartition(n, "l_orderkey").hint("merge").join(o.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return both.select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"),
         F.col("l_extendedprice").alias("amount"), micros("o_orderdate").alias("ts_us"), (F.col("l_returnflag") == "R").cast("int").alias("is_fraud"),

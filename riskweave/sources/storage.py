@@ -69,8 +69,9 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
 
 def graph_nodes(edges: DataFrame) -> DataFrame:
     """Bulk-load node rows: key, archetype (the least of a node's roles) and label."""
-    roles = edges.select(F.col("src").cast("string").alias("id"), F.lit("a_sender").alias("role")).unionByName(edges.select(F.col("dst").cast("string"), F.lit("b_receiver")).toDF("id", "role"))
-    return roles.groupBy("id").agg(F.min("role").alias("role")).select(F.col("id").alias("hash:ID"), F.substring("role", 3, 20).alias("archetype"), F.lit("Identity").alias(":LABEL"))
+    # Roles as numbers: a minimum of texts would sort all edges.
+    ends = edges.select(F.col("src").cast("string").alias("id"), F.lit(0).alias("role")).unionByName(edges.select(F.col("dst").cast("string"), F.lit(1)).toDF("id", "role"))
+    return ends.groupBy("id").agg(F.min("role").alias("role")).select(F.col("id").alias("hash:ID"), F.when(F.col("role") == 0, "sender").otherwise("receiver").alias("archetype"), F.lit("Identity").alias(":LABEL"))
 
 
 def graph_edges(edges: DataFrame) -> DataFrame:

@@ -314,3 +314,16 @@ def test_refresh_counts_small_moves(spark, tmp_path):
     want = con.execute(ORACLE_SQL["g15_incremental_refresh"]).fetchall()
     got = [tuple(r) for r in relations.refresh_report(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_order_edges_keep_their_partitions(spark):
+    """The join of lines and orders keeps its number of partitions, as Spark would merge well compressed ones; node roles are met by hash, without a sort of all edges."""
+    from riskweave.sources import bindings as B
+    from riskweave.sources import storage as S
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = B.edges_order(spark, "/root/testdata/sf0.001")
+    assert plan(edges).count("REPARTITION_BY_NUM") == 2 and plan(edges).count("Exchange") == 2
+    assert "SortAggregate" not in plan(S.graph_nodes(edges))
+    few = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "a")], "src string, dst string")
+    assert sorted(map(tuple, S.graph_nodes(few).collect()), key=str) == sorted([("a", "sender", "Identity"), ("b", "sender", "Identity"), ("c", "receiver", "Identity"), (None, "sender", "Identity")], key=str)
