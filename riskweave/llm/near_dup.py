@@ -193,12 +193,18 @@ def _links(rows: DataFrame, classes: DataFrame, scratch: Scratch, k: int, percen
         if turn == 0:
             state = members.withColumns({"comp": F.col("rep"), "s": F.col("n")})
         else:
-            state = members.hint("merge").join(comp, F.col("id") == F.col("rep"), "left").select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-            state = scratch.write(_several(state), f"state-{turn}")
+            # Settled rows stay settled, so a round takes up the open rows of the one before. A table
+            # that is read twice is written first: each open row meets its component and its counts once.
+            own = ["bucket", "rep", "n"] + ["s"] * (turn > 1)
+            state = state.select(own).hint("merge").join(comp, F.col("id") == F.col("rep"), "left").select(*own, F.coalesce("comp", "rep").alias("comp"))
+            state = _several(scratch.write(state, f"named-{turn}"))
             if turn == 1:
+                state = scratch.write(state, "state")
                 shared_counts = scratch.write(_shared_counts(state, sets), "shared")
-            state = _several(_within_reach(state, shared_counts.select("rep", "s"), percent))
+                state = scratch.write(_within_reach(state, shared_counts.select("rep", "s"), percent), "reach")
+                state = _several(state)
             state = scratch.write(state, f"open-{turn}")
+            scratch.drop(f"named-{turn}", "state", "reach")
             sizes = state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
             left = sizes.groupBy("bucket").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).agg(F.sum("open")).first()[0]
             if not left:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -80,6 +81,40 @@ def test_near_duplicates_by_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), 2, 80).collect()} == dict(enumerate(top))
 
 
+def joined(spark, key):
+    """Executions so far, and the rows that their inner merge joins on ``key`` of both sides have made."""
+    store, java, rows = spark._jsparkSession.sharedState().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava, {}
+    for e in java(store.executionsList()):
+        made = dict(java(store.executionMetrics(e.executionId())))
+        for node in java(store.planGraph(e.executionId()).allNodes()):
+            if re.match(rf"SortMergeJoin.* \[{key}#\d+L?\], \[{key}#\d+L?\], Inner", node.desc()):
+                rows[e.executionId()] = rows.get(e.executionId(), 0) + sum(int(made.get(m.accumulatorId(), "0").replace(",", "")) for m in java(node.metrics()) if m.name() == "number of output rows")
+    return rows
+
+
+@pytest.mark.parametrize("size", [30, 60])
+def test_open_members_are_joined_once(spark, monkeypatch, size):
+    """Near copies that share buckets but not enough for links stay open; each of their rows meets its counts once and its codes once, in whatever number of rounds."""
+    from riskweave.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "OPEN_PAIRS", 0)
+    written, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    rng = random.Random(size)
+    base, rows = words(rng, 150, 10**6), []
+    for i in range(size):
+        copy = list(base)
+        for at in rng.sample(range(150), 3 if i % 10 == 0 else 6):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    before = set(joined(spark, "rep"))
+    _, top = linked(rows, 2, 80)
+    assert 1 < len(set(top)) < size
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows), 2, 80).collect()} == dict(enumerate(top))
+    members, made = written["members"].count(), sum(n for e, n in joined(spark, "rep").items() if e not in before)
+    assert "open-2" in written and 0 < made <= 2 * members <= 2 * near_dup.BANDS * size
+
+
 def test_near_duplicates_odd_ids(spark):
     rows = [(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (3, "z y x"), (None, None)]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"], r["first"]) for r in near_duplicates(frame(spark, rows), 2).collect()), key=str)
